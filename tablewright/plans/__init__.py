@@ -1 +1,7 @@
+"""Contracts of the test tables and the queries over them."""
 
+
+def load():
+    """(queries, oracle SQL) of all query modules."""
+    from . import check_queries, registry
+    return registry.QUERIES, registry.SQL

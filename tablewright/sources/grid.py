@@ -112,13 +112,14 @@ def with_table_name(grid: DataFrame, root: str, by_folder: bool = False) -> Data
 
     Path parts give code names joined by dots; a trailing ``_<int>`` is the shard number.
     Files with a part that does not start with a letter are dropped.  ``by_folder``
-    names tables after their folder, for shards that are folders of part files.
+    names tables after their folder, for shards that are folders of part files; a
+    partition folder ``name=value`` goes by its value.
     """
     rel = F.element_at(F.split(F.url_decode(F.replace(F.col("_file"), F.lit("+"), F.lit("%2B"))),
                                _quote(root.rstrip("/") + "/"), 2), -1)
     parts = F.filter(F.split(rel, r"[/\\]"), lambda p: p != "")
     if by_folder:
-        parts = F.slice(parts, 1, F.size(parts) - 1)
+        parts = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.regexp_replace(p, "^[^=]*=", ""))
     names = F.transform(parts, code_name)
     full = F.array_join(names, ".")
     tail = F.regexp_extract(full, r"_\s*([+-]?\d+)[^_]*$", 1)

@@ -14,15 +14,21 @@ FORMATS = {"txt": "tsv", "csv": "csv", "xls": "excel", "xlsx": "excel", "cfg": "
            "parquet": "parquet"}
 
 
-def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: ``_table`` from its folder ``_a_b`` -> ``a.b``, text and mtime."""
-    df = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path).select(
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_modification_time").alias("_modified"), F.col("value").alias("text"))
-    folder = F.regexp_extract("_file", r"/_([A-Za-z][^/]*)/[^/]*$", 1)
+def documents_of(files: DataFrame) -> DataFrame:
+    """``_table`` from the folder ``_a_b`` -> ``a.b``; ``name=value`` folders below it are
+    partitions of the same table.  Files outside such folders are dropped."""
+    df = files.select(F.col("_metadata.file_path").alias("_file"),
+                      F.col("_metadata.file_modification_time").alias("_modified"), F.col("value").alias("text"))
+    folder = F.regexp_extract("_file", r"/_([A-Za-z][^/]*)/(?:[^/]+=[^/]*/)*[^/]*$", 1)
     return df.where(folder != "").withColumn("_table", F.replace(folder, F.lit("_"), F.lit(".")))
 
 
+def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
+    """One row per JSON file below ``path``.  The folders are named by a pattern because
+    Spark skips names with a leading underscore when it lists on its own."""
+    return documents_of(spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(f"{path}/_*"))
+
+
 def read_json_records(spark: SparkSession, path: str, contract: TableContract) -> tuple[DataFrame, DataFrame]:
     """(typed records with ``_file`` and ``_modified``, errors).
 

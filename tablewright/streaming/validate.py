@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..contract import ERROR_SCHEMA, Dataset, TableContract, spark_type, union_all
-from ..operators.checks import check_fk, check_unique, last_rows, table_errors
+from ..contract import ERROR_SCHEMA, Dataset, TableContract, union_all
+from ..functions.scalars import pack_id
+from ..operators.checks import check_fk, check_unique, last_rows
 from ..operators.typed import json_to_typed
-from ..sources.records import read_json_documents
+from ..sources.records import documents_of
 
 VERSION = ("_modified", "_file")
 
@@ -28,10 +29,7 @@ def read_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
     reader = spark.readStream.option("recursiveFileLookup", "true").option("wholetext", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    df = reader.text(path).select(F.col("_metadata.file_path").alias("_file"),
-                                  F.col("_metadata.file_modification_time").alias("_modified"), F.col("value").alias("text"))
-    folder = F.regexp_extract("_file", r"/_([A-Za-z][^/]*)/[^/]*$", 1)
-    return df.where(folder != "").withColumn("_table", F.replace(folder, F.lit("_"), F.lit(".")))
+    return documents_of(reader.text(f"{path}/_*"))
 
 
 def _version_schema(contract: TableContract) -> T.StructType:
@@ -74,7 +72,6 @@ def open_reference_errors(spark: SparkSession, out: str, dataset: Dataset, table
     for name, contract in tables.items():
         ids = reported.where((F.col("table") == name) & F.col("err_type").startswith("Foreign")).select(
             F.col("record_id").alias("_rid")).distinct()
-        from ..functions.scalars import pack_id
         rows = frames[name].join(ids, pack_id(frames[name].schema, contract.key) == F.col("_rid"), "left_semi")
         parts += [check_fk(rows, contract, fk, frames[fk.ref_table]) for fk in contract.fks if fk.ref_table in frames]
     return union_all(parts)
