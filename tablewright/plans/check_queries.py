@@ -347,13 +347,13 @@ def p9_check_must_fill(spark, sf):
 
 
 @query("x1_register_check", """
-SELECT 'PriceTooLow' AS err_type, CAST(o_orderkey AS VARCHAR) AS record_id FROM orders WHERE o_totalprice < 1000
+SELECT 'PriceTooLow' AS err_type, CAST(o_orderkey AS VARCHAR) AS record_id FROM orders WHERE o_totalprice < 5000
 UNION ALL SELECT 'EntryContainsSpace', CAST(r_regionkey AS VARCHAR) FROM region WHERE contains(r_name, ' ')""")
 def x1_register_check(spark, sf):
     d = star.dataset(spark, sf, ("region", "nation", "customer", "orders"))
 
     def price(dataset):
-        rows = dataset.frames["orders"].where("o_totalprice < 1000")
+        rows = dataset.frames["orders"].where("o_totalprice < 5000")
         return C.error_rows(rows, "PriceTooLow", "orders", F.col("o_orderkey"), "o_totalprice", F.col("o_totalprice"))
 
     checks.register_check("price", price)
