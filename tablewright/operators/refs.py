@@ -14,7 +14,7 @@ from ..cluster import cut
 from ..contract import Dataset, ForeignKey, TableContract, union_all
 from ..functions.scalars import pack_id, pack_value
 from .checks import _match, dedup_last, entries_to_map, key_value, nested_structs
-from .records import brief_title
+from .records import brief, brief_title, get_record
 
 EDGE_SCHEMA = ("from_table string, from_id string, fk string, field string, label string, "
                "to_table string, to_id string")
@@ -95,8 +95,18 @@ def _label(fk: ForeignKey, prefix: Column | None, schema: T.StructType, base: Co
 
 
 def _edges_of(rows: DataFrame, values: list[Column], label: Column, field: str, fk: ForeignKey,
-              name: str, target: DataFrame, target_contract: TableContract) -> DataFrame:
-    """Edges of one foreign key; dangling keys fall out of the inner join."""
+              name: str, target: DataFrame, target_contract: TableContract, trust: bool = False) -> DataFrame:
+    """Edges of one foreign key; dangling keys fall out of the inner join.
+
+    With ``trust`` the caller matches ``to_id`` with known records itself, so a primary
+    key needs no join here.
+    """
+    if trust and fk.ref_keys == target_contract.key:
+        packed = rows.select("_id", label.alias("label"), *[v.alias(f"_v{i}") for i, v in enumerate(values)])
+        return packed.select(
+            F.lit(name).alias("from_table"), F.col("_id").alias("from_id"), F.lit(fk.name).alias("fk"),
+            F.lit(field).alias("field"), "label", F.lit(fk.ref_table).alias("to_table"),
+            pack_id(packed.schema, [f"_v{i}" for i in range(len(values))]).alias("to_id"))
     own = rows.select("_id", label.alias("label"), *[v.alias(f"_v{i}") for i, v in enumerate(values)])
     to_id = pack_id(target.schema, target_contract.key)
     refs = target.select(*[key_value(F.col(k), target.schema[k].dataType).alias(f"_r{i}")
@@ -125,7 +135,7 @@ def _fk_values(rows: DataFrame, at: Column | None, fk: ForeignKey, kind) -> tupl
 
 
 def ref_edges(dataset: Dataset, to_table: str | None = None, from_tables: Sequence[str] | None = None,
-              to_many: bool = False) -> DataFrame:
+              to_many: bool = False, trust: bool = False) -> DataFrame:
     """Every outgoing edge of every record, nested structs included.
 
     Only foreign keys that can produce wanted edges are planned.  References to many
@@ -147,7 +157,7 @@ def ref_edges(dataset: Dataset, to_table: str | None = None, from_tables: Sequen
         for fk in filter(wanted, contract.fks):
             rows, values = _fk_values(base, None, fk, contract.field(fk.keys[0]).type)
             out.append(_edges_of(rows, values, _label(fk, None, df.schema), fk.keys[0], fk, name,
-                                 dataset.frames[fk.ref_table], dataset.contracts[fk.ref_table]))
+                                 dataset.frames[fk.ref_table], dataset.contracts[fk.ref_table], trust))
         if all(isinstance(f.type, str) for f in contract.fields):
             continue
         for struct, frame in nested_structs(df, contract, [pack_id(df.schema, contract.key).alias("_id")]):
@@ -155,7 +165,7 @@ def ref_edges(dataset: Dataset, to_table: str | None = None, from_tables: Sequen
                 rows, values = _fk_values(frame, F.col("_node"), fk, struct.field(fk.keys[0]).type)
                 label = _label(fk, F.col("_path"), frame.schema["_node"].dataType, F.col("_node"))
                 out.append(_edges_of(rows, values, label, fk.keys[0], fk, name,
-                                     dataset.frames[fk.ref_table], dataset.contracts[fk.ref_table]))
+                                     dataset.frames[fk.ref_table], dataset.contracts[fk.ref_table], trust))
     if out:
         return union_all(out)
     spark = next(iter(dataset.frames.values())).sparkSession
@@ -164,8 +174,11 @@ def ref_edges(dataset: Dataset, to_table: str | None = None, from_tables: Sequen
 
 def refs_in(dataset: Dataset, table: str, ids: DataFrame) -> DataFrame:
     """Edges that end at the given records (``ids`` has column ``id``)."""
-    edges = ref_edges(dataset, to_table=table, to_many=True)
-    return edges.join(ids.select(F.col("id").alias("to_id")).distinct(), "to_id", "left_semi").select(*edges.columns)
+    edges = ref_edges(dataset, to_table=table, to_many=True, trust=True)
+    df = dataset.frames[table]
+    have = df.select(pack_id(df.schema, dataset.contracts[table].key).alias("to_id"))
+    wanted = have.join(ids.select(F.col("id").alias("to_id")).distinct(), "to_id", "left_semi")
+    return edges.join(wanted, "to_id", "left_semi").select(*edges.columns)
 
 
 def has_reference(dataset: Dataset, table: str) -> DataFrame:
@@ -248,20 +261,24 @@ def entry_counts(dataset: Dataset) -> DataFrame:
 
 # ------------------------------------------------------------------ walks
 
+def _next_layer(edges: DataFrame, frontier: DataFrame, seen: DataFrame, backwards: bool) -> DataFrame:
+    a, b = ("to", "from") if backwards else ("from", "to")
+    hops = edges.join(frontier, (edges[f"{a}_table"] == frontier["table"]) & (edges[f"{a}_id"] == frontier["id"]),
+                      "left_semi")
+    found = hops.select(F.col(f"{b}_table").alias("table"), F.col(f"{b}_id").alias("id")).distinct()
+    return found.join(seen, ["table", "id"], "left_anti")
+
+
 def _walk(edges: DataFrame, frontier: DataFrame, backwards: bool, limit: int | None, label: str):
     """Breadth-first layers from ``frontier`` (table, id); each id appears once.
 
     Every layer is written out: the plan stays flat, cycles end because known ids are
     anti-joined away, and small layers are broadcast by their measured size.
     """
-    a, b = ("to", "from") if backwards else ("from", "to")
     seen, depth = frontier, 0
     while limit is None or depth < limit:
         depth += 1
-        hops = edges.join(frontier, (edges[f"{a}_table"] == frontier["table"]) & (edges[f"{a}_id"] == frontier["id"]),
-                          "left_semi")
-        found = hops.select(F.col(f"{b}_table").alias("table"), F.col(f"{b}_id").alias("id")).distinct()
-        frontier = cut(found.join(seen, ["table", "id"], "left_anti"), f"{label}{depth}")
+        frontier = cut(_next_layer(edges, frontier, seen, backwards), f"{label}{depth}")
         if frontier.isEmpty():
             return
         yield depth, frontier
@@ -278,10 +295,10 @@ def reachable_from_entries(dataset: Dataset) -> DataFrame:
     return union_all(layers)
 
 
-def _titles(dataset: Dataset, nodes: DataFrame) -> DataFrame:
+def _titles(dataset: Dataset, nodes: DataFrame, tables: Sequence[str]) -> DataFrame:
     """Add the brief title of each (table, id)."""
     out = []
-    for name in dataset.names():
+    for name in tables:
         df, contract = dataset.frames[name], dataset.contracts[name]
         names = df.select(pack_id(df.schema, contract.key).alias("_id"), brief_title(contract).alias("title"))
         mine = nodes.where(F.col("table") == name)
@@ -298,6 +315,17 @@ def neighbourhood(dataset: Dataset, table: str, record_id: str, in_depth: int, o
     The walk stops with the layer that passes ``max_records``; at most
     ``max_records + 1`` rows come back, nearest incoming first, then outgoing.
     """
+    nodes, tables = _neighbours(dataset, table, record_id, in_depth, out_depth, max_records)
+    return _nearest(_titles(dataset, nodes, tables), max_records).select("table", "id", "title", "depth")
+
+
+def _nearest(nodes: DataFrame, max_records: int) -> DataFrame:
+    return nodes.orderBy(F.col("depth") > 0, F.abs("depth"), "table", "id").limit(max_records + 1)
+
+
+def _neighbours(dataset: Dataset, table: str, record_id: str, in_depth: int, out_depth: int,
+                max_records: int) -> tuple[DataFrame, list[str]]:
+    """(nodes ``(table, id, depth)``, tables they can be in)."""
     if in_depth < 0 or out_depth < 0 or max_records <= 0:
         raise ValueError("depths must not be negative and max_records must be positive")
     if table not in dataset.frames:
@@ -306,7 +334,7 @@ def neighbourhood(dataset: Dataset, table: str, record_id: str, in_depth: int, o
     start = cut(df.where(pack_id(df.schema, contract.key) == record_id).select(
         F.lit(table).alias("table"), F.lit(record_id).alias("id")).distinct(), "start")
     layers, total = [start.withColumn("depth", F.lit(0))], 1
-    seen = start
+    seen, visited = start, {table}
     for backwards, depth_limit in ((True, in_depth), (False, out_depth)):
         frontier, tables = start, [table]
         for depth in range(1, depth_limit + 1):
@@ -314,32 +342,21 @@ def neighbourhood(dataset: Dataset, table: str, record_id: str, in_depth: int, o
                 break
             # The static table graph says which foreign keys this layer can use at all.
             if backwards:
-                parts = [ref_edges(dataset, to_table=t, to_many=True) for t in tables]
+                parts = [ref_edges(dataset, to_table=t, to_many=True, trust=True) for t in tables]
                 tables = sorted({n for n, fk in dataset.fks() if fk.ref_table in tables} | _nested_sources(dataset, tables))
             else:
                 parts = [ref_edges(dataset, from_tables=tables)]
                 tables = sorted({fk.ref_table for n, fk in dataset.fks() if n in tables} | _nested_targets(dataset, tables))
             edges = union_all(parts)
-            found = [layer for _, layer in _walk_once(edges, frontier, seen, backwards)]
-            if not found:
+            frontier = cut(_next_layer(edges, frontier, seen, backwards), "layer")
+            size = frontier.count()
+            if not size:
                 break
-            frontier = found[0]
+            visited.update(tables)
             seen = seen.unionByName(frontier)
-            total += frontier.count()
+            total += size
             layers.append(frontier.withColumn("depth", F.lit(-depth if backwards else depth)))
-    nodes = _titles(dataset, union_all(layers))
-    return (nodes.select("table", "id", "title", "depth")
-            .orderBy(F.col("depth") > 0, F.abs("depth"), "table", "id").limit(max_records + 1))
-
-
-def _walk_once(edges, frontier, seen, backwards):
-    a, b = ("to", "from") if backwards else ("from", "to")
-    hops = edges.join(frontier, (edges[f"{a}_table"] == frontier["table"]) & (edges[f"{a}_id"] == frontier["id"]),
-                      "left_semi")
-    found = hops.select(F.col(f"{b}_table").alias("table"), F.col(f"{b}_id").alias("id")).distinct()
-    layer = cut(found.join(seen, ["table", "id"], "left_anti"), "layer")
-    if not layer.isEmpty():
-        yield 1, layer
+    return union_all(layers), sorted(visited)
 
 
 def _nested_fks(dataset: Dataset, name: str):
@@ -372,24 +389,24 @@ def record_with_refs(dataset: Dataset, table: str, record_id: str, depth: int =
                      max_records: int = 1000) -> DataFrame:
     """The record and what it refers to, down to ``depth``, each with title, descriptions
     and its own outgoing edges; ``incoming`` adds the records that point at it directly."""
-    nodes = cut(neighbourhood(dataset, table, record_id, 1 if incoming else 0, depth, max_records)
-                .select("table", "id", "depth"), "nodes")
-    from .records import brief
-    details = union_all(brief(dataset.frames[n], dataset.contracts[n]).select(
-        F.lit(n).alias("table"), "id", "title", "descriptions") for n in dataset.names())
-    edges = ref_edges(dataset)
+    nodes, tables = _neighbours(dataset, table, record_id, 1 if incoming else 0, depth, max_records)
+    nodes = cut(_nearest(nodes, max_records), "nodes")
+    details = []
+    for n in tables:
+        mine = brief(dataset.frames[n], dataset.contracts[n]).select(F.lit(n).alias("table"), "id", "title", "descriptions")
+        details.append(nodes.where(F.col("table") == n).join(mine.drop("table"), "id"))
+    edges = ref_edges(dataset, from_tables=tables)
     edges = edges.join(nodes, (edges["from_table"] == nodes["table"]) & (edges["from_id"] == nodes["id"]), "left_semi")
     # One group is the outgoing side of one record, as wide as the record itself.
     own = edges.groupBy("from_table", "from_id").agg(
         F.sort_array(F.collect_list(F.struct("field", "label", "to_table", "to_id"))).alias("refs"))
-    out = nodes.join(details, ["table", "id"]).join(
+    out = union_all(details).join(
         own, (F.col("table") == F.col("from_table")) & (F.col("id") == F.col("from_id")), "left")
     return out.select("table", "id", "depth", "title", "descriptions", "refs")
 
 
 def lookup_status(dataset: Dataset, table: str | None, record_id: str | None) -> str:
     """Result code for a record query: ok or what is wrong with the arguments."""
-    from .records import get_record
     if not table:
         return "tableNotSet"
     if not record_id:

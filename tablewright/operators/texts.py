@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import cut
 from ..contract import Dataset, TableContract, union_all
 from ..functions.scalars import normalise_newlines, pack_id
 from .search import leaves
 
+try:
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
+
 
 def _texts(dataset: Dataset) -> DataFrame:
     """Text leaves of tables that have any text field."""
@@ -142,38 +149,63 @@ def translations_matrix(dataset: Dataset, dictionaries: dict[str, DataFrame]) ->
 # Lengths of the text windows that terms are looked up by, longest first.
 WINDOWS = (32, 16, 8, 4, 2, 1)
 
+# Up to this many characters of terms are shipped to every task.
+TERMS_LIMIT = 8_000_000
+
 
-def find_terms(texts: DataFrame, terms: DataFrame, salt: int = 16) -> DataFrame:
+def find_terms(texts: DataFrame, terms: DataFrame, limit: int = TERMS_LIMIT) -> DataFrame:
     """Pairs ``(text_id, term)`` where the text contains the term, without a cross join.
 
-    Each term is filed under its leading window of 32, 16, 8, 4, 2 or 1 characters,
-    the longest it fills.  Texts give their distinct windows, an equi-join brings them
-    to the terms that start so, and `contains` settles it.  Text windows are salted and
-    the short term list repeated per salt, so a window many texts share is spread.
+    The distinct terms are written and measured.  A list within ``limit`` characters goes
+    to every task and each text is scanned once; a longer one is joined by windows.
+    """
+    words = cut(terms.where(F.length("term") > 0).select("term").distinct(), "terms")
+    size = words.agg(F.coalesce(F.sum(F.length("term")), F.lit(0))).first()[0]
+    if ahocorasick is not None and size <= limit:
+        return _scan_terms(texts, [r[0] for r in words.collect()])
+    return _join_terms(texts, words)
+
+
+def _scan_terms(texts: DataFrame, words: list[str]) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("array<string>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        machine = ahocorasick.Automaton()
+        for word in shared.value:
+            machine.add_word(word, word)
+        machine.make_automaton()
+        for batch in batches:
+            yield batch.map(lambda t: list({w for _, w in machine.iter(t)}) if t and len(machine) else [])
+
+    return texts.select("text_id", F.explode(found("text")).alias("term"))
+
+
+def _join_terms(texts: DataFrame, words: DataFrame, salt: int = 16) -> DataFrame:
+    """Each term is filed under its leading window of 32, 16, 8, 4, 2 or 1 characters, the
+    longest it fills.  Texts give their distinct windows, an equi-join brings them to the
+    terms that start so, and `contains` settles it.  Windows are salted and the terms
+    repeated per salt, so a window that many texts share is spread.
     """
     size = F.lit(WINDOWS[-1])
     for w in reversed(WINDOWS):
         size = F.when(F.length("term") >= w, w).otherwise(size)
-    keyed = (terms.where(F.length("term") > 0).select("term").distinct()
-             .withColumn("_w", size).withColumn("_gram", F.expr("substring(term, 1, _w)")))
+    keyed = words.withColumn("_w", size).withColumn("_gram", F.expr("substring(term, 1, _w)"))
     # At most one row per window length.
-    lengths = [r[0] for r in keyed.select("_w").distinct().collect()]
+    lengths = sorted(r[0] for r in keyed.select("_w").distinct().collect())
+    if not lengths:
+        return texts.select("text_id", F.lit("").alias("term")).where(F.lit(False))
     spread = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     out = []
-    for w in sorted(lengths):
-        grams = F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.length("text") - (w - 1)), lambda i: F.substring(F.col("text"), i, F.lit(w))))
-        have = (texts.where(F.length("text") >= w)
-                .withColumn("_gram", F.explode(grams))
-                .withColumn("_salt", F.pmod(F.xxhash64("text_id"), F.lit(salt)).cast("int"))
-                .select("text_id", "_gram", "_salt"))
+    for w in lengths:
+        # The lookahead gives every overlapping window in one pass over the text.
+        grams = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{w}}}))"), F.lit(1)))
+        have = texts.select("text_id", F.explode(grams).alias("_gram")).withColumn(
+            "_salt", F.pmod(F.xxhash64("text_id"), F.lit(salt)).cast("int"))
         mine = spread.where(F.col("_w") == w).select("term", "_gram", "_salt")
         # The join carries ids only; texts come back once for the few candidates.
-        pairs = have.join(mine, ["_gram", "_salt"]).select("text_id", "term")
-        out.append(pairs)
-    if not out:
-        return texts.select("text_id", F.lit("").alias("term")).where(F.lit(False))
-    pairs = union_all(out)
+        out.append(have.join(mine, ["_gram", "_salt"]).select("text_id", "term"))
+    pairs = cut(union_all(out).distinct(), "candidates")
     return texts.join(pairs, "text_id").where(F.contains("text", F.col("term"))).select("text_id", "term")
 
 

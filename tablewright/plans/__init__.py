@@ -3,5 +3,5 @@
 
 def load():
     """(queries, oracle SQL) of all query modules."""
-    from . import check_queries, ref_queries, registry, text_queries
+    from . import check_queries, grid_queries, ref_queries, registry, text_queries
     return registry.QUERIES, registry.SQL
