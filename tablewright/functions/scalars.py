@@ -184,5 +184,5 @@ def split_sep(c, sep: str, trim_left: bool = False) -> Column:
         return F.when(t.startswith('"'), inner).otherwise(F.regexp_replace(t, any_sep + "$", ""))
 
     if trim_left:
-        plain = F.transform(plain, F.ltrim)
+        plain = F.transform(plain, lambda p: F.ltrim(p))
     return F.when(F.instr(c, '"') == 0, plain).otherwise(F.transform(tokens, clean))

@@ -35,15 +35,16 @@ HEADER_WARNING = "SplitDataHeaderNotEqual"
 
 
 def read_grid(spark: SparkSession, path: str | Sequence[str], sep: str = ",", encoding: str = "GBK",
-              detect_bom: bool = True, multi_line: bool = True, width: int = 64) -> DataFrame:
+              detect_bom: bool = True, multi_line: bool = True, width: int | None = None) -> DataFrame:
     """Read files as grids.  A UTF-8 byte order mark overrides ``encoding``.
 
     ``multi_line=False`` lets big files without line breaks inside cells be split over
-    tasks.  Rows wider than ``width`` make the read start over with more columns, so no
-    cell is lost.
+    tasks.  The number of columns comes from a look at the separators of all lines; should
+    a record still be wider, the read starts over with more columns, so no cell is lost.
     """
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     paths = [path] if isinstance(path, str) else list(path)
+    width = width or _widest(spark, paths, sep)
     groups = [(encoding, paths)]
     if detect_bom:
         groups = _by_encoding(spark, paths, encoding)
@@ -55,7 +56,15 @@ def read_grid(spark: SparkSession, path: str | Sequence[str], sep: str = ",", en
         stored = cut(raw.withColumn("_mono", F.monotonically_increasing_id()), "grid")
         if stored.where("_over").isEmpty():
             return _number_rows(stored)
-        width *= 4
+        width *= 2
+
+
+def _widest(spark, paths, sep: str) -> int:
+    """Most separators on one line, plus one; parsing only that many columns is far
+    cheaper than parsing a generous fixed number."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(paths)
+    count = F.length("value") - F.length(F.replace("value", F.lit(sep), F.lit("")))
+    return (lines.agg(F.max(count)).first()[0] or 0) + 1
 
 
 def _by_encoding(spark, paths, encoding):
@@ -75,23 +84,25 @@ def _read_cells(spark, files, sep, encoding, multi_line, width):
     # One more column shows that a line holds more cells than were asked for.
     schema = ", ".join(f"{n} string" for n in [*names, "c_over"])
     df = (spark.read.schema(schema).option("sep", sep).option("header", "false").option("multiLine", str(multi_line).lower())
-          .option("encoding", encoding).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+          .option("maxColumns", max(20480, width + 1)).option("encoding", encoding).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
           .option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true")
           .option("nullValue", "\u0000").option("emptyValue", "").option("recursiveFileLookup", "true").csv(files))
-    cell = lambda n: F.trim(F.coalesce(F.col(n), F.lit("")))
-    first = F.regexp_replace(cell("c0"), "^\\ufeff", "")
-    all_cells = F.array(first, *[cell(n) for n in names[1:]])
-    # Trailing empty cells carry nothing: reading beyond the end gives an empty cell.
-    used = F.array_max(F.transform(all_cells, lambda c, i: F.when(c != "", i + 1).otherwise(0)))
+    # An empty cell and one beyond the end of the line both read as NULL, so the end is
+    # the last filled cell; reading beyond it gives an empty cell anyway.
+    row = F.array(*names)
+    used = F.array_max(F.transform(row, lambda c, i: F.when(c.isNotNull(), i + 1).otherwise(0)))
+    given = F.transform(F.slice(row, 1, used), lambda c: F.coalesce(c, F.lit("")))
+    clean = F.transform(given, lambda c, i: F.trim(F.when((i == 0) & c.startswith("\ufeff"), c.substr(F.lit(2), F.length(c))).otherwise(c)))
     return df.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-                     F.slice(all_cells, 1, used).alias("cells"), F.col("c_over").isNotNull().alias("_over"))
+                     clean.alias("cells"), F.col("c_over").isNotNull().alias("_over"))
 
 
 def _number_rows(stored: DataFrame) -> DataFrame:
     """Line number inside the file: rank inside its block plus the rows of earlier blocks."""
     blocks = stored.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_mono").alias("_first"))
     ahead = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
+    # Written, so that its measured size (a row per file block) decides on broadcasting.
+    blocks = cut(blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base")), "blocks")
     return stored.join(blocks, ["_file", "_block"]).select(
         "_file", (F.col("_mono") - F.col("_first") + F.col("_base")).alias("_row"), "cells")
 
@@ -115,6 +126,7 @@ def with_table_name(grid: DataFrame, root: str, by_folder: bool = False) -> Data
     names tables after their folder, for shards that are folders of part files; a
     partition folder ``name=value`` goes by its value.
     """
+    files = grid.select("_file").distinct()
     rel = F.element_at(F.split(F.url_decode(F.replace(F.col("_file"), F.lit("+"), F.lit("%2B"))),
                                _quote(root.rstrip("/") + "/"), 2), -1)
     parts = F.filter(F.split(rel, r"[/\\]"), lambda p: p != "")
@@ -124,9 +136,11 @@ def with_table_name(grid: DataFrame, root: str, by_folder: bool = False) -> Data
     full = F.array_join(names, ".")
     tail = F.regexp_extract(full, r"_\s*([+-]?\d+)[^_]*$", 1)
     head = F.regexp_extract(full, r"^(.*)_[^_]*$", 1)
-    return (grid.where(~F.exists(names, lambda n: n.isNull()))
-            .withColumn("_table", F.trim(F.when(tail != "", head).otherwise(full)))
-            .withColumn("_shard", F.coalesce(tail.try_cast("int"), F.lit(0))))
+    named = (files.where(~F.exists(names, lambda n: n.isNull()))
+             .select("_file", F.trim(F.when(tail != "", head).otherwise(full)).alias("_table"),
+                     F.coalesce(tail.try_cast("int"), F.lit(0)).alias("_shard")))
+    # Names are worked out once per file; rows pick them up from the small written list.
+    return grid.join(cut(named, "names"), "_file")
 
 
 def _quote(text: str) -> str:
@@ -165,6 +179,9 @@ def header_of(grid: DataFrame, layout: int = 2) -> DataFrame:
         return F.struct(i.alias("index"), clean.alias("name"), note.alias("comment"),
                         F.coalesce(F.get("types", i), F.lit("")).alias("type"))
 
+    # Trailing empty names do not belong to the header.
+    last = F.array_max(F.transform("names", lambda n, i: F.when(n != "", i + 1).otherwise(0)))
+    head = head.withColumn("names", F.slice("names", 1, last))
     columns = F.filter(F.transform(F.coalesce("names", F.array().cast("array<string>")), column), lambda c: c["name"] != "")
     return head.select("_file", *extra, columns.alias("columns"), "names")
 
@@ -180,7 +197,7 @@ def split_header(grid: DataFrame, layout: int = 2) -> Split:
 
     ``_first`` keeps the physical first cell for the comment rule.
     """
-    header = header_of(grid, layout)
+    header = cut(header_of(grid, layout), "header")
     kept = header.select("_file", F.col("columns.index").alias("_kept"))
     body = grid.where(F.col("_row") >= LAYOUTS[layout][0]).join(kept, "_file")
     cells = F.transform("_kept", lambda i: F.coalesce(F.get("cells", i), F.lit("")))
