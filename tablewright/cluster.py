@@ -63,7 +63,7 @@ def with_position(df: DataFrame, order_by: Sequence[str | Column], name: str = "
 
 
 def running_last(df: DataFrame, value: Column, group: Sequence[str], position: str,
-                 name: str, chunk: int = 1 << 18) -> DataFrame:
+                 name: str, chunk: int = 1 << 16) -> DataFrame:
     """Largest non-null ``value`` at or above each row of its group, in ``position`` order.
 
     ``value`` must not decrease with the position.  The scan runs per chunk of

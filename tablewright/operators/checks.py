@@ -83,34 +83,40 @@ def _repeat(df: DataFrame, times: Column) -> DataFrame:
     return few.unionByName(many).drop("_times", "_i")
 
 
-def _repeats(rows: DataFrame, key: Sequence[str]) -> DataFrame | None:
+def _repeats(rows: DataFrame, key: Sequence[str], carry: Sequence[str]) -> DataFrame | None:
     """Rows of ``rows`` that are not the first of their key, or None when there are none.
 
-    ``rows`` has the key, ``_order``, ``_id``, ``_value`` and ``_at``.  Three narrow steps:
-    count the keys, collect the rows of repeated keys only, drop one first row per key.
+    ``rows`` has the key, ``_order`` and the ``carry`` columns.  Three narrow steps: count
+    the keys, collect the rows of repeated keys only, drop one first row per key.
     """
     dups = repeated_keys(rows, key).drop("_n")
     if dups.isEmpty():
         return None
     # Rows equal in every column share a group, so nothing depends on their order.
-    groups = cut(_match(rows, dups, key).groupBy(*key, "_order", "_id", "_value")
-                 .agg(F.count("*").alias("_m"), F.max("_at").alias("_at")), "groups")
+    by = list(dict.fromkeys([*key, *carry, "_order"]))
+    groups = cut(_match(rows, dups, key).groupBy(*by).agg(F.count("*").alias("_m")), "groups")
     best = groups.groupBy(*key).agg(F.min("_order").alias("_best"))
     marked = _match(groups, best, key)
-    return _repeat(marked, F.col("_m") - (F.col("_order") == F.col("_best")).cast("int")).select("_id", "_value", "_at")
+    return _repeat(marked, F.col("_m") - (F.col("_order") == F.col("_best")).cast("int")).drop("_m", "_order", "_best")
 
 
 def check_unique(df: DataFrame, contract: TableContract, key: Sequence[str] | None = None) -> DataFrame:
     """One error for every repeat of a key after its first row."""
     key = tuple(key or contract.key)
-    rows = df.select(*key, order_value(df, key, contract.order).alias("_order"),
-                     pack_id(df.schema, contract.key).alias("_id"),
-                     pack_id(df.schema, key).alias("_value"), lineage_of(df).alias("_at"))
-    later = _repeats(rows, key)
+    if "_file" not in df.columns and set(contract.key) <= set(key):
+        # Nothing but the key tells the error rows apart: n rows of a key are n - 1 errors.
+        dups = repeated_keys(df, key)
+        later = _repeat(dups, F.col("_n") - 1)
+        at = None
+    else:
+        rows = df.select(*dict.fromkeys([*key, *contract.key]), order_value(df, key, contract.order).alias("_order"),
+                         lineage_of(df).alias("_at"))
+        later = _repeats(rows, key, [*contract.key, "_at"])
+        at = F.col("_at")
     if later is None:
         return no_errors(df)
-    return error_rows(later, C.KEY_DUPLICATED, contract.name, F.col("_id"),
-                      ",".join(key), F.col("_value"), F.col("_at"))
+    return error_rows(later, C.KEY_DUPLICATED, contract.name, pack_id(later.schema, contract.key),
+                      ",".join(key), pack_id(later.schema, key), at)
 
 
 def dedup_last(df: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
@@ -141,16 +147,17 @@ def on_survivors(parts: Sequence[tuple[DataFrame, TableContract, Callable[[DataF
     suspects = cut(union_all(check(df).select("table", "record_id") for df, _, check in parts).distinct(), "suspects")
     # At most one row per table.
     hit = {r[0] for r in suspects.select("table").distinct().collect()}
-    out, winners = [], {}
-    for df, contract, check in parts:
-        if contract.name not in hit:
-            continue
-        if contract.name not in winners:
-            ids = suspects.where(F.col("table") == contract.name).select(F.col("record_id").alias("_rid"))
-            rows = df.join(ids, pack_id(df.schema, contract.key) == F.col("_rid"), "left_semi")
-            winners[contract.name] = cut(last_rows(rows, contract.key, contract.order), "winners")
-        out.append(check(winners[contract.name]))
-    return union_all(out)
+    frames = {c.name: (df, c) for df, c, _ in parts if c.name in hit}
+
+    def survivors(name):
+        df, contract = frames[name]
+        ids = suspects.where(F.col("table") == name).select(F.col("record_id").alias("_rid"))
+        rows = df.join(ids, pack_id(df.schema, contract.key) == F.col("_rid"), "left_semi")
+        return cut(last_rows(rows, contract.key, contract.order), "winners")
+
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        winners = dict(zip(frames, pool.map(survivors, frames)))
+    return union_all(check(winners[c.name]) for _, c, check in parts if c.name in hit)
 
 
 def check_entry(df: DataFrame, contract: TableContract, name: str | None = None,
@@ -169,7 +176,7 @@ def check_entry(df: DataFrame, contract: TableContract, name: str | None = None,
         out.append(error_rows(empty, C.ENUM_EMPTY, contract.name, F.col("_id"), name, F.col("_name"), F.col("_at")))
     named = (rows.where(~F.contains("_name", F.lit(" ")) & (F.col("_name") != ""))
              .withColumn("_upper", F.upper("_name")).withColumn("_value", F.col("_name")))
-    later = _repeats(named, ["_upper"])
+    later = _repeats(named, ["_upper"], ["_id", "_value", "_at"])
     if later is not None:
         out.append(error_rows(later, C.ENTRY_DUPLICATED, contract.name, F.col("_id"), name,
                               F.col("_value"), F.col("_at")))
@@ -285,12 +292,13 @@ def _missing(rows: DataFrame, target: DataFrame, fk: ForeignKey, values: list[st
     return rows.join(refs, on, "left_anti")
 
 
-def _fk_base(df: DataFrame, contract: TableContract) -> list[Column]:
-    return [pack_id(df.schema, contract.key).alias("_id"), lineage_of(df).alias("_at")]
+def _row_columns(df: DataFrame, contract: TableContract) -> list[str]:
+    """Raw columns that name a row; they are turned to text for bad rows only."""
+    return [*contract.key, *[c for c in ("_file", "_sheet", "_row") if c in df.columns]]
 
 
 def _finish(contract: TableContract, fk: ForeignKey, bad: DataFrame, kind: str, value, field_name) -> DataFrame:
-    return error_rows(bad, kind, contract.name, F.col("_id"), field_name, value, F.col("_at"),
+    return error_rows(bad, kind, contract.name, pack_id(bad.schema, contract.key), field_name, value, lineage_of(bad),
                       F.lit(f"{kind} {fk.name} -> {fk.ref_table}"))
 
 
@@ -311,13 +319,12 @@ def check_fk(df: DataFrame, contract: TableContract, fk: ForeignKey, target: Dat
     dtypes = [df.schema[k].dataType for k in fk.keys]
     columns = [F.col(k) for k in fk.keys]
     must, empty = key_rule(contract, fk, columns, dtypes)
-    text = pack_id(df.schema, fk.keys)
     keys = [key_value(c, t).alias(f"_v{i}") for i, (c, t) in enumerate(zip(columns, dtypes))]
-    rows = df.where(must).select(*_fk_base(df, contract), text.alias("_value"), *keys)
+    rows = df.where(must).select(*dict.fromkeys([*_row_columns(df, contract), *fk.keys]), *keys)
     bad = _missing(rows, target, fk, [f"_v{i}" for i in range(len(keys))])
-    out = _finish(contract, fk, bad, C.REF_NOT_FOUND, F.col("_value"), ",".join(fk.keys))
+    out = _finish(contract, fk, bad, C.REF_NOT_FOUND, pack_id(df.schema, fk.keys), ",".join(fk.keys))
     if not fk.nullable and not _packed_cell(contract, fk):
-        hollow = df.where(empty).select(*_fk_base(df, contract))
+        hollow = df.where(empty).select(*_row_columns(df, contract))
         out = out.unionByName(_finish(contract, fk, hollow, C.REF_EMPTY, None, ",".join(fk.keys)))
     return out
 
@@ -326,7 +333,7 @@ def check_fk_list(df: DataFrame, contract: TableContract, fk: ForeignKey, target
     """One error per list element without a target."""
     name = fk.keys[0]
     item = df.schema[name].dataType.elementType
-    rows = df.select(*_fk_base(df, contract), F.explode(name).alias("_v0"))
+    rows = df.select(*_row_columns(df, contract), F.explode(name).alias("_v0"))
     bad = _missing(rows.withColumn("_v0", key_value(F.col("_v0"), item)), target, fk, ["_v0"])
     return _finish(contract, fk, bad, C.REF_NOT_FOUND, pack_value("_v0", item), name)
 
@@ -340,14 +347,14 @@ def check_fk_map(df: DataFrame, contract: TableContract, fk: ForeignKey, target:
     else:
         values = F.map_values(entries_to_map(F.col(name)))
         item = dtype.elementType["value"].dataType
-    rows = df.select(*_fk_base(df, contract), F.explode(values).alias("_v0"))
+    rows = df.select(*_row_columns(df, contract), F.explode(values).alias("_v0"))
     bad = _missing(rows.withColumn("_v0", key_value(F.col("_v0"), item)), target, fk, ["_v0"])
     return _finish(contract, fk, bad, C.REF_NOT_FOUND, pack_value("_v0", item), name)
 
 
 # -------------------------------------------------- foreign keys inside structs
 
-def nested_structs(df: DataFrame, contract: TableContract, keep: list[Column]):
+def nested_structs(df: DataFrame, contract: TableContract, keep: Sequence[str | Column]):
     """Yield ``(path parts, struct contract, frame)`` for every struct below the row.
 
     The frame has the ``keep`` columns, ``_node`` (the struct) and ``_path`` (its field
@@ -380,17 +387,17 @@ def nested_structs(df: DataFrame, contract: TableContract, keep: list[Column]):
                 if not isinstance(f.type, str):
                     yield from walk(here, F.col("_node")[f.name], f.type, F.concat_ws(".", "_path", F.lit(f.name)))
 
-    base = df.select(*keep, *[F.col(f.name).alias(f"f_{f.name}") for f in contract.fields if not isinstance(f.type, str)])
-    names = [c for c in base.columns if not c.startswith("f_")]
+    base = df.select(*keep, *[F.col(f.name).alias(f"_fld_{f.name}") for f in contract.fields if not isinstance(f.type, str)])
+    names = [c for c in base.columns if not c.startswith("_fld_")]
     for f in contract.fields:
         if not isinstance(f.type, str):
-            yield from walk(base, F.col(f"f_{f.name}"), f.type, F.lit(f.name))
+            yield from walk(base, F.col(f"_fld_{f.name}"), f.type, F.lit(f.name))
 
 
 def check_fk_nested(df: DataFrame, contract: TableContract, targets: dict[str, DataFrame]) -> DataFrame:
     """References declared by structs anywhere inside the record, reported on its owner."""
     out = []
-    for struct, frame in nested_structs(df, contract, _fk_base(df, contract)):
+    for struct, frame in nested_structs(df, contract, _row_columns(df, contract)):
         for fk in struct.fks:
             if fk.to_many or fk.ref_table not in targets:
                 continue
