@@ -43,12 +43,12 @@ def upsert(df: DataFrame, changes: DataFrame, contract: TableContract, order: st
 
 def delete(df: DataFrame, ids: DataFrame, contract: TableContract) -> tuple[DataFrame, DataFrame]:
     """(new table, results ``(id, code)``) for packed ids ``ids(id)``."""
-    gone = ids.select("id").distinct()
+    gone = ids.select(F.col("id").alias("_gone")).distinct()
     rid = pack_id(df.schema, contract.key)
-    kept = df.join(gone, rid == gone["id"], "left_anti")
-    have = df.select(rid.alias("_have")).distinct()
-    marked = gone.join(have, gone["id"] == have["_have"], "left")
-    return kept, marked.select("id", F.when(F.col("_have").isNotNull(), DELETED).otherwise(NOT_FOUND).alias("code"))
+    kept = df.join(gone, rid == F.col("_gone"), "left_anti")
+    have = df.select(rid.alias("_have")).join(gone, F.col("_have") == F.col("_gone"), "left_semi").distinct()
+    marked = gone.join(have, gone["_gone"] == have["_have"], "left")
+    return kept, marked.select(F.col("_gone").alias("id"), F.when(F.col("_have").isNotNull(), DELETED).otherwise(NOT_FOUND).alias("code"))
 
 
 def reload_table(dataset: Dataset, table: str, frame: DataFrame) -> tuple[Dataset, DataFrame]:

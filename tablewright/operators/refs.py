@@ -184,11 +184,10 @@ def refs_in(dataset: Dataset, table: str, ids: DataFrame) -> DataFrame:
 def has_reference(dataset: Dataset, table: str) -> DataFrame:
     """``(id, referenced)`` for every record of the table."""
     df, contract = dataset.frames[table], dataset.contracts[table]
-    ids = df.select(pack_id(df.schema, contract.key).alias("id"), *contract.key)
-    flags = ids.withColumn("referenced", F.lit(True))
-    loose = _anti_referenced(dataset, table, ids)
-    return flags.select("id").join(loose.select(F.col("id").alias("_loose")), F.col("id") == F.col("_loose"), "left").select(
-        "id", F.col("_loose").isNull().alias("referenced"))
+    ids = df.select(*_incoming_keys(dataset, table), pack_id(df.schema, contract.key).alias("_id"))
+    loose = _anti_referenced(dataset, table, ids).select(F.col("_id").alias("_loose"))
+    return ids.select("_id").join(loose, F.col("_id") == F.col("_loose"), "left").select(
+        F.col("_id").alias("id"), F.col("_loose").isNull().alias("referenced"))
 
 
 def _anti_referenced(dataset: Dataset, table: str, rows: DataFrame) -> DataFrame:
@@ -229,11 +228,21 @@ def unreferenced(dataset: Dataset, tables: Sequence[str] | None = None) -> DataF
         if contract.is_root or contract.is_enum:
             continue
         rows = df.where(F.coalesce(F.col(contract.entry), F.lit("")) == "") if contract.entry else df
-        incoming = [fk.ref_keys for _, fk in dataset.fks() if fk.ref_table == name]
-        keep = list(dict.fromkeys([*contract.key, *[k for ks in incoming for k in ks]]))
-        rows = rows.select(*keep, pack_id(df.schema, contract.key).alias("id"))
-        out.append(_anti_referenced(dataset, name, rows).select(F.lit(name).alias("table"), "id"))
-    return union_all(out)
+        keep = _incoming_keys(dataset, name)
+        rows = rows.select(*keep, pack_id(df.schema, contract.key).alias("_id"))
+        out.append(_anti_referenced(dataset, name, rows).select(F.lit(name).alias("table"), F.col("_id").alias("id")))
+    return union_all(out) if out else _no_ids(dataset)
+
+
+def _no_ids(dataset: Dataset) -> DataFrame:
+    spark = next(iter(dataset.frames.values())).sparkSession
+    return spark.createDataFrame([], "`table` string, id string")
+
+
+def _incoming_keys(dataset: Dataset, table: str) -> list[str]:
+    """Key columns of a table and the columns that references to it use."""
+    fks = [fk for _, fk in dataset.fks()] + [fk for n in dataset.names() for fk in _nested_fks(dataset, n)]
+    return list(dict.fromkeys([*dataset.contracts[table].key, *[k for fk in fks if fk.ref_table == table for k in fk.ref_keys]]))
 
 
 def entry_records(dataset: Dataset) -> DataFrame:

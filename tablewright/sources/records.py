@@ -26,7 +26,7 @@ def documents_of(files: DataFrame) -> DataFrame:
 def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per JSON file below ``path``.  The folders are named by a pattern because
     Spark skips names with a leading underscore when it lists on its own."""
-    return documents_of(spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(f"{path}/_*"))
+    return documents_of(spark.read.option("recursiveFileLookup", "true").text(f"{path}/_*", wholetext=True))
 
 
 def read_json_records(spark: SparkSession, path: str, contract: TableContract) -> tuple[DataFrame, DataFrame]:

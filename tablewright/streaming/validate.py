@@ -26,10 +26,10 @@ VERSION = ("_modified", "_file")
 
 def read_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Record files under ``path`` (folders ``_a_b`` name the table ``a.b``) as a stream."""
-    reader = spark.readStream.option("recursiveFileLookup", "true").option("wholetext", "true")
+    reader = spark.readStream.option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return documents_of(reader.text(f"{path}/_*"))
+    return documents_of(reader.text(f"{path}/_*", wholetext=True))
 
 
 def _version_schema(contract: TableContract) -> T.StructType:
