@@ -157,22 +157,23 @@ def j11_reachable(spark, sf):
     return refs.reachable_from_entries(C.Dataset(plain, d.frames))
 
 
-@query("j12_neighbourhood", """
-WITH c AS (SELECT * FROM customer WHERE c_nationkey = 7), s AS (SELECT * FROM supplier WHERE s_nationkey = 7)
+_AROUND = """
+WITH c AS (SELECT * FROM customer WHERE c_nationkey = 7), s AS (SELECT * FROM supplier WHERE s_nationkey = 7), around AS (
 SELECT 'nation' AS "table", '7' AS id, 'NATION_7' AS title, 0 AS depth
 UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), c_name, -1 FROM c
 UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), s_name, -1 FROM s
 UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR), o_orderpriority, -2 FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)
-UNION ALL SELECT 'region', CAST(r_regionkey AS VARCHAR), r_name || ': ' || r_name, 1 FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey = 7)""")
+UNION ALL SELECT 'region', CAST(r_regionkey AS VARCHAR), r_name || ': ' || r_name, 1 FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey = 7))
+"""
+
+
+@query("j12_neighbourhood", _AROUND + "SELECT * FROM around")
 def j12_neighbourhood(spark, sf):
     d = star.dataset(spark, sf, ("region", "nation", "customer", "supplier", "orders"))
     return refs.neighbourhood(d, "nation", "7", 2, 1, 10_000_000)
 
 
-@query("j12_limited", """
-SELECT "table", id, depth FROM (SELECT 'nation' AS "table", '7' AS id, 0 AS depth
-UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), -1 FROM customer WHERE c_nationkey = 7
-UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), -1 FROM supplier WHERE s_nationkey = 7) ORDER BY depth DESC, "table", id LIMIT 21""")
+@query("j12_limited", _AROUND + 'SELECT "table", id, depth FROM around ORDER BY depth > 0, abs(depth), "table", id LIMIT 21')
 def j12_limited(spark, sf):
     d = star.dataset(spark, sf, ("region", "nation", "customer", "supplier", "orders"))
     return refs.neighbourhood(d, "nation", "7", 2, 1, 20).select("table", "id", "depth")
