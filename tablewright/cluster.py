@@ -29,14 +29,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/tablewright/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+def cut(df: DataFrame, label: str = "cut", by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     Lost executors cannot take it away, loops keep a flat lineage, and the planner sees
-    its exact size, so whether it is broadcast is decided by measured bytes.
+    its exact size, so whether it is broadcast is decided by measured bytes.  ``by`` lays
+    the files out by a column with few values, for reads that want some of them.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

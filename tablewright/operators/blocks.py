@@ -78,8 +78,10 @@ def to_grid(head: DataFrame, key: Sequence[str], head_cells: Sequence[Column], i
     blank_item = F.array(*[F.lit("") for _ in item_cells])
     body = tagged.select(*key, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(item_order)], "_lead",
                          F.array(*[text(c) for c in item_cells]).alias("_item"))
-    joined = lead.join(body, list(key), "left")
-    # Parents without items keep a row of their own.
+    # Inner join and the parents without items apart: an outer join could not split the
+    # items of one big parent.
+    alone = lead.join(first.select(*key), list(key), "left_anti")
+    joined = lead.join(body, list(key)).unionByName(alone, allowMissingColumns=True)
     cells = F.concat(F.when(F.coalesce("_lead", F.lit(True)), F.col("_head")).otherwise(blank_head),
                      F.coalesce("_item", blank_item))
     sort = [*key, *[f"_o{i}" for i in range(len(item_order))]]

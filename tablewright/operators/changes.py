@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import cut
 from ..contract import Dataset, TableContract, union_all
 from ..functions.scalars import pack_id
 from .checks import _match, check_unique, dedup_last, last_rows, no_errors, reference_errors
@@ -25,6 +26,8 @@ def upsert(df: DataFrame, changes: DataFrame, contract: TableContract, order: st
     Unchanged rows stream past a hash of the changed keys; nothing else moves.
     """
     typed, errors = json_to_typed(changes, "text", contract, keep=[order])
+    # Parsed once; the table below is joined with lists of known size.
+    typed, errors = cut(typed, "changes"), cut(errors, "errors")
     hard = errors.where(F.col("level") == "error")
     rid = pack_id(typed.schema, contract.key)
     numbered = typed.withColumn("_id", rid)
@@ -32,11 +35,12 @@ def upsert(df: DataFrame, changes: DataFrame, contract: TableContract, order: st
     good = numbered.join(bad_ids, "_id", "left_anti").drop("_id")
     rejected = numbered.join(bad_ids, "_id", "left_semi").select(F.col("_id").alias("id"), F.lit(REJECTED).alias("code")).distinct()
     latest = last_rows(good, contract.key, (order,)).drop(order)
-    latest = latest.select(*[F.col(f.name).cast(f.dataType) for f in df.schema.fields])
+    latest = cut(latest.select(*[F.col(f.name).cast(f.dataType) for f in df.schema.fields]), "latest")
     kept = _match(df, latest.select(*contract.key), contract.key, "left_anti")
-    known = df.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(contract.key)]).distinct()
+    known = _match(df.select(*contract.key), latest.select(*contract.key), contract.key, "left_semi").distinct()
+    known = known.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(contract.key)], F.lit(True).alias("_known"))
     on = [latest[k].eqNullSafe(known[f"_h{i}"]) for i, k in enumerate(contract.key)]
-    code = F.when(F.col("_h0").isNotNull(), UPDATED).otherwise(ADDED)
+    code = F.when(F.col("_known"), UPDATED).otherwise(ADDED)
     done = latest.join(known, on, "left").select(pack_id(latest.schema, contract.key).alias("id"), code.alias("code"))
     return kept.unionByName(latest), done.unionByName(rejected), errors
 

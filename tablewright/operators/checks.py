@@ -211,7 +211,10 @@ def entries_to_map(c: Column) -> Column:
     def last(e, i):
         rest = F.slice(c, i + 2, F.size(c))
         return ~F.exists(rest, lambda o: o["key"] == e["key"])
-    return F.map_from_entries(F.filter(c, last))
+    keys = F.transform(c, lambda e: e["key"])
+    # Entries are compared with each other only where some key does repeat.
+    clean = F.size(F.array_distinct(keys)) == F.size(keys)
+    return F.when(clean, F.map_from_entries(c)).otherwise(F.map_from_entries(F.filter(c, last)))
 
 
 def check_must_fill(df: DataFrame, contract: TableContract) -> DataFrame:

@@ -75,8 +75,12 @@ def resolve_ref_list(df: DataFrame, fk: ForeignKey, target: DataFrame, name: str
                          F.struct(*target.columns).alias(name))
     keys = [f"_r{i}" for i in range(len(fk.ref_keys))]
     if nested is None:
+        # An inner join may split a hot key on either side, an outer one may not.
         on = [df[k] == refs[r] for k, r in zip(fk.keys, keys)]
-        return df.join(refs, on, "left").drop(*keys)
+        hits = df.join(refs, on).drop(*keys)
+        have = refs.select(*[F.col(r).alias(f"{r}d") for r in keys]).distinct()
+        alone = df.join(have, [df[k] == have[f"{r}d"] for k, r in zip(fk.keys, keys)], "left_anti")
+        return hits.unionByName(alone.withColumn(name, F.lit(None).cast(hits.schema[name].dataType)))
     ordered = F.struct(*[F.col(name)[c].alias(f"o{i}") for i, c in enumerate(nested)], F.col(name).alias("x"))
     refs = refs.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(ordered)), lambda e: e["x"]).alias(name))
     on = [df[k] == refs[r] for k, r in zip(fk.keys, keys)]
@@ -287,7 +291,10 @@ def _walk(edges: DataFrame, frontier: DataFrame, backwards: bool, limit: int | N
     seen, depth = frontier, 0
     while limit is None or depth < limit:
         depth += 1
-        frontier = cut(_next_layer(edges, frontier, seen, backwards), f"{label}{depth}")
+        # At most one row per table; edges of other tables are not even read.
+        tables = [r[0] for r in frontier.select("table").distinct().collect()]
+        near = edges.where(F.col("to_table" if backwards else "from_table").isin(tables))
+        frontier = cut(_next_layer(near, frontier, seen, backwards), f"{label}{depth}")
         if frontier.isEmpty():
             return
         yield depth, frontier
@@ -297,7 +304,7 @@ def _walk(edges: DataFrame, frontier: DataFrame, backwards: bool, limit: int | N
 
 def reachable_from_entries(dataset: Dataset) -> DataFrame:
     """``(table, id, depth)`` of everything reachable over outgoing edges from entry points."""
-    edges = cut(ref_edges(dataset).select("from_table", "from_id", "to_table", "to_id").distinct(), "edges")
+    edges = cut(ref_edges(dataset).select("from_table", "from_id", "to_table", "to_id").distinct(), "edges", by="from_table")
     start = cut(entry_records(dataset).select("table", "id").distinct(), "entries")
     layers = [start.withColumn("depth", F.lit(0))]
     layers += [layer.withColumn("depth", F.lit(d)) for d, layer in _walk(edges, start, False, None, "reach")]

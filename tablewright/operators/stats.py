@@ -129,7 +129,8 @@ def string_dictionary(df: DataFrame, columns: Sequence[str], order_by: Sequence[
     places = df.select(*order_by, cells.alias("x")).where(F.col("x.value").isNotNull())
     first = places.groupBy(F.col("x.value").alias("value")).agg(
         F.min(F.struct(*order_by, F.col("x.c").alias("_c"))).alias("_first"))
-    words = with_position(first, ["_first", "value"], "index").select("value", "index")
+    # Written, so that its size decides whether rows look it up in memory.
+    words = cut(with_position(first, ["_first", "value"], "index").select("value", "index"), "words")
     out = df
     for c in columns:
         mine = words.select(F.col("value").alias("_v"), F.col("index").alias(f"{c}_idx"))

@@ -106,10 +106,10 @@ def translate_by_value(df: DataFrame, contract: TableContract, dictionary: DataF
     best = last_translations(mine, ["_o"], order)
     for name in contract.texts():
         words = best.select(F.col("_o").alias("_key"), F.col("translated").alias("_t"))
-        out = out.withColumn("_n", normalise_newlines(name))
-        out = out.join(words, F.col("_n") == F.col("_key"), "left")
+        # The normalised text is a join expression, not one more column to move.
+        out = out.join(words, normalise_newlines(name) == F.col("_key"), "left")
         out = out.withColumn(f"{name}_original", F.col(name)).withColumn(
-            name, F.coalesce(F.nullif("_t", F.lit("")), F.col(name))).drop("_n", "_key", "_t")
+            name, F.coalesce(F.nullif("_t", F.lit("")), F.col(name))).drop("_key", "_t")
     return out
 
 
@@ -140,7 +140,8 @@ def translations_matrix(dataset: Dataset, dictionaries: dict[str, DataFrame]) ->
                        for lang, d in dictionaries.items())
     wide = tagged.groupBy("table", "_o").agg(*[
         F.max(F.when(F.col("_lang") == lang, F.col("translated"))).alias(lang) for lang in dictionaries])
-    joined = found.withColumn("_o", normalise_newlines("original")).join(wide, ["table", "_o"], "left")
+    wide = wide.withColumnRenamed("table", "_table")
+    joined = found.join(wide, (F.col("table") == F.col("_table")) & (normalise_newlines("original") == F.col("_o")), "left")
     return joined.select("table", "pk", "field_chain", "original", *[
         F.when(F.col("original") == "", "").otherwise(F.coalesce(F.nullif(lang, F.lit("")), F.col("original"))).alias(lang)
         for lang in dictionaries])

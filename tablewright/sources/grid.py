@@ -68,6 +68,9 @@ def _widest(spark, paths, sep: str) -> int:
 
 
 def _by_encoding(spark, paths, encoding):
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("length")
+    if not sizes.where(F.col("length") >= (1 << 31) - 1).isEmpty():
+        raise ValueError("a file is too big to look for a byte order mark: pass its encoding and detect_bom=False")
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
              .select("path", (F.hex(F.substring("content", 1, 3)) == "EFBBBF").alias("bom")))
     # One row per file; contents stay on the executors.
