@@ -231,13 +231,14 @@ ERROR_COLUMNS = ("err_type", "level", "table", "record_id", "field", "value", "l
 ERROR_SCHEMA = ", ".join(f"`{c}` string" for c in ERROR_COLUMNS)
 
 
-def error_rows(df: DataFrame, kind: str, table: str, record_id, field_name, value,
+def error_rows(df: DataFrame, kind, table: str, record_id, field_name, value,
                lineage=None, msg=None, level: str = "error") -> DataFrame:
     """Project any frame to the shared shape of error rows."""
     as_col = lambda v: F.lit(None) if v is None else (F.lit(v) if isinstance(v, str) else v)
+    kind = as_col(kind)
     text = msg if msg is not None else F.concat_ws(
-        " ", F.lit(kind), F.lit(table), as_col(field_name).cast("string"))
-    parts = (F.lit(kind), F.lit(level), F.lit(table), as_col(record_id), as_col(field_name),
+        " ", kind, F.lit(table), as_col(field_name).cast("string"))
+    parts = (kind, F.lit(level), F.lit(table), as_col(record_id), as_col(field_name),
              as_col(value), as_col(lineage), as_col(text))
     return df.select(*[c.cast("string").alias(n) for c, n in zip(parts, ERROR_COLUMNS)])
 

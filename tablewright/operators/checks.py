@@ -131,6 +131,12 @@ def dedup_last(df: DataFrame, key: Sequence[str], order: Sequence[str] = ()) ->
 
 def last_rows(df: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Last row per key by partial aggregation, for inputs already cut down to few keys."""
+    rest = [c for c in df.columns if c not in key]
+    plain = not any(isinstance(df.schema[c].dataType, (T.MapType, T.VariantType)) for c in rest)
+    if rest and plain and not order:
+        # Ordered by all its other columns, the greatest struct is the row itself.
+        best = df.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_row"))
+        return best.select(*key, "_row.*").select(*df.columns)
     winner = df.groupBy(*key).agg(F.max_by(
         F.struct(*[F.col(c) for c in df.columns]), order_value(df, key, order)).alias("_row"))
     return winner.select("_row.*").select(*df.columns)
@@ -300,9 +306,13 @@ def _row_columns(df: DataFrame, contract: TableContract) -> list[str]:
     return [*contract.key, *[c for c in ("_file", "_sheet", "_row") if c in df.columns]]
 
 
-def _finish(contract: TableContract, fk: ForeignKey, bad: DataFrame, kind: str, value, field_name) -> DataFrame:
+def _finish(contract: TableContract, fk: ForeignKey, bad: DataFrame, value, field_name, empty=None) -> DataFrame:
+    kind = F.lit(C.REF_NOT_FOUND)
+    if empty is not None:
+        kind = F.when(empty, C.REF_EMPTY).otherwise(kind)
+        value = F.when(~empty, value)
     return error_rows(bad, kind, contract.name, pack_id(bad.schema, contract.key), field_name, value, lineage_of(bad),
-                      F.lit(f"{kind} {fk.name} -> {fk.ref_table}"))
+                      F.concat(kind, F.lit(f" {fk.name} -> {fk.ref_table}")))
 
 
 def check_fk(df: DataFrame, contract: TableContract, fk: ForeignKey, target: DataFrame) -> DataFrame:
@@ -322,14 +332,11 @@ def check_fk(df: DataFrame, contract: TableContract, fk: ForeignKey, target: Dat
     dtypes = [df.schema[k].dataType for k in fk.keys]
     columns = [F.col(k) for k in fk.keys]
     must, empty = key_rule(contract, fk, columns, dtypes)
-    keys = [key_value(c, t).alias(f"_v{i}") for i, (c, t) in enumerate(zip(columns, dtypes))]
-    rows = df.where(must).select(*dict.fromkeys([*_row_columns(df, contract), *fk.keys]), *keys)
+    # An empty key stays NULL, matches nothing and comes out of the same anti join.
+    keys = [F.when(~empty, key_value(c, t)).alias(f"_v{i}") for i, (c, t) in enumerate(zip(columns, dtypes))]
+    rows = df.where(must | empty).select(*dict.fromkeys([*_row_columns(df, contract), *fk.keys]), *keys)
     bad = _missing(rows, target, fk, [f"_v{i}" for i in range(len(keys))])
-    out = _finish(contract, fk, bad, C.REF_NOT_FOUND, pack_id(df.schema, fk.keys), ",".join(fk.keys))
-    if not fk.nullable and not _packed_cell(contract, fk):
-        hollow = df.where(empty).select(*_row_columns(df, contract))
-        out = out.unionByName(_finish(contract, fk, hollow, C.REF_EMPTY, None, ",".join(fk.keys)))
-    return out
+    return _finish(contract, fk, bad, pack_id(df.schema, fk.keys), ",".join(fk.keys), F.col("_v0").isNull())
 
 
 def check_fk_list(df: DataFrame, contract: TableContract, fk: ForeignKey, target: DataFrame) -> DataFrame:
@@ -338,7 +345,7 @@ def check_fk_list(df: DataFrame, contract: TableContract, fk: ForeignKey, target
     item = df.schema[name].dataType.elementType
     rows = df.select(*_row_columns(df, contract), F.explode(name).alias("_v0"))
     bad = _missing(rows.withColumn("_v0", key_value(F.col("_v0"), item)), target, fk, ["_v0"])
-    return _finish(contract, fk, bad, C.REF_NOT_FOUND, pack_value("_v0", item), name)
+    return _finish(contract, fk, bad, pack_value("_v0", item), name)
 
 
 def check_fk_map(df: DataFrame, contract: TableContract, fk: ForeignKey, target: DataFrame) -> DataFrame:
@@ -352,7 +359,7 @@ def check_fk_map(df: DataFrame, contract: TableContract, fk: ForeignKey, target:
         item = dtype.elementType["value"].dataType
     rows = df.select(*_row_columns(df, contract), F.explode(values).alias("_v0"))
     bad = _missing(rows.withColumn("_v0", key_value(F.col("_v0"), item)), target, fk, ["_v0"])
-    return _finish(contract, fk, bad, C.REF_NOT_FOUND, pack_value("_v0", item), name)
+    return _finish(contract, fk, bad, pack_value("_v0", item), name)
 
 
 # -------------------------------------------------- foreign keys inside structs
@@ -410,33 +417,25 @@ def check_fk_nested(df: DataFrame, contract: TableContract, targets: dict[str, D
             field_name = F.concat_ws(".", "_path", F.lit(",".join(fk.keys)))
             if isinstance(kind, C.ListOf):
                 item = dtypes[0].elementType
-                rows = frame.withColumn("_v0", F.explode(columns[0]))
-                rows = rows.withColumn("_v0", key_value(F.col("_v0"), item)).withColumn("_value", pack_value("_v0", item))
-                empty_rows = None
+                rows = frame.withColumn("_v0", F.explode(columns[0])).withColumn("_v0", key_value(F.col("_v0"), item))
+                values, kinds = ["_v0"], [item]
             elif isinstance(kind, C.MapOf):
                 item = dtypes[0].elementType["value"].dataType
                 rows = frame.withColumn("_v0", F.explode(F.map_values(entries_to_map(columns[0]))))
-                rows = rows.withColumn("_v0", key_value(F.col("_v0"), item)).withColumn("_value", pack_value("_v0", item))
-                empty_rows = None
+                rows = rows.withColumn("_v0", key_value(F.col("_v0"), item))
+                values, kinds = ["_v0"], [item]
             else:
-                packed = contract.source == "json" or _packed_cell(struct, fk) or struct.layout in ("pack", "sep")
-                if packed:
+                if contract.source == "json" or struct.layout in ("pack", "sep"):
                     must, empty = F.lit(not fk.nullable), F.lit(False)
                 else:
                     must, empty = key_rule(struct, fk, columns, dtypes)
-                rows = frame.where(must)
+                rows = frame.where(must | empty)
                 for i, (c, t) in enumerate(zip(columns, dtypes)):
-                    rows = rows.withColumn(f"_v{i}", key_value(c, t))
-                rows = rows.withColumn("_value", F.concat_ws(";", *[
-                    pack_value(f"_v{i}", t) for i, t in enumerate(dtypes)]))
-                empty_rows = None if packed or fk.nullable else frame.where(empty)
-            # A frame read twice under one name needs its own column identities.
-            bad = _missing(rows.withColumn("_field", field_name), targets[fk.ref_table], fk,
-                           [f"_v{i}" for i in range(len(fk.keys))])
-            out.append(_finish(contract, fk, bad, C.REF_NOT_FOUND, F.col("_value"), F.col("_field")))
-            if empty_rows is not None:
-                out.append(_finish(contract, fk, empty_rows.withColumn("_field", field_name),
-                                   C.REF_EMPTY, None, F.col("_field")))
+                    rows = rows.withColumn(f"_v{i}", F.when(~empty, key_value(c, t)))
+                values, kinds = [f"_v{i}" for i in range(len(columns))], dtypes
+            bad = _missing(rows.withColumn("_field", field_name), targets[fk.ref_table], fk, values)
+            text = F.concat_ws(";", *[pack_value(v, t) for v, t in zip(values, kinds)])
+            out.append(_finish(contract, fk, bad, text, F.col("_field"), F.col("_v0").isNull()))
     return union_all(out) if out else no_errors(df)
 
 

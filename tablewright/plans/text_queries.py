@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import contract as C
-from ..operators import search, texts
+from ..operators import search, stats, texts
 from . import star
 from .check_queries import NESTED, nested_orders
 from .registry import num, query
@@ -147,6 +147,20 @@ def t8_translations_matrix(spark, sf):
     return texts.translations_matrix(d, words).select("pk", "original", "de", "fr")
 
 
+@query("c12_text_dictionaries", """
+WITH w AS (SELECT replace(text, chr(13) || chr(10), chr(10)) AS o, max(CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'D:' || lower(text) END) AS de
+  FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1),
+cells AS (SELECT CAST(doc_id AS VARCHAR) AS pk, text AS original, coalesce(nullif(de, ''), text) AS de
+  FROM documents LEFT JOIN w ON replace(text, chr(13) || chr(10), chr(10)) = o),
+both_langs AS (SELECT 'original' AS lang, original AS value, min(pk) AS p FROM cells GROUP BY original
+  UNION ALL SELECT 'de', de, min(pk) FROM cells GROUP BY de)
+SELECT lang, value, row_number() OVER (PARTITION BY lang ORDER BY p, value) - 1 AS index FROM both_langs""")
+def c12_text_dictionaries(spark, sf):
+    matrix = texts.translations_matrix(star.dataset(spark, sf, ("documents",)), {"de": value_dictionary(spark, sf, "D:")})
+    words = stats.text_dictionaries(matrix, ["original", "de"], ["pk"])
+    return C.union_all(d.withColumn("lang", F.lit(lang)) for lang, d in words.items())
+
+
 @query("t9_check_terms", """
 SELECT CAST(doc_id AS VARCHAR) AS pk, b.text AS term FROM documents d JOIN benchmark b ON contains(d.text, b.text)
 WHERE NOT contains(CASE WHEN doc_id % 2 = 0 THEN upper(d.text) ELSE '' END, upper(b.text))""")

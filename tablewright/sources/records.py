@@ -26,16 +26,26 @@ def documents_of(files: DataFrame) -> DataFrame:
 def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per JSON file below ``path``.  The folders are named by a pattern because
     Spark skips names with a leading underscore when it lists on its own."""
-    return documents_of(spark.read.option("recursiveFileLookup", "true").text(f"{path}/_*", wholetext=True))
+    return documents_of(spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option(
+        "ignoreMissingFiles", "true").text(f"{path}/_*", wholetext=True))
 
 
 def read_json_records(spark: SparkSession, path: str, contract: TableContract) -> tuple[DataFrame, DataFrame]:
     """(typed records with ``_file`` and ``_modified``, errors).
 
-    A file that is not JSON gives one error and the table's default record.
+    A file that is not JSON gives one error and the table's default record; a file that
+    is listed but cannot be read gives an error only.
     """
     docs = read_json_documents(spark, path).where(F.col("_table") == contract.name)
-    return json_to_typed(docs, "text", contract, keep=["_file", "_modified"])
+    typed, errors = json_to_typed(docs, "text", contract, keep=["_file", "_modified"])
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
+        f"{path}/_{contract.name.replace('.', '_')}").select(_plain_path("path").alias("_path"))
+    lost = listed.join(docs.select(_plain_path("_file").alias("_read")), F.col("_path") == F.col("_read"), "left_anti")
+    return typed, errors.unionByName(error_rows(lost, C.JSON_FILE_READ, contract.name, None, None, None, F.col("_path")))
+
+
+def _plain_path(name: str):
+    return F.regexp_replace(name, "^file:/+", "file:/")
 
 
 def file_manifest(spark: SparkSession, root: str, tsv_dirs: tuple[str, ...] = ()) -> DataFrame:
