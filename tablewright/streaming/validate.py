@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..cluster import cut
 from ..contract import ERROR_SCHEMA, Dataset, TableContract, union_all
 from ..functions.scalars import pack_id
 from ..operators.checks import check_fk, check_unique, last_rows
@@ -85,6 +86,7 @@ def process_batch(batch: DataFrame, batch_id: int, out: str, dataset: Dataset, t
     found, stored = [], {}
     for name, contract in tables.items():
         typed, errors = json_to_typed(batch.where(F.col("_table") == name), "text", contract, keep=["_file", "_modified"])
+        errors = cut(errors, "errors")
         broken = errors.where(F.col("level") == "error").select(F.col("lineage").alias("_file")).distinct()
         path = f"{out}/{name}/_batch={batch_id}"
         typed.join(broken, "_file", "left_anti").write.mode("overwrite").parquet(path)
