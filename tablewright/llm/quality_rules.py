@@ -28,12 +28,13 @@ class Rules:
 
     line_symbols: float = 0.5      # symbols per word above which a line fails
     line_shouts: float = 0.5       # exclamation and question marks per word
+    line_bars: float = 0.15        # vertical bars per word
     line_one_word: float = 0.5     # share of one word in a line of ``repeat_words`` words or more
     repeat_words: int = 10
     nav_words: int = 12            # lines up to this length may be navigation
     separators: int = 2            # separators that make a line navigation
     boilerplate_words: int = 30    # longest line that a phrase can make boilerplate
-    max_lost: float = 0.3          # a document losing more of its word characters is rejected
+    max_lost: float = 0.5          # a document losing more of its word characters is rejected
     min_words: int = 10
     max_repeat_percent: int = 20
 
@@ -50,6 +51,8 @@ def line_fails(line: bytes, rules: Rules) -> str | None:
     symbols = sum(map(line.count, (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">", b"~", b"^", b"=", b"\\")))
     if symbols > rules.line_symbols * n:
         return "navigation" if line.count(b"|") * 2 >= symbols else "punctuation"
+    if n > 2 and line.count(b"|") > rules.line_bars * n:
+        return "navigation"
     if n > 2 and line.count(b"!") + line.count(b"?") > rules.line_shouts * n:
         return "punctuation"
     if n >= rules.repeat_words:
