@@ -12,8 +12,11 @@ padding is about one window in the some hundreds of a group.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
+from bisect import insort
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -24,34 +27,84 @@ from pyspark.sql import functions as F
 from ..cluster import cut
 from .base import ids_and_bytes
 
-#: Words kept in a task's dictionary before it starts anew.
-CACHE_WORDS = 1 << 20
+#: Words, and parts of words, in a generation of a worker's dictionaries; two are kept.
+CACHE_WORDS = 250_000
+
+# Letters and numerals below U+0180, and how the tokenizer splits a word of such characters.
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
+_NUMERALS = "0-9²³¹¼½¾"
+_PLAIN_WORD = re.compile("[!-~¡-ſ]+")
+_PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMERALS}]|[^{_LETTERS}{_NUMERALS}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
+class _Words(dict):
+    """A bounded dictionary: when full it becomes the old generation, what is still used moves over."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class WordEncoder:
-    """Token ids of texts by way of a dictionary of words.
+    """Token ids of texts by way of dictionaries of words and their parts.
 
-    ``tokenizer`` has to drop white space and never join words across it, as the lower-casing word
-    BPE does.  Words are cut at ASCII spaces and line ends only; other white space stays for the
-    tokenizer to see.  Entries are little-endian unsigned 32-bit ids.
+    For tokenizers that drop white space, never join words across it, and lower-case and split as
+    the lower-casing word BPE does.  Words are cut at ASCII spaces and line ends; those of plain
+    characters below U+0180 go to the model part by part, any other goes through the whole tokenizer.  Ids
+    are kept as little-endian unsigned 32-bit bytes.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        split = [t.replace(b"\n", b" ").split(b" ") for t in texts]
-        new = list({w for words in split for w in words if w not in self.words})
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            encoded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for word, e in zip(part, encoded):
-                self.words[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words = _Words(self._word)
+        self.parts = _Words(self._part)
+
+    def _part(self, part: str) -> bytes:
+        letters = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+        return np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+
+    def _word(self, raw: bytes) -> bytes:
+        word = raw.decode("utf-8", "replace")
+        if not word:
+            return b""
+        if _PLAIN_WORD.fullmatch(word) and "İ" not in word and not ("<" in word and any(s in word for s in self.special)):
+            low = word.lower()
+            if low.isalpha():
+                return self.parts[low]
+            if low[-1] in ".,:;!?" and low[:-1].isalpha():
+                return self.parts[low[:-1]] + self.parts[low[-1]]
+            return b"".join(map(self.parts.__getitem__, _PART.findall(low)))
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, text: bytes) -> bytes:
+        return b"".join(map(self.words.__getitem__, text.replace(b"\n", b" ").split(b" ")))
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder per worker process, so that tasks share its dictionaries."""
+    return WordEncoder(path)
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -68,26 +121,23 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, piece: in
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # bounds what is held of tokens at once
-                part = batch.slice(at, 256)
-                texts = [t or b"" for t in part.column(1).to_pylist()]
-                owner, start, length, crc, total, ids = [], [], [], [], [], []
-                for row, data in enumerate(encoder.encode(texts)):
-                    data += end
-                    n = len(data) // 4
-                    for a, size in _cuts(n, capacity, piece):
-                        owner.append(row)
-                        start.append(a)
-                        length.append(size)
-                        crc.append(zlib.crc32(data[4 * a:4 * (a + size)]))
-                        total.append(n)
-                        if with_ids:
-                            ids.append(np.frombuffer(data, "<u4", size, 4 * a).astype(np.int32))
-                columns = [part.column(0).take(pa.array(owner, pa.int64())),
-                           *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names=names)
+            owner, start, length, crc, total, ids = [], [], [], [], [], []
+            for row, text in enumerate(batch.column(1)):
+                data = encoder.encode(text.as_py() or b"") + end
+                n = len(data) // 4
+                for a, size in _cuts(n, capacity, piece):
+                    owner.append(row)
+                    start.append(a)
+                    length.append(size)
+                    crc.append(zlib.crc32(data[4 * a:4 * (a + size)]))
+                    total.append(n)
+                    if with_ids:
+                        ids.append(np.frombuffer(data, "<u4", size, 4 * a).astype(np.int32))
+            columns = [batch.column(0).take(pa.array(owner, pa.int64())),
+                       *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names=names)
 
     return ids_and_bytes(docs, id_col, text_col).mapInArrow(run, schema)
 
@@ -102,34 +152,35 @@ def _cuts(n: int, capacity: int, piece: int) -> Iterator[tuple[int, int]]:
 
 
 def differencing(sizes: np.ndarray, windows: int) -> list[list[int]]:
-    """Karmarkar-Karp: indexes of ``sizes`` in ``windows`` lists of near-equal sums.
+    """Karmarkar-Karp: indexes of ``sizes`` in at most ``windows`` lists of near-equal sums.
 
-    A partial partition holds only the windows that have something, fullest first.
+    A partial partition lists (negative sum, name) of the windows that hold something, fullest first;
+    the windows it does not list are empty.
     """
+    sizes = sizes.tolist()
+    members = [[i] for i in range(len(sizes))]
     tie = count()
-    # (negative spread, tie, sums, members); a spread is the fullest window less the emptiest.
-    heap = [(-int(s), next(tie), np.array([s], np.int64), [[i]]) for i, s in enumerate(sizes)]
+    heap = [(-s if windows > 1 else 0, next(tie), [(-s, i)]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     while len(heap) > 1:
-        _, _, sums, members = heapq.heappop(heap)
-        _, _, other, others = heapq.heappop(heap)
-        # Fullest of one meets emptiest of the other; windows that neither has filled stay empty.
-        if len(other) <= windows - len(sums):
-            sums, members = np.concatenate((sums, other)), members + others
+        _, _, one = heapq.heappop(heap)
+        _, _, other = heapq.heappop(heap)
+        # Fullest of one meets emptiest of the other: only the last windows of both have a partner.
+        shared = max(0, len(one) + len(other) - windows)
+        met = []
+        for (s, a), (t, b) in zip(one[len(one) - shared:], reversed(other[len(other) - shared:])):
+            if len(members[a]) < len(members[b]):
+                a, b = b, a
+            members[a] += members[b]
+            met.append((s + t, a))
+        if len(other) == 1 and shared:
+            one.pop()
+            insort(one, met[0])
         else:
-            merged = np.zeros(min(windows, len(sums) + len(other)), np.int64)
-            merged[:len(sums)] = sums
-            members = members + [[] for _ in range(len(merged) - len(sums))]
-            for k, (s, m) in enumerate(zip(other, others)):
-                at = len(merged) - 1 - k
-                merged[at] += s
-                members[at] = members[at] + m
-            sums = merged
-        order = np.argsort(-sums, kind="stable")
-        sums, members = sums[order], [members[i] for i in order]
-        low = sums[-1] if len(sums) == windows else 0
-        heapq.heappush(heap, (-int(sums[0] - low), next(tie), sums, members))
-    return heap[0][3] if heap else []
+            one = sorted(one[:len(one) - shared] + other[:len(other) - shared] + met)
+        low = one[-1][0] if len(one) == windows else 0
+        heapq.heappush(heap, (one[0][0] - low, next(tie), one))
+    return [members[i] for _, i in heap[0][2]] if heap else []
 
 
 def windows_of(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
