@@ -54,3 +54,20 @@ def starts(keys: np.ndarray) -> np.ndarray:
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
     return first
+
+
+def as_row(df: DataFrame, **keys: Column) -> DataFrame:
+    """``keys`` and all columns of ``df`` as the struct ``row``, so that no name of theirs can clash."""
+    return df.select(*(key.alias(name) for name, key in keys.items()), F.struct(*map(quoted, df.columns)).alias("row"))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

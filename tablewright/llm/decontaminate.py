@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import cut
-from .base import order_id
+from .base import as_row, order_id
 
 # Unit words that become a placeholder behind a number.
 UNITS = ("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles mg g kg lb lbs oz ton tons gram grams "
@@ -32,7 +32,9 @@ UNITS = ("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles mg
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%|k|m)?")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 # Kinds of tokens; PLAIN is everything else.
-PLAIN, NUMBER, UNIT, CAPITAL = 0, 1, 2, 3
+PLAIN, NUMBER, UNIT, CAPITAL, _MARK = 0, 1, 2, 3, 4
+_HASH_BITS = np.uint64((1 << 64) - 16)
+_UNIT_WORDS = frozenset(UNITS)
 _PLACEHOLDER = {NUMBER: "<number>", UNIT: "<unit>", CAPITAL: "<name>"}
 
 
@@ -44,24 +46,27 @@ _KIND_HASH = np.array([0] + [_hash(_PLACEHOLDER[k]) for k in (NUMBER, UNIT, CAPI
 
 
 class Tokens(dict):
-    """What a raw word stands for: (hash of its plain form, kind, ends a sentence).  Marks alone give None."""
+    """What a raw word stands for: the hash of its plain form above four bits of kind and whether it ends a sentence.
 
-    def __missing__(self, raw: bytes):
-        if len(self) > 1 << 20:
+    Marks alone are no words; the line end is a mark that ends a sentence.
+    """
+
+    def __missing__(self, raw: bytes) -> int:
+        if len(self) >= 300_000:
             self.clear()
         text = raw.decode("utf-8", "replace")
         core = _EDGE.sub("", text)
-        ends = text.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":", "…")
+        ends = raw == b"\n" or text.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":", "…")
         plain = core.lower()
         if not core:
-            value = (_hash(text), -1, ends)
+            kind = _MARK
         elif _NUMBER.fullmatch(core):
-            value = (_hash(plain), NUMBER, ends)
-        elif plain in UNITS:
-            value = (_hash(plain), UNIT, ends)
+            kind = NUMBER
+        elif plain in _UNIT_WORDS:
+            kind = UNIT
         else:
-            value = (_hash(plain), CAPITAL if core[0].isupper() and not core.isupper() else PLAIN, ends)
-        self[raw] = value
+            kind = CAPITAL if core[0].isupper() and not core.isupper() else PLAIN
+        value = self[raw] = _hash(plain) & ~15 | kind << 1 | ends
         return value
 
 
@@ -70,20 +75,20 @@ def canonical(text: bytes, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
 
     Capitals that open a line or sentence are plain, units count behind a number only.
     """
-    hashes, kinds = [], []
-    for line in text.split(b"\n"):
-        opening, after = True, False
-        for raw in line.split():
-            h, kind, ends = tokens[raw]
-            if kind < 0:
-                opening = opening or ends
-                continue
-            if kind == CAPITAL and opening or kind == UNIT and not after:
-                kind = PLAIN
-            hashes.append(h)
-            kinds.append(kind)
-            opening, after = ends, kind == NUMBER
-    return np.array(hashes, np.uint64), np.array(kinds, np.int8)
+    codes = [tokens[raw] for line in text.split(b"\n") for raw in (b"\n", *line.split())]
+    codes = np.array(codes, np.uint64)
+    hashes, flags = codes & _HASH_BITS, (codes & np.uint64(15)).astype(np.int8)
+    kinds, ends = flags >> 1, (flags & 1).astype(bool)
+    word = np.flatnonzero(kinds != _MARK)
+    if not len(word):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int8)
+    # A word opens a sentence if anything since the word before it ended one.
+    closed = np.concatenate(([0], np.cumsum(ends)))
+    opening = closed[word] > closed[np.concatenate(([0], word[:-1]))]
+    kinds = kinds[word]
+    after = np.concatenate(([False], kinds[:-1] == NUMBER))
+    kinds[(kinds == CAPITAL) & opening | (kinds == UNIT) & ~after] = PLAIN
+    return hashes[word], kinds
 
 
 def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
@@ -221,7 +226,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal: int =
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, all columns as they are.  Options as for ``leaks``."""
-    bad = cut(leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(
-        F.col("doc_id").alias("_leak_id"), F.col("sum").alias("_leak_sum")).distinct(), "leaks")
-    return docs.join(bad.hint("shuffle_hash"), (order_id(F.col(id_col).cast("long")) == F.col("_leak_id"))
-                     & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_leak_sum")), "left_anti")
+    bad = cut(leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select("doc_id", "sum").distinct(), "leaks")
+    keyed = as_row(docs, doc_id=order_id(F.col(id_col).cast("long")), sum=F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return keyed.join(bad.hint("shuffle_hash"), ["doc_id", "sum"], "left_anti").select("row.*")

@@ -166,6 +166,7 @@ class _Flow:
         self.gap = False             # an empty line is due before the next text
         self.prefixes: list[str] = []
         self.marker: str | None = None
+        self.lists = 0               # open lists; inner ones are not set off
 
     def text(self, value: str) -> None:
         value = _SPACE.sub(" ", value)
@@ -222,8 +223,9 @@ def _element(node: Node, flow: _Flow) -> None:
         _block(node, flow)
         return
     flow.end()
-    if tag in SPACED:
-        flow.gap = flow.marker is None
+    spaced = tag in SPACED and not (flow.lists and tag in ("ul", "ol", "menu", "dir"))
+    if spaced and flow.marker is None:
+        flow.gap = True
     if tag == "hr":
         flow.line("-" * 8)
     elif tag == "pre":
@@ -233,7 +235,9 @@ def _element(node: Node, flow: _Flow) -> None:
         for line in _table(node):
             flow.line(line)
     elif tag in ("ul", "ol", "menu", "dir"):
+        flow.lists += 1
         _list(node, flow)
+        flow.lists -= 1
     elif tag in ("blockquote", "dd"):
         flow.prefixes.append("  ")
         _block(node, flow)
@@ -242,7 +246,7 @@ def _element(node: Node, flow: _Flow) -> None:
     else:
         _block(node, flow)
     flow.end()
-    if tag in SPACED:
+    if spaced:
         flow.gap = True
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import cut
-from .base import order_id, starts
+from .base import as_row, fresh, order_id, starts
 from .quality_rules import SPACE, code_points, with_length
 
 
@@ -133,7 +133,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", t
     @F.pandas_udf("binary")
     def bitmap(positions):
         def one(drop):
-            bits = np.ones(int(max(drop)) + 1, np.uint8)
+            bits = np.ones((int(max(drop)) // 8 + 1) * 8, np.uint8)
             bits[drop] = 0
             return zlib.compress(np.packbits(bits, bitorder="little").tobytes())
         return positions.map(one)
@@ -155,14 +155,10 @@ def kept_lines(text: bytes, bitmap: bytes | None) -> bytes:
 
 
 def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with columns _line_dropped and _line_bitmap."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    bitmaps = bitmaps.select(F.col("doc_id").alias("_line_doc"), F.col("sum").alias("_line_sum"),
-                             F.col("n_dropped").alias("_line_dropped"), F.col("bitmap").alias("_line_bitmap"))
-    keyed = docs.withColumns({"_line_id": order_id(F.col(id_col).cast("long")), "_line_text": F.xxhash64(text)})
+    """(row, n_dropped, bitmap): all columns of ``docs`` in ``row``, nulls where every line stays."""
+    keyed = as_row(docs, doc_id=order_id(F.col(id_col).cast("long")), sum=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     # The narrow side is built, so whole texts are moved once and never sorted.
-    return keyed.join(bitmaps.hint("shuffle_hash"), (F.col("_line_id") == F.col("_line_doc"))
-                      & (F.col("_line_text") == F.col("_line_sum")), "left").drop("_line_id", "_line_text", "_line_doc", "_line_sum")
+    return keyed.join(bitmaps.hint("shuffle_hash"), ["doc_id", "sum"], "left").select("row", "n_dropped", "bitmap")
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text",
@@ -175,12 +171,13 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc
     document; a null id counts as the largest.  ``length_col`` follows the text.
     """
     joined = _with_bitmaps(docs, keep_bitmaps(docs, min_chars, id_col, text_col), id_col, text_col)
+    joined = joined.select("row.*", F.col("bitmap").alias(fresh(docs, "bitmap")))
     n = len(docs.columns)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bitmaps, field = batch.column(n + 1), batch.schema.field(at)
+            bitmaps, field = batch.column(n), batch.schema.field(at)
             texts = [t.as_py() if not b.is_valid or not t.is_valid
                      else kept_lines(t.as_py().encode(), b.as_py()).decode() for t, b in zip(batch.column(at), bitmaps)]
             yield batch.set_column(at, field, pa.array(texts, field.type)).select(list(range(n)))
@@ -207,4 +204,4 @@ def line_report(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(dropped, pa.int64()),
                                               pa.array(sums, pa.string()), batch.column(3)], schema=arrow)
 
-    return joined.select("doc_id", F.col("text").cast("binary"), "_line_dropped", "_line_bitmap").mapInArrow(run, schema)
+    return joined.select("row.doc_id", F.col("row.text").cast("binary").alias("text"), "n_dropped", "bitmap").mapInArrow(run, schema)

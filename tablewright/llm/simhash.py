@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..cluster import cut
-from .base import per_text
+from .base import as_row, fresh, per_text
 
 #: Fingerprints in a cell beyond which midpoints take the place of pairs.
 CELL = 32
@@ -178,24 +178,21 @@ def keep_one(docs: DataFrame, width: int = 3, max_bits: int = 2, id_col: str = "
     Rows without an id stay only where the group has no id at all; then one of them does.
     """
     prints, named = grouped(docs, width, max_bits, id_col, text_col)
-    smallest = named.select(F.col("component_id").alias("_keep_id")).where("_keep_id is not null").distinct()
+    smallest = named.select(F.col("component_id").alias("keep_id")).where("keep_id is not null").distinct()
     # Copies of the kept row are merged map side before they meet.
-    kept = docs.join(smallest, F.col(id_col).cast("long") == F.col("_keep_id"), "left_semi").dropDuplicates([id_col])
+    kept = (as_row(docs, keep_id=F.col(id_col).cast("long")).join(smallest, "keep_id", "left_semi").dropDuplicates(["keep_id"])
+            .select("row.*"))
     if prints.where("doc_id is null").isEmpty():
         return kept
     loose = docs.where(F.col(id_col).isNull())
-    at = docs.columns.index(text_col)
+    at, mark = docs.columns.index(text_col), fresh(docs, "mark")
 
     def run(batches):
         for batch in batches:
             marks = pa.array([fingerprint((t or "").encode(), width) for t in batch.column(at).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, marks], names=[*batch.schema.names, "_keep_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, marks], names=[*batch.schema.names, mark])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_keep_fp", T.LongType())])
-    alone = named.where("component_id is null").select(F.col("fp").alias("_keep_fp"), F.col("root").alias("_keep_root"))
-    return kept.unionAll(loose.mapInArrow(run, schema).join(alone, "_keep_fp").dropDuplicates(["_keep_root"])
-                         .drop("_keep_fp", "_keep_root").select(*map(quoted, docs.columns)))
-
-
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())])
+    alone = named.where("component_id is null").select("fp", "root")
+    marked = as_row(loose.mapInArrow(run, schema), fp=F.col(mark))
+    return kept.unionAll(marked.join(alone, "fp").dropDuplicates(["root"]).select("row.*").drop(mark))
