@@ -71,3 +71,24 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+class Remembered(dict):
+    """Values of ``make`` by key, in bounded memory.
+
+    When ``size`` keys are there they become the old generation, and what is still used moves over.
+    """
+
+    def __init__(self, make: Callable, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value

@@ -11,17 +11,19 @@ with other numbers is caught and an unlike use of the same template is not.
 
 from __future__ import annotations
 
-import hashlib
 import re
+import string
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import cut
-from .base import as_row, order_id
+from .base import Remembered, as_row, order_id
 
 # Unit words that become a placeholder behind a number.
 UNITS = ("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles mg g kg lb lbs oz ton tons gram grams "
@@ -33,50 +35,61 @@ _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%|k|m)?")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 # Kinds of tokens; PLAIN is everything else.
 PLAIN, NUMBER, UNIT, CAPITAL, _MARK = 0, 1, 2, 3, 4
+_ASCII_MARKS = string.punctuation
+#: Stands for a line end among words; its byte occurs in no UTF-8 text.
+_LINE_END = b" \xff "
 _HASH_BITS = np.uint64((1 << 64) - 16)
 _UNIT_WORDS = frozenset(UNITS)
 _PLACEHOLDER = {NUMBER: "<number>", UNIT: "<unit>", CAPITAL: "<name>"}
 
 
 def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
 _KIND_HASH = np.array([0] + [_hash(_PLACEHOLDER[k]) for k in (NUMBER, UNIT, CAPITAL)], np.uint64)
 
 
-class Tokens(dict):
+def token(raw: bytes) -> int:
     """What a raw word stands for: the hash of its plain form above four bits of kind and whether it ends a sentence.
 
-    Marks alone are no words; the line end is a mark that ends a sentence.
+    Marks alone are no words; the line end is a mark that ends a sentence.  A signed long, as arrays take it.
     """
-
-    def __missing__(self, raw: bytes) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        text = raw.decode("utf-8", "replace")
-        core = _EDGE.sub("", text)
-        ends = raw == b"\n" or text.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":", "…")
-        plain = core.lower()
-        if not core:
-            kind = _MARK
-        elif _NUMBER.fullmatch(core):
-            kind = NUMBER
-        elif plain in _UNIT_WORDS:
-            kind = UNIT
-        else:
-            kind = CAPITAL if core[0].isupper() and not core.isupper() else PLAIN
-        value = self[raw] = _hash(plain) & ~15 | kind << 1 | ends
-        return value
-
-
-def canonical(text: bytes, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    text = raw.decode("utf-8", "replace")
+    ends = raw == _LINE_END.strip()
+    if text.isalpha():
+        core = text
+    else:
+        core = text.strip(_ASCII_MARKS)
+        if core and not (core[0].isalnum() and core[-1].isalnum()):
+            core = _EDGE.sub("", core)
+        ends = ends or text.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":", "…")
+    plain = core.lower()
+    if not core:
+        kind = _MARK
+    elif not core.isalpha() and _NUMBER.fullmatch(core):
+        kind = NUMBER
+    elif plain in _UNIT_WORDS:
+        kind = UNIT
+    else:
+        kind = CAPITAL if core[0].isupper() and not core.isupper() else PLAIN
+    value = _hash(plain) & ~15 | kind << 1 | ends
+    return value - (1 << 64) if value >> 63 else value
+
+
+@lru_cache(maxsize=1)
+def known_tokens() -> Remembered:
+    """One dictionary of words per worker process."""
+    return Remembered(token, 250_000)
+
+
+def canonical(text: bytes, tokens: Remembered) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, kind of each word); marks standing alone are left out.
 
     Capitals that open a line or sentence are plain, units count behind a number only.
     """
-    codes = [tokens[raw] for line in text.split(b"\n") for raw in (b"\n", *line.split())]
-    codes = np.array(codes, np.uint64)
+    words = text.replace(b"\n", _LINE_END).split()
+    codes = np.fromiter(map(tokens.__getitem__, words), np.int64, len(words)).view(np.uint64)
     hashes, flags = codes & _HASH_BITS, (codes & np.uint64(15)).astype(np.int8)
     kinds, ends = flags >> 1, (flags & 1).astype(bool)
     word = np.flatnonzero(kinds != _MARK)
@@ -85,6 +98,7 @@ def canonical(text: bytes, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
     # A word opens a sentence if anything since the word before it ended one.
     closed = np.concatenate(([0], np.cumsum(ends)))
     opening = closed[word] > closed[np.concatenate(([0], word[:-1]))]
+    opening[0] = True
     kinds = kinds[word]
     after = np.concatenate(([False], kinds[:-1] == NUMBER))
     kinds[(kinds == CAPITAL) & opening | (kinds == UNIT) & ~after] = PLAIN
@@ -143,7 +157,7 @@ def template_windows(texts: DataFrame, width: int = 8, literal: int = 5, id_col:
     shared = texts.sparkSession.sparkContext.broadcast(table) if table is not None else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
+        tokens = known_tokens()
         bits = np.frombuffer(shared.value, np.uint8) if shared is not None else None
         for batch in batches:
             owner, position, length, readings, found, shape = [], [], [], [], [], []

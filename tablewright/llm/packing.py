@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import cut
-from .base import ids_and_bytes
+from .base import Remembered, ids_and_bytes
 
 #: Words, and parts of words, in a generation of a worker's dictionaries; two are kept.
 CACHE_WORDS = 250_000
@@ -44,24 +44,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
-class _Words(dict):
-    """A bounded dictionary: when full it becomes the old generation, what is still used moves over."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class WordEncoder:
     """Token ids of texts by way of dictionaries of words and their parts.
 
@@ -77,8 +59,8 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = _Words(self._word)
-        self.parts = _Words(self._part)
+        self.words = Remembered(self._word, CACHE_WORDS)
+        self.parts = Remembered(self._part, CACHE_WORDS)
 
     def _part(self, part: str) -> bytes:
         letters = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
