@@ -73,8 +73,9 @@ def repeated_spans(docs: DataFrame, unit: str = "sentence", min_words: int = 25,
     reported once.  Null and empty texts have no units.
     """
     units = cut(unit_digests(docs, unit, id_col, text_col), "units")
-    firsts = (units.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-              .where("first < last").drop("last"))
+    # Written, so that the join below deals both sides anew and a digest with many units can be split.
+    firsts = cut(units.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+                 .where("first < last").drop("last"), "first-units")
     hits = (units.join(firsts, ["high", "low"]).where("doc_id != first")
             .select("doc_id", "sum", "ordinal", "start", "end", "words", "first").distinct())
     # As many structs as one document has units: no more than its text holds.
