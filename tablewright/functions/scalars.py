@@ -99,12 +99,31 @@ def is_default(c, dtype: T.DataType) -> Column:
 
 
 def number_text(c) -> Column:
-    """Shortest decimal text of a double: 1.0 -> 1, 1.2E7 -> 12000000."""
+    """Shortest decimal text of a double, every digit kept: 1.0 -> 1, 1.2E7 -> 12000000, 1.5E-5 -> 0.000015.
+
+    From 1e-6 to 1e21 the point of exponent notation is moved; beyond, the notation stays.
+    """
     c = _col(c)
-    fixed = c.try_cast("decimal(38,15)").cast("string")
-    trimmed = F.regexp_replace(F.regexp_replace(fixed, r"0+$", ""), r"\.$", "")
+    text = c.cast("string")
+    sign, digits = F.regexp_extract(text, "^-?", 0), F.regexp_extract(text, r"^-?(\d+)(?:\.0(?![0-9])|\.(\d+))?", 1)
+    part = F.regexp_extract(text, r"^-?\d+\.(\d+?)0*(?:E|$)", 1)
+    part = F.when(part == "0", "").otherwise(part)
+    power = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
+    every = F.concat(digits, part)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), every)
+    point = F.length(digits) + power
+    whole = F.rpad(F.substring(every, F.lit(1), point), point, "0")
+    rest = F.substring(every, point + 1, F.length(every))
+    large = F.when(rest == "", whole).otherwise(F.concat(whole, F.lit("."), rest))
+    moved = F.concat(sign, F.when(power < 0, small).otherwise(large))
     usable = (F.abs(c) >= 1e-6) & (F.abs(c) < 1e21)
-    return F.when(c == 0, "0").when(usable, trimmed).otherwise(c.cast("string"))
+    return (F.when(c == 0, "0").when(~usable, text).when(power.isNotNull(), moved)
+            .otherwise(F.regexp_replace(text, r"\.0$", "")))
+
+
+def trim_space(c) -> Column:
+    """Text without white space of any kind at both ends."""
+    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
 
 
 def pack_value(c, dtype: T.DataType, nested: bool = False) -> Column:

@@ -70,14 +70,14 @@ def _match(df: DataFrame, other: DataFrame, key: Sequence[str], how: str = "inne
 _CHUNK = 10_000
 
 
-def _repeat(df: DataFrame, times: Column) -> DataFrame:
-    """Each row ``times`` times; big counts are spread in chunks over all tasks."""
+def _repeat(df: DataFrame, times: Column, key: Sequence[str]) -> DataFrame:
+    """Each row ``times`` times; big counts are spread in chunks by key and chunk over all tasks."""
     counted = df.withColumn("_times", times).where("_times > 0")
     few = (counted.where(F.col("_times") <= _CHUNK)
            .withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))))
     many = (counted.where(F.col("_times") > _CHUNK)
             .withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("_times") - 1, F.lit(_CHUNK))))
-            .repartition("_from")
+            .repartition(*key, "_from")
             .withColumn("_i", F.explode(F.sequence(F.lit(1), F.least(
                 F.lit(_CHUNK), F.col("_times") - F.col("_from")).cast("int")))).drop("_from"))
     return few.unionByName(many).drop("_times", "_i")
@@ -97,7 +97,7 @@ def _repeats(rows: DataFrame, key: Sequence[str], carry: Sequence[str]) -> DataF
     groups = cut(_match(rows, dups, key).groupBy(*by).agg(F.count("*").alias("_m")), "groups")
     best = groups.groupBy(*key).agg(F.min("_order").alias("_best"))
     marked = _match(groups, best, key)
-    return _repeat(marked, F.col("_m") - (F.col("_order") == F.col("_best")).cast("int")).drop("_m", "_order", "_best")
+    return _repeat(marked, F.col("_m") - (F.col("_order") == F.col("_best")).cast("int"), key).drop("_m", "_order", "_best")
 
 
 def check_unique(df: DataFrame, contract: TableContract, key: Sequence[str] | None = None) -> DataFrame:
@@ -106,7 +106,7 @@ def check_unique(df: DataFrame, contract: TableContract, key: Sequence[str] | No
     if "_file" not in df.columns and set(contract.key) <= set(key):
         # Nothing but the key tells the error rows apart: n rows of a key are n - 1 errors.
         dups = repeated_keys(df, key)
-        later = _repeat(dups, F.col("_n") - 1)
+        later = _repeat(dups, F.col("_n") - 1, key)
         at = None
     else:
         rows = df.select(*dict.fromkeys([*key, *contract.key]), order_value(df, key, contract.order).alias("_order"),

@@ -100,13 +100,14 @@ def with_lineage(df: DataFrame, column: int, name: str = "address", swapped: boo
 
 
 def letters_of(c: str) -> Column:
-    """Spreadsheet letters of a 0-based column number held in a column (up to ZZZ)."""
-    n = F.col(c).cast("int")
-    letter = lambda x: F.char(F.lit(65) + x)
-    one, two, three = n, n - 26, n - 702
-    return (F.when(n < 26, letter(one))
-            .when(n < 702, F.concat(letter(F.floor(two / 26)), letter(two % 26)))
-            .otherwise(F.concat(letter(F.floor(three / 676)), letter(F.floor(three / 26) % 26), letter(three % 26))))
+    """Spreadsheet letters of a 0-based column number held in a column, of any length."""
+    # Digits run from 1 to 26, so each step takes one off first; 14 letters hold every long.
+    start = F.struct((F.col(c).cast("long") + 1).alias("n"), F.lit("").alias("s"))
+    step = lambda at, _: F.when(at["n"] <= 0, at).otherwise(F.struct(
+        ((at["n"] - 1 - (at["n"] - 1) % 26) / 26).cast("long").alias("n"),
+        F.concat(F.char(F.lit(65) + (at["n"] - 1) % 26), at["s"]).alias("s")).cast("struct<n:bigint,s:string>"))
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(14)), start.cast("struct<n:bigint,s:string>"), step)
+    return done["s"]
 
 
 # ------------------------------------------------------------ tag subsets

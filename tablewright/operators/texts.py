@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import cut
 from ..contract import Dataset, TableContract, union_all
-from ..functions.scalars import normalise_newlines, pack_id
+from ..functions.scalars import normalise_newlines, pack_id, trim_space
 from .search import leaves
 
 try:
@@ -45,14 +45,14 @@ def _inner(kind):
 def extract_texts_by_value(dataset: Dataset) -> DataFrame:
     """``(table, original, translated)`` for every text that is not blank, repeats included."""
     found = _texts(dataset)
-    return found.select("table", F.trim("value").alias("original"), F.lit("").alias("translated")).where("original <> ''")
+    return found.select("table", trim_space("value").alias("original"), F.lit("").alias("translated")).where("original <> ''")
 
 
 def text_rows(dataset: Dataset) -> DataFrame:
     """``(table, pk, field_chain, original)``, line ends normalised, blanks left out."""
     found = _texts(dataset)
     return found.select("table", "pk", F.replace("field_chain", F.lit("."), F.lit("-")).alias("field_chain"),
-                        normalise_newlines(F.trim("value")).alias("original")).where("original <> ''")
+                        normalise_newlines(trim_space("value")).alias("original")).where("original <> ''")
 
 
 def extract_texts_by_id(dataset: Dataset, table: str, description: str | None = None,
@@ -129,17 +129,19 @@ def translate_by_id(df: DataFrame, contract: TableContract, dictionary: DataFram
     return out.drop("_pk")
 
 
-def translations_matrix(dataset: Dataset, dictionaries: dict[str, DataFrame]) -> DataFrame:
+def translations_matrix(dataset: Dataset, dictionaries: dict[str, DataFrame], order: str | None = None) -> DataFrame:
     """``(table, pk, field_chain, original, <lang>…)``; a missing translation shows the
     original, an empty original leaves all columns empty.
 
-    All languages are folded into one wide dictionary first, so texts are joined once.
+    All languages are folded into one wide dictionary first, so texts are joined once.  Of
+    repeated entries the last by ``order`` wins, or the greatest text without it.
     """
     found = _texts(dataset).select("table", "pk", "field_chain", F.col("value").alias("original"))
-    tagged = union_all(d.select("table", normalise_newlines("original").alias("_o"), "translated", F.lit(lang).alias("_lang"))
+    place = F.col(order) if order else F.lit(0)
+    tagged = union_all(d.select("table", normalise_newlines("original").alias("_o"), "translated", place.alias("_place"), F.lit(lang).alias("_lang"))
                        for lang, d in dictionaries.items())
     wide = tagged.groupBy("table", "_o").agg(*[
-        F.max(F.when(F.col("_lang") == lang, F.col("translated"))).alias(lang) for lang in dictionaries])
+        F.max(F.when(F.col("_lang") == lang, F.struct("_place", "translated")))["translated"].alias(lang) for lang in dictionaries])
     wide = wide.withColumnRenamed("table", "_table")
     joined = found.join(wide, (F.col("table") == F.col("_table")) & (normalise_newlines("original") == F.col("_o")), "left")
     return joined.select("table", "pk", "field_chain", "original", *[
@@ -233,11 +235,14 @@ def split_todo(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(empty), rows.where(~empty)
 
 
-def merge_todo(dictionary: DataFrame, todo: DataFrame) -> DataFrame:
-    """Take over non-empty translations whose target exists with the same original."""
+def merge_todo(dictionary: DataFrame, todo: DataFrame, order: str | None = None) -> DataFrame:
+    """Take over non-empty translations whose target exists with the same original.
+
+    Of repeated rows the last by ``order`` wins, or the greatest text without it.
+    """
     keys = ["table", "pk", "field_chain"]
-    new = (todo.where(F.coalesce("translated", F.lit("")) != "")
-           .groupBy(*keys, "original").agg(F.max("translated").alias("_new")))
+    answered = todo.where(F.coalesce("translated", F.lit("")) != "")
+    new = last_translations(answered, [*keys, "original"], order).withColumnRenamed("translated", "_new")
     return dictionary.join(new, [*keys, "original"], "left").select(
         *keys, "original", F.coalesce("_new", "translated").alias("translated"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from .. import contract as C
 from ..contract import TableContract, error_rows, field_span, span, spark_type
 from ..functions.packed import cast_text, parse_packed
-from ..functions.scalars import pack_id, split_sep
+from ..functions.scalars import pack_id, split_sep, trim_space
 
 ISSUES = "array<struct<kind:string,field:string,value:string,level:string>>"
 
@@ -145,7 +145,7 @@ def _finish(df: DataFrame, contract: TableContract, values: dict[str, tuple[Colu
 def cast_typed(df: DataFrame, contract: TableContract, header_layout: int = 2,
                keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Type a frame of text columns named like the contract's primitive fields."""
-    text = lambda n: F.coalesce(F.trim(F.col(n)), F.lit(""))
+    text = lambda n: F.coalesce(trim_space(n), F.lit(""))
     values = {f.name: build(f.type, [text(f.name)], F.lit(f.name), f.layout, f.width, f.sep, header_layout)
               for f in contract.fields}
     return _finish(df, contract, values, keep)
@@ -291,6 +291,7 @@ def from_variant(v: Column, kind, path: Column, lower: bool = False) -> tuple[Co
             whole = F.try_variant_get(v, "$", "bigint")
             cut = F.try_variant_get(v, "$", "double").try_cast("bigint")
             value = F.when(shape == "BIGINT", whole).when(ok, cut).try_cast(spark_type(kind).simpleString())
+            ok = ok & value.isNotNull()  # a number out of the type's range is an error, not a default
         elif kind == "float":
             ok = _is_number(shape)
             value = F.when(ok, F.try_variant_get(v, "$", "double"))

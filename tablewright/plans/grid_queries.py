@@ -496,9 +496,10 @@ def f4_naming_styles(spark, sf):
         S.lower1("p_type").alias("low"), S.pascal(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("pascal"))
 
 
-@query("f5_normalise_newlines", "SELECT doc_id, text FROM documents WHERE NOT contains(text, chr(13))")
+@query("f5_normalise_newlines", """
+SELECT doc_id, replace(replace(text, chr(10), chr(13) || chr(10)), chr(13) || chr(10), chr(10)) AS text FROM documents""")
 def f5_normalise_newlines(spark, sf):
-    df = star.read(spark, sf, "documents").where(~F.contains("text", F.lit("\r")))
+    df = star.read(spark, sf, "documents")
     return df.select("doc_id", S.normalise_newlines(F.replace("text", F.lit("\n"), F.lit("\r\n"))).alias("text"))
 
 

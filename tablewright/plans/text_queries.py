@@ -137,14 +137,14 @@ def t7_translate_by_id(spark, sf):
 
 
 @query("t8_translations_matrix", """
-WITH w AS (SELECT replace(text, chr(13) || chr(10), chr(10)) AS o, max(CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'D:' || lower(text) END) AS de,
-  max(CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'F:' || lower(text) END) AS fr FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1)
+WITH w AS (SELECT replace(text, chr(13) || chr(10), chr(10)) AS o, arg_max(CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'D:' || lower(text) END, doc_id) AS de,
+  arg_max(CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'F:' || lower(text) END, doc_id) AS fr FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1)
 SELECT CAST(doc_id AS VARCHAR) AS pk, text AS original, coalesce(nullif(de, ''), text) AS de, coalesce(nullif(fr, ''), text) AS fr
 FROM documents LEFT JOIN w ON replace(text, chr(13) || chr(10), chr(10)) = o""")
 def t8_translations_matrix(spark, sf):
     d = star.dataset(spark, sf, ("documents",))
     words = {"de": value_dictionary(spark, sf, "D:"), "fr": value_dictionary(spark, sf, "F:")}
-    return texts.translations_matrix(d, words).select("pk", "original", "de", "fr")
+    return texts.translations_matrix(d, words, "seq").select("pk", "original", "de", "fr")
 
 
 @query("c12_text_dictionaries", """

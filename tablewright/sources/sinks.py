@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,7 +133,9 @@ def sql_ddl(contract: TableContract, prefix: str = "cfg_", drop: bool = True, if
         lines.append(f"  {_tick(f.name)} {kind}" + (f" COMMENT '{note(f.comment)}'" if f.comment else ""))
     lines.append(f"  PRIMARY KEY ({', '.join(map(_tick, contract.key))})")
     for u in contract.uniques:
-        name = ("uk_" + table + "_" + "_".join(u))[:64]
+        name = "uk_" + table + "_" + "_".join(u)
+        if len(name) > 64:  # the longest name allowed; a digest keeps shortened names apart
+            name = name[:55] + "_" + hashlib.sha256(name.encode()).hexdigest()[:8]
         lines.append(f"  UNIQUE KEY {_tick(name)} ({', '.join(map(_tick, u))})")
     head = f"DROP TABLE IF EXISTS {_tick(table)};\n\n" if drop else ""
     create = "CREATE TABLE IF NOT EXISTS" if if_not_exists else "CREATE TABLE"

@@ -275,3 +275,26 @@ def test_tags(spark):
     assert list(out.contracts) == ["one"] and out.contracts["one"].fks == () and out.frames["one"].schema.simpleString() == "struct<id:int,s:struct<a:int>>"
     rest = records.project_tag(d, "-client")
     assert list(rest.contracts) == ["two"]
+
+
+def test_number_text_keeps_every_digit(spark):
+    values = [0.1234567890123456, 1.2345678901234568e-05, 1.5e10, -1.25e7, 123456789012345680000.0, 1e20, 100.0, 1e-6, 5e-7, -0.00015, 12000000.5]
+    df = spark.createDataFrame([(v,) for v in values], "d double")
+    got = [r[0] for r in df.select(S.number_text("d")).collect()]
+    assert got == ["0.1234567890123456", "0.000012345678901234568", "15000000000", "-12500000", "123456789012345680000",
+                   "100000000000000000000", "100", "0.000001", "5.0E-7", "-0.00015", "12000000.5"]
+
+
+def test_letters_of_any_length(spark):
+    from tablewright.operators.records import letters_of
+    df = spark.createDataFrame([(n,) for n in (0, 25, 26, 701, 702, 18277, 18278, 30000, 475253)], "n long")
+    assert [r[0] for r in df.select(letters_of("n")).collect()] == ["A", "Z", "AA", "ZZ", "AAA", "ZZZ", "AAAA", "ARIW", "ZZZZ"]
+
+
+@pytest.mark.parametrize("text, kind", [("1_0", "int"), ("2147483648", "int"), ("9223372036854775808", "long"), ("nan", "float"), ("١", "int")])
+def test_packed_numbers_are_strict(spark, text, kind):
+    from tablewright.contract import Field, Struct
+    from tablewright.functions.packed import parse_packed
+    df = spark.createDataFrame([(f"{text},1",)], "c string")
+    row = df.select(parse_packed("c", Struct("P", (Field("a", kind), Field("b", "int")))).alias("p")).first()["p"]
+    assert row["value"] is None and row["error"]
