@@ -88,3 +88,13 @@ marked AS (SELECT k.*, s.key IS NOT NULL AND k.doc_id <> s.first AS dropped FROM
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
+
+_BASE32 = " || ".join(  # five bits a digit, eight digits of each ten hexadecimal ones
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, {10 * k + 1}, 10) AS BIGINT) >> {35 - 5 * i}) & 31 AS INTEGER) + 1, 1)"
+    for k in range(4) for i in range(8))
+SQL["op3_warc"] = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h,
+  min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM p"""

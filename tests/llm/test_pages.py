@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.llm import html_text, url_filter, warc
-from tablewright.llm.queries import SQL, URL_RULES, op4_line_dedup
+from tablewright.llm.queries import QUERIES, SQL, URL_RULES
 from tests.llm import brute
 
 PAGES = [(1, "https://a.example.com/x", "<p>one</p>"), (2, "https://b.example.com/\r\nEvil: 1", "<p>one</p>"), (3, None, None), (4, "u", ""),
@@ -112,8 +112,11 @@ def test_extraction(spark, sf):
     assert html_text.extract(frame(spark, [])).count() == 0
 
 
-def test_line_sql(spark, sf):
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_sql(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    want = sorted(con.execute(SQL["op4_line_dedup"]).fetchall())
-    assert sorted(tuple(r) for r in op4_line_dedup(spark, sf).collect()) == want
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = con.execute(SQL[name])
+    order = [c[0] for c in got.description]
+    assert sorted(map(str, got.fetchall())) == sorted(str(tuple(r)) for r in QUERIES[name](spark, sf).select(*order).collect())
