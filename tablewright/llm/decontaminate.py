@@ -131,7 +131,7 @@ def _windows(hashes: np.ndarray, kinds: np.ndarray, width: int, literal: int):
     template windows without a name are left to the plain reading, which has them too.
     """
     names = np.concatenate(([0], np.cumsum(kinds == CAPITAL)))
-    for reading in (0, 1):
+    for reading in (0, 1) if names[-1] else (0,):
         slot = (kinds == NUMBER) | (kinds == UNIT) | ((kinds == CAPITAL) if reading else False)
         codes = np.where(slot, _KIND_HASH[np.where(slot, kinds, 0)], hashes)
         plain = np.concatenate(([0], np.cumsum(~slot)))
