@@ -42,6 +42,25 @@ def component_ids(prints, max_bits=2):
     return {d: find(d) for d in ids}
 
 
+def shingle_set(text, width=5):
+    found = words((text or "").translate(UPPER))
+    k = min(width, len(found))
+    return {" ".join(found[i:i + k]) for i in range(len(found) - k + 1)} if found else set()
+
+
+def kept_ids(docs, similarity=0.8):
+    """Smallest id of each group that near fingerprints or similar shingle sets connect, of [(doc_id, text)]."""
+    group = component_ids({d: simhash(t) for d, t in docs})
+    sets = {d: shingle_set(t) for d, t in docs}
+    for a in sets:
+        for b in sets:
+            shared = len(sets[a] & sets[b])
+            if shared and shared / len(sets[a] | sets[b]) >= similarity and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    return sorted(set(group.values()))
+
+
 def line_report(docs):
     """{doc_id: (n_lines, n_dropped, sha256)} of [(doc_id, text)]."""
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(UPPER)

@@ -71,6 +71,30 @@ def test_keep_one(spark):
     assert ids == [1, 4, 5, 6, 7, 8, 9, 10, 11, None] and got[-1][1] == "lonely text here"
 
 
+def family(rng, first_id, size, changes, length=120):
+    """A text and its near copies."""
+    base = [f"w{rng.randrange(5000)}" for _ in range(length)]
+    rows = [(first_id, " ".join(base))]
+    for i in range(1, size):
+        copy = list(base)
+        for _ in range(changes):
+            copy[rng.randrange(length)] = f"v{rng.randrange(5000)}"
+        rows.append((first_id + i, " \n".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("cell", [2, 32])
+def test_keep_one_of_similar_texts(spark, monkeypatch, cell):
+    rng = random.Random(5)
+    rows = sum((family(rng, 100 * i, 8, c) for i, c in enumerate([1, 2, 3, 4, 8])), [])
+    rows += [(1000, "a b c d"), (1001, "A  b c d"), (1002, "a b c e"), (1003, "a b c"), (1004, None), (1005, "")]
+    rows += [(None, rows[0][1] + " more"), (None, "alone " + rows[8][1])]
+    monkeypatch.setattr(simhash, "CELL", cell)
+    wanted = brute.kept_ids([r for r in rows if r[0] is not None])
+    kept = simhash.keep_one(frame(spark, rows))
+    assert sorted(r["doc_id"] for r in kept.collect()) == wanted
+
+
 def test_keep_one_of_nothing(spark):
     assert simhash.keep_one(frame(spark, [])).count() == 0
 
