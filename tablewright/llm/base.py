@@ -24,18 +24,19 @@ def order_id(column: str | Column = "doc_id") -> Column:
 
 
 def per_text(docs: DataFrame, schema: str, fn: Callable[[bytes], tuple], id_col: str = "doc_id",
-             text_col: str = "text") -> DataFrame:
+             text_col: str = "text", rows_out: int = 10_000) -> DataFrame:
     """One row per document: doc_id and the tuple that ``fn`` gives for its bytes (null text: empty).
 
     ``schema`` names the tuple's columns.  Rows are dealt with one by one inside Arrow
-    batches, so memory follows the batch, not the partition.
+    batches, so memory follows the batch, not the partition.  Where results are as wide as
+    texts, a smaller ``rows_out`` keeps the batches that go back small.
     """
     rows = ids_and_bytes(docs, id_col, text_col)
     out = rows.sparkSession.createDataFrame([], f"doc_id long, {schema}").schema
     arrow = arrow_schema(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, rows_out) for b in batches for at in range(0, max(b.num_rows, 1), rows_out)):
             made = [fn(t.as_py() or b"") for t in batch.column(1)]
             columns = list(zip(*made)) if made else [[] for _ in arrow.names[1:]]
             yield pa.RecordBatch.from_arrays(

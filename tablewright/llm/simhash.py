@@ -252,7 +252,7 @@ def _verified(docs: DataFrame, profiles: DataFrame, pairs: DataFrame, similarity
         found = _shingles(_hashes(data, width), width)
         return _signed(found.tobytes()), found.view(np.int64)
 
-    sets = cut(per_text(rows, "set_id long, shingles array<long>", shingles).join(wanted, "set_id", "left_semi")
+    sets = cut(per_text(rows, "set_id long, shingles array<long>", shingles, rows_out=64).join(wanted, "set_id", "left_semi")
                .dropDuplicates(["set_id"]).select("set_id", "shingles"), "wanted-shingles")
     left = sets.select(F.col("set_id").alias("a_id"), F.col("shingles").alias("a_shingles"))
     right = sets.select(F.col("set_id").alias("b_id"), F.col("shingles").alias("b_shingles"))
