@@ -12,7 +12,7 @@ linked through midpoints instead: two values are within 2h bits exactly if some
 within h bits of both.  A midpoint has at most as many fingerprints around it as there are
 such values, so this stays linear and loses no link.
 
-Two bits are far less than what texts of similarity 0.8 differ in (mostly 3 to 16), and at such
+Two bits are far less than what texts of similarity 0.8 differ in (mostly 3 to 11), and at such
 distances no bit counts prune.  ``keep_one`` therefore adds the links of shingle sets that are
 at least that similar: candidates share a band of minima, and each is verified on the whole sets.
 """
