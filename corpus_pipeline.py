@@ -12,28 +12,42 @@ from tablewright.llm import decontaminate, line_dedup, packing, quality_rules, s
 from tablewright.llm.queries import TOKENIZER, table
 
 
+#: Rows of an Arrow batch.  Texts are wide, and a batch is in memory several times, in the executor and its Python workers.
+BATCH_ROWS = 2000
+
+
+def lean(spark: SparkSession) -> None:
+    """Small Arrow batches for this application."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, without the lines that fail them."""
+    lean(spark)
     return quality_rules.clean(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a smaller document has."""
+    lean(spark)
     return line_dedup.drop_repeated_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    lean(spark)
     return simhash.keep_one(docs)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    lean(spark)
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the training sequences."""
+    lean(spark)
     return packing.pack(docs, TOKENIZER)
 
 

@@ -23,6 +23,26 @@ def order_id(column: str | Column = "doc_id") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(NULL_ID))
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """``make()``, kept by the worker process for its next tasks.
+
+    Only what was asked for last stays, so the dictionaries of an application's stages do not add up.
+    """
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Gives back what ``kept`` holds, and the memory of Arrow batches that are gone."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def per_text(docs: DataFrame, schema: str, fn: Callable[[bytes], tuple], id_col: str = "doc_id",
              text_col: str = "text", rows_out: int = 10_000) -> DataFrame:
     """One row per document: doc_id and the tuple that ``fn`` gives for its bytes (null text: empty).
@@ -36,7 +56,8 @@ def per_text(docs: DataFrame, schema: str, fn: Callable[[bytes], tuple], id_col:
     arrow = arrow_schema(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, rows_out) for b in batches for at in range(0, max(b.num_rows, 1), rows_out)):
+        forget()
+        for batch in slices(batches, rows_out):
             made = [fn(t.as_py() or b"") for t in batch.column(1)]
             columns = list(zip(*made)) if made else [[] for _ in arrow.names[1:]]
             yield pa.RecordBatch.from_arrays(
@@ -45,6 +66,11 @@ def per_text(docs: DataFrame, schema: str, fn: Callable[[bytes], tuple], id_col:
     return rows.mapInArrow(run, out)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows."""
+    return (b.slice(at, rows) for b in batches for at in range(0, max(b.num_rows, 1), rows))
+
+
 def arrow_schema(schema) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     return to_arrow_schema(schema)

@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 import string
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import cut
-from .base import Remembered, as_row, order_id
+from .base import Remembered, as_row, kept, order_id
 
 # Unit words that become a placeholder behind a number.
 UNITS = ("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles mg g kg lb lbs oz ton tons gram grams "
@@ -77,10 +76,9 @@ def token(raw: bytes) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-@lru_cache(maxsize=1)
 def known_tokens() -> Remembered:
     """One dictionary of words per worker process."""
-    return Remembered(token, 250_000)
+    return kept("tokens", lambda: Remembered(token, 250_000))
 
 
 def canonical(text: bytes, tokens: Remembered) -> tuple[np.ndarray, np.ndarray]:
@@ -224,12 +222,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal: int =
         F.sum(F.xxhash64("position", "reading", "hash", "shape").cast("decimal(38,0)")).alias("template")))
     # Items with the same windows at the same places are one class.
     classes = (kinds.groupBy("template", "n_item_windows").agg(F.min(F.struct("owner", "sum")).alias("first")))
-    kept = items.join(classes.select("first.owner", "first.sum", "n_item_windows"), ["owner", "sum"])
-    kept = cut(kept.select(F.col("owner").alias("item_id"), F.col("sum").alias("item_sum"), F.col("position").alias("item_position"),
+    templates = items.join(classes.select("first.owner", "first.sum", "n_item_windows"), ["owner", "sum"])
+    templates = cut(templates.select(F.col("owner").alias("item_id"), F.col("sum").alias("item_sum"), F.col("position").alias("item_position"),
                            "reading", "hash", "shape", "n_item_windows", F.least("n_tokens", F.lit(width)).alias("width")), "templates")
-    widths = [r["width"] for r in kept.select("width").distinct().collect()]  # at most ``width`` of them
-    found = template_windows(docs, width, literal, id_col, text_col, widths, bit_table(kept))
-    hits = found.join(kept.drop("width"), ["hash", "reading", "shape"])
+    widths = [r["width"] for r in templates.select("width").distinct().collect()]  # at most ``width`` of them
+    found = template_windows(docs, width, literal, id_col, text_col, widths, bit_table(templates))
+    hits = found.join(templates.drop("width"), ["hash", "reading", "shape"])
     # Partial counts per item place come before the shuffle; an item has few places.
     pairs = (hits.groupBy("owner", "sum", "item_id", "item_sum", "n_item_windows", "item_position").agg(F.lit(1))
              .groupBy("owner", "sum", "item_id", "item_sum", "n_item_windows").agg(F.count("*").alias("n_windows")))

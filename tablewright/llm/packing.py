@@ -16,7 +16,6 @@ import re
 import zlib
 from bisect import insort
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import cut
-from .base import Remembered, ids_and_bytes
+from .base import Remembered, ids_and_bytes, kept
 
 #: Words, and parts of words, in a generation of a worker's dictionaries; two are kept.
 CACHE_WORDS = 250_000
@@ -83,10 +82,9 @@ class WordEncoder:
         return b"".join(map(self.words.__getitem__, text.replace(b"\n", b" ").split(b" ")))
 
 
-@lru_cache(maxsize=2)
 def encoder_of(path: str) -> WordEncoder:
     """One encoder per worker process, so that tasks share its dictionaries."""
-    return WordEncoder(path)
+    return kept(("encoder", path), lambda: WordEncoder(path))
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"

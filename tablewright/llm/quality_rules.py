@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import per_text
+from .base import forget, per_text, slices
 
 # Characters that the base metrics count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -157,7 +157,8 @@ def clean(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lengt
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        forget()
+        for batch in slices(batches, 500):  # a batch of texts is in memory several times
             data = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()]
             keep = [judge_text(d, rules)[6] for d in data]
             texts = [clean_text(d, rules)[0].decode("utf-8", "replace") for d, k in zip(data, keep) if k]
