@@ -38,6 +38,9 @@ CELL = 32
 SHINGLE = 5
 #: Bands and minima per band: sets of similarity 0.8 share a band in 99.96 of 100 cases.
 BANDS, ROWS = 20, 5
+#: Four bits of each minimum make a sketch.  At similarity 0.8 its bits differ in 40 places on average; over 90 has a chance
+#: of some 1 in 5 million, while sets of similarity 0.4 differ in 120.
+SKETCH_LONGS, SKETCH_BITS = -(-BANDS * ROWS * 4 // 64), 90
 _BITS = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.array([xxhash.xxh64_intdigest(b"factor", i) | 1 for i in range(BANDS * ROWS)], np.uint64)
@@ -89,12 +92,31 @@ def _signed(data: bytes, seed: int = 0) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(data, seed)).astype(np.int64))
 
 
-def _bands(shingles: np.ndarray) -> list[int]:
-    """One hash per band: equal with chance s ** ROWS for shingle sets of similarity s."""
+def _minima(shingles: np.ndarray) -> np.ndarray:
+    """The least hash of the set under each of BANDS * ROWS functions."""
     least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 1 << 10):
         least = np.minimum(least, (shingles[at:at + (1 << 10), None] * _FACTORS + _OFFSETS).min(axis=0))
-    return [_signed(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))]
+    return least
+
+
+def _bands(minima: np.ndarray) -> list[int]:
+    """One hash per band: equal with chance s ** ROWS for shingle sets of similarity s."""
+    return [_signed(band.tobytes(), i) for i, band in enumerate(minima.reshape(BANDS, ROWS))]
+
+
+def _sketch(minima: np.ndarray) -> list[int]:
+    """Four bits of each minimum, as longs."""
+    four = ((minima * _ODD) >> np.uint64(60)).astype(np.uint8)
+    packed = np.zeros(SKETCH_LONGS * 8, np.uint8)
+    packed[:len(four) // 2] = four[::2] << 4 | four[1::2]
+    return packed.view(np.int64).tolist()
+
+
+def _close(a: Column, b: Column) -> Column:
+    """Whether sketches differ in at most ``SKETCH_BITS`` bits."""
+    bits = [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH_LONGS)]
+    return sum(bits[1:], bits[0]) <= SKETCH_BITS
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,13 +125,15 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
 
 
 def _profiles(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp, set_id, n, bands): fingerprint, and id, size and bands of the shingle set."""
+    """(doc_id, fp, set_id, n, bands, sketch): fingerprint, and id, size, bands and sketch of the shingle set."""
     def profile(data):
         hashes = _hashes(data, width)
         shingles = _shingles(hashes, width)
-        return (_majority(hashes), _signed(shingles.tobytes()), len(shingles), _bands(shingles) if len(shingles) else [])
+        minima = _minima(shingles)
+        bands, sketch = (_bands(minima), _sketch(minima)) if len(shingles) else ([], [])
+        return _majority(hashes), _signed(shingles.tobytes()), len(shingles), bands, sketch
 
-    return per_text(docs, "fp long, set_id long, n long, bands array<long>", profile, id_col, text_col)
+    return per_text(docs, "fp long, set_id long, n long, bands array<long>, sketch array<long>", profile, id_col, text_col)
 
 
 def _segment_counts(block: Column) -> Column:
@@ -201,9 +225,10 @@ def similar_links(docs: DataFrame, profiles: DataFrame, similarity: float, width
     ``profiles`` is what ``_profiles`` gives for ``docs``, written.  Equal sets are one node.  All
     pairs of a band of up to ``CELL`` sets are verified.  In a fuller one every set is held against
     one hub; after that only sets in another component than the hub's meet the rest of their band,
-    so a group of close copies costs one comparison each, and no pair that shares a band is lost.
+    so a group of close copies costs one comparison each.  Of these pairs those with close sketches go on
+    to be verified: different texts around one common passage share bands, yet their sketches are far apart.
     """
-    sets = cut(profiles.where("n > 0").dropDuplicates(["set_id"]).select("set_id", "n", "fp", "bands"), "shingle-sets")
+    sets = cut(profiles.where("n > 0").dropDuplicates(["set_id"]).select("set_id", "n", "fp", "bands", "sketch"), "shingle-sets")
     equal = (profiles.where("n > 0").select("set_id", F.col("fp").alias("b")).distinct()
              .join(sets.select("set_id", F.col("fp").alias("a")), "set_id").where("a != b").select("a", "b"))
     node = F.struct("set_id", "n", "fp").alias("node")
@@ -228,11 +253,16 @@ def similar_links(docs: DataFrame, profiles: DataFrame, similarity: float, width
     roots = components(links.unionAll(equal)).select(F.col("node").alias("of"), "root")
     own = crowded.join(roots, F.col("node.fp") == F.col("of"), "left").select(
         "band", "node", "hub", F.coalesce("root", "node.fp").alias("own_root"))
-    rooted = cut(own.join(roots, F.col("hub.fp") == F.col("of"), "left").select(
-        "band", "node", F.col("own_root").alias("root"), F.coalesce("root", "hub.fp").alias("hub_root")), "rooted-bands")
-    apart = rooted.where("root != hub_root").select("band", F.col("node").alias("a"), F.col("root").alias("a_root"))
-    across = (apart.join(rooted.select("band", F.col("node").alias("b"), F.col("root").alias("b_root")), "band")
-              .where((F.col("a_root") != F.col("b_root")) & alike(F.col("a"), F.col("b")))
+    rooted = own.join(roots, F.col("hub.fp") == F.col("of"), "left").select(
+        "band", "node", F.col("own_root").alias("root"), F.coalesce("root", "hub.fp").alias("hub_root"))
+    sketches = sets.select(F.col("set_id").alias("of_set"), "sketch")
+    rooted = cut(rooted.join(sketches, F.col("node.set_id") == F.col("of_set")).drop("of_set"), "rooted-bands")
+    apart = rooted.where("root != hub_root").select("band", F.col("node").alias("a"), F.col("root").alias("a_root"),
+                                                    F.col("sketch").alias("a_sketch"))
+    rest = rooted.select("band", F.col("node").alias("b"), F.col("root").alias("b_root"), F.col("sketch").alias("b_sketch"))
+    across = (apart.join(rest, "band")
+              .where((F.col("a_root") != F.col("b_root")) & alike(F.col("a"), F.col("b"))
+                     & _close(F.col("a_sketch"), F.col("b_sketch")))
               .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return links.unionAll(_verified(docs, profiles, across, similarity, width, id_col, text_col)).unionAll(equal)
 
