@@ -40,7 +40,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).select(
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), min_words=1, every=True).select(
         "doc_id", "start", "end", "n_words", "first_docs")
 
 

@@ -1,9 +1,9 @@
 """Repeated passages: units of lines are hashed, grouped globally, the earliest occurrence stays.
 
 A unit is a sentence of a line, a line, or a paragraph, normalised in case and white space.  Digests of all units
-are grouped; what moves is a digest, an id and a place, never text.  Documents after the
-first lose a unit, if it stands in a run of such units with ``min_words`` words.  Spans refer to
-the characters of the original text.
+are grouped; what moves is a digest, an id and a place, never text.  With ``every`` (the query and
+``drop_passages``) all occurrences but the first go, also within one document and whatever
+their length.  Spans refer to the characters of the original text.
 """
 
 from __future__ import annotations
@@ -62,21 +62,30 @@ def unit_digests(docs: DataFrame, unit: str = "sentence", id_col: str = "doc_id"
 
 
 def repeated_spans(docs: DataFrame, unit: str = "sentence", min_words: int = 25, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", every: bool = False) -> DataFrame:
     """(doc_id, sum, start, end, n_words, first_docs) of every passage to remove.
 
-    A unit is repeated if a smaller id has it too (ranks are ids; a null id is the
-    largest); the smallest id keeps all of its occurrences.  Neighbouring repeated units make a passage, which is
-    reported if it has ``min_words`` words or more.  ``start`` and ``end`` count
+    Occurrences of a unit rank by id, ``sum`` and place (a null id is the largest).  With ``every`` only the
+    smallest stays; without, a unit is repeated if a smaller id has it too, and the smallest id keeps
+    all of its occurrences.  Neighbouring repeated units make a passage, which is
+    reported if it has ``min_words`` words or more (1: all are).  ``start`` and ``end`` count
     characters of the original text; ``first_docs`` are the ids that keep its units.  Rows with one id are one
     document; ``sum`` (xxhash64 of the text) tells their texts apart, and rows repeated as a whole are
     reported once.  Null and empty texts have no units.
     """
     units = cut(unit_digests(docs, unit, id_col, text_col), "units")
     # Written, so that the join below deals both sides anew and a digest with many units can be split.
-    firsts = cut(units.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-                 .where("first < last").drop("last"), "first-units")
-    hits = (units.join(firsts, ["high", "low"]).where("doc_id != first")
+    if every:
+        least = F.min(F.struct("doc_id", "sum", "ordinal"))
+        firsts = (units.groupBy("high", "low").agg(least.alias("least"), F.count("*").alias("n")).where("n > 1")
+                  .select("high", "low", F.col("least.doc_id").alias("first"), F.col("least.sum").alias("first_sum"),
+                          F.col("least.ordinal").alias("first_ordinal")))
+        later = "not (doc_id = first and sum = first_sum and ordinal = first_ordinal)"
+    else:
+        firsts = (units.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+                  .where("first < last").drop("last"))
+        later = "doc_id != first"
+    hits = (units.join(cut(firsts, "first-units"), ["high", "low"]).where(later)
             .select("doc_id", "sum", "ordinal", "start", "end", "words", "first").distinct())
     # As many structs as one document has units: no more than its text holds.
     runs = hits.groupBy("doc_id", "sum").agg(F.array_sort(F.collect_list(
@@ -111,10 +120,10 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(kept) + text[at:]
 
 
-def drop_passages(docs: DataFrame, unit: str = "sentence", min_words: int = 25, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
+def drop_passages(docs: DataFrame, unit: str = "sentence", min_words: int = 1, id_col: str = "doc_id",
+                  text_col: str = "text", every: bool = True) -> DataFrame:
     """(doc_id, kept_text, removed array<struct<start, end>>) per row; offsets are the original text's."""
-    spans = (repeated_spans(docs, unit, min_words, id_col, text_col).groupBy("doc_id", "sum")
+    spans = (repeated_spans(docs, unit, min_words, id_col, text_col, every).groupBy("doc_id", "sum")
              .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
              .select(F.col("doc_id").alias("_id"), F.col("sum").alias("_sum"), "removed"))
     text = F.col(text_col).cast("string")

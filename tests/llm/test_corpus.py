@@ -1,6 +1,7 @@
 """Packing, decontamination, repeated passages and the pipeline."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -152,6 +153,34 @@ def test_repeated_passages_like_plain(docs):
     assert {(r["doc_id"], r["start"], r["end"]) for r in substring_dedup.repeated_spans(docs).collect()} == wanted and wanted
 
 
+def windows(text, width=50):
+    words = text.lower().split()
+    return [" ".join(words[i:i + width]) for i in range(len(words) - width + 1)]
+
+
+def test_only_the_first_occurrence_stays(spark):
+    """Also inside one document, and short units beside others."""
+    page = " ".join(f"Word{i} stands in a sentence." for i in range(20))
+    docs = [(3, page + " Own words. " + page), (5, "Yes indeed. Own start. " + page + " Rest"), (7, "Begin here. Yes indeed. Word3 stands in a sentence."),
+            (7, "Yes indeed. Other text."), (9, "\n".join([page.upper()] * 300)), (None, "Last one. Last one.")]
+    kept = substring_dedup.drop_passages(frame(spark, docs)).collect()
+    texts = [r["kept_text"] for r in sorted(kept, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))]
+    assert texts[0] == page + " Own words." and " ".join(texts[1].split()) == "Yes indeed. Own start. Rest"
+    assert sorted(t.strip() for t in texts[2:4]) == ["Begin here.", "Other text."]
+    assert texts[4].strip() == "" and texts[5].strip() == "Last one."
+    seen = [w for t in texts for w in windows(t)]
+    assert len(seen) == len(set(seen))
+
+
+def test_no_long_window_stays_twice(docs):
+    """Windows of 50 words, whatever the units: what is left twice is a word or two, over and over inside one unit."""
+    kept = substring_dedup.drop_passages(docs).collect()
+    left = Counter(w for r in kept for w in windows(r["kept_text"] or ""))
+    before = Counter(w for r in docs.collect() for w in windows(r["text"] or ""))
+    long = lambda counts: sum(n > 1 and len(set(w.split())) > 2 for w, n in counts.items())
+    assert long(before) > 1000 and long(left) == 0
+
+
 @pytest.mark.parametrize("unit", ["line", "paragraph"])
 def test_other_units(spark, unit):
     docs = frame(spark, [(1, f"{PASSAGE}\nend\n\nmore"), (2, f"{PASSAGE}\nend\n\nother")])
