@@ -6,7 +6,9 @@ tokens has a hash, once as a template and once with its names read as plain word
 change of case hides nothing).  Windows of documents pass a bit table built from the
 benchmark's hashes, whose size is fixed, and what passes joins the benchmark's windows.  A pair of
 windows counts if slots that are equal on one side are equal on the other, so one question
-with other numbers is caught and an unlike use of the same template is not.
+with other numbers is caught and an unlike use of the same template is not.  Items that these
+readings do not hold (short, full of numbers, or written without spaces) are matched word by
+word, marks and numbers as they stand.
 """
 
 from __future__ import annotations
@@ -39,6 +41,12 @@ _ASCII_MARKS = string.punctuation
 _LINE_END = b" \xff "
 _HASH_BITS = np.uint64((1 << 64) - 16)
 _UNIT_WORDS = frozenset(UNITS)
+# Scripts written without spaces between words: Thai to Tibetan, Myanmar, Khmer, kana, ideographs.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3021-\u3029\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+                       "\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U000323af]")
+_LEADS = re.compile(rb"[\xe0\xe1\xe3-\xe9\xef\xf0]")
+#: Readings: numbers and units are slots; names too; nothing is.
+PLAINLY, TEMPLATE, LITERAL = 0, 1, 2
 _PLACEHOLDER = {NUMBER: "<number>", UNIT: "<unit>", CAPITAL: "<name>"}
 
 
@@ -72,7 +80,7 @@ def token(raw: bytes) -> int:
         kind = UNIT
     else:
         kind = CAPITAL if core[0].isupper() and not core.isupper() else PLAIN
-    value = _hash(plain) & ~15 | kind << 1 | ends
+    value = _hash(plain or text) & ~15 | kind << 1 | ends
     return value - (1 << 64) if value >> 63 else value
 
 
@@ -103,6 +111,28 @@ def canonical(text: bytes, tokens: Remembered) -> tuple[np.ndarray, np.ndarray]:
     return hashes[word], kinds
 
 
+def literal_words(text: bytes, tokens: Remembered) -> tuple[np.ndarray, bool]:
+    """(hash of each word or mark as it stands, whether a script without spaces is in it).
+
+    Characters of such scripts are words of their own, as what stands beside a copy is not set off.
+    """
+    unspaced = False
+    if _LEADS.search(text):
+        apart, n = _UNSPACED.subn(r" \g<0> ", text.decode("utf-8", "replace"))
+        if unspaced := n > 0:
+            text = apart.encode("utf-8")
+    words = text.split()
+    codes = np.fromiter(map(tokens.__getitem__, words), np.int64, len(words)).view(np.uint64)
+    return codes, unspaced
+
+
+def literal_item(text: bytes, tokens: Remembered) -> tuple[np.ndarray, bool]:
+    """The same of an item: marks at its ends are left out, as a copy can have others there."""
+    codes, unspaced = literal_words(text, tokens)
+    word = np.flatnonzero((codes & np.uint64(15)) >> np.uint64(1) != _MARK)
+    return (codes[word[0]:word[-1] + 1] if len(word) else codes) & _HASH_BITS, unspaced
+
+
 def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit polynomial hash of every window of ``width`` codes."""
     n = len(codes) - width + 1
@@ -145,11 +175,14 @@ _ARROW = pa.schema([("owner", pa.int64()), ("sum", pa.int64()), ("position", pa.
 
 
 def template_windows(texts: DataFrame, width: int = 8, literal: int = 5, id_col: str = "doc_id", text_col: str = "text",
-                     widths: list[int] | None = None, table: bytes | None = None) -> DataFrame:
+                     widths: list[int] | None = None, table: bytes | None = None, literal_widths: list[int] = (),
+                     min_tokens: int = 1) -> DataFrame:
     """(owner, sum, position, n_tokens, reading, hash, shape) of each window.
 
-    Without ``widths`` a text of fewer than ``width`` words is one window.  With it,
-    windows of each of these widths are made, and only hashes marked in ``table`` pass.
+    Without ``widths`` texts are items: one of fewer than ``width`` words is one window.  Items of fewer than
+    ``min_tokens`` words, without an allowed window, or with a script without spaces have literal windows;
+    the first two have no others.  With ``widths``,
+    windows of each of these widths are made (literal ones of ``literal_widths``, each once), and only hashes marked in ``table`` pass.
     ``shape`` says which of the window's slots are equal, ``sum`` is xxhash64 of the text.
     """
     shared = texts.sparkSession.sparkContext.broadcast(table) if table is not None else None
@@ -160,10 +193,11 @@ def template_windows(texts: DataFrame, width: int = 8, literal: int = 5, id_col:
         for batch in batches:
             owner, position, length, readings, found, shape = [], [], [], [], [], []
             for row, text in enumerate(batch.column(2)):
-                hashes, kinds = canonical(text.as_py() or b"", tokens)
-                n = len(hashes)
+                data = text.as_py() or b""
+                hashes, kinds = canonical(data, tokens)
+                n, before = len(hashes), len(owner)
                 for w in widths if widths is not None else [min(width, n)]:
-                    if not 0 < w <= n:
+                    if not 0 < w <= n or widths is None and n < min_tokens:
                         continue
                     for reading, slot, made, allowed in _windows(hashes, kinds, w, literal):
                         if bits is not None:
@@ -175,6 +209,25 @@ def template_windows(texts: DataFrame, width: int = 8, literal: int = 5, id_col:
                             readings.append(reading)
                             found.append(made[p])
                             shape.append(shapes(hashes[p:p + w][slot[p:p + w]]))
+                if widths is None:
+                    codes, unspaced = literal_item(data, tokens)
+                    wanted = [min(width, len(codes))] if unspaced or len(owner) == before else []
+                elif wanted := literal_widths:
+                    codes = literal_words(data, tokens)[0] & _HASH_BITS
+                for w in wanted:
+                    if not 0 < w <= len(codes):
+                        continue
+                    made = window_hashes(codes, w)
+                    places = np.arange(len(made))
+                    if bits is not None:
+                        places = np.flatnonzero(marked(bits, made))
+                        places = places[np.unique(made[places], return_index=True)[1]]
+                    owner += [row] * len(places)
+                    position += places.tolist()
+                    length += [len(codes)] * len(places)
+                    readings += [LITERAL] * len(places)
+                    found += made[places].tolist()
+                    shape += [[]] * len(places)
             who = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(who), batch.column(1).take(who), pa.array(position, pa.int32()), pa.array(length, pa.int32()),
@@ -211,29 +264,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal: int =
 
     A pair is reported if ``share`` of the item's windows, or ``enough`` of them, occur in the
     document with consistent slots.  Items that are the same template in all their words are one class, named by
-    its smallest item_id.  Items of fewer than ``width`` words are one window, of fewer than
-    ``min_tokens`` are not looked for; null or empty texts match nothing.  A null id is
+    its smallest item_id.  Items of fewer than ``width`` words are one window.  Items of fewer than
+    ``min_tokens`` words, without an allowed window (``literal``), or in a script without spaces are matched word by word, by a
+    count of their own; the greater share is given.  Null or empty texts match nothing.  A null id is
     reported as the largest id; ``sum`` (xxhash64 of the text) tells rows with one id apart.
     """
-    items = template_windows(benchmark, width, literal, item_col, item_text_col).where(F.col("n_tokens") >= min_tokens)
-    items = cut(items.distinct(), "benchmark-windows")
-    kinds = (items.groupBy("owner", "sum").agg(
-        F.count(F.when(F.col("reading") == 0, 1)).alias("n_item_windows"),
+    items = template_windows(benchmark, width, literal, item_col, item_text_col, min_tokens=min_tokens)
+    items = cut(items.withColumn("literal", F.col("reading") == LITERAL).distinct(), "benchmark-windows")
+    kinds = (items.groupBy("owner", "sum", "literal").agg(
+        F.count(F.when(F.col("reading") != TEMPLATE, 1)).alias("n_item_windows"),
         F.sum(F.xxhash64("position", "reading", "hash", "shape").cast("decimal(38,0)")).alias("template")))
     # Items with the same windows at the same places are one class.
-    classes = (kinds.groupBy("template", "n_item_windows").agg(F.min(F.struct("owner", "sum")).alias("first")))
-    templates = items.join(classes.select("first.owner", "first.sum", "n_item_windows"), ["owner", "sum"])
+    classes = (kinds.groupBy("literal", "template", "n_item_windows").agg(F.min(F.struct("owner", "sum")).alias("first")))
+    templates = items.join(classes.select("first.owner", "first.sum", "literal", "n_item_windows"), ["owner", "sum", "literal"])
     templates = cut(templates.select(F.col("owner").alias("item_id"), F.col("sum").alias("item_sum"), F.col("position").alias("item_position"),
-                           "reading", "hash", "shape", "n_item_windows", F.least("n_tokens", F.lit(width)).alias("width")), "templates")
-    widths = [r["width"] for r in templates.select("width").distinct().collect()]  # at most ``width`` of them
-    found = template_windows(docs, width, literal, id_col, text_col, widths, bit_table(templates))
+                           "reading", "hash", "shape", "literal", "n_item_windows", F.least("n_tokens", F.lit(width)).alias("width")), "templates")
+    made = templates.select("literal", "width").distinct().collect()  # at most twice ``width`` of them
+    widths, literal_widths = ([r["width"] for r in made if r["literal"] == kind] for kind in (False, True))
+    found = template_windows(docs, width, literal, id_col, text_col, widths, bit_table(templates), literal_widths)
     hits = found.join(templates.drop("width"), ["hash", "reading", "shape"])
     # Partial counts per item place come before the shuffle; an item has few places.
-    pairs = (hits.groupBy("owner", "sum", "item_id", "item_sum", "n_item_windows", "item_position").agg(F.lit(1))
-             .groupBy("owner", "sum", "item_id", "item_sum", "n_item_windows").agg(F.count("*").alias("n_windows")))
+    pairs = (hits.groupBy("owner", "sum", "item_id", "item_sum", "literal", "n_item_windows", "item_position").agg(F.lit(1))
+             .groupBy("owner", "sum", "item_id", "item_sum", "literal", "n_item_windows").agg(F.count("*").alias("n_windows")))
     part = F.col("n_windows") / F.greatest("n_item_windows", F.lit(1))
-    return (pairs.withColumn("share", part).where((F.col("share") >= share) | (F.col("n_windows") >= enough))
-            .select(F.col("owner").alias("doc_id"), "sum", "item_id", "n_windows", "n_item_windows", "share"))
+    held = pairs.withColumn("share", part).where((F.col("share") >= share) | (F.col("n_windows") >= enough))
+    best = F.max(F.struct("share", "n_windows", "n_item_windows")).alias("best")
+    return (held.groupBy("owner", "sum", "item_id", "item_sum").agg(best)
+            .select(F.col("owner").alias("doc_id"), "sum", "item_id", "best.n_windows", "best.n_item_windows", "best.share"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

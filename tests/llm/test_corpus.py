@@ -98,6 +98,19 @@ def decontaminate_null():
     return (1 << 63) - 1
 
 
+def test_items_without_templates_match_literally(spark):
+    """Numbers and units only, few words, or no spaces: a verbatim copy is found, other numbers or words are not."""
+    items = {1: "Calculate 12 + 7 * 3 - 5 / 2", 2: "add 3 kg 5 g to 7 kg 9 g and 2 kg", 3: "Name two rivers", 4: "今天的天气怎么样？明天会下雨吗？",
+             5: "+ - * /", 6: "พรุ่งนี้ฝนจะตกไหม", 7: "x=(a+b)", 8: "Explain 为什么 the sky over 北京 is often blue in autumn, please", 9: " "}
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    around = {i: f"Before this. {t} ! After it." for i, t in items.items() if i not in (4, 6)}
+    docs = [*around.items(), (4, f"他问{items[4]}然后走了。"), (6, f"เขาถามว่า{items[6]}แล้วไป"), (11, "Calculate 99 + 8 * 4 - 6 / 1"), (12, "add 4 kg 6 g to 8 kg 1 g and 3 kg"),
+            (13, "Name two of the rivers"), (14, "今天的天气很好"), (15, "Calculate 12\n+ 7 * 3 -\n5 / 2"), (16, None), (17, "")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(frame(spark, docs), benchmark).collect()}
+    assert got == {(i, i) for i in items if i not in (5, 9)} | {(5, 5), (15, 1)}
+    assert {r["doc_id"] for r in decontaminate.without_leaks(frame(spark, docs), benchmark).collect()} == {9, 11, 12, 13, 14, 16, 17}
+
+
 def test_slots_have_to_agree(spark):
     benchmark = spark.createDataFrame([(1, "take 5 steps left then take 5 steps right again")], "item_id long, text string")
     docs = frame(spark, [(1, "take 9 steps left then take 9 steps right again"), (2, "take 9 steps left then take 8 steps right again")])
