@@ -259,12 +259,12 @@ def bit_table(hashes: DataFrame, log_bits: int = 24) -> bytes:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal: int = 5, share: float = 0.3, enough: int = 40,
           min_tokens: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-          item_text_col: str = "text") -> DataFrame:
+          item_text_col: str = "text", members: bool = True) -> DataFrame:
     """(doc_id, sum, item_id, n_windows, n_item_windows, share) of each document and item it holds.
 
     A pair is reported if ``share`` of the item's windows, or ``enough`` of them, occur in the
-    document with consistent slots.  Items that are the same template in all their words are one class, named by
-    its smallest item_id.  Items of fewer than ``width`` words are one window.  Items of fewer than
+    document with consistent slots.  Items that are the same template in all their words are joined once, as one class,
+    and reported each (without ``members`` only the smallest).  Items of fewer than ``width`` words are one window.  Items of fewer than
     ``min_tokens`` words, without an allowed window (``literal``), or in a script without spaces are matched word by word, by a
     count of their own; the greater share is given.  Null or empty texts match nothing.  A null id is
     reported as the largest id; ``sum`` (xxhash64 of the text) tells rows with one id apart.
@@ -276,6 +276,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal: int =
         F.sum(F.xxhash64("position", "reading", "hash", "shape").cast("decimal(38,0)")).alias("template")))
     # Items with the same windows at the same places are one class.
     classes = (kinds.groupBy("literal", "template", "n_item_windows").agg(F.min(F.struct("owner", "sum")).alias("first")))
+    same = kinds.join(classes, ["literal", "template", "n_item_windows"]).select(
+        F.col("first.owner").alias("item_id"), F.col("first.sum").alias("item_sum"), "literal",
+        F.col("owner").alias("member_id"), F.col("sum").alias("member_sum"))
     templates = items.join(classes.select("first.owner", "first.sum", "literal", "n_item_windows"), ["owner", "sum", "literal"])
     templates = cut(templates.select(F.col("owner").alias("item_id"), F.col("sum").alias("item_sum"), F.col("position").alias("item_position"),
                            "reading", "hash", "shape", "literal", "n_item_windows", F.least("n_tokens", F.lit(width)).alias("width")), "templates")
@@ -288,13 +291,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal: int =
              .groupBy("owner", "sum", "item_id", "item_sum", "literal", "n_item_windows").agg(F.count("*").alias("n_windows")))
     part = F.col("n_windows") / F.greatest("n_item_windows", F.lit(1))
     held = pairs.withColumn("share", part).where((F.col("share") >= share) | (F.col("n_windows") >= enough))
+    if members:
+        held = held.join(cut(same, "members"), ["item_id", "item_sum", "literal"])
+    else:
+        held = held.withColumns({"member_id": F.col("item_id"), "member_sum": F.col("item_sum")})
     best = F.max(F.struct("share", "n_windows", "n_item_windows")).alias("best")
-    return (held.groupBy("owner", "sum", "item_id", "item_sum").agg(best)
-            .select(F.col("owner").alias("doc_id"), "sum", "item_id", "best.n_windows", "best.n_item_windows", "best.share"))
+    return (held.groupBy("owner", "sum", "member_id", "member_sum").agg(best)
+            .select(F.col("owner").alias("doc_id"), "sum", F.col("member_id").alias("item_id"), "best.n_windows", "best.n_item_windows", "best.share"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, all columns as they are.  Options as for ``leaks``."""
-    bad = cut(leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select("doc_id", "sum").distinct(), "leaks")
+    bad = cut(leaks(docs, benchmark, id_col=id_col, text_col=text_col, **{"members": False, **options}).select("doc_id", "sum").distinct(), "leaks")
     keyed = as_row(docs, doc_id=order_id(F.col(id_col).cast("long")), sum=F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     return keyed.join(bad.hint("shuffle_hash"), ["doc_id", "sum"], "left_anti").select("row.*")

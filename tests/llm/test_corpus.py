@@ -111,6 +111,16 @@ def test_items_without_templates_match_literally(spark):
     assert {r["doc_id"] for r in decontaminate.without_leaks(frame(spark, docs), benchmark).collect()} == {9, 11, 12, 13, 14, 16, 17}
 
 
+def test_every_item_of_a_class_is_reported(spark):
+    """Documents are linked to all items of one template, also where two texts or two readings make the links."""
+    family = [(i, QUESTION.replace("12", str(10 + i)).replace("3 days", f"{i} days")) for i in (5, 7, 9)] + [(20, QUESTION.replace("Mary", "Ann")), (21, "so it is"), (22, "So, it is!")]
+    benchmark = spark.createDataFrame(family, "item_id long, text string")
+    docs = frame(spark, [(1, "Before it. " + family[2][1]), (2, "I say so it is now."), (3, "nothing here")])
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, benchmark).collect())
+    assert got == [(1, 5), (1, 7), (1, 9), (1, 20), (2, 21), (2, 22)]
+    assert [r["doc_id"] for r in decontaminate.without_leaks(docs, benchmark).collect()] == [3]
+
+
 def test_slots_have_to_agree(spark):
     benchmark = spark.createDataFrame([(1, "take 5 steps left then take 5 steps right again")], "item_id long, text string")
     docs = frame(spark, [(1, "take 9 steps left then take 9 steps right again"), (2, "take 9 steps left then take 8 steps right again")])
