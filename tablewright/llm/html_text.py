@@ -19,7 +19,12 @@ from .base import per_text
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math datalist".split())
+HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist".split())
+#: Parts of drawings and formulas that are not shown.
+UNSEEN = {"svg": frozenset("defs desc metadata symbol".split()), "math": frozenset(("annotation", "annotation-xml"))}
+_UNSEEN = frozenset().union(*UNSEEN.values())
+#: Elements that hold the rows of a table.
+ROW_GROUPS = frozenset("tbody thead tfoot".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
                   "frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section "
                   "summary table tbody td tfoot th thead tr caption ul".split())
@@ -42,9 +47,11 @@ MAX_DEPTH = 200
 #: Widest column that shorter cells are padded to.
 MAX_COLUMN = 60
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
-                    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# An attribute as HTML reads it: a quote opens a value only behind ``=``.
+_NAME, _VALUE = r"(?:=[^\s/>=]*|[^\s/>=]+)", r"\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?"
+_TOKEN = re.compile(r"<!---?>|<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
+                    rf"<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|{_NAME}(?:{_VALUE})?)*+)(?:>|\Z)", re.DOTALL)
+_ATTRIBUTE = re.compile(r"(=[^\s/>=]*|[^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*))?)?")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -58,7 +65,7 @@ class Node:
     @property
     def hidden(self) -> bool:
         a = self.attributes
-        return (self.tag in HIDDEN or "hidden" in a or self.tag == "input" or a.get("aria-hidden", "").lower() == "true"
+        return (self.tag in HIDDEN or "hidden" in a or self.tag == "input"
                 or self.tag == "dialog" and "open" not in a or bool(_INVISIBLE.search(a.get("style", ""))))
 
 
@@ -150,6 +157,8 @@ def tree(page: str) -> Node:
                 stack[-1].children.append(row)
                 stack.append(row)
             node = Node(name, _attributes(rest))
+            if name in _UNSEEN and any(name in UNSEEN.get(n.tag, ()) for n in stack):
+                node.attributes["hidden"] = ""
             stack[-1].children.append(node)
             if name not in VOID and not (rest.rstrip().endswith("/") and name not in BLOCK | RAW) and len(stack) < MAX_DEPTH:
                 stack.append(node)
@@ -220,7 +229,11 @@ def _element(node: Node, flow: _Flow) -> None:
         flow.text(node.attributes.get("alt", ""))
         return
     if tag not in BLOCK:
+        if tag == "text":  # labels of a drawing stand apart
+            flow.text(" ")
         _block(node, flow)
+        if tag == "text":
+            flow.text(" ")
         return
     flow.end()
     spaced = tag in SPACED and not (flow.lists and tag in ("ul", "ol", "menu", "dir"))
@@ -280,14 +293,23 @@ def _plain(node: Node) -> str:
     return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else "" if c.hidden else _plain(c) for c in node.children)
 
 
-def _rows(node: Node) -> Iterator[Node]:
+def _holds_rows(node: Node) -> bool:
+    """Whether rows stand in an element (a form, say) between a table and them."""
+    return node.tag != "table" and not node.hidden and any(
+        not isinstance(c, str) and (c.tag == "tr" or _holds_rows(c)) for c in node.children)
+
+
+def _parts(node: Node) -> Iterator[str | Node]:
+    """Rows of a table, and the text and elements beside them, through row groups and whatever else holds rows."""
     for child in node.children:
-        if isinstance(child, str) or child.hidden:
+        if isinstance(child, str):
+            yield child
+        elif child.hidden:
             continue
-        if child.tag == "tr":
+        elif child.tag in ROW_GROUPS or child.tag not in ("tr", "table") and _holds_rows(child):
+            yield from _parts(child)
+        else:
             yield child
-        elif child.tag in ("tbody", "thead", "tfoot"):
-            yield from _rows(child)
 
 
 def _lines_of(node: Node) -> list[str]:
@@ -301,12 +323,13 @@ def _table(node: Node) -> list[str]:
     """Caption, stray text, then rows with their cells in aligned columns, two blanks apart."""
     out: list[str] = []
     grid: list[list[list[str]]] = []
-    for child in node.children:
+    parts = list(_parts(node))
+    for child in parts:
         if isinstance(child, str):
             out += [_SPACE.sub(" ", child).strip(" ")] if child.strip() else []
-        elif not child.hidden and child.tag not in ("tr", "tbody", "thead", "tfoot"):
+        elif child.tag != "tr":
             out += _lines_of(Node("div", {}, [child]))
-    for row in _rows(node):
+    for row in (c for c in parts if not isinstance(c, str) and c.tag == "tr"):
         cells: list[list[str]] = []
         for cell in row.children:
             if isinstance(cell, str):

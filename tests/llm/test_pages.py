@@ -104,6 +104,20 @@ def test_rendering(page, text):
     assert html_text.render(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<table><tbody><form><tr><td>a<td>b</tr><tr><td>cc<td>d</tr></form></tbody></table>", "a   b\ncc  d"),
+    ("<table><form><tr><td>a<td>b</form></table>", "a  b"),
+    ("<table><tbody>stray<div>block</div><p>par</p><tr><td>a</td></tr></tbody></table>", "stray\nblock\npar\na"),
+    ("<table><tbody><form hidden><tr><td>no</tr></form><tr><td><table><tr><td>in</table></tbody></table>", "in"),
+    ('<img alt="5" screen"><p>lost text</p><a href="x">link</a>', "5\n\nlost text\n\nlink"),
+    ("<a title=it's>one</a> <b>two</b> <a title='x>y' class=\"a\"id=b>three</a>", "one two three"), ("<a href=x=\"y>t</a> u", "t u"),
+    ("<img alt=\"never closed><p>kept</p>", "kept"), ("<!-->x<!---->y<!-- no --!>z", "xyz"),
+    ("<p aria-hidden=true>icon</p>", "icon"), ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"),
+    ("<svg><title>no</title><desc>no</desc><text>one</text><text>two</text><path d='M0'/></svg> three", "one two three")])
+def test_all_visible_text(page, text):
+    assert html_text.render(page) == text
+
+
 def test_extraction(spark, sf):
     rows = [(i, None, h) for i, (h, _) in enumerate(HTML)] + [(98, None, None), (99, None, "<p>" + "long text " * 50_000)]
     got = {r["page_id"]: r for r in html_text.extract(frame(spark, rows)).collect()}
