@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup, url_filter, warc
+from . import (decontaminate, filter_audit, html_text, line_dedup, packing, periodic_runs, quality_classifier, quality_rules, simhash,
+               substring_dedup, url_filter, warc)
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 # The rules that op6 is asked for.
@@ -65,6 +67,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "item_id", "n_windows", "n_item_windows", "share")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of op12: for a tenth of the ids (never null) what follows some place repeats the words found there."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    period = words[a:a + 1 + (n - a) // (3 + g % 8)]
+    return words[:a] + (period * -(-(n - a) // len(period)))[:n - a]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), edit=planted_period))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -72,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_classifier, op2_simhash, op3_warc, op4_line_dedup, op5_substring_dedup, op6_url_filter,
-                            op7_html_text, op8_quality_rules, op9_packing, op10_decontamination, pipeline)}
+                            op7_html_text, op8_quality_rules, op9_packing, op10_decontamination, op11_filter_audit, op12_periodic_runs, pipeline)}
 
 _SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -98,3 +119,35 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coa
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to FROM p"""
+
+_LETTERS = "(VALUES (0, 'A'), (1, 'B'), (2, 'C'), (3, 'D'), (4, 'E'))"
+SQL["op11_filter_audit"] = rf"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+said AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS bad FROM labels GROUP BY doc_id),
+masks AS (SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+    (CASE WHEN len(words) < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+    + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS m
+  FROM texts LEFT JOIN said USING (doc_id)),
+counted AS (SELECT part, m, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE bad) AS b FROM masks GROUP BY part, m),
+letter AS (SELECT * FROM {_LETTERS} AS v(k, l)),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.k, b.k, c.k, d.k, e.k] AS path
+  FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step, path FROM orders),
+asked AS (SELECT filter_order, step, path[step] AS k, 1 << path[step] AS bit,
+    coalesce(list_sum(list_transform(path[1:step - 1], lambda x: 1 << x)), 0)::BIGINT AS before FROM steps),
+figures AS (SELECT part, filter_order, step, k,
+    sum(CASE WHEN m & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN m & before = 0 AND m & bit <> 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN m & before <> 0 AND m & bit <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN m = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN m & before = 0 AND m & bit <> 0 THEN g ELSE 0 END) AS good_lost,
+    sum(CASE WHEN m & before = 0 AND m & bit <> 0 THEN b ELSE 0 END) AS toxic_lost
+  FROM counted, asked GROUP BY part, filter_order, step, k)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley
+FROM figures"""
