@@ -81,3 +81,35 @@ def running_last(df: DataFrame, value: Column, group: Sequence[str], position: s
     return (rows.withColumn("_seen", F.max("_v").over(inside)).join(carry, keys)
             .withColumn(name, F.greatest("_seen", "_carry"))
             .drop("_v", "_seen", "_carry", "_chunk"))
+
+
+class Scratch:
+    """Written tables of one operator, each of which can go as soon as nothing reads it any more.
+
+    Shuffle files of a write go with it: nothing runs the same frame twice.
+    """
+
+    _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: dict[int, str] = {}
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        before = self.spark.conf.get(self._CLEAN, None)
+        self.spark.conf.set(self._CLEAN, "true")
+        path = scratch_path(self.spark, label)
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(self._CLEAN)
+            else:
+                self.spark.conf.set(self._CLEAN, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = path
+        return out
+
+    def drop(self, frame: DataFrame) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._paths.pop(id(frame)))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
