@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (decontaminate, filter_audit, html_text, line_dedup, packing, periodic_runs, quality_classifier, quality_rules, simhash,
-               substring_dedup, url_filter, warc)
+               substring_dedup, suffix_dedup, url_filter, warc)
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 # The rules that op6 is asked for.
@@ -86,6 +86,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), edit=planted_period))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -93,7 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_classifier, op2_simhash, op3_warc, op4_line_dedup, op5_substring_dedup, op6_url_filter,
-                            op7_html_text, op8_quality_rules, op9_packing, op10_decontamination, op11_filter_audit, op12_periodic_runs, pipeline)}
+                            op7_html_text, op8_quality_rules, op9_packing, op10_decontamination, op11_filter_audit, op12_periodic_runs, op13_suffix_dedup, pipeline)}
 
 _SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
