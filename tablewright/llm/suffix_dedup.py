@@ -1,23 +1,23 @@
 """Repeated byte strings by a distributed difference cover.
 
 Text is compared as bytes, ``length`` at a time.  The suffixes of all texts are brought in order as far as that many
-bytes, by the difference cover modulo 3 over letters of eight bytes:
+bytes, from a sample of them that is a difference cover: equal strings have a sampled suffix at the same distance
+from their beginnings.
 
-* The sampled suffixes, whose place divided by the letter's width leaves 1 or 2, are sorted by their first three letters.
+* Sampled are anchors, the least hashed substring of half of ``length`` in every ``length`` bytes.  Unlike places modulo 3 they
+  depend on the bytes alone, and there are one in thirteen instead of two in three.
+* The sampled suffixes, and what follows them in steps of three letters, are sorted by their first three letters of eight bytes.
   Place in that order is the suffix's name; names spell a string three times as coarse, whose triples are sorted in
-  turn, until names cover ``length`` bytes.
-* The remaining suffixes are merged by the cover's two comparisons: against those that leave 1 by
-  (letter, name behind it), against those that leave 2 by (letter, letter, name behind them).  Both
-  sides have a name there, so each comparison is a sort by such keys.
+  turn, until they cover ``length`` bytes.
+* The remaining suffixes are merged as (bytes before the next sampled suffix, order of that suffix).
 * Strings of ``length`` bytes that are equal are neighbours now; neighbours' prefixes are compared, and all but those
   in the smallest document of such a stretch go.
 
 Sorts are range partitioned, so neither a common string nor a common letter ends up in one task: stretches that touch
 the edge of an Arrow batch are settled by a grouped minimum with partial aggregation.
 
-Only strings that may repeat take part.  Of every ``length`` bytes the least hash of a substring of half that
-length is an anchor, so equal strings have equal anchors; anchors that are in one document only rule out all strings
-around them.  What is left is cut at anchors into blocks, and equal blocks take part once, for the smallest
+Only strings that may repeat take part.  Equal strings have equal anchors, so anchors that are in one document only rule out all
+strings around them.  What is left is cut at anchors into blocks, and equal blocks take part once, for the smallest
 document that has them (in all others, such a block is repeated as a whole).
 """
 
@@ -39,7 +39,7 @@ from .base import forget, order_id, slices, starts
 #: Bytes of a letter; three letters fit one sorted row.
 LETTER = 8
 #: Bytes that are hashed together, and texts above which they are taken in pieces.
-PIECE = 1 << 19
+PIECE = 1 << 18
 #: One anchor in so many ends a block; no block has more strings than this.
 ENDS, BLOCK = 16, 1 << 13
 #: Bytes of blocks that share a row, and bits of a place in it.
@@ -85,10 +85,18 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, in
         yield group
 
 
-def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, hash) of the anchors: substrings of half of ``length`` with the least hash of some ``length`` bytes."""
-    gram = length // 2 + 1
-    wide = length - gram + 1
+def least_places(data: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """For each string of ``length`` bytes, the place of its least substring of ``gram`` bytes by hash, the first of several.
+
+    The upper bits of a hash and the place are compared as one number, which depends on the string's bytes alone.
+    """
+    at = np.arange(max(len(data) - gram + 1, 0), dtype=np.uint64)
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    return (sliding((window_hashes(data, gram) & ~low) | at, length - gram + 1, np.minimum) & low).astype(np.int64)
+
+
+def anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash) of the anchors: of each string of ``length`` bytes, the substring of ``gram`` bytes with the least hash."""
     out = []
     for group in _pieces(texts, length):
         parts = [texts[k][a:min(end + length, len(texts[k]))] for k, a, _, end in group]
@@ -98,16 +106,14 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         begin = np.concatenate(([0], np.cumsum(sizes)))
         part = np.repeat(np.arange(len(parts)), sizes)
-        hashes = window_hashes(data, gram) | np.uint64(1)
-        least = sliding(hashes, wide, np.minimum)
-        least[np.arange(len(least)) + length > begin[1:][part[:len(least)]]] = 0
-        rim = np.zeros(wide - 1, np.uint64)
-        at = np.flatnonzero(sliding(np.concatenate((rim, least, rim)), wide, np.maximum) == hashes)
+        least = least_places(data, length, gram)
+        least = least[np.arange(len(least)) + length <= begin[1:][part[:len(least)]]]
+        at = np.unique(least)
         which = part[at]
         owner, first, own, end = (np.array(x, np.int64)[which] for x in zip(*group))
         place = at - begin[which] + first
         keep = (place >= own) & (place < end)
-        out.append((owner[keep], place[keep], hashes[at][keep]))
+        out.append((owner[keep], place[keep], window_hashes(data, gram)[at][keep]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(map(np.concatenate, zip(*out)))
@@ -119,7 +125,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(order_id(F.col(id_col).cast("long")).alias("doc"), F.xxhash64(text).alias("sum"), text.cast("binary").alias("text"))
 
 
-def _shared_anchors(docs: DataFrame, length: int) -> DataFrame:
+def _shared_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(doc, place) of anchors that are in two documents, and some more.
 
     Sorted by hash and document, an anchor's rows are neighbours.  A batch keeps hashes with two documents, and its first
@@ -130,7 +136,7 @@ def _shared_anchors(docs: DataFrame, length: int) -> DataFrame:
     def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in slices(batches, 1000):
-            owner, place, hashes = anchors([t.as_py() for t in batch.column(1)], length)
+            owner, place, hashes = anchors([t.as_py() for t in batch.column(1)], length, gram)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(pa.array(owner)),
                                               pa.array(place.astype(np.int32))], schema=schema)
 
@@ -149,9 +155,9 @@ def _shared_anchors(docs: DataFrame, length: int) -> DataFrame:
     return (rows.repartitionByRange("hash", "doc").sortWithinPartitions("hash", "doc").mapInArrow(shared, "doc long, place int"))
 
 
-def cut_blocks(text: bytes, places: np.ndarray, length: int) -> list[tuple[int, int]]:
+def cut_blocks(text: bytes, places: np.ndarray, length: int, gram: int) -> list[tuple[int, int]]:
     """(first, last) strings of the blocks of a text that hold all strings around the anchors at ``places``."""
-    wide = length - length // 2
+    wide = length - gram
     last = len(text) - length
     if last < 0 or not len(places):
         return []
@@ -160,7 +166,6 @@ def cut_blocks(text: bytes, places: np.ndarray, length: int) -> list[tuple[int,
     new = np.ones(len(places), bool)
     new[1:] = first[1:] > until[:-1] + 1
     begin = np.flatnonzero(new)
-    gram = length // 2 + 1
     ends = [p for p in places.tolist() if xxhash.xxh64_intdigest(text[p:p + gram]) % ENDS == 0]
     out, k = [], 0
     for a, b in zip(first[begin].tolist(), until[np.append(begin[1:], len(places)) - 1].tolist()):
@@ -180,7 +185,7 @@ _ARROW_BLOCK = pa.schema([("high", pa.int64()), ("low", pa.int64()), ("doc", pa.
                           ("strings", pa.int32()), ("data", pa.binary())])
 
 
-def _blocks(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
+def _blocks(docs: DataFrame, places: DataFrame, length: int, gram: int) -> DataFrame:
     """A row per block: digest, document, first string, number of strings, bytes."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -188,7 +193,7 @@ def _blocks(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
             owner, digest, start, strings, data = [], [], [], [], []
             for row, (text, places) in enumerate(zip(batch.column(2), batch.column(3))):
                 text = text.as_py()
-                for a, b in cut_blocks(text, places.values.to_numpy(), length):
+                for a, b in cut_blocks(text, places.values.to_numpy(), length, gram):
                     block = text[a:b + length]
                     owner.append(row)
                     digest.append(hashlib.blake2b(block, digest_size=16).digest())
@@ -205,16 +210,16 @@ def _blocks(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
     return docs.join(places.hint("shuffle_hash"), "doc").select("doc", "sum", "text", "places").mapInArrow(run, _BLOCK)
 
 
-_CHUNK = "chunk long, data binary, starts array<int>, sizes array<int>, firsts array<long>, highs array<long>, lows array<long>"
+_CHUNK = "chunk long, data binary, starts array<int>, sizes array<int>, docs array<long>, sums array<long>"
 _ARROW_CHUNK = pa.schema([("chunk", pa.int64()), ("data", pa.binary()), ("starts", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())),
-                          ("firsts", pa.list_(pa.int64())), ("highs", pa.list_(pa.int64())), ("lows", pa.list_(pa.int64()))])
+                          ("docs", pa.list_(pa.int64())), ("sums", pa.list_(pa.int64()))])
 
 
-def _chunks(distinct: DataFrame, pad: int) -> DataFrame:
-    """Blocks (high, low, first, data) put together in rows of about ``CHUNK`` bytes, ``pad`` zero bytes behind each block."""
+def _chunks(texts: DataFrame, pad: int) -> DataFrame:
+    """Blocks (doc, sum, text) put together in rows of about ``CHUNK`` bytes, ``pad`` zero bytes before and behind each block."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
-        data, blocks = bytearray(), []
+        data, blocks = bytearray(pad), []
 
         def row() -> pa.RecordBatch:
             columns = list(zip(*blocks))
@@ -222,38 +227,47 @@ def _chunks(distinct: DataFrame, pad: int) -> DataFrame:
                                               schema=_ARROW_CHUNK)
 
         for batch in batches:
-            for high, low, first, block in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                blocks.append((len(data), len(block), first, high, low))
+            for doc, sum_, block in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                blocks.append((len(data), len(block), doc, sum_))
                 data += block + bytes(pad)
                 if len(data) >= CHUNK:
                     yield row()
                     number += 1
-                    data, blocks = bytearray(), []
+                    data, blocks = bytearray(pad), []
         if blocks:
             yield row()
 
-    return distinct.select("high", "low", "first", "data").mapInArrow(run, _CHUNK)
+    return texts.select("doc", "sum", "text").mapInArrow(run, _CHUNK)
 
 
 class _Chunk:
-    """A chunk's bytes and where its blocks' suffixes are."""
+    """A chunk's bytes, its blocks, and the sampled suffixes."""
 
     def __init__(self, row: dict, letter: int, length: int):
         self.base = row["chunk"] << PLACE_BITS
         self.data = np.frombuffer(row["data"], np.uint8)
         self.starts, self.sizes = np.array(row["starts"], np.int64), np.array(row["sizes"], np.int64)
-        self.firsts = np.array(row["firsts"], np.int64)
-        self.letter, self.length = letter, length
-
-    def places(self, short: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """(place, block) of all suffixes but the last ``short`` of each block."""
-        sizes = np.maximum(self.sizes - short, 0)
-        block = np.repeat(np.arange(len(sizes)), sizes)
-        first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        return np.arange(len(block)) - first[block] + self.starts[block], block
-
-    def rest(self, places: np.ndarray) -> np.ndarray:
-        return places // self.letter % 3
+        self.docs = np.array(row["docs"], np.int64)
+        self.letter, self.length, self.gram = letter, length, length // 2 + 1
+        self.wide = length - self.gram + 1
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place, most, least, doc) of the anchors: how many bytes before one its first and its last string begin."""
+        least = least_places(self.data, self.length, self.gram)
+        strings = np.maximum(self.sizes - self.length + 1, 0)
+        block = np.repeat(np.arange(len(strings)), strings)
+        first = np.concatenate(([0], np.cumsum(strings)))[:-1]
+        at = np.arange(len(block)) - first[block] + self.starts[block]
+        anchor = least[at]
+        begin = np.flatnonzero(starts(anchor) | starts(block)) if len(at) else np.zeros(0, np.int64)
+        until = np.append(begin[1:], len(at)) - 1 if len(at) else begin
+        place = anchor[begin]
+        return place, place - at[begin], place - at[until], self.docs[block[begin]]
+
+    def sampled(self, cover: int) -> np.ndarray:
+        """Places of the anchors and, ``cover`` bytes apart, of what follows them in their strings."""
+        anchor = self.anchors()[0]
+        return np.unique(np.concatenate([anchor + at for at in _offsets(cover, self.letter, self.length)]))
 
     def letters(self) -> np.ndarray:
         """The letter at each place, as a long of the same order."""
@@ -263,66 +277,32 @@ class _Chunk:
             step *= 2
         return ((x >> np.uint64(8 * (8 - self.letter))) ^ np.uint64(1 << 63)).view(np.int64)
 
-    def hashes(self) -> np.ndarray:
-        return window_hashes(self.data, self.length).view(np.int64)
-
-
-_ROW = "a long, b long, c long, hash long, doc long, pos long"
-_ARROW_ROW = pa.schema([(c, pa.int64()) for c in ("a", "b", "c", "hash", "doc", "pos")])
-
-
-def _row_batch(*columns: np.ndarray) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(np.ascontiguousarray(c, np.int64)) for c in columns], schema=_ARROW_ROW)
-
-
-#: name: the suffix's name.  hit 1: a smaller document has the string; 2: not known yet, by hash and doc; 3: a task's edge.
-_NAMED = "pos long, name long, hit byte, hash long, doc long, a long, b long, c long"
-_ARROW_NAMED = pa.schema([("pos", pa.int64()), ("name", pa.int64()), ("hit", pa.int8()),
-                          *((c, pa.int64()) for c in ("hash", "doc", "a", "b", "c"))])
-
 
-def _hits(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The hit of each row of strings in order: neighbours with equal prefixes make a stretch."""
-    begin = starts(hashes)
-    which, at = np.cumsum(begin) - 1, np.flatnonzero(begin)
-    hit = (doc > np.minimum.reduceat(doc, at)[which]).astype(np.int8)
-    hit[(which == 0) | (which == which[-1])] = 2
-    return hit
+_ROW = "a long, b long, c long, pos long"
+_ARROW_ROW = pa.schema([(c, pa.int64()) for c in ("a", "b", "c", "pos")])
+_NAMED = "pos long, name long, a long, b long, c long"
+_ARROW_NAMED = pa.schema([(c, pa.int64()) for c in ("pos", "name", "a", "b", "c")])
 
 
-def _in_order(rows: DataFrame, judged: bool, named: bool) -> DataFrame:
-    """``rows`` sorted by (a, b, c) and place, with names and hits.
+def _in_order(rows: DataFrame) -> DataFrame:
+    """(pos, name): ``rows`` sorted by (a, b, c); names begin at 1, grow with the order, and are equal for equal triples.
 
-    ``judged`` compares neighbours; rows of place -1 - pos are no whole strings and are passed over.  Without ``named`` only hits come out.
+    Rows without ``pos`` tell the first and last triple of a task: a stretch of equal triples may go on in the next one.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, count, last = TaskContext.get().partitionId() << 40, 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b, c, hashes, doc, pos = (batch.column(i).to_numpy() for i in range(6))
-            hit, known = np.zeros(len(pos), np.int8), np.zeros(len(pos), bool)
-            if judged:
-                whole = np.flatnonzero(pos >= 0)
-                if len(whole):
-                    hit[whole] = _hits(hashes[whole], doc[whole])
-                    known = hit == 2
-            name = np.zeros(len(pos), np.int64)
-            if named:
-                begin = starts(a) | starts(b) | starts(c)
-                begin[0] = last != (a[0], b[0], c[0])
-                # Names begin at 1; 0 is the end of a block.
-                name = task + count + np.cumsum(begin)
-                if last is None:
-                    yield _edge(name[0], a[0], b[0], c[0])
-                count, last = int(name[-1] - task), (a[-1], b[-1], c[-1])
-                keep = np.ones(len(pos), bool)
-            else:
-                keep = hit > 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.where(pos < 0, -1 - pos, pos)[keep]), pa.array(name[keep]), pa.array(hit[keep]),
-                 *(pa.array(x[keep], mask=~known[keep]) for x in (hashes, doc)), *(pa.nulls(int(keep.sum()), pa.int64()) for _ in range(3))],
-                schema=_ARROW_NAMED)
+            a, b, c = (batch.column(i).to_numpy() for i in range(3))
+            begin = starts(a) | starts(b) | starts(c)
+            begin[0] = last != (a[0], b[0], c[0])
+            name = task + count + np.cumsum(begin)
+            if last is None:
+                yield _edge(name[0], a[0], b[0], c[0])
+            count, last = int(name[-1] - task), (a[-1], b[-1], c[-1])
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(name), none, none, none], schema=_ARROW_NAMED)
         if last is not None:
             yield _edge(task + count, *last)
 
@@ -330,110 +310,152 @@ def _in_order(rows: DataFrame, judged: bool, named: bool) -> DataFrame:
 
 
 def _edge(name, *key) -> pa.RecordBatch:
-    values = [None, int(name), 3, None, None, *map(int, key)]
-    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _ARROW_NAMED)], schema=_ARROW_NAMED)
+    return pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (None, int(name), *map(int, key))], schema=_ARROW_NAMED)
 
 
 def _same_names(named: DataFrame) -> dict[int, int]:
     """Names that a task gave to what the task before had named already.  Two rows per task are read."""
     out: dict[int, int] = {}
-    edges = sorted(tuple(r) for r in named.where("hit = 3").select("name", "a", "b", "c").collect())
+    edges = sorted(tuple(r) for r in named.where("pos is null").select("name", "a", "b", "c").collect())
     for (before, *key), (name, *other) in zip(edges, edges[1:]):
         if key == other and name != before:
             out[name] = out.get(before, before)
     return out
 
 
-def _with_names(row: dict, names: pa.Table, same: dict[int, int], letter: int, length: int, reach: int) -> tuple[_Chunk, np.ndarray]:
-    """The chunk and the name at each of its places, 0 where there is none."""
-    chunk = _Chunk(row, letter, length)
-    out = np.zeros(len(chunk.data) + reach, np.int64)
-    name = names.column("name").to_numpy()
-    for k in np.flatnonzero(np.isin(name, list(same))) if same else ():
-        name[k] = same[int(name[k])]
-    out[names.column("pos").to_numpy() - chunk.base] = name
-    return chunk, out
+def _offsets(cover: int, letter: int, length: int) -> list[int]:
+    """Places behind an anchor that have names of ``cover`` bytes; what is left behind the last is a letter, its own name."""
+    return [at for at in range(0, length, cover) if at == 0 or length - at > letter]
 
 
-def _sampled(chunks: DataFrame, letter: int, length: int) -> DataFrame:
+def _triples_of_letters(chunks: DataFrame, letter: int, length: int) -> DataFrame:
     """Triples of letters of the sampled suffixes."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = _Chunk(row, letter, length)
-                place, _ = chunk.places()
-                place = place[chunk.rest(place) != 0]
-                letters, none = chunk.letters(), np.zeros(len(place), np.int64)
-                yield from _row_batch(letters[place], letters[place + letter], letters[place + 2 * letter], none, none,
-                                      place + chunk.base).to_batches()
+                place, letters = chunk.sampled(3 * letter), chunk.letters()
+                yield from _row_batch(letters[place], letters[place + letter], letters[place + 2 * letter], place + chunk.base).to_batches()
 
     return chunks.mapInArrow(run, _ROW)
 
 
-def _cogrouped(chunks: DataFrame, named: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    names = named.where("pos is not null").select(F.shiftright("pos", PLACE_BITS).alias("chunk"), "pos", "name")
-    return chunks.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(fn, schema)
+def _row_batch(*columns: np.ndarray) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(np.ascontiguousarray(c, np.int64)) for c in columns], schema=_ARROW_ROW)
+
+
+#: Anchors with their triple, the strings around them (``most`` to ``least`` bytes before the anchor), and the bytes of all of them.
+_ANCHORED = "a long, b long, c long, doc long, pos long, most int, least int, data binary"
+_ARROW_ANCHORED = pa.schema([*((c, pa.int64()) for c in ("a", "b", "c", "doc", "pos")), ("most", pa.int32()), ("least", pa.int32()),
+                             ("data", pa.binary())])
 
 
 def _triples_of_names(chunks: DataFrame, named: DataFrame, cover: int, letter: int, length: int) -> DataFrame:
-    """Triples of names of the sampled suffixes; names cover ``cover`` bytes.  The last level's rows know their strings."""
+    """Triples of names that cover ``cover`` bytes: of the sampled suffixes of the next level, or, in the end, of the anchors."""
     same, last = _same_names(named), 3 * cover >= length
 
     def run(left: pa.Table, names: pa.Table) -> pa.Table:
-        chunk, name = _with_names(left.to_pylist()[0], names, same, letter, length, 2 * cover)
-        place, block = chunk.places(length - 1 - 2 * letter if last else 0)
-        pick = chunk.rest(place) != 0
-        place, block = place[pick], block[pick]
-        hashes = doc = np.zeros(len(place), np.int64)
-        pos = place + chunk.base
+        chunk = _Chunk(left.to_pylist()[0], letter, length)
+        name = names.column("name").to_numpy()
+        if same:
+            name = name.copy()
+            for k in np.flatnonzero(np.isin(name, list(same))):
+                name[k] = same[int(name[k])]
+        at = np.zeros(len(chunk.data) + 2 * cover, np.int64)
+        at[names.column("pos").to_numpy() - chunk.base] = name
+        letters, named_at = chunk.letters(), set(_offsets(cover, letter, length))
+
+        def triple(place, offset):
+            # What follows a suffix of the next level at its anchor's ``offset``.
+            return [at[place + k * cover] if offset + k * cover in named_at else
+                    letters[place + k * cover] if offset + k * cover < length else np.zeros(len(place), np.int64) for k in range(3)]
+
         if last:
-            whole = place + length <= (chunk.starts + chunk.sizes)[block]
-            pos = np.where(whole, pos, -1 - pos)
-            hashes, doc = np.where(whole, chunk.hashes()[np.where(whole, place, 0)], 0), chunk.firsts[block]
-        return _row_batch(name[place], name[place + cover], name[place + 2 * cover], hashes, doc, pos)
+            place, most, least, doc = chunk.anchors()
+            span = chunk.wide - 1 + length
+            rows = np.lib.stride_tricks.sliding_window_view(chunk.data, span)[place - chunk.wide + 1]
+            data = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(np.arange(len(place) + 1, dtype=np.int32) * span),
+                                                                   pa.py_buffer(np.ascontiguousarray(rows))])
+            return pa.Table.from_arrays([*map(pa.array, (*triple(place, 0), doc, place + chunk.base)), pa.array(most.astype(np.int32)),
+                                         pa.array(least.astype(np.int32)), data], schema=_ARROW_ANCHORED)
+        anchor, _, _, _ = chunk.anchors()
+        parts = [(anchor + offset, offset) for offset in _offsets(3 * cover, letter, length)]
+        parts = [_row_batch(*triple(place, offset), place + chunk.base) for place, offset in parts]
+        return _once(pa.concat_tables(parts))
 
-    return _cogrouped(chunks, named, run, _ROW)
+    names = named.where("pos is not null").select(F.shiftright("pos", PLACE_BITS).alias("chunk"), "pos", "name")
+    return chunks.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(run, _ANCHORED if last else _ROW)
 
 
-def _remaining(chunks: DataFrame, named: DataFrame, rest: int, letter: int, length: int) -> DataFrame:
-    """Strings at remaining suffixes and at sampled ones that leave ``rest``, with letters up to the next name and that name."""
-    same = _same_names(named)
+_HIT = "pos long, n int, hash long, doc long"
+_ARROW_HIT = pa.schema([("pos", pa.int64()), ("n", pa.int32()), ("hash", pa.int64()), ("doc", pa.int64())])
 
-    def run(left: pa.Table, names: pa.Table) -> pa.Table:
-        chunk, name = _with_names(left.to_pylist()[0], names, same, letter, length, 2 * letter)
-        place, block = chunk.places(length - 1)
-        pick = (chunk.rest(place) == 0) | (chunk.rest(place) == rest)
-        place, block = place[pick], block[pick]
-        letters = chunk.letters()
-        second, third = name[place + letter], np.zeros(len(place), np.int64)
-        if rest == 2:
-            second, third = letters[place + letter], name[place + 2 * letter]
-        return _row_batch(letters[place], second, third, chunk.hashes()[place] if len(place) else third, chunk.firsts[block],
-                          place + chunk.base)
 
-    return _cogrouped(chunks, named, run, _ROW)
+def _judged(rows: DataFrame, length: int, wide: int) -> DataFrame:
+    """Strings that a smaller document has: ``n`` from place ``pos`` on; with ``hash`` and ``doc``, strings yet to be settled.
+
+    Anchors are sorted by what follows them.  A string is some bytes before its anchor and what follows up to its end, so equal
+    strings are in a stretch of anchors that agree that far.  Stretches inside an Arrow batch are settled there.
+    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            doc, pos, most, least = (batch.column(i).to_numpy() for i in range(3, 7))
+            data = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(n, -1).T
+            hashes = sliding(_LETTERS[data], length, _mixed)[::-1]  # row t: the string that begins t bytes before its anchor
+            before = np.arange(wide)[:, None]
+            here = (before <= most) & (before >= least)
+            after = data[wide - 1:]
+            agree = lambda k: np.logical_and.accumulate(after == after[:, k:k + 1]).sum(axis=0)
+            far = np.maximum(agree(0), agree(n - 1))
+            edge = here & (length - before <= far)
+            t, k = np.nonzero(edge)
+            yield pa.RecordBatch.from_arrays([pa.array(pos[k] - t), pa.array(np.ones(len(t), np.int32)),
+                                              pa.array(hashes[t, k].view(np.int64)), pa.array(doc[k])], schema=_ARROW_HIT)
+            t, k = np.nonzero(here & ~edge)
+            value = hashes[t, k]
+            order = np.argsort(value)
+            first = np.flatnonzero(starts(value[order]))
+            if not len(first):
+                continue
+            smallest = np.repeat(np.minimum.reduceat(doc[k][order], first), np.diff(np.append(first, len(order))))
+            hit = np.zeros((wide + 1, n), bool)
+            hit[t[order], k[order]] = doc[k][order] > smallest
+            # Runs of hits before one anchor, from the far end to the near one.
+            k, t = np.nonzero((hit & ~np.vstack((hit[1:], np.zeros((1, n), bool)))).T)
+            _, near = np.nonzero((hit & ~np.vstack((np.zeros((1, n), bool), hit[:-1]))).T)
+            none = pa.nulls(len(t), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pos[k] - t), pa.array((t - near + 1).astype(np.int32)), none, none], schema=_ARROW_HIT)
+
+    return (rows.repartitionByRange("a", "b", "c", "pos").sortWithinPartitions("a", "b", "c", "pos").mapInArrow(run, _HIT))
 
 
 def _hit_strings(chunks: DataFrame, scratch: Scratch, letter: int, length: int) -> DataFrame:
-    """(pos) of strings that a smaller document has, from the order of all suffixes."""
-    names, cover = scratch.write(_in_order(_sampled(chunks, letter, length), False, True), "names"), 3 * letter
-    while cover < length:
-        last = 3 * cover >= length
-        longer = scratch.write(_in_order(_triples_of_names(chunks, names, cover, letter, length), last, True), "names")
+    """(pos, n) of neighbouring strings that a smaller document has, from the order of all suffixes."""
+    names, cover = scratch.write(_in_order(_triples_of_letters(chunks, letter, length)), "names"), 3 * letter
+    while 3 * cover < length:
+        longer = scratch.write(_in_order(_triples_of_names(chunks, names, cover, letter, length)), "names")
         scratch.drop(names)
         names, cover = longer, 3 * cover
-    found = [names.where("hit in (1, 2)")]
-    for rest in (1, 2):
-        found.append(scratch.write(_in_order(_remaining(chunks, names, rest, letter, length), True, False), "hits"))
-    found = scratch.write(found[0].unionByName(found[1]).unionByName(found[2]).select("pos", "hit", "hash", "doc"), "hits")
+    found = scratch.write(_judged(_triples_of_names(chunks, names, cover, letter, length), length, length - length // 2), "hits")
     scratch.drop(names)
-    least = scratch.write(found.where("hit = 2").groupBy("hash").agg(F.min("doc").alias("first")), "least")
-    late = found.where("hit = 2").join(least, "hash").where("doc > first")
-    return found.where("hit = 1").select("pos").union(late.select("pos"))
+    unsettled = found.where("hash is not null")
+    least = scratch.write(unsettled.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+                          .where("first < last").drop("last"), "least")
+    late = unsettled.join(least, "hash").where("doc > first")
+    return found.where("hash is null").select("pos", "n").union(late.select("pos", "n"))
+
+
+def _once(rows: pa.Table) -> pa.Table:
+    """Rows of each place once."""
+    _, first = np.unique(rows.column("pos").to_numpy(), return_index=True)
+    return rows.take(pa.array(first))
 
 
-_SPAN = "high long, low long, starts array<int>, ends array<int>"
-_ARROW_SPAN = pa.schema([("high", pa.int64()), ("low", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+_SPAN = "doc long, sum long, starts array<int>, ends array<int>"
+_ARROW_SPAN = pa.schema([("doc", pa.int64()), ("sum", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 
 
 def merged(starts_: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -449,22 +471,22 @@ def merged(starts_: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _block_spans(chunks: DataFrame, hits: DataFrame, length: int) -> DataFrame:
-    """(high, low, starts, ends): spans of bytes to remove of each block that has any."""
+    """(doc, sum, starts, ends): spans of bytes to remove of each block that has any."""
     def run(left: pa.Table, found: pa.Table) -> pa.Table:
         if not left.num_rows or not found.num_rows:
             return _ARROW_SPAN.empty_table()
         row = left.to_pylist()[0]
-        place = np.unique(found.column("pos").to_numpy()) - (row["chunk"] << PLACE_BITS)
+        place = found.column("pos").to_numpy() - (row["chunk"] << PLACE_BITS)
+        # Blocks are further apart than their spans reach, so that spans of two never meet.
+        a, b = merged(place, place + found.column("n").to_numpy() + (length - 1))
         begins = np.array(row["starts"], np.int64)
-        block = np.searchsorted(begins, place, side="right") - 1
-        out = []
-        for k in np.unique(block).tolist():
-            at = place[block == k] - begins[k] if len(begins) > 1 else place - begins[k]
-            a, b = merged(at, at + length)
-            out.append((row["highs"][k], row["lows"][k], a, b))
+        block = np.searchsorted(begins, a, side="right") - 1
+        at = np.flatnonzero(starts(block))
+        out = [(row["docs"][k], row["sums"][k], a[i:j] - begins[k], b[i:j] - begins[k])
+               for i, j, k in zip(at.tolist(), np.append(at[1:], len(block)).tolist(), block[at].tolist())]
         return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_ARROW_SPAN)], schema=_ARROW_SPAN)
 
-    keyed = hits.select(F.shiftright("pos", PLACE_BITS).alias("chunk"), "pos")
+    keyed = hits.select(F.shiftright("pos", PLACE_BITS).alias("chunk"), "pos", "n")
     return chunks.groupBy("chunk").cogroup(keyed.groupBy("chunk")).applyInArrow(run, _SPAN)
 
 
@@ -479,28 +501,45 @@ def removed_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
     if not 1 <= letter <= 8 or length <= 3 * letter:
         raise ValueError("letters have 1 to 8 bytes, strings more than three letters")
     scratch = Scratch(docs.sparkSession)
-    texts = _keyed(docs, id_col, text_col)
-    places = scratch.write(_shared_anchors(texts, length).groupBy("doc").agg(F.collect_list("place").alias("places")), "anchors")
-    blocks = scratch.write(_blocks(texts, places, length), "blocks")
+    return _spans(_keyed(docs, id_col, text_col), sieves(length), length, letter, scratch)
+
+
+def sieves(length: int) -> tuple[int, ...]:
+    """Bytes of the anchors of each sieve."""
+    return (length // 2 + 1,)
+
+
+def _spans(texts: DataFrame, grams: tuple[int, ...], length: int, letter: int, scratch: Scratch) -> DataFrame:
+    """(doc, sum, starts, ends) of spans to remove of ``texts`` (doc, sum, text).
+
+    A sieve leaves the blocks of text around shared anchors.  Each different block goes on once, as a text of the smallest document
+    that has it; other documents lose it as a whole.  What passes all sieves is sorted.
+    """
+    if not grams:
+        cover = letter
+        while cover < length:
+            cover *= 3
+        chunks = scratch.write(_chunks(texts, cover + length), "chunks")
+        out = scratch.write(_block_spans(chunks, _hit_strings(chunks, scratch, letter, length), length), "spans")
+        scratch.drop(chunks)
+        return out
+    gram = grams[0]
+    places = scratch.write(_shared_anchors(texts, length, gram).groupBy("doc").agg(F.collect_list("place").alias("places")), "anchors")
+    blocks = scratch.write(_blocks(texts, places, length, gram), "blocks")
     scratch.drop(places)
     # Equal digests have equal bytes, so any row's will do; aggregated before the shuffle, however often a block is there.
-    distinct = blocks.groupBy("high", "low").agg(F.min("doc").alias("first"), F.any_value("data").alias("data"))
-    cover = letter
-    while cover < length:
-        cover *= 3
-    chunks = scratch.write(_chunks(distinct, max(cover, 32)), "chunks")
-    hits = _hit_strings(chunks, scratch, letter, length)
-    spans = scratch.write(_block_spans(chunks, hits, length), "spans")
-    firsts = blocks.groupBy("high", "low").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
-    narrow = blocks.drop("data")
-    whole = (narrow.join(scratch.write(firsts, "firsts"), ["high", "low"]).where("doc > first")
+    distinct = scratch.write(blocks.groupBy("high", "low").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"),
+                                                                F.any_value("data").alias("text")), "distinct")
+    inner = _spans(distinct.select("doc", F.col("low").alias("sum"), "text"), grams[1:], length, letter, scratch)
+    narrow, first = blocks.drop("data"), distinct.where("doc < last").select("high", "low", F.col("doc").alias("first"))
+    whole = (narrow.join(first, ["high", "low"]).where("doc > first")
              .select("doc", "sum", F.array("start").alias("starts"), F.array(F.col("start") + F.col("strings") + (length - 1)).alias("ends")))
     shift = lambda c: F.transform(c, lambda x: x + F.col("start"))
-    inside = narrow.join(spans, ["high", "low"]).select("doc", "sum", shift("starts").alias("starts"), shift("ends").alias("ends"))
-    every = whole.unionByName(inside).groupBy("doc", "sum").agg(
-        F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-    out = scratch.write(every, "removed")
-    for frame in (blocks, chunks, spans):
+    inside = narrow.join(inner.withColumnRenamed("sum", "low"), ["doc", "low"]).select(
+        "doc", "sum", shift("starts").alias("starts"), shift("ends").alias("ends"))
+    out = scratch.write(whole.unionByName(inside).groupBy("doc", "sum").agg(
+        F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")), "removed")
+    for frame in (blocks, distinct, inner):
         scratch.drop(frame)
     return out
 

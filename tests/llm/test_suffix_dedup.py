@@ -99,9 +99,9 @@ def test_query(spark, sf):
 def test_anchors_of_pieces(monkeypatch):
     rng = random.Random(4)
     texts = [bytes(rng.choice(b"abcd") for _ in range(rng.randrange(4000))) for _ in range(5)] + [b"", b"x" * 49, b"y" * 300]
-    whole = sorted(zip(*(x.tolist() for x in suffix_dedup.anchors(texts, 50))))
+    whole = sorted(zip(*(x.tolist() for x in suffix_dedup.anchors(texts, 50, 26))))
     monkeypatch.setattr(suffix_dedup, "PIECE", 333)
-    assert sorted(zip(*(x.tolist() for x in suffix_dedup.anchors(texts, 50)))) == whole
+    assert sorted(zip(*(x.tolist() for x in suffix_dedup.anchors(texts, 50, 26)))) == whole
     # Every string has an anchor in it.
     for k, text in enumerate(texts):
         at = np.array([p for t, p, _ in whole if t == k])
