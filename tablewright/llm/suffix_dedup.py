@@ -4,8 +4,8 @@ Text is compared as bytes, ``length`` at a time.  The suffixes of all texts are
 bytes, from a sample of them that is a difference cover: equal strings have a sampled suffix at the same distance
 from their beginnings.
 
-* Sampled are anchors, the least hashed substring of half of ``length`` in every ``length`` bytes.  Unlike places modulo 3 they
-  depend on the bytes alone, and there are one in thirteen instead of two in three.
+* Sampled are anchors, the least hashed short substring in every ``length`` bytes.  Unlike places modulo 3 they depend on the bytes
+  alone, and of strings of 50 bytes there are one in sixteen instead of two in three.
 * The sampled suffixes, and what follows them in steps of three letters, are sorted by their first three letters of eight bytes.
   Place in that order is the suffix's name; names spell a string three times as coarse, whose triples are sorted in
   turn, until they cover ``length`` bytes.
@@ -48,6 +48,11 @@ _ODD, _TWIST = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 _LETTERS = (np.arange(1, 257, dtype=np.uint64) * _ODD) ^ np.uint64(0xD6E8FEB86659FD93)
 
 
+def anchor_bytes(length: int) -> int:
+    """Bytes of an anchor: the longer, the fewer anchors are in two documents by chance; the shorter, the fewer there are."""
+    return max(2 * length // 5, 1)
+
+
 def sliding(x: np.ndarray, n: int, op: Callable) -> np.ndarray:
     """``op`` over every ``n`` neighbours (over spans that overlap, where ``n`` is no power of two)."""
     size = 1
@@ -128,31 +133,42 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _shared_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(doc, place) of anchors that are in two documents, and some more.
 
-    Sorted by hash and document, an anchor's rows are neighbours.  A batch keeps hashes with two documents, and its first
-    and last one, which may go on elsewhere.
+    What two documents of an Arrow batch share is known at once, and one row of it goes on to tell other batches; so an anchor has
+    no more rows that meet than there are batches (and places in one document).  Sorted by hash and document those are neighbours:
+    hashes with two documents stay, and the first and last one of a batch of sorted rows, which may go on elsewhere.
     """
-    schema = pa.schema([("hash", pa.int64()), ("doc", pa.int64()), ("place", pa.int32())])
+    schema = pa.schema([("known", pa.bool_()), ("hash", pa.int64()), ("doc", pa.int64()), ("place", pa.int32())])
 
     def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        for batch in slices(batches, 1000):
+        for batch in batches:
             owner, place, hashes = anchors([t.as_py() for t in batch.column(1)], length, gram)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(pa.array(owner)),
-                                              pa.array(place.astype(np.int32))], schema=schema)
+            order = np.lexsort((owner, hashes))
+            owner, place, hashes = owner[order], place[order], hashes[order]
+            doc = batch.column(0).to_numpy()[owner]
+            at = np.flatnonzero(starts(hashes))
+            which = np.cumsum(starts(hashes)) - 1
+            several = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at))[which] if len(at) else np.zeros(0, bool)
+            told = at[several[at]]
+            rows = [pa.array(np.append(several, np.zeros(len(told), bool)))]
+            rows += [pa.array(np.append(x, x[told])) for x in (hashes.view(np.int64), doc, place.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(rows, schema=schema)
 
     def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            begin = starts(batch.column(0).to_numpy())
-            doc, at = batch.column(1).to_numpy(), np.flatnonzero(begin)
-            many = doc[at] != doc[np.append(at[1:], len(doc)) - 1]
+            known = batch.column(0).to_numpy(zero_copy_only=False)
+            begin = starts(batch.column(1).to_numpy())
+            doc, at = batch.column(2).to_numpy(), np.flatnonzero(begin)
+            many = (doc[at] != doc[np.append(at[1:], len(doc)) - 1]) | np.logical_or.reduceat(known, at)
             many[0] = many[-1] = True
             pick = pa.array(many[np.cumsum(begin) - 1])
-            yield pa.RecordBatch.from_arrays([batch.column(1).filter(pick), batch.column(2).filter(pick)], names=["doc", "place"])
+            yield pa.RecordBatch.from_arrays([batch.column(2).filter(pick), batch.column(3).filter(pick)], names=["doc", "place"])
 
-    rows = docs.select("doc", "text").mapInArrow(found, "hash long, doc long, place int")
-    return (rows.repartitionByRange("hash", "doc").sortWithinPartitions("hash", "doc").mapInArrow(shared, "doc long, place int"))
+    rows = docs.select("doc", "text").mapInArrow(found, "known boolean, hash long, doc long, place int")
+    meet = rows.repartition(F.when(F.col("known"), F.xxhash64("doc", "place")).otherwise(F.col("hash")))
+    return meet.sortWithinPartitions("hash", "doc").mapInArrow(shared, "doc long, place int")
 
 
 def cut_blocks(text: bytes, places: np.ndarray, length: int, gram: int) -> list[tuple[int, int]]:
@@ -248,7 +264,7 @@ class _Chunk:
         self.data = np.frombuffer(row["data"], np.uint8)
         self.starts, self.sizes = np.array(row["starts"], np.int64), np.array(row["sizes"], np.int64)
         self.docs = np.array(row["docs"], np.int64)
-        self.letter, self.length, self.gram = letter, length, length // 2 + 1
+        self.letter, self.length, self.gram = letter, length, anchor_bytes(length)
         self.wide = length - self.gram + 1
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -362,13 +378,14 @@ def _triples_of_names(chunks: DataFrame, named: DataFrame, cover: int, letter: i
             for k in np.flatnonzero(np.isin(name, list(same))):
                 name[k] = same[int(name[k])]
         at = np.zeros(len(chunk.data) + 2 * cover, np.int64)
-        at[names.column("pos").to_numpy() - chunk.base] = name
+        at[names.column("place").to_numpy()] = name
         letters, named_at = chunk.letters(), set(_offsets(cover, letter, length))
 
         def triple(place, offset):
             # What follows a suffix of the next level at its anchor's ``offset``.
             return [at[place + k * cover] if offset + k * cover in named_at else
-                    letters[place + k * cover] if offset + k * cover < length else np.zeros(len(place), np.int64) for k in range(3)]
+                    letters[place + k * cover] >> max(8 * (letter + offset + k * cover - length), 0) if offset + k * cover < length else
+                    np.zeros(len(place), np.int64) for k in range(3)]
 
         if last:
             place, most, least, doc = chunk.anchors()
@@ -383,7 +400,8 @@ def _triples_of_names(chunks: DataFrame, named: DataFrame, cover: int, letter: i
         parts = [_row_batch(*triple(place, offset), place + chunk.base) for place, offset in parts]
         return _once(pa.concat_tables(parts))
 
-    names = named.where("pos is not null").select(F.shiftright("pos", PLACE_BITS).alias("chunk"), "pos", "name")
+    place = F.col("pos").bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
+    names = named.where("pos is not null").select(F.shiftright("pos", PLACE_BITS).alias("chunk"), place.alias("place"), "name")
     return chunks.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(run, _ANCHORED if last else _ROW)
 
 
@@ -439,7 +457,7 @@ def _hit_strings(chunks: DataFrame, scratch: Scratch, letter: int, length: int)
         longer = scratch.write(_in_order(_triples_of_names(chunks, names, cover, letter, length)), "names")
         scratch.drop(names)
         names, cover = longer, 3 * cover
-    found = scratch.write(_judged(_triples_of_names(chunks, names, cover, letter, length), length, length - length // 2), "hits")
+    found = scratch.write(_judged(_triples_of_names(chunks, names, cover, letter, length), length, length - anchor_bytes(length) + 1), "hits")
     scratch.drop(names)
     unsettled = found.where("hash is not null")
     least = scratch.write(unsettled.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
@@ -501,45 +519,33 @@ def removed_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
     if not 1 <= letter <= 8 or length <= 3 * letter:
         raise ValueError("letters have 1 to 8 bytes, strings more than three letters")
     scratch = Scratch(docs.sparkSession)
-    return _spans(_keyed(docs, id_col, text_col), sieves(length), length, letter, scratch)
+    return _spans(_keyed(docs, id_col, text_col), length, letter, scratch)
 
 
-def sieves(length: int) -> tuple[int, ...]:
-    """Bytes of the anchors of each sieve."""
-    return (length // 2 + 1,)
-
-
-def _spans(texts: DataFrame, grams: tuple[int, ...], length: int, letter: int, scratch: Scratch) -> DataFrame:
-    """(doc, sum, starts, ends) of spans to remove of ``texts`` (doc, sum, text).
-
-    A sieve leaves the blocks of text around shared anchors.  Each different block goes on once, as a text of the smallest document
-    that has it; other documents lose it as a whole.  What passes all sieves is sorted.
-    """
-    if not grams:
-        cover = letter
-        while cover < length:
-            cover *= 3
-        chunks = scratch.write(_chunks(texts, cover + length), "chunks")
-        out = scratch.write(_block_spans(chunks, _hit_strings(chunks, scratch, letter, length), length), "spans")
-        scratch.drop(chunks)
-        return out
-    gram = grams[0]
+def _spans(texts: DataFrame, length: int, letter: int, scratch: Scratch) -> DataFrame:
+    """(doc, sum, starts, ends) of spans to remove of ``texts`` (doc, sum, text)."""
+    gram, cover = anchor_bytes(length), letter
+    while cover < length:
+        cover *= 3
     places = scratch.write(_shared_anchors(texts, length, gram).groupBy("doc").agg(F.collect_list("place").alias("places")), "anchors")
     blocks = scratch.write(_blocks(texts, places, length, gram), "blocks")
     scratch.drop(places)
     # Equal digests have equal bytes, so any row's will do; aggregated before the shuffle, however often a block is there.
-    distinct = scratch.write(blocks.groupBy("high", "low").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"),
-                                                                F.any_value("data").alias("text")), "distinct")
-    inner = _spans(distinct.select("doc", F.col("low").alias("sum"), "text"), grams[1:], length, letter, scratch)
-    narrow, first = blocks.drop("data"), distinct.where("doc < last").select("high", "low", F.col("doc").alias("first"))
-    whole = (narrow.join(first, ["high", "low"]).where("doc > first")
+    distinct = blocks.groupBy("high", "low").agg(F.min("doc").alias("doc"), F.any_value("data").alias("text"))
+    chunks = scratch.write(_chunks(distinct.select("doc", F.col("low").alias("sum"), "text"), cover + length), "chunks")
+    narrow = scratch.write(blocks.drop("data"), "block-places")
+    scratch.drop(blocks)
+    inner = scratch.write(_block_spans(chunks, _hit_strings(chunks, scratch, letter, length), length), "spans")
+    scratch.drop(chunks)
+    firsts = narrow.groupBy("high", "low").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
+    whole = (narrow.join(scratch.write(firsts, "firsts"), ["high", "low"]).where("doc > first")
              .select("doc", "sum", F.array("start").alias("starts"), F.array(F.col("start") + F.col("strings") + (length - 1)).alias("ends")))
     shift = lambda c: F.transform(c, lambda x: x + F.col("start"))
     inside = narrow.join(inner.withColumnRenamed("sum", "low"), ["doc", "low"]).select(
         "doc", "sum", shift("starts").alias("starts"), shift("ends").alias("ends"))
     out = scratch.write(whole.unionByName(inside).groupBy("doc", "sum").agg(
         F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")), "removed")
-    for frame in (blocks, distinct, inner):
+    for frame in (narrow, inner):
         scratch.drop(frame)
     return out
 
