@@ -133,15 +133,15 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _shared_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(doc, place) of anchors that are in two documents, and some more.
 
-    What two documents of an Arrow batch share is known at once, and one row of it goes on to tell other batches; so an anchor has
-    no more rows that meet than there are batches (and places in one document).  Sorted by hash and document those are neighbours:
+    What two documents of a thousand share is known at once, and one row of it goes on to tell other batches; so an anchor has
+    no more rows that meet than there are thousands of documents (and places in one).  Sorted by hash and document those are neighbours:
     hashes with two documents stay, and the first and last one of a batch of sorted rows, which may go on elsewhere.
     """
     schema = pa.schema([("known", pa.bool_()), ("hash", pa.int64()), ("doc", pa.int64()), ("place", pa.int32())])
 
     def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        for batch in batches:
+        for batch in slices(batches, 1000):
             owner, place, hashes = anchors([t.as_py() for t in batch.column(1)], length, gram)
             order = np.lexsort((owner, hashes))
             owner, place, hashes = owner[order], place[order], hashes[order]
