@@ -202,6 +202,22 @@ def column_of(contract, name: str) -> int:
     raise KeyError(name)
 
 
+def structs_of(kind, seen: frozenset = frozenset()):
+    """Struct contracts anywhere inside a type or table; recursive unions are walked once."""
+    if isinstance(kind, (str, tuple)) or id(kind) in seen:
+        return
+    seen = seen | {id(kind)}
+    if isinstance(kind, Struct):
+        yield kind
+    inner = [f.type for f in getattr(kind, "fields", ())] + list(getattr(kind, "impls", ()))
+    if isinstance(kind, ListOf):
+        inner.append(kind.item)
+    if isinstance(kind, MapOf):
+        inner += [kind.key, kind.value]
+    for k in inner:
+        yield from structs_of(k, seen)
+
+
 # ---------------------------------------------------------------- error rows
 
 # The names of the error kinds.
@@ -232,13 +248,13 @@ ERROR_SCHEMA = ", ".join(f"`{c}` string" for c in ERROR_COLUMNS)
 
 
 def error_rows(df: DataFrame, kind, table: str, record_id, field_name, value,
-               lineage=None, msg=None, level: str = "error") -> DataFrame:
+               lineage=None, msg=None, level="error") -> DataFrame:
     """Project any frame to the shared shape of error rows."""
     as_col = lambda v: F.lit(None) if v is None else (F.lit(v) if isinstance(v, str) else v)
     kind = as_col(kind)
     text = msg if msg is not None else F.concat_ws(
         " ", kind, F.lit(table), as_col(field_name).cast("string"))
-    parts = (kind, F.lit(level), F.lit(table), as_col(record_id), as_col(field_name),
+    parts = (kind, as_col(level), F.lit(table), as_col(record_id), as_col(field_name),
              as_col(value), as_col(lineage), as_col(text))
     return df.select(*[c.cast("string").alias(n) for c, n in zip(parts, ERROR_COLUMNS)])
 

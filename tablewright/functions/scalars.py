@@ -121,9 +121,13 @@ def number_text(c) -> Column:
             .otherwise(F.regexp_replace(text, r"\.0$", "")))
 
 
+# White space as text readers know it, no-break and ideographic spaces and the byte order mark included.
+SPACES = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trim_space(c) -> Column:
     """Text without white space of any kind at both ends."""
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    return F.btrim(_col(c), F.lit(SPACES))
 
 
 def pack_value(c, dtype: T.DataType, nested: bool = False) -> Column:

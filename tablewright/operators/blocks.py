@@ -1,13 +1,25 @@
-"""Records that continue over several grid rows."""
+"""Records that continue over several grid rows.
+
+A record of a contract with block fields takes several rows: a row without key cells continues the record above, and a
+block's next item starts where the block's first column is filled.  `fold` finds for every row where its record and each of
+its items start, `nested_records` types what belongs together, and `records_to_grid` lays records out again.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..cluster import running_last
+from ..cluster import cut, running_last
+from ..contract import ERROR_COLUMNS, Field, ListOf, MapOf, Struct, TableContract, column_of, field_span, span, spark_type
+from ..functions.scalars import pack_id
 
 ORDER = ("_shard", "_file", "_row")
 
@@ -56,6 +68,326 @@ def fold_blocks(body: DataFrame, key_columns: Sequence[int], blocks: Sequence[in
     return out
 
 
+# ------------------------------------------------------------ by contract
+
+@dataclass(frozen=True)
+class Block:
+    """A block field: its place among a contract's blocks, its first grid column, the block around it (-1: the record)."""
+
+    index: int
+    field: Field
+    column: int
+    parent: int
+
+    @property
+    def item_span(self) -> int:
+        kind = self.field.type
+        return span(kind.key) + span(kind.value) if isinstance(kind, MapOf) else span(kind.item)
+
+
+def block_fields(contract: TableContract) -> list[Block]:
+    """The block fields of a contract, outer ones before those inside them; blocks may stand side by side."""
+    out: list[Block] = []
+
+    def walk(fields: Iterable[Field], at: int, parent: int) -> None:
+        for f in fields:
+            if f.layout == "block":
+                block = Block(len(out), f, at, parent)
+                out.append(block)
+                item = getattr(f.type, "item", None)
+                if isinstance(item, Struct) and item.layout == "auto":
+                    walk(item.fields, at, block.index)
+                    if f.width > 1 and len(out) > block.index + 1:
+                        raise ValueError(f"{f.name}: a block inside a block of several items a row")
+            elif isinstance(f.type, Struct) and f.type.layout == "auto" and f.layout == "auto":
+                walk(f.type.fields, at, parent)
+            at += field_span(f)
+
+    walk(contract.fields, 0, -1)
+    return out
+
+
+def _starts_mask(contract: TableContract, blocks: Sequence[Block]) -> Column:
+    """Bit 0: the row starts a record; bit k + 1: an item of block k, by its own first column or that of a block around it."""
+    def opens(block: Block) -> Column:
+        mine = _filled([block.column])
+        return mine if block.parent < 0 else mine | opens(blocks[block.parent])
+
+    key = [column_of(contract, k) + i for k in contract.key for i in range(field_span(contract.field(k)))]
+    record = _filled(key)
+    mask = F.when(record, 1).otherwise(0).cast("long")
+    for block in blocks:
+        mask = mask + F.when(record | opens(block), 2 << block.index).otherwise(0)
+    return mask
+
+
+def fold(body: DataFrame, contract: TableContract, group: Sequence[str] = (), order: Sequence[str] = ORDER,
+         in_order: bool = False) -> DataFrame:
+    """``body`` (with ``cells``) and, for every row, its number ``_id`` and the numbers of the rows where its record (``_record``) and
+    its item of each block (``_b0`` …) start.
+
+    Rows run in ``order`` within ``group`` (none: the frame is one table), so a record goes on over the ends of files and shards.  A row
+    whose key cells are all empty continues the record above; the first row of a group starts one in any case.  An item of a
+    block starts where its first column or that of a block around it is filled, and with every record.
+
+    One scan: a task walks its rows with a vector of the last starts and leaves the last vector of every stretch; the vectors of the
+    stretches, a row each, are put in order and hand their starts on.  Rows are range partitioned first, and a task's rows of a group are
+    one stretch.  ``in_order`` leaves them where they are, for grids that were written in order and numbered without gaps: there
+    a stretch ends where the next row's number is not the next one.
+    """
+    blocks = block_fields(contract)
+    if len(blocks) > 61:
+        raise ValueError("more than 61 blocks")
+    order = [c for c in order if c in body.columns]
+    place = [*group, *order]
+    rows = body.withColumn("_mask", _starts_mask(contract, blocks))
+    if not in_order:
+        rows = rows.repartitionByRange(*place).sortWithinPartitions(*place)
+    n, names = len(body.columns), ["_record", *[f"_b{b.index}" for b in blocks]]
+    follow, at = in_order, [body.columns.index(c) for c in order]
+    grouped = [body.columns.index(c) for c in group]
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, count, stretch = TaskContext.get().partitionId() << 33, 0, 0
+        last, starts = None, np.full(len(names), -1, np.int64)
+        for batch in batches:
+            size = batch.num_rows
+            if not size:
+                continue
+            ids = task + count + np.arange(size)
+            places = list(zip(*(batch.column(i).to_pylist() for i in (*grouped, *at))))
+            g = len(grouped)
+            new = np.fromiter((a is None or a[:-1] != b[:-1] or a[-1] + 1 != b[-1] if follow else a is None or a[:g] != b[:g]
+                               for a, b in zip([last, *places], places)), bool, size)
+            part, mask = stretch + np.cumsum(new), batch.column(n).to_numpy()
+            # Where the row's stretch began in this batch; -1: in an earlier one.
+            begin, columns = np.maximum.accumulate(np.where(new, ids, -1)), []
+            for k in range(len(names)):
+                seen = np.maximum.accumulate(np.where(mask >> k & 1, ids, -1))
+                seen = np.where((seen >= begin) & (seen >= 0), seen, np.where(begin < 0, starts[k], -1))
+                starts[k] = seen[-1]
+                columns.append(pa.array(seen, mask=seen < 0))
+            count, stretch, last = count + size, int(part[-1]), places[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(ids), pa.array(task + part), *columns],
+                                             names=[*batch.schema.names[:n], "_id", "_stretch", *names])
+
+    schema = T.StructType([*body.schema.fields, *[T.StructField(c, T.LongType()) for c in ("_id", "_stretch", *names)]])
+    stored = cut(rows.mapInArrow(scan, schema), "folded")
+    stretches = stored.groupBy(*group, "_stretch").agg(F.min(F.struct(*order)).alias("_first"), F.min("_id").alias("_top"),
+                                                       *[F.max(c).alias(c) for c in names])
+    # A row per stretch: a task's or a file's part of a group.
+    along = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_first")
+    before, top = along.rowsBetween(Window.unboundedPreceding, -1), F.first("_top").over(along)
+    carried = stretches.select("_stretch", top.alias("_top"), *[F.last(c, ignorenulls=True).over(before).alias(f"_c{c}") for c in names])
+    out = stored.join(cut(carried, "stretches"), "_stretch")
+    return out.select(*body.columns, "_id", *[F.coalesce(c, f"_c{c}", "_top").alias(c) for c in names])
+
+
+_ISSUES = "array<struct<kind:string,field:string,value:string,level:string,at:string>>"
+
+
+def nested_records(body: DataFrame, contract: TableContract, group: Sequence[str] = (), order: Sequence[str] = ORDER,
+                   in_order: bool = False, header_layout: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(typed records, errors) of a grid whose contract has block fields, at any depth and side by side.
+
+    Rows are folded once.  Items are typed row by row, then gathered into the row that their outer item starts at, innermost blocks
+    first, so a shuffle per block moves typed items only.  Items without any filled cell are left out.  Errors name the row they stand in.
+    Records come with the ``group`` columns; a record has to fit a row.
+    """
+    from .typed import _any_filled, _join, _none, build
+
+    folded = fold(body, contract, group, order, in_order)
+    blocks = block_fields(contract)
+    inside = {b.index: [c for c in blocks if c.parent == b.index] for b in blocks} | {-1: [b for b in blocks if b.parent < 0]}
+    row = F.col("_row").cast("string") if "_row" in body.columns else F.col("_id").cast("string")
+    at = F.concat(F.col("_file") if "_file" in body.columns else F.lit(""), F.lit("#!"), row)
+    cell = lambda i: F.coalesce(F.get("cells", i), F.lit(""))
+
+    def placed(issues: Column) -> Column:
+        return F.transform(issues, lambda e: F.struct(e["kind"].alias("kind"), e["field"].alias("field"), e["value"].alias("value"),
+                                                      e["level"].alias("level"), F.col("_at").alias("at"))).cast(_ISSUES)
+
+    def value_of(f: Field, column: int, path: Column) -> tuple[Column, Column]:
+        """(value, issues) of a field whose first cell is ``column``; a block's items have been gathered before."""
+        if f.layout == "block":
+            return F.col(f"_l{next(b.index for b in blocks if b.column == column and b.field is f)}"), _none()
+        cells = [cell(column + i) for i in range(field_span(f))]
+        if isinstance(f.type, Struct) and f.type.layout == "auto" and f.layout == "auto":
+            return struct_of(f.type, column, path)
+        return build(f.type, cells, path, f.layout, f.width, f.sep, header_layout)
+
+    def struct_of(kind: Struct, column: int, path: Column) -> tuple[Column, Column]:
+        values, issues, i = [], [], column
+        for f in kind.fields:
+            v, e = value_of(f, i, F.concat(path, F.lit("." + f.name)))
+            values.append(v.alias(f.name))
+            issues.append(e)
+            i += field_span(f)
+        return F.when(_any_filled([cell(k) for k in range(column, i)]), F.struct(*values)), _join(issues)
+
+    def items_of(block: Block, path: Column) -> tuple[Column, Column]:
+        """(items, issues) that stand in one row of a block."""
+        kind, width, items, issues = block.field.type, block.item_span, [], []
+        for g in range(block.field.width):
+            first = block.column + g * width
+            if isinstance(kind, MapOf):
+                k, ke = build(kind.key, [cell(first + i) for i in range(span(kind.key))], path, header_layout=header_layout)
+                v, ve = build(kind.value, [cell(first + span(kind.key) + i) for i in range(span(kind.value))], path, header_layout=header_layout)
+                v, e = F.struct(k.alias("key"), v.alias("value")), _join([ke, ve])
+            elif isinstance(kind.item, Struct) and kind.item.layout == "auto":
+                v, e = struct_of(kind.item, first, path)
+            else:
+                v, e = build(kind.item, [cell(first + i) for i in range(width)], path, header_layout=header_layout)
+            on = _any_filled([cell(first + i) for i in range(width)])
+            items.append(F.struct(on.alias("on"), v.alias("v")))
+            issues.append(F.when(on, e).otherwise(_none()))
+        kept = F.transform(F.filter(F.array(*items), lambda x: x["on"]), lambda x: x["v"])
+        return kept.cast(spark_type(kind)), _join(issues)
+
+    def gathered(index: int) -> DataFrame:
+        """Rows where an item of the block (-1: a record) starts, with the lists ``_l`` of the blocks inside and their issues ``_x``."""
+        start = "_record" if index < 0 else f"_b{index}"
+        up = [] if index < 0 else [F.col("_record" if blocks[index].parent < 0 else f"_b{blocks[index].parent}").alias("_up")]
+        keep = [*group] if index < 0 else []
+        own = folded.where(F.col("_id") == F.col(start)).select("_id", *up, *keep, "cells", at.alias("_at"))
+        if not inside[index]:
+            return own.withColumn("_x", F.array().cast(_ISSUES))
+        frame = own
+        for child in inside[index]:
+            rows = gathered(child.index)
+            values, issues = items_of(child, F.lit(child.field.name))
+            item = F.struct(F.col("_id").alias("o"), values.alias("v"), F.concat("_x", placed(issues)).alias("e"))
+            frame = frame.unionByName(rows.select(F.col("_up").alias("_id"), item.alias(f"_c{child.index}")), allowMissingColumns=True)
+        kept = [c for c in own.columns if c != "_id"]
+        lists = [f"_c{c.index}" for c in inside[index]]
+        one = frame.groupBy("_id").agg(*[F.any_value(c, True).alias(c) for c in kept], *[F.collect_list(c).alias(c) for c in lists])
+        for c in lists:
+            one = one.withColumn(c, F.array_sort(c, lambda a, b: F.when(a["o"] < b["o"], -1).otherwise(1)))
+        found = F.flatten(F.array(*[F.flatten(F.transform(c, lambda x: x["e"])) for c in lists]))
+        flat = [F.flatten(F.transform(c, lambda x: x["v"])).alias("_l" + c[2:]) for c in lists]
+        return one.select("_id", *kept, *flat, found.alias("_x"))
+
+    heads, values, i = gathered(-1), {}, 0
+    for f in contract.fields:
+        values[f.name] = value_of(f, i, F.lit(f.name))
+        i += field_span(f)
+    own = placed(_join([e for _, e in values.values()]))
+    typed = heads.select(*group, F.concat("_x", own).alias("_x"), *[v.alias(name) for name, (v, _) in values.items()])
+    typed = cut(typed, "records")
+    bad = typed.select(pack_id(typed.schema, contract.key).alias("_id"), F.explode("_x").alias("x"))
+    said = F.concat_ws(" ", "x.kind", F.lit(contract.name), "x.field")
+    errors = bad.select(*[c.cast("string").alias(name) for name, c in zip(ERROR_COLUMNS, (
+        F.col("x.kind"), F.col("x.level"), F.lit(contract.name), F.col("_id"), F.col("x.field"), F.col("x.value"), F.col("x.at"), said))])
+    return typed.drop("_x"), errors
+
+
+def records_to_grid(df: DataFrame, contract: TableContract) -> DataFrame:
+    """(key fields, ``_line``, ``cells``): grid rows of typed records, the inverse of `nested_records`.
+
+    An item of a block takes as many rows as the highest block inside it, at least one; blocks side by side start in the same row.
+    Heights add up from the inside, their prefix sums say where an item's rows begin.  Records are moved once, by
+    their key; each piece of a row is one short line until rows are put together.  Null records' cells are empty.
+    """
+    blocks = block_fields(contract)
+    inside = {b.index: [c for c in blocks if c.parent == b.index] for b in blocks} | {-1: [b for b in blocks if b.parent < 0]}
+    width, key = sum(field_span(f) for f in contract.fields), [f"_k{i}" for i in range(len(contract.key))]
+
+    def steps(fields: Iterable[Field], goal: Field) -> list[str] | None:
+        """Names of the structs that lead to a block field, then its own."""
+        for f in fields:
+            if f is goal:
+                return [f.name]
+            if isinstance(f.type, Struct) and f.layout == "auto" and (rest := steps(f.type.fields, goal)):
+                return [f.name, *rest]
+        return None
+
+    def items_of(value, block: Block) -> Column:
+        fields = contract.fields if block.parent < 0 else blocks[block.parent].field.type.item.fields
+        names = steps(fields, block.field)
+        out = F.col(names[0]) if value is None else value[names[0]]
+        for name in names[1:]:
+            out = out[name]
+        return F.coalesce(out, F.array().cast(spark_type(block.field.type)))
+
+    def lines(items: Column, block: Block) -> Column:
+        """Rows that the items take."""
+        if not inside[block.index]:
+            return F.ceil(F.size(items) / block.field.width).cast("int")
+        return F.aggregate(items, F.lit(0), lambda n, item: n + height(item, block.index))
+
+    def height(value, index: int) -> Column:
+        inner = [lines(items_of(value, c), c) for c in inside[index]]
+        return F.greatest(F.lit(1), F.lit(1), *inner)
+
+    pieces: list[DataFrame] = []
+
+    def lay(frame: DataFrame, index: int, ids: list[str]) -> None:
+        """``frame`` has the key, ``_line`` of every item of block ``index`` and the item ``_v``."""
+        for child in inside[index]:
+            step = F.posexplode(items_of(F.col("_v"), child)).alias("_i", "_v")
+            items = frame.select(*key, *ids, "_line", step)
+            n, name = child.field.width, f"_i{child.index}"
+            if inside[child.index]:
+                items = items.withColumn("_h", height(F.col("_v"), child.index))
+                along = Window.partitionBy(*key, *ids).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+                at = F.col("_line") + F.coalesce(F.sum("_h").over(along), F.lit(0))
+            else:
+                at = F.col("_line") + F.floor(F.col("_i") / n)
+            items = items.select(*key, *ids, F.col("_i").alias(name), at.cast("long").alias("_line"), "_v")
+            if isinstance(child.field.type, ListOf) and isinstance(child.field.type.item, Struct):
+                fields, source = child.field.type.item.fields, items.select("*", "_v.*")
+            elif isinstance(child.field.type, MapOf):
+                fields, source = (Field("key", child.field.type.key), Field("value", child.field.type.value)), items.select("*", "_v.*")
+            else:
+                fields, source = (Field("_v", child.field.type.item),), items
+            for first, opened, cells in _flat_cells(source, fields, child.column, [*key, "_line", name]):
+                # Items that share a row stand side by side.
+                shift = F.lit(first) + (F.col(name) % n) * child.item_span
+                pieces.append(opened.select(*key, "_line", shift.cast("int").alias("_a"), F.array(*cells).alias("_cells")))
+            if inside[child.index]:
+                lay(items, child.index, [*ids, name])
+
+    base = df.select(*[F.col(k).alias(n) for k, n in zip(contract.key, key)], *df.columns)
+    # All windows below and the last grouping go by these keys or more.
+    base = base.repartition(*key).withColumn("_line", F.lit(0).cast("long"))
+    whole = base.select(*key, "_line", F.struct(*[f.name for f in contract.fields]).alias("_v"))
+    for first, opened, cells in _flat_cells(base, contract.fields, 0, [*key, "_line"]):
+        pieces.append(opened.select(*key, "_line", F.lit(first).alias("_a"), F.array(*cells).alias("_cells")))
+    lay(whole, -1, [])
+    every = pieces[0]
+    for piece in pieces[1:]:
+        every = every.unionByName(piece)
+    # A row's pieces: at most one per block and item of the row.
+    one = every.groupBy(*key, "_line").agg(F.collect_list(F.struct("_a", "_cells")).alias("_p"))
+    found = lambda i: F.aggregate("_p", F.lit(""), lambda s, p: F.when(
+        (p["_a"] <= i) & (i < p["_a"] + F.size(p["_cells"])), F.get(p["_cells"], i - p["_a"])).otherwise(s))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), found)
+    return one.select(*[F.col(n).alias(k) for k, n in zip(contract.key, key)], "_line", cells.alias("cells"))
+
+
+def _flat_cells(df: DataFrame, fields: Iterable[Field], column: int, keep: Sequence[str]) -> Iterator[tuple[int, DataFrame, list[Column]]]:
+    """(first column, frame, cells) of neighbouring fields without blocks in them; the frame has the ``keep`` columns."""
+    run, first = [], column
+    for f in fields:
+        holds_block = isinstance(f.type, Struct) and f.layout == "auto" and f.type.layout == "auto" and _has_block(f.type)
+        if f.layout != "block" and not holds_block:
+            run.append(f)
+            column += field_span(f)
+            continue
+        if run:
+            yield first, df, record_cells(df, run, df.schema)
+        if holds_block:
+            yield from _flat_cells(df.select(*keep, F.col(f.name + ".*")), f.type.fields, column, keep)
+        column += field_span(f)
+        run, first = [], column
+    if run:
+        yield first, df, record_cells(df, run, df.schema)
+
+
+def _has_block(kind: Struct) -> bool:
+    return any(f.layout == "block" or (isinstance(f.type, Struct) and _has_block(f.type)) for f in kind.fields)
+
+
 def nest(rows: DataFrame, by: Sequence[str], value: Column, order: Sequence[str], name: str) -> DataFrame:
     """Ordered array per group, for groups that fit one row."""
     items = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], value.alias("v"))

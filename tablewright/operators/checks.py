@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from .. import contract as C
 from ..cluster import cut, with_position
 from ..contract import Dataset, ForeignKey, TableContract, error_rows, no_errors, union_all
 from ..functions.scalars import pack_id, pack_value
+from .recursive import STEP, Shape, opened
+from .typed import from_variant
 
 _CUSTOM: dict[str, Callable[[Dataset], DataFrame]] = {}
 
@@ -200,18 +203,43 @@ def check_seq(df: DataFrame, contract: TableContract, name: str, order_by: Seque
                       F.concat(F.lit("expected "), F.col("_pos").cast("string")))
 
 
-def check_map_keys(df: DataFrame, contract: TableContract, name: str) -> DataFrame:
-    """One error per repeat of a key inside one record's entry list."""
-    entries = F.col(name)
+def _repeated_entries(df: DataFrame, entries: Column) -> DataFrame:
+    """Rows with ``_again``, a row for each repeat of a key in an entry list."""
     keys = F.transform(entries, lambda e: e["key"])
     repeats = F.size(keys) - F.size(F.array_distinct(keys))
     # The n-th repeat is reported with the key that repeats.
     again = F.filter(keys, lambda k, i: F.array_position(keys, k) <= i)
-    rows = df.where(repeats > 0).withColumn("_again", F.explode(again))
+    return df.where(repeats > 0).withColumn("_again", F.explode(again))
+
+
+def check_map_keys(df: DataFrame, contract: TableContract, name: str) -> DataFrame:
+    """One error per repeat of a key inside one record's entry list."""
+    rows = _repeated_entries(df, F.col(name))
     return error_rows(rows, C.MAP_KEY_DUPLICATED, contract.name, pack_id(df.schema, contract.key),
                       name, F.col("_again"), lineage_of(df))
 
 
+def check_nested(df: DataFrame, contract: TableContract) -> DataFrame:
+    """Must-fill fields and map keys of structs anywhere inside the record, recursive values included."""
+    out = []
+    asked = lambda s: any(f.must_fill or isinstance(f.type, C.MapOf) for f in s.fields)
+    if not any(asked(s) for s in C.structs_of(contract)):
+        return no_errors(df)
+    for struct, frame in nested_structs(df, contract, _row_columns(df, contract)):
+        for f in struct.fields:
+            value = F.col("_node")[f.name]
+            said = (contract.name, pack_id(frame.schema, contract.key), F.concat_ws(".", "_path", F.lit(f.name)))
+            if f.must_fill:
+                empty = value.isNull()
+                if isinstance(f.type, (C.ListOf, C.MapOf)):
+                    empty = empty | (F.size(value) == 0)
+                out.append(error_rows(frame.where(empty), C.MUST_FILL, *said, None, lineage_of(frame)))
+            if isinstance(f.type, C.MapOf):
+                rows = _repeated_entries(frame, value)
+                out.append(error_rows(rows, C.MAP_KEY_DUPLICATED, *said, F.col("_again"), lineage_of(rows)))
+    return union_all(out) if out else no_errors(df)
+
+
 def entries_to_map(c: Column) -> Column:
     """Map of an entry list; of equal keys the last entry stays."""
     def last(e, i):
@@ -315,51 +343,71 @@ def _finish(contract: TableContract, fk: ForeignKey, bad: DataFrame, value, fiel
                       F.concat(kind, F.lit(f" {fk.name} -> {fk.ref_table}")))
 
 
-def check_fk(df: DataFrame, contract: TableContract, fk: ForeignKey, target: DataFrame) -> DataFrame:
-    """Scalar, composite or struct key.
+def _recursive_structs(frame: DataFrame, value: Column, kind: C.Union, path: Column, names: list[str]):
+    """``(struct contract, frame)`` for every struct inside recursive values, of all depths together."""
+    shape = Shape(kind)
+    if not any(struct.fields for _, _, struct in shape.structs()):
+        return
+    levels = opened(frame.select(*names, value.alias("_v"), path.alias("_from")), names, shape, F.col("_from"))
+    for n, impl, struct in shape.structs():
+        if not struct.fields or struct.name == "entry" and impl is None:
+            continue
+        mine = (F.col("_s") == f"s{n}") & (F.col("_k") == "O")
+        if impl is not None:
+            mine = mine & F.col("_impl").isin(impl, f"{shape.kinds[n].name}.{impl}")
+        here = union_all(level.where(mine) for level in levels)
+        node, _ = from_variant(F.col("_v"), struct, F.lit(""))
+        yield struct, here.select(*names, node.alias("_node"), F.replace("_at", F.lit(STEP), F.lit(".")).alias("_path"))
 
-    A left-anti join on the narrow key: small targets are broadcast by measured size,
-    and the row side of a hot key can be split by adaptive execution.
-    """
+
+@dataclass(frozen=True)
+class References:
+    """Rows whose key has to exist: what names the row, the key in ``values``, and how an error shows it."""
+
+    fk: ForeignKey
+    rows: DataFrame
+    values: tuple[str, ...]
+    text: Column
+    field: str | Column
+    empty: Column | None = None
+
+
+def references(df: DataFrame, contract: TableContract, fk: ForeignKey) -> References | None:
+    """References of a scalar, composite or struct key, of a list's elements or a map's values; none for keys to many rows."""
     if fk.to_many:
-        return no_errors(df)
-    first = df.schema[fk.keys[0]].dataType
-    if isinstance(first, T.ArrayType):
-        is_map = isinstance(contract.field(fk.keys[0]).type, C.MapOf)
-        return (check_fk_map if is_map else check_fk_list)(df, contract, fk, target)
-    if isinstance(first, T.MapType):
-        return check_fk_map(df, contract, fk, target)
-    dtypes = [df.schema[k].dataType for k in fk.keys]
+        return None
+    name, dtypes = fk.keys[0], [df.schema[k].dataType for k in fk.keys]
+    first = dtypes[0]
+    is_map = isinstance(first, T.MapType) or (isinstance(first, T.ArrayType) and isinstance(contract.field(name).type, C.MapOf))
+    if is_map or isinstance(first, T.ArrayType):
+        if isinstance(first, T.MapType):
+            items, item = F.map_values(name), first.valueType
+        elif is_map:
+            items, item = F.map_values(entries_to_map(F.col(name))), first.elementType["value"].dataType
+        else:
+            items, item = F.col(name), first.elementType
+        rows = df.select(*_row_columns(df, contract), F.explode(items).alias("_v0"))
+        return References(fk, rows.withColumn("_v0", key_value(F.col("_v0"), item)), ("_v0",), pack_value("_v0", item), name)
     columns = [F.col(k) for k in fk.keys]
     must, empty = key_rule(contract, fk, columns, dtypes)
     # An empty key stays NULL, matches nothing and comes out of the same anti join.
     keys = [F.when(~empty, key_value(c, t)).alias(f"_v{i}") for i, (c, t) in enumerate(zip(columns, dtypes))]
     rows = df.where(must | empty).select(*dict.fromkeys([*_row_columns(df, contract), *fk.keys]), *keys)
-    bad = _missing(rows, target, fk, [f"_v{i}" for i in range(len(keys))])
-    return _finish(contract, fk, bad, pack_id(df.schema, fk.keys), ",".join(fk.keys), F.col("_v0").isNull())
-
+    return References(fk, rows, tuple(f"_v{i}" for i in range(len(keys))), pack_id(df.schema, fk.keys), ",".join(fk.keys),
+                      F.col("_v0").isNull())
 
-def check_fk_list(df: DataFrame, contract: TableContract, fk: ForeignKey, target: DataFrame) -> DataFrame:
-    """One error per list element without a target."""
-    name = fk.keys[0]
-    item = df.schema[name].dataType.elementType
-    rows = df.select(*_row_columns(df, contract), F.explode(name).alias("_v0"))
-    bad = _missing(rows.withColumn("_v0", key_value(F.col("_v0"), item)), target, fk, ["_v0"])
-    return _finish(contract, fk, bad, pack_value("_v0", item), name)
 
+def check_fk(df: DataFrame, contract: TableContract, fk: ForeignKey, target: DataFrame) -> DataFrame:
+    """One error per reference without a target: of the row, of a list's element, of a map's value.
 
-def check_fk_map(df: DataFrame, contract: TableContract, fk: ForeignKey, target: DataFrame) -> DataFrame:
-    """One error per map value without a target; map keys are not looked at."""
-    name = fk.keys[0]
-    dtype = df.schema[name].dataType
-    if isinstance(dtype, T.MapType):
-        values, item = F.map_values(name), dtype.valueType
-    else:
-        values = F.map_values(entries_to_map(F.col(name)))
-        item = dtype.elementType["value"].dataType
-    rows = df.select(*_row_columns(df, contract), F.explode(values).alias("_v0"))
-    bad = _missing(rows.withColumn("_v0", key_value(F.col("_v0"), item)), target, fk, ["_v0"])
-    return _finish(contract, fk, bad, pack_value("_v0", item), name)
+    A left-anti join on the narrow key: small targets are broadcast by measured size,
+    and the row side of a hot key can be split by adaptive execution.
+    """
+    refs = references(df, contract, fk)
+    if refs is None:
+        return no_errors(df)
+    bad = _missing(refs.rows, target, fk, list(refs.values))
+    return _finish(contract, fk, bad, refs.text, refs.field, refs.empty)
 
 
 # -------------------------------------------------- foreign keys inside structs
@@ -385,7 +433,9 @@ def nested_structs(df: DataFrame, contract: TableContract, keep: Sequence[str |
                          .withColumn("_path", F.concat_ws(".", "_up", F.concat(F.col("_i").cast("string"), F.lit(part[0]))))
                          .drop("_i", "_up", "_e"))
                 yield from walk(inner, F.col("_node"), inner_kind, F.col("_path"))
-        elif isinstance(kind, C.Union) and not kind.recursive:
+        elif isinstance(kind, C.Union) and kind.recursive:
+            yield from _recursive_structs(frame, value, kind, path, names)
+        elif isinstance(kind, C.Union):
             for impl in kind.impls:
                 inner = frame.where(value["type"] == impl.name).select(
                     *names, value[impl.name].alias("_node"), path.alias("_path"))
@@ -404,38 +454,41 @@ def nested_structs(df: DataFrame, contract: TableContract, keep: Sequence[str |
             yield from walk(base, F.col(f"_fld_{f.name}"), f.type, F.lit(f.name))
 
 
-def check_fk_nested(df: DataFrame, contract: TableContract, targets: dict[str, DataFrame]) -> DataFrame:
-    """References declared by structs anywhere inside the record, reported on its owner."""
-    out = []
+def nested_references(df: DataFrame, contract: TableContract, tables: Collection[str]) -> Iterator[References]:
+    """References to ``tables`` that structs anywhere inside the record declare."""
     for struct, frame in nested_structs(df, contract, _row_columns(df, contract)):
         for fk in struct.fks:
-            if fk.to_many or fk.ref_table not in targets:
+            if fk.to_many or fk.ref_table not in tables:
                 continue
             columns = [F.col("_node")[k] for k in fk.keys]
             dtypes = [frame.schema["_node"].dataType[k].dataType for k in fk.keys]
             kind = struct.field(fk.keys[0]).type
-            field_name = F.concat_ws(".", "_path", F.lit(",".join(fk.keys)))
-            if isinstance(kind, C.ListOf):
-                item = dtypes[0].elementType
-                rows = frame.withColumn("_v0", F.explode(columns[0])).withColumn("_v0", key_value(F.col("_v0"), item))
-                values, kinds = ["_v0"], [item]
-            elif isinstance(kind, C.MapOf):
-                item = dtypes[0].elementType["value"].dataType
-                rows = frame.withColumn("_v0", F.explode(F.map_values(entries_to_map(columns[0]))))
+            empty = F.col("_v0").isNull()
+            if isinstance(kind, (C.ListOf, C.MapOf)):
+                is_map = isinstance(kind, C.MapOf)
+                item = dtypes[0].elementType["value"].dataType if is_map else dtypes[0].elementType
+                rows = frame.withColumn("_v0", F.explode(F.map_values(entries_to_map(columns[0])) if is_map else columns[0]))
                 rows = rows.withColumn("_v0", key_value(F.col("_v0"), item))
-                values, kinds = ["_v0"], [item]
+                kinds = [item]
             else:
                 if contract.source == "json" or struct.layout in ("pack", "sep"):
-                    must, empty = F.lit(not fk.nullable), F.lit(False)
+                    must, gone = F.lit(not fk.nullable), F.lit(False)
                 else:
-                    must, empty = key_rule(struct, fk, columns, dtypes)
-                rows = frame.where(must | empty)
+                    must, gone = key_rule(struct, fk, columns, dtypes)
+                rows = frame.where(must | gone)
                 for i, (c, t) in enumerate(zip(columns, dtypes)):
-                    rows = rows.withColumn(f"_v{i}", F.when(~empty, key_value(c, t)))
-                values, kinds = [f"_v{i}" for i in range(len(columns))], dtypes
-            bad = _missing(rows.withColumn("_field", field_name), targets[fk.ref_table], fk, values)
+                    rows = rows.withColumn(f"_v{i}", F.when(~gone, key_value(c, t)))
+                kinds = dtypes
+            values = tuple(f"_v{i}" for i in range(len(kinds)))
+            rows = rows.withColumn("_field", F.concat_ws(".", "_path", F.lit(",".join(fk.keys)))).drop("_node")
             text = F.concat_ws(";", *[pack_value(v, t) for v, t in zip(values, kinds)])
-            out.append(_finish(contract, fk, bad, text, F.col("_field"), F.col("_v0").isNull()))
+            yield References(fk, rows, values, text, F.col("_field"), empty)
+
+
+def check_fk_nested(df: DataFrame, contract: TableContract, targets: dict[str, DataFrame]) -> DataFrame:
+    """References declared by structs anywhere inside the record, reported on its owner."""
+    out = [_finish(contract, refs.fk, _missing(refs.rows, targets[refs.fk.ref_table], refs.fk, list(refs.values)), refs.text, refs.field,
+                   refs.empty) for refs in nested_references(df, contract, targets)]
     return union_all(out) if out else no_errors(df)
 
 
@@ -467,6 +520,8 @@ def table_errors(df: DataFrame, contract: TableContract) -> DataFrame:
         out.append(check_entry(df, contract))
     if any(f.must_fill for f in contract.fields):
         out.append(check_must_fill(df, contract))
+    if any(not isinstance(f.type, str) for f in contract.fields):
+        out.append(check_nested(df, contract))
     for f in contract.fields:
         if f.seq:
             out.append(check_seq(df, contract, f.name))

@@ -376,21 +376,7 @@ def _neighbours(dataset: Dataset, table: str, record_id: str, in_depth: int, out
 
 
 def _nested_fks(dataset: Dataset, name: str):
-    def walk(kind):
-        if isinstance(kind, C.ListOf):
-            yield from walk(kind.item)
-        elif isinstance(kind, C.MapOf):
-            yield from walk(kind.key)
-            yield from walk(kind.value)
-        elif isinstance(kind, C.Union) and not kind.recursive:
-            for i in kind.impls:
-                yield from walk(i)
-        elif isinstance(kind, C.Struct):
-            yield from kind.fks
-            for f in kind.fields:
-                yield from walk(f.type)
-    for f in dataset.contracts[name].fields:
-        yield from walk(f.type)
+    return [fk for struct in C.structs_of(dataset.contracts[name]) for fk in struct.fks]
 
 
 def _nested_sources(dataset, tables):
@@ -437,29 +423,38 @@ def lookup_status(dataset: Dataset, table: str | None, record_id: str | None) ->
 
 
 def table_graph(dataset: Dataset) -> DataFrame:
-    """Per foreign key: references, distinct targets, dangling ones and largest fan-in.
+    """Per foreign key: references, distinct targets, dangling ones and largest fan-in; keys inside records included.
 
     Keys are counted before the join, so each key crosses the network once per task.
     """
     out = []
-    for name, fk in dataset.fks():
-        if fk.to_many:
-            continue
-        df, contract, target = dataset.frames[name], dataset.contracts[name], dataset.frames[fk.ref_table]
-        rows, values = _fk_values(df, None, fk, contract.field(fk.keys[0]).type)
+
+    def measured(name: str, fk: ForeignKey, rows: DataFrame, values: list[Column]) -> DataFrame:
+        target = dataset.frames[fk.ref_table]
         keys = rows.select(*[v.alias(f"_v{i}") for i, v in enumerate(values)])
         counts = keys.groupBy(*keys.columns).agg(F.count("*").alias("_n"))
         refs = target.select(*[key_value(F.col(k), target.schema[k].dataType).alias(f"_r{i}")
                                for i, k in enumerate(fk.ref_keys)]).distinct()
         joined = counts.join(refs, [counts[f"_v{i}"] == refs[f"_r{i}"] for i in range(len(values))], "left")
         hit = F.col("_r0").isNotNull()
-        out.append(joined.agg(
+        return joined.agg(
             F.coalesce(F.sum("_n"), F.lit(0)).alias("n_refs"),
             F.count_if(hit).alias("n_targets"),
             F.coalesce(F.sum(F.when(~hit, F.col("_n"))), F.lit(0)).alias("n_dangling"),
             F.coalesce(F.max(F.when(hit, F.col("_n"))), F.lit(0)).alias("max_fan_in"),
         ).select(F.lit(name).alias("from_table"), F.lit(fk.name).alias("fk"), F.lit(fk.ref_table).alias("to_table"),
-                 "n_refs", "n_targets", "n_dangling", "max_fan_in"))
+                 "n_refs", "n_targets", "n_dangling", "max_fan_in")
+
+    for name, fk in dataset.fks():
+        if not fk.to_many:
+            df, contract = dataset.frames[name], dataset.contracts[name]
+            out.append(measured(name, fk, *_fk_values(df, None, fk, contract.field(fk.keys[0]).type)))
+    for name in dataset.names():
+        wanted = [fk for fk in _nested_fks(dataset, name) if not fk.to_many and fk.ref_table in dataset.frames]
+        if wanted:
+            for struct, frame in nested_structs(dataset.frames[name], dataset.contracts[name], []):
+                out += [measured(name, fk, *_fk_values(frame, F.col("_node"), fk, struct.field(fk.keys[0]).type))
+                        for fk in struct.fks if fk in wanted]
     return union_all(out)
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import contract as C
-from ..cluster import cut
 from ..contract import Dataset, TableContract, union_all
 from ..functions.scalars import number_text, pack_id
+from .recursive import STEP, Shape, leaves_of, opened
 
 LEAF = "array<struct<field_chain:string,type:string,value:string>>"
 NOTE = "$note"
@@ -46,6 +46,8 @@ def _leaves_of(c: Column, kind, path: Column, kinds: frozenset | None) -> Column
             return F.concat(_leaves_of(e["key"], kind.key, _chain(path, F.concat(n, F.lit("k"))), kinds),
                             _leaves_of(e["value"], kind.value, _chain(path, F.concat(n, F.lit("v"))), kinds))
         return F.coalesce(F.flatten(F.transform(c, entry)), none)
+    if isinstance(kind, C.Union) and kind.recursive:
+        return none
     if isinstance(kind, C.Union):
         name = _leaf(path, "str", c["type"]) if kinds is None or "str" in kinds else none
         parts = [F.when(c["type"] == i.name, _leaves_of(c[i.name], i, path, kinds)).otherwise(none) for i in kind.impls]
@@ -54,6 +56,11 @@ def _leaves_of(c: Column, kind, path: Column, kinds: frozenset | None) -> Column
     return F.when(c.isNotNull(), F.concat(*parts)).otherwise(none) if parts else none
 
 
+def text_leaves(c: Column, field: C.Field) -> Column:
+    """Array of the text leaves of one field's value."""
+    return _leaves_of(c, field.type, F.lit(field.name), frozenset(("text",)))
+
+
 def leaves(df: DataFrame, contract: TableContract, kinds: Sequence[str] | None = None) -> DataFrame:
     """``(table, pk, field_chain, type, value)``, one row per primitive leaf.
 
@@ -82,37 +89,22 @@ def leaves(df: DataFrame, contract: TableContract, kinds: Sequence[str] | None =
         out.append(df.select(F.lit(contract.name).alias("table"), pk.alias("pk"),
                              F.explode(F.concat(*parts)).alias("l")).select("table", "pk", "l.*"))
     for name in recursive:
-        found = variant_leaves(df.select(pk.alias("pk"), F.col(name).alias("v")), name)
+        found = variant_leaves(df.select(pk.alias("pk"), F.col(name).alias("v")), name, contract.field(name).type)
         if wanted is not None:
             found = found.where(F.col("type").isin(*wanted))
         out.append(found.select(F.lit(contract.name).alias("table"), "pk", "field_chain", "type", "value"))
     return union_all(out)
 
 
-def variant_leaves(df: DataFrame, root: str) -> DataFrame:
-    """Leaves of ``v`` (VARIANT) per ``pk``; each round opens one level of all values.
+def variant_leaves(df: DataFrame, root: str, kind: C.Union | None = None) -> DataFrame:
+    """Leaves of ``v`` (VARIANT) per ``pk``: ``(pk, field_chain, type, value)``, typed by the union where its contract knows them.
 
-    The depth of the data bounds the rounds; every round is written out, so deep values
-    do not pile up in one plan.  ``$type`` becomes a leaf at its object's own path.
+    Each round opens one level of all values; the depth of the data bounds the rounds.  ``$type`` becomes a leaf at its
+    object's own path.
     """
-    level = df.select("pk", F.lit(root).alias("field_chain"), F.col("v"))
-    found, n = [], 0
-    while True:
-        n += 1
-        kind = F.coalesce(F.schema_of_variant("v"), F.lit("VOID"))
-        level = cut(level.where(F.col("v").isNotNull()).withColumn("_k", kind), f"variant{n}")
-        nested = level.where(F.col("_k").startswith("OBJECT") | F.col("_k").startswith("ARRAY"))
-        name = (F.when(F.col("_k").startswith("BIGINT"), "long").when(F.col("_k").rlike("^(DOUBLE|DECIMAL|FLOAT)"), "float")
-                .when(F.col("_k") == "BOOLEAN", "bool").otherwise("str"))
-        found.append(level.where(~F.col("_k").rlike("^(OBJECT|ARRAY|VOID)")).select(
-            "pk", "field_chain", name.alias("type"), F.try_variant_get("v", "$", "string").alias("value")))
-        if nested.isEmpty():
-            return union_all(found)
-        opened = nested.select("pk", "field_chain", "v").lateralJoin(
-            df.sparkSession.tvf.variant_explode(F.col("v").outer()))
-        step = F.coalesce("key", F.col("pos").cast("string"))
-        path = F.when(F.col("key") == "$type", F.col("field_chain")).otherwise(F.concat_ws(".", "field_chain", step))
-        level = opened.select("pk", path.alias("field_chain"), F.col("value").alias("v"))
+    levels = opened(df.select("pk", F.col("v").alias("_v")), ["pk"], Shape(kind or C.Union(root, ())), F.lit(root))
+    path = F.replace(F.regexp_replace("_at", STEP + r"\$type$", ""), F.lit(STEP), F.lit("."))
+    return leaves_of(levels, ["pk"]).select("pk", path.alias("field_chain"), "type", F.try_variant_get("_v", "$", "string").alias("value"))
 
 
 def visit_leaves(dataset: Dataset, fn: Callable[[DataFrame], DataFrame], tables: Sequence[str] | None = None) -> DataFrame:

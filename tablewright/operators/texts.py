@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import contract as C
 from ..cluster import cut
 from ..contract import Dataset, TableContract, union_all
 from ..functions.scalars import normalise_newlines, pack_id, trim_space
-from .search import leaves
+from .recursive import rewritten
+from .search import leaves, text_leaves
 
 try:
     import ahocorasick
@@ -26,11 +28,15 @@ def _texts(dataset: Dataset) -> DataFrame:
 
 
 def _has_text(contract: TableContract) -> bool:
-    def has(kind):
-        if isinstance(kind, str):
-            return kind == "text"
-        return any(has(k) for k in _inner(kind))
-    return any(has(f.type) for f in contract.fields)
+    return any(_has_text_inside(f.type) for f in contract.fields)
+
+
+def _has_text_inside(kind, seen: frozenset = frozenset()) -> bool:
+    if isinstance(kind, str):
+        return kind == "text"
+    if id(kind) in seen:
+        return False
+    return any(_has_text_inside(k, seen | {id(kind)}) for k in _inner(kind))
 
 
 def _inner(kind):
@@ -43,9 +49,28 @@ def _inner(kind):
 
 
 def extract_texts_by_value(dataset: Dataset) -> DataFrame:
-    """``(table, original, translated)`` for every text that is not blank, repeats included."""
-    found = _texts(dataset)
-    return found.select("table", trim_space("value").alias("original"), F.lit("").alias("translated")).where("original <> ''")
+    """``(table, original, translated)`` for every text that is not blank or has a translation, repeats included.
+
+    A text has one where its table carries ``<field>_original`` beside a field that says something else, as
+    `translate_by_value` and `translate_by_id` leave it; then the original is what that column says.
+    """
+    out = []
+    for name in dataset.names():
+        df, contract = dataset.frames[name], dataset.contracts[name]
+        if not _has_text(contract):
+            continue
+        both = [n for n in contract.texts() if f"{n}_original" in df.columns]
+        rest = contract.with_fields(f for f in contract.fields if f.name not in both or f.name in contract.key)
+        if _has_text(rest):
+            found = leaves(df, rest, ("text",))
+            if both:
+                found = found.where(~F.col("field_chain").isin(*both))
+            out.append(found.select("table", trim_space("value").alias("original"), F.lit("").alias("translated")))
+        for n in both:
+            original, now = trim_space(f"{n}_original"), trim_space(n)
+            out.append(df.select(F.lit(name).alias("table"), F.coalesce(original, F.lit("")).alias("original"),
+                                 F.when(F.col(n).eqNullSafe(F.col(f"{n}_original")), "").otherwise(F.coalesce(now, F.lit(""))).alias("translated")))
+    return union_all(out).where("original <> '' or translated <> ''")
 
 
 def text_rows(dataset: Dataset) -> DataFrame:
@@ -94,32 +119,88 @@ def last_translations(entries: DataFrame, keys: Sequence[str], order: str | None
     return entries.groupBy(*keys).agg(F.max_by("translated", by).alias("translated"))
 
 
+def _replaced(c: Column, kind, path: Column, table: Column) -> Column:
+    """The value with texts replaced by what ``table`` (field chain -> text) has for their place."""
+    if isinstance(kind, str):
+        return F.coalesce(table[path], c) if kind == "text" else c
+    step = lambda name: F.concat(path, F.lit("."), name if isinstance(name, Column) else F.lit(name))
+    if isinstance(kind, C.ListOf):
+        return F.transform(c, lambda e, i: _replaced(e, kind.item, step(i.cast("string")), table))
+    if isinstance(kind, C.MapOf):
+        return F.transform(c, lambda e, i: F.struct(
+            _replaced(e["key"], kind.key, step(F.concat(i.cast("string"), F.lit("k"))), table).alias("key"),
+            _replaced(e["value"], kind.value, step(F.concat(i.cast("string"), F.lit("v"))), table).alias("value")))
+    if isinstance(kind, C.Union):
+        if kind.recursive:
+            return c
+        return F.when(c.isNotNull(), F.struct(c["type"].alias("type"), *[_replaced(c[i.name], i, path, table).alias(i.name) for i in kind.impls]))
+    return F.when(c.isNotNull(), F.struct(*[_replaced(c[f.name], f.type, step(f.name), table).alias(f.name) for f in kind.fields]))
+
+
+def _translate_inside(df: DataFrame, contract: TableContract, look_up: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Replaces texts inside nested and recursive fields.
+
+    ``look_up`` gets (_rid, _pk, field_chain, value) of texts and gives (_rid, field_chain, new) of those that change.  A record's
+    new texts come back as one map, as long as its own texts; recursive values are opened and built again from below.
+    """
+    deep = [f for f in contract.fields if not isinstance(f.type, str) and _has_text_inside(f.type)]
+    plain = [f for f in deep if not (isinstance(f.type, C.Union) and f.type.recursive)]
+    out = df.withColumn("_pk", pack_id(df.schema, contract.key)) if deep else df
+    if plain:
+        rows = cut(out.withColumn("_rid", F.monotonically_increasing_id()), "rows")
+        parts = F.concat(*[text_leaves(F.col(f.name), f) for f in plain])
+        found = rows.select("_rid", "_pk", F.explode(parts).alias("l")).select("_rid", "_pk", "l.field_chain", "l.value")
+        new = look_up(found).groupBy("_rid").agg(F.map_from_entries(F.collect_list(F.struct("field_chain", "new"))).alias("_new"))
+        named = {f.name: f for f in plain}
+        out = rows.join(new, "_rid", "left").select(*[
+            F.when(F.col("_new").isNull(), F.col(c)).otherwise(_replaced(F.col(c), named[c].type, F.lit(c), F.col("_new"))).alias(c)
+            if c in named else F.col(c) for c in out.columns])
+    for f in deep:
+        if f not in plain:
+            out = rewritten(out, f.name, f.type, lambda leaves: look_up(leaves.where("type = 'text'")), ["_pk"])
+    return out.drop("_pk")
+
+
 def translate_by_value(df: DataFrame, contract: TableContract, dictionary: DataFrame,
                        order: str | None = None) -> DataFrame:
-    """Replace text fields by their translation; ``<field>_original`` keeps the source.
+    """Replace text fields, at any depth, by their translation; ``<field>_original`` keeps the source of a record's own fields.
 
     The dictionary is keyed by table and original; an empty translation counts as none.
     It is small for most datasets and broadcast then; otherwise both sides are shuffled.
     """
-    out = df
     mine = dictionary.where(F.col("table") == contract.name).withColumn("_o", normalise_newlines("original"))
     best = last_translations(mine, ["_o"], order)
+    words = best.select(F.col("_o").alias("_key"), F.nullif("translated", F.lit("")).alias("_t"))
+
+    def look_up(texts: DataFrame) -> DataFrame:
+        return (texts.join(words.where("_t is not null"), normalise_newlines("value") == F.col("_key"))
+                .select("_rid", "field_chain", F.col("_t").alias("new")))
+
+    out = _translate_inside(df, contract, look_up)
     for name in contract.texts():
-        words = best.select(F.col("_o").alias("_key"), F.col("translated").alias("_t"))
         # The normalised text is a join expression, not one more column to move.
         out = out.join(words, normalise_newlines(name) == F.col("_key"), "left")
         out = out.withColumn(f"{name}_original", F.col(name)).withColumn(
-            name, F.coalesce(F.nullif("_t", F.lit("")), F.col(name))).drop("_key", "_t")
+            name, F.coalesce("_t", F.col(name))).drop("_key", "_t")
     return out
 
 
 def translate_by_id(df: DataFrame, contract: TableContract, dictionary: DataFrame,
                     order: str | None = None) -> DataFrame:
-    """Translation by (record, field), used only while the stored original still matches."""
-    out = df.withColumn("_pk", pack_id(df.schema, contract.key))
+    """Translation by (record, field chain), at any depth, used only while the stored original still matches."""
     mine = dictionary.where(F.col("table") == contract.name)
+    by = F.struct(F.col(order), F.col("translated")) if order else F.struct("original", "translated")
+
+    def look_up(texts: DataFrame) -> DataFrame:
+        words = (mine.groupBy(F.col("pk").alias("_key"), F.col("field_chain").alias("_chain"))
+                 .agg(F.max_by(F.struct("original", "translated"), by).alias("_w")))
+        found = texts.join(words, (F.col("_pk") == F.col("_key")) & (F.replace("field_chain", F.lit("."), F.lit("-")) == F.col("_chain")))
+        same = normalise_newlines("_w.original") == normalise_newlines("value")
+        return found.where(same & (F.col("_w.translated") != "")).select("_rid", "field_chain", F.col("_w.translated").alias("new"))
+
+    out = _translate_inside(df, contract, look_up)
+    out = out.withColumn("_pk", pack_id(df.schema, contract.key))
     for name in contract.texts():
-        by = F.struct(F.col(order), F.col("translated")) if order else F.struct("original", "translated")
         words = (mine.where(F.col("field_chain") == name).groupBy(F.col("pk").alias("_key"))
                  .agg(F.max_by(F.struct("original", "translated"), by).alias("_w")))
         out = out.join(words, F.col("_pk") == F.col("_key"), "left")

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import contract as C
-from ..contract import TableContract, error_rows, field_span, span, spark_type
+from ..cluster import cut
+from ..contract import TableContract, error_rows, field_span, span, spark_type, union_all
 from ..functions.packed import cast_text, parse_packed
 from ..functions.scalars import pack_id, split_sep, trim_space
+from .recursive import Shape, issues_of, lowered, opened
 
 ISSUES = "array<struct<kind:string,field:string,value:string,level:string>>"
 
@@ -252,9 +254,41 @@ def fill_defaults(df: DataFrame, contract: TableContract) -> DataFrame:
     return df.select(*[filled(F.col(c), names[c].type).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
+def _has_lower(kind, seen: frozenset = frozenset()) -> bool:
+    """Whether a type has a lower-cased field anywhere inside."""
+    if isinstance(kind, str) or id(kind) in seen:
+        return False
+    seen = seen | {id(kind)}
+    if isinstance(kind, C.Struct):
+        return any(f.lowercase or _has_lower(f.type, seen) for f in kind.fields)
+    inner = kind.impls if isinstance(kind, C.Union) else (kind.item,) if isinstance(kind, C.ListOf) else (kind.key, kind.value)
+    return any(_has_lower(k, seen) for k in inner)
+
+
+def _lowered(c: Column, kind, lower: bool = False) -> Column:
+    if isinstance(kind, str):
+        return F.lower(c) if lower and kind in ("str", "text") else c
+    if isinstance(kind, C.ListOf) and lower and isinstance(kind.item, str):
+        return F.transform(c, lambda e: _lowered(e, kind.item, True))
+    if not _has_lower(kind) or isinstance(kind, C.Union) and kind.recursive:
+        return c
+    if isinstance(kind, C.ListOf):
+        return F.transform(c, lambda e: _lowered(e, kind.item))
+    if isinstance(kind, C.MapOf):
+        return F.transform(c, lambda e: F.struct(_lowered(e["key"], kind.key).alias("key"), _lowered(e["value"], kind.value).alias("value")))
+    if isinstance(kind, C.Union):
+        return F.when(c.isNotNull(), F.struct(c["type"].alias("type"), *[_lowered(c[i.name], i).alias(i.name) for i in kind.impls]))
+    return F.when(c.isNotNull(), F.struct(*[_lowered(c[f.name], f.type, f.lowercase).alias(f.name) for f in kind.fields]))
+
+
 def normalise_lower(df: DataFrame, contract: TableContract) -> DataFrame:
-    low = {f.name for f in contract.fields if f.lowercase}
-    return df.select(*[F.lower(c).alias(c) if c in low else F.col(c) for c in df.columns])
+    """Lower-cased fields in lower case, at any depth; recursive values are opened and built again, which runs jobs."""
+    named = {f.name: f for f in contract.fields}
+    out = df.select(*[_lowered(F.col(c), named[c].type, named[c].lowercase).alias(c) if c in named else F.col(c) for c in df.columns])
+    for f in contract.fields:
+        if isinstance(f.type, C.Union) and f.type.recursive and _has_lower(f.type):
+            out = lowered(out, f.name, f.type)
+    return out
 
 
 # -------------------------------------------------------------------- JSON
@@ -353,7 +387,7 @@ def json_to_typed(df: DataFrame, text: str, contract: TableContract,
     """JSON documents to typed records plus errors and warnings."""
     kept = [F.col(k) for k in keep]
     parsed = df.select(*kept, F.col(text).alias("_text"), F.try_parse_json(text).alias("_v"))
-    empty = F.trim(F.coalesce("_text", F.lit(""))) == ""
+    empty = trim_space(F.coalesce("_text", F.lit(""))) == ""
     values = {f.name: from_variant(_at(F.col("_v"), f.name), f.type, F.lit(f.name), f.lowercase) for f in contract.fields}
     extra = F.when(F.col("_v").isNotNull(), _extra_fields(F.col("_v"), [f.name for f in contract.fields], F.lit(contract.name))).otherwise(_none())
     broken = _join([_issue(empty, C.JSON_EMPTY, F.lit(contract.name), F.col("_text")),
@@ -361,4 +395,22 @@ def json_to_typed(df: DataFrame, text: str, contract: TableContract,
     first = contract.fields[0].name
     v, e = values[first]
     values[first] = (v, _join([e, extra, broken]))
-    return _finish(parsed, contract, values, keep)
+    typed, errors = _finish(parsed, contract, values, keep)
+    deep = [f for f in contract.fields if isinstance(f.type, C.Union) and f.type.recursive and f.type.impls]
+    return typed, union_all([errors, *(_recursive_errors(parsed, contract, values, keep, f) for f in deep)])
+
+
+def _recursive_errors(parsed: DataFrame, contract: TableContract, values: dict, keep: Sequence[str], f: C.Field) -> DataFrame:
+    """Errors inside a recursive value, at any depth.  The value itself stays as it was written."""
+    key = [values[k][0].alias(f"_key{i}") for i, k in enumerate(contract.key)]
+    frame = parsed.select(*keep, *key, _at(F.col("_v"), f.name).alias("_v")).where(~F.is_variant_null("_v"))
+    names, shape = [*keep, *[f"_key{i}" for i in range(len(key))]], Shape(f.type)
+    frame = cut(frame.withColumn("_rid", F.monotonically_increasing_id()), "recursive")
+    levels = opened(frame.select("_rid", "_v"), ["_rid"], shape, F.lit(f.name))
+    # Of the value itself its tag has been judged with the record.
+    found = issues_of(levels, ["_rid"], shape).where((F.col("field") != f.name) | (F.col("kind") == C.JSON_EXTRA))
+    rows = found.join(frame.select("_rid", *names), "_rid")
+    at = F.concat(F.col("_file"), F.lit("#!"), F.col("_row").cast("string")) if {"_file", "_row"} <= set(keep) else (
+        F.col("_file") if "_file" in keep else None)
+    return error_rows(rows, F.col("kind"), contract.name, pack_id(rows.schema, names[len(keep):]), F.col("field"), F.col("value"), at,
+                      F.concat_ws(" ", "kind", F.lit(contract.name), "field"), F.col("level"))

@@ -10,7 +10,8 @@ from .. import contract as C
 from ..cluster import cut, scratch_path, with_position
 from ..functions import scalars as S
 from ..functions.packed import parse_packed
-from ..operators import blocks, changes, checks, typed
+from ..operators import blocks, changes, checks, refs, typed
+from ..operators.support import ReferenceIndex
 from ..sources import grid as G
 from ..sources import records as R
 from ..sources import sinks
@@ -157,6 +158,25 @@ def s10_write_json_records(spark, sf):
     return spark.read.text(path)
 
 
+MIXED = C.Union("Mixed", (C.Struct("Num", star.fields("v:int w:str")), C.Struct("Text", star.fields("v:str")),
+                           C.Struct("Pair", (C.Field("v", C.Struct("Both", star.fields("a:int b:float"))),))), default="Num")
+
+
+@query("s10_union_fields", """
+SELECT '{"$type":"part","p_partkey":' || p_partkey || ',"m":{"$type":"' || CASE p_partkey % 3 WHEN 0 THEN 'Num","v":' || p_size || ',"w":"' || p_brand || '"'
+  WHEN 1 THEN 'Text","v":"' || p_name || '"' ELSE 'Pair","v":{"$type":"Both","a":' || p_size || ',"b":0.5}' END || '}}' AS value FROM part""")
+def s10_union_fields(spark, sf):
+    kind = F.col("p_partkey") % 3
+    value = F.struct(
+        F.when(kind == 0, "Num").when(kind == 1, "Text").otherwise("Pair").alias("type"),
+        F.when(kind == 0, F.struct(F.col("p_size").alias("v"), F.col("p_brand").alias("w"))).alias("Num"),
+        F.when(kind == 1, F.struct(F.col("p_name").alias("v"))).alias("Text"),
+        F.when(kind == 2, F.struct(F.struct(F.col("p_size").alias("a"), F.lit(0.5).alias("b")).alias("v"))).alias("Pair"))
+    df = star.read(spark, sf, "part").select("p_partkey", value.alias("m"))
+    contract = C.TableContract("part", ("p_partkey",), (C.Field("p_partkey", "long"), C.Field("m", MIXED)))
+    return sinks.to_json_records(df, contract)
+
+
 @query("s10_drop_defaults", """
 SELECT '{"$type":"labels"' || CASE WHEN doc_id = 0 THEN '' ELSE ',"doc_id":' || doc_id END || CASE WHEN quality = 0 THEN '' ELSE ',"quality":' || quality END
   || CASE WHEN toxic = 0 THEN '' ELSE ',"toxic":' || toxic END || '}' AS value FROM labels""")
@@ -226,12 +246,8 @@ def b1_fold_records(spark, sf):
         "o_orderkey", "o_orderstatus", G.cell(2).alias("l_linenumber"), G.cell(3).alias("l_partkey"))
 
 
-@query("b2_fold_blocks", """
-SELECT 1 AS level, CAST(c_custkey AS VARCHAR) AS c, coalesce(CAST(o_orderkey AS VARCHAR), '') AS o, '' AS l
-FROM customer LEFT JOIN orders ON o_custkey = c_custkey
-UNION ALL SELECT 2, CAST(c_custkey AS VARCHAR), coalesce(CAST(o_orderkey AS VARCHAR), ''), coalesce(l_linenumber || ':' || l_partkey, '')
-FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey""")
-def b2_fold_blocks(spark, sf):
+def three_level_grid(spark, sf):
+    """Customers, their orders and the items of those as block rows."""
     d = star.dataset(spark, sf)
     joined = (d.frames["customer"].select("c_custkey").join(d.frames["orders"].select("o_custkey", "o_orderkey"), F.col("o_custkey") == F.col("c_custkey"), "left")
               .join(d.frames["lineitem"].select("l_orderkey", *_ITEM), F.col("l_orderkey") == F.col("o_orderkey"), "left"))
@@ -247,8 +263,17 @@ def b2_fold_blocks(spark, sf):
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     cells = F.array(F.when(lead_c, text("c_custkey")).otherwise(""), F.when(lead_o, text("o_orderkey")).otherwise(""),
                     F.when(F.col("l_linenumber").isNotNull(), F.concat_ws(":", "l_linenumber", "l_partkey")).otherwise(""))
-    grid = with_position(here.select(*order, cells.alias("cells")), order, "_row").select(
+    return with_position(here.select(*order, cells.alias("cells")), order, "_row").select(
         F.lit("customer.csv").alias("_file"), "_row", "cells")
+
+
+@query("b2_fold_blocks", """
+SELECT 1 AS level, CAST(c_custkey AS VARCHAR) AS c, coalesce(CAST(o_orderkey AS VARCHAR), '') AS o, '' AS l
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey
+UNION ALL SELECT 2, CAST(c_custkey AS VARCHAR), coalesce(CAST(o_orderkey AS VARCHAR), ''), coalesce(l_linenumber || ':' || l_partkey, '')
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey""")
+def b2_fold_blocks(spark, sf):
+    grid = three_level_grid(spark, sf)
     outer, inner = blocks.fold_blocks(grid, [0], [1, 2])
     outer, inner = cut(outer, "outer"), cut(inner, "inner")
     heads = outer.where(F.col("_row") == F.col("_record")).select(F.col("_record").alias("_r"), G.cell(0).alias("c"))
@@ -259,6 +284,88 @@ def b2_fold_blocks(spark, sf):
     return one.unionByName(two)
 
 
+ORDER_ROWS = C.TableContract("orders", ("o_orderkey",), (*star.fields("o_orderkey:long o_orderstatus:str"), C.Field(
+    "items", C.ListOf(C.Struct("Item", star.fields("l_linenumber:int l_partkey:long"))), "block")))
+
+
+@query("b1_fold_shards", """
+SELECT o_orderkey, o_orderstatus, l_linenumber, l_partkey FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey""")
+def b1_fold_shards(spark, sf):
+    grid = block_grid(spark, sf)
+    rows = with_position(grid, [c for c in grid.columns if c != "cells"], "_row")
+    # Shards of 997 rows end in the middle of records; their rows come in any order.
+    shard = F.floor(F.col("_row") / 997)
+    rows = rows.select(shard.alias("_shard"), F.concat(F.lit("orders_"), shard.cast("string"), F.lit(".csv")).alias("_file"),
+                       (F.col("_row") % 997).alias("_row"), "cells")
+    records, _ = blocks.nested_records(rows, ORDER_ROWS)
+    return records.select("o_orderkey", "o_orderstatus", F.explode_outer("items").alias("i")).select(
+        "o_orderkey", "o_orderstatus", "i.l_linenumber", "i.l_partkey")
+
+
+THREE_ROWS = C.TableContract("customer", ("c",), (C.Field("c", "long"), C.Field("orders", C.ListOf(C.Struct("Order", (
+    C.Field("o", "long"), C.Field("items", C.ListOf(C.Struct("Line", star.fields("l:str"))), "block")))), "block")))
+
+
+@query("b2_fold_three_levels", """
+SELECT c_custkey AS c, o_orderkey AS o, l_linenumber || ':' || l_partkey AS l
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey""")
+def b2_fold_three_levels(spark, sf):
+    records, _ = blocks.nested_records(three_level_grid(spark, sf), THREE_ROWS, in_order=True)
+    orders = records.select("c", F.explode_outer("orders").alias("o"))
+    return orders.select("c", "o.o", F.explode_outer("o.items").alias("i")).select("c", "o", "i.l")
+
+
+@query("b2_fold_errors", """
+SELECT 'NotMatchFieldType' AS err_type, CAST(o_orderkey AS VARCHAR) AS record_id, 'items.l_partkey' AS field, 'P' || l_partkey AS value
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey % 97 = 0""")
+def b2_fold_errors(spark, sf):
+    grid = block_grid(spark, sf)
+    part = G.cell(3)
+    bad = F.when((part != "") & (part.cast("long") % 97 == 0), F.concat(F.lit("P"), part)).otherwise(part)
+    grid = grid.withColumn("cells", F.array(*[G.cell(i) for i in range(3)], bad))
+    rows = with_position(grid, [c for c in grid.columns if c != "cells"], "_row").withColumn("_file", F.lit("orders.csv"))
+    return blocks.nested_records(rows.select("_file", "_row", "cells"), ORDER_ROWS, in_order=True)[1].select("err_type", "record_id", "field", "value")
+
+
+LINE_RECORD = C.Struct("Line", star.fields("l_linenumber:int l_partkey:long l_suppkey:long l_extendedprice:float"))
+ORDER_RECORD = C.Struct("Order", (*star.fields("o_orderkey:long o_orderstatus:str"), C.Field("items", C.ListOf(LINE_RECORD), "block"),
+                                  C.Field("flags", C.ListOf("str"), "block", 2)))
+CUSTOMER_RECORD = C.TableContract("customer", ("c_custkey",), (*star.fields("c_custkey:long c_name:str"), C.Field(
+    "orders", C.ListOf(ORDER_RECORD), "block"), C.Field("nations", C.ListOf("int"), "block")))
+
+
+def nested_customers(spark, sf):
+    """Customers with their orders, those with their items and, beside these, the return flags of the items."""
+    d = star.dataset(spark, sf)
+    items = d.frames["lineitem"].select("l_orderkey", "l_returnflag", *_ITEM, F.struct(*_ITEM).alias("item"))
+    by_order = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("item")).alias("items"),
+                                               F.array_sort(F.collect_set("l_returnflag")).alias("flags"))
+    orders = d.frames["orders"].join(by_order, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    empty = lambda c: F.coalesce(c, F.array().cast(orders.schema[c].dataType)).alias(c)
+    order = F.struct("o_orderkey", "o_orderstatus", empty("items"), empty("flags"))
+    by_customer = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(order)).alias("orders"))
+    out = d.frames["customer"].join(by_customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return out.select("c_custkey", "c_name", F.coalesce("orders", F.array().cast(out.schema["orders"].dataType)).alias("orders"),
+                      F.array("c_nationkey", F.col("c_nationkey") + 1, F.col("c_nationkey") + 2).alias("nations"))
+
+
+@query("s14_round_trip", """
+SELECT c_custkey, c_name, o_orderkey, o_orderstatus, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+  coalesce((SELECT string_agg(DISTINCT l_returnflag, '' ORDER BY l_returnflag) FROM lineitem x WHERE x.l_orderkey = o_orderkey),
+    CASE WHEN o_orderkey IS NOT NULL THEN '' END) AS flags, 3 * c_nationkey + 3 AS nations
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey""")
+def s14_round_trip(spark, sf):
+    grid = blocks.records_to_grid(nested_customers(spark, sf), CUSTOMER_RECORD)
+    rows = with_position(grid, ["c_custkey", "_line"], "_row").withColumn("_file", F.lit("customer.csv"))
+    records, _ = blocks.nested_records(rows.select("_file", "_row", "cells"), CUSTOMER_RECORD, in_order=True)
+    total = F.aggregate("nations", F.lit(0), lambda n, x: n + x)
+    orders = records.select("c_custkey", "c_name", total.alias("nations"), F.explode_outer("orders").alias("o"))
+    lines = orders.select("c_custkey", "c_name", "nations", "o.o_orderkey", "o.o_orderstatus", F.array_join("o.flags", "").alias("flags"),
+                          F.explode_outer("o.items").alias("i"))
+    return lines.select("c_custkey", "c_name", "o_orderkey", "o_orderstatus", "i.l_linenumber", "i.l_partkey", "i.l_suppkey",
+                        "i.l_extendedprice", "flags", "nations")
+
+
 @query("s15_ingest_profile", """
 SELECT 'part' AS "table", count(*) AS rows, count(*) FILTER (p_partkey % 97 = 0) AS comment_rows, count(*) FILTER (p_partkey % 89 = 0) AS blank_rows,
   3 * count(*) AS number_cells, 3 * count(*) AS text_cells, 0 AS empty_cells, false AS is_empty FROM part""")
@@ -302,6 +409,14 @@ def p1_cast_errors(spark, sf):
     return typed.cast_typed(dirty_part(spark, sf), star.PART)[1].select("record_id", "field", "value")
 
 
+@query("p1_cast_spaces", "SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
+def p1_cast_spaces(spark, sf):
+    df = star.read(spark, sf, "part")
+    around = F.array(*map(F.lit, ("\u00a0", "\u3000", "\ufeff", "\t \u2003", "")))[(F.col("p_partkey") % 5).cast("int")]
+    rows = df.select(*[F.concat(around, c, around).alias(c.strip("`")) for c in df.select(*fixtures.text_of(df)).columns])
+    return typed.cast_typed(rows, star.PART)[0].select("p_partkey", "p_name", "p_size", "p_retailprice")
+
+
 PLACE = C.TableContract("supplier", ("s_suppkey",), (
     C.Field("s_suppkey", "long"), C.Field("about", C.Struct("About", star.fields("name:str nation:int"))), C.Field("s_acctbal", "float")))
 
@@ -549,6 +664,84 @@ def w1_upsert_results(spark, sf):
     return changes.upsert(star.read(spark, sf, "customer"), customer_changes(spark, sf), star.CUSTOMER)[1]
 
 
+def mixed_changes(spark, sf):
+    """Text that is no record, a good record 0, and for every third customer a change that fails before or after a good one."""
+    df = star.read(spark, sf, "customer").where("c_custkey % 3 = 0 or c_custkey = 1")
+    key, nth = F.col("c_custkey"), F.explode(F.sequence(F.lit(0), F.lit(2)))
+    rows = df.select(key, nth.alias("n"))
+    # 0 is good, 1 is not; the third comes last and is good for even keys.
+    balance = F.when(F.col("n") == 0, "1.5").when(F.col("n") == 1, '"much"').when(key % 2 == 0, "2.5").otherwise("[]")
+    text = F.concat(F.lit('{"c_custkey":'), key.cast("string"), F.lit(',"c_name":"n","c_nationkey":1,"c_acctbal":'), balance,
+                    F.lit(',"c_mktsegment":"NEW"}'))
+    zero = '{"c_custkey":0,"c_name":"zero","c_nationkey":1,"c_acctbal":9.5,"c_mktsegment":"NEW"}'
+    special = F.when(F.col("n") == 0, zero).otherwise('{"c_custkey":')
+    return rows.select((key * 3 + F.col("n")).alias("seq"), F.when(key == 1, special).otherwise(text).alias("text"))
+
+
+@query("w1_upsert_mixed", """
+SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 2.5 WHEN c_custkey % 3 = 0 THEN 1.5 ELSE c_acctbal END AS c_acctbal,
+  CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey <> 0
+UNION ALL SELECT 0, CASE WHEN EXISTS (SELECT 1 FROM customer WHERE c_custkey = 1) THEN 9.5 ELSE 2.5 END, 'NEW'""")
+def w1_upsert_mixed(spark, sf):
+    new = changes.upsert(star.read(spark, sf, "customer"), mixed_changes(spark, sf), star.CUSTOMER)[0]
+    return new.select("c_custkey", "c_acctbal", "c_mktsegment")
+
+
+@query("w1_upsert_mixed_results", """
+SELECT CAST(c_custkey AS VARCHAR) AS id, code FROM customer, (VALUES ('updateOK'), ('recordParseError')) t(code) WHERE c_custkey % 3 = 0""")
+def w1_upsert_mixed_results(spark, sf):
+    return changes.upsert(star.read(spark, sf, "customer"), mixed_changes(spark, sf), star.CUSTOMER)[1]
+
+
+def indexed_star(spark, sf):
+    """The star without every seventh customer, and its reference index."""
+    d = refs.deduplicated(star.dataset(spark, sf))
+    d = d.swap("customer", d.frames["customer"].where("c_custkey % 7 <> 0"))
+    return d, ReferenceIndex(spark, scratch_path(spark, "index"), d.contracts, buckets=16).build(d)
+
+
+@query("w1_incremental", """
+SELECT 'orders' AS "table", CAST(o_orderkey AS VARCHAR) AS record_id, 'o_custkey' AS field, CAST(o_custkey AS VARCHAR) AS value FROM orders
+WHERE o_custkey % 7 = 0 AND o_custkey % 14 <> 0
+UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), 'c_nationkey', '99' FROM customer WHERE c_custkey % 11 = 0 AND c_custkey % 7 <> 0""")
+def w1_incremental(spark, sf):
+    d, index = indexed_star(spark, sf)
+    df = star.read(spark, sf, "customer").where("c_custkey % 14 = 0 or (c_custkey % 11 = 0 and c_custkey % 7 <> 0)")
+    nation = F.when((F.col("c_custkey") % 11 == 0) & (F.col("c_custkey") % 14 != 0), 99).otherwise(F.col("c_nationkey"))
+    edits = df.select(F.col("c_custkey").alias("seq"), F.to_json(F.struct(
+        "c_custkey", "c_name", nation.alias("c_nationkey"), "c_acctbal", "c_mktsegment")).alias("text"))
+    return changes.upsert_indexed(d, index, "customer", edits, 1)[2].select("table", "record_id", "field", "value")
+
+
+@query("w2_incremental", f"""
+WITH line AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+SELECT 'orders' AS "table", CAST(o_orderkey AS VARCHAR) AS record_id, CAST(o_custkey AS VARCHAR) AS value FROM orders WHERE o_custkey % 7 = 0 AND o_orderkey % 5 <> 0
+UNION ALL SELECT 'lineitem', l_orderkey || ';' || l_linenumber, CAST(l_orderkey AS VARCHAR) FROM line WHERE l_orderkey % 5 = 0""")
+def w2_incremental(spark, sf):
+    d, index = indexed_star(spark, sf)
+    ids = d.frames["orders"].where("o_orderkey % 5 = 0").select(F.col("o_orderkey").cast("string").alias("id"))
+    return changes.delete_indexed(d, index, "orders", ids, 1)[2].select("table", "record_id", "value")
+
+
+@query("w3_incremental", """
+WITH line AS (SELECT l_orderkey, l_linenumber, max((l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)) AS r
+  FROM lineitem GROUP BY ALL)
+SELECT 'lineitem' AS "table", l_orderkey || ';' || l_linenumber AS record_id, CAST(r[2] AS VARCHAR) AS value FROM line WHERE r[2] % 11 = 0
+UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR) FROM orders WHERE o_custkey % 7 = 0""")
+def w3_incremental(spark, sf):
+    d, index = indexed_star(spark, sf)
+    fresh = d.frames["supplier"].where("s_suppkey % 11 <> 0")
+    return changes.reload_indexed(d, index, "supplier", fresh, 1)[1].select("table", "record_id", "value")
+
+
+@query("w1_support", """
+SELECT 'nation(n_nationkey)' AS target, CAST(k AS VARCHAR) AS key, count(*) AS referrers, true AS there FROM (
+  SELECT c_nationkey AS k FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT s_nationkey FROM supplier) GROUP BY k
+UNION ALL SELECT 'customer(c_custkey)', CAST(o_custkey AS VARCHAR), count(*), o_custkey % 7 <> 0 FROM orders GROUP BY o_custkey""")
+def w1_support(spark, sf):
+    return indexed_star(spark, sf)[1].support().where("target in ('nation(n_nationkey)', 'customer(c_custkey)')")
+
+
 @query("w2_delete", """
 SELECT 'orders' AS "table", count(*) AS n FROM orders WHERE o_orderkey % 5 <> 0
 UNION ALL SELECT 'deleteOK', count(*) FROM orders WHERE o_orderkey % 5 = 0
@@ -615,6 +808,42 @@ def w4_stream_errors(spark, sf):
     return stream.errors_of(spark, stream_suppliers(spark, sf)).select("err_type", "record_id")
 
 
+def late_nations(spark, sf):
+    """Suppliers before the nations they name: every third nation comes two batches late, nation 99 never."""
+    path, out, state = (scratch_path(spark, n) for n in ("incoming", "table", "state"))
+    d = star.dataset(spark, sf, ("region",))
+    tables = {"supplier": star.SUPPLIER, "nation": star.NATION}
+    suppliers, nations, key = star.read(spark, sf, "supplier"), star.read(spark, sf, "nation"), F.col("s_suppkey")
+    for wave in (1, 2, 3):
+        nation = F.when((key % 31 == 0) & ((F.lit(wave) == 1) | (key % 2 == 0)), F.lit(99)).otherwise(F.col("s_nationkey"))
+        text = F.to_json(F.struct("s_suppkey", "s_name", nation.alias("s_nationkey"), "s_acctbal"))
+        rows = {1: suppliers, 2: suppliers.where("s_suppkey % 5 = 0 or s_suppkey % 31 = 0"), 3: suppliers.limit(0)}[wave]
+        fixtures.write_documents(rows.select(F.concat(F.lit(f"w{wave}_"), key.cast("string")).alias("id"), text.alias("text")),
+                                 "supplier", path, mode="append")
+        rows = nations.where({1: "n_nationkey % 3 <> 0", 2: "false", 3: "n_nationkey % 3 = 0"}[wave])
+        fixtures.write_documents(rows.select(F.concat(F.lit(f"w{wave}_"), F.col("n_nationkey").cast("string")).alias("id"),
+                                             F.to_json(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("text")),
+                                 "nation", path, mode="append")
+        stream.stream_validate(spark, path, out, d, tables, state, buckets=8).awaitTermination()
+    return out, d, tables
+
+
+@query("w4_open_errors", """
+SELECT 'ForeignValueNotFound' AS err_type, 'supplier' AS "table", CAST(s_suppkey AS VARCHAR) AS record_id, '99' AS value FROM supplier
+WHERE s_suppkey % 62 = 0""")
+def w4_open_errors(spark, sf):
+    out, d, tables = late_nations(spark, sf)
+    return stream.open_reference_errors(spark, out, d, tables, buckets=8).select("err_type", "table", "record_id", "value")
+
+
+@query("w4_late_targets", """
+SELECT CAST(s_suppkey AS VARCHAR) AS record_id, batch AS _batch FROM supplier, (VALUES (0), (1)) t(batch)
+WHERE (batch = 0 AND (s_suppkey % 31 = 0 OR s_nationkey % 3 = 0))
+  OR (batch = 1 AND (s_suppkey % 62 = 0 OR (s_suppkey % 5 = 0 OR s_suppkey % 31 = 0) AND s_nationkey % 3 = 0))""")
+def w4_late_targets(spark, sf):
+    return stream.errors_of(spark, late_nations(spark, sf)[0]).select("record_id", "_batch")
+
+
 @query("x3_on_batch", """
 SELECT count(*) AS suppliers, 2 AS batches FROM supplier""")
 def x3_on_batch(spark, sf):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from .. import contract as C
-from ..operators import search, stats, texts
+from ..operators import checks, refs, search, stats, texts, typed
 from . import star
 from .check_queries import NESTED, nested_orders
 from .registry import num, query
@@ -228,3 +230,194 @@ UNION ALL SELECT 'long', count(*) FROM customer UNION ALL SELECT 'float', count(
 def x2_visit_leaves(spark, sf):
     d = star.dataset(spark, sf, ("nation", "customer"))
     return search.visit_leaves(d, lambda leaves: leaves.groupBy("type").agg(F.count("*").alias("n")))
+
+
+# ------------------------------------------------------- nested and recursive
+
+def conditions(refs: bool = True) -> C.Union:
+    """A recursive union: a click with a text, a user and its order, or two conditions and a list of them."""
+    cond = C.Union("cond", (), default="Click", recursive=True)
+    click = C.Struct("Click", (C.Field("say", "text"), C.Field("code", "str", lowercase=True), C.Field("order", "long")),
+                     (star.fk("order", "orders", "o_orderkey"),) if refs else ())
+    both = C.Struct("And", (C.Field("left", cond), C.Field("right", cond), C.Field("more", C.ListOf(cond))))
+    object.__setattr__(cond, "impls", (click, both))
+    return cond
+
+
+def recursive_events(spark, sf, bad: bool = False):
+    """Events as conditions of depth three; with ``bad`` numbers that are no number, unknown tags and members, two levels down."""
+    df = star.read(spark, sf, "events")
+    key, order = F.col("event_id"), F.col("user_id").cast("string")
+    if bad:
+        order = F.when(key % 7 == 0, F.lit('"seven"')).otherwise(order)
+    click = lambda n: F.format_string('{"$type":"Click","say":"%s","code":"%s","order":%s}', F.col("event_type"), F.concat(F.lit("C"), key + n), order)
+    tag = F.when(F.lit(bad) & (key % 11 == 0), "Or").otherwise("And")
+    extra = F.when(F.lit(bad) & (key % 13 == 0), ',"odd":1').otherwise("")
+    inner = F.concat(F.lit('{"$type":"'), tag, F.lit('","left":'), click(1), F.lit(',"right":'), click(2), F.lit(',"more":[]'), extra, F.lit("}"))
+    text = F.concat(F.lit('{"$type":"And","left":'), click(0), F.lit(',"right":'), inner, F.lit(',"more":['), click(3), F.lit("]}"))
+    return df.select("event_id", text.alias("text"))
+
+
+RECURSIVE = C.TableContract("events", ("event_id",), (C.Field("event_id", "long"), C.Field("c", conditions())))
+
+
+def recursive_records(spark, sf):
+    return recursive_events(spark, sf).select("event_id", F.parse_json("text").alias("c"))
+
+
+_PATHS = "(VALUES ('c.left', 0), ('c.right.left', 1), ('c.right.right', 2), ('c.more.0', 3)) p(path, n)"
+
+
+def said(df, name: str, member: str):
+    """A row per click of the recursive records with one of its members."""
+    paths = {"c.left": "$.left", "c.right.left": "$.right.left", "c.right.right": "$.right.right", "c.more.0": "$.more[0]"}
+    return df.select("event_id", F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.try_variant_get(
+        "c", f"{at}.{member}", "string").alias(name)) for p, at in paths.items()])).alias("x")).select("event_id", "x.*")
+
+
+@query("p8_recursive", f"SELECT event_id, path, 'c' || (event_id + n) AS code FROM events, {_PATHS}")
+def p8_recursive(spark, sf):
+    return said(typed.normalise_lower(recursive_records(spark, sf), RECURSIVE), "code", "code")
+
+
+@query("t6_recursive", f"""
+SELECT event_id, path, CASE WHEN event_type = 'click' THEN 'T:click' ELSE event_type END AS say FROM events, {_PATHS}""")
+def t6_recursive(spark, sf):
+    words = star.read(spark, sf, "events").select("event_type").distinct().select(
+        F.lit("events").alias("table"), F.col("event_type").alias("original"),
+        F.when(F.col("event_type") == "click", "T:click").otherwise("").alias("translated"))
+    return said(texts.translate_by_value(recursive_records(spark, sf), RECURSIVE, words), "say", "say")
+
+
+@query("t7_recursive", f"""
+SELECT event_id, path, CASE WHEN path = 'c.right.left' AND event_id % 3 = 0 AND event_id % 2 = 0 THEN 'T' || event_id ELSE event_type END AS say
+FROM events, {_PATHS}""")
+def t7_recursive(spark, sf):
+    df = star.read(spark, sf, "events").where("event_id % 3 = 0")
+    old = F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise("changed since")
+    words = df.select(F.lit("events").alias("table"), F.col("event_id").cast("string").alias("pk"), F.lit("c-right-left-say").alias("field_chain"),
+                      old.alias("original"), F.concat(F.lit("T"), "event_id").alias("translated"))
+    return said(texts.translate_by_id(recursive_records(spark, sf), RECURSIVE, words), "say", "say")
+
+
+@query("t1_recursive_types", f"""
+SELECT CAST(event_id AS VARCHAR) AS pk, path || '.say' AS field_chain, 'text' AS type, event_type AS value FROM events, {_PATHS}
+UNION ALL SELECT CAST(event_id AS VARCHAR), path || '.order', 'long', CAST(user_id AS VARCHAR) FROM events, {_PATHS}""")
+def t1_recursive_types(spark, sf):
+    return search.leaves(recursive_records(spark, sf), RECURSIVE, ("text", "long")).where("field_chain <> 'event_id'").drop("table")
+
+
+@query("j4_recursive", f"""
+SELECT CAST(event_id AS VARCHAR) AS record_id, path || '.order' AS field, CAST(user_id AS VARCHAR) AS value FROM events, {_PATHS}
+WHERE user_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)""")
+def j4_recursive(spark, sf):
+    orders = star.read(spark, sf, "orders").where("o_orderkey % 3 = 0")
+    contract = replace(RECURSIVE, source="json")
+    return checks.check_fk_nested(recursive_records(spark, sf), contract, {"orders": orders}).select("record_id", "field", "value")
+
+
+def recursive_dataset(spark, sf):
+    return C.Dataset({"events": RECURSIVE, "orders": replace(star.ORDERS, fks=())},
+                     {"events": recursive_records(spark, sf), "orders": star.read(spark, sf, "orders")})
+
+
+@query("j7_recursive_edges", f"""
+SELECT CAST(event_id AS VARCHAR) AS from_id, path || '.refOrder' AS label, CAST(user_id AS VARCHAR) AS to_id FROM events, {_PATHS}
+WHERE user_id IN (SELECT o_orderkey FROM orders)""")
+def j7_recursive_edges(spark, sf):
+    return refs.ref_edges(recursive_dataset(spark, sf)).select("from_id", "label", "to_id")
+
+
+@query("j10_recursive", """
+SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderkey NOT IN (SELECT user_id FROM events)""")
+def j10_recursive(spark, sf):
+    return refs.unreferenced(recursive_dataset(spark, sf), ["orders"]).select("id")
+
+
+@query("j14_nested", """
+SELECT 'events' AS from_table, 4 * count(*) AS n_refs, count(DISTINCT CASE WHEN there THEN user_id END) AS n_targets,
+  CAST(4 * count(*) FILTER (NOT there) AS BIGINT) AS n_dangling, (SELECT coalesce(4 * max(n), 0) FROM (
+    SELECT count(*) AS n FROM events WHERE user_id IN (SELECT o_orderkey FROM orders) GROUP BY user_id)) AS max_fan_in
+FROM (SELECT *, user_id IN (SELECT o_orderkey FROM orders) AS there FROM events)""")
+def j14_nested(spark, sf):
+    return refs.table_graph(recursive_dataset(spark, sf)).select("from_table", "n_refs", "n_targets", "n_dangling", "max_fan_in")
+
+
+@query("p10_recursive_errors", """
+WITH c AS (SELECT event_id, path, n FROM events, (VALUES ('c.left', 0), ('c.right.left', 1), ('c.right.right', 2), ('c.more.0', 3)) p(path, n))
+SELECT 'JsonValueNotMatchType' AS err_type, CAST(event_id AS VARCHAR) AS record_id, path || '.order' AS field, '"seven"' AS value FROM c
+WHERE event_id % 7 = 0 AND (event_id % 11 <> 0 OR NOT starts_with(path, 'c.right.'))
+UNION ALL SELECT 'JsonTypeNotMatch', CAST(event_id AS VARCHAR), 'c.right', 'Or' FROM events WHERE event_id % 11 = 0
+UNION ALL SELECT 'JsonHasExtraFields', CAST(event_id AS VARCHAR), 'c.right', 'odd' FROM events WHERE event_id % 13 = 0 AND event_id % 11 <> 0""")
+def p10_recursive_errors(spark, sf):
+    docs = recursive_events(spark, sf, bad=True).select(F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"), F.lit(',"c":'), "text",
+                                                                F.lit("}")).alias("text"))
+    return typed.json_to_typed(docs, "text", RECURSIVE)[1].select("err_type", "record_id", "field", "value")
+
+
+WORDS = C.Struct("Words", (C.Field("say", "text"), C.Field("code", "str", lowercase=True, must_fill=True), C.Field("sizes", C.MapOf("int", "str"))))
+DEEP = C.TableContract("part", ("p_partkey",), (C.Field("p_partkey", "long"), C.Field("about", C.Struct("About", (
+    C.Field("words", C.ListOf(WORDS)),)))))
+
+
+def deep_parts(spark, sf):
+    """Parts with structs in a list in a struct; some have no code, some repeat a map key."""
+    df, key = star.read(spark, sf, "part"), F.col("p_partkey")
+    entry = lambda k: F.struct(F.lit(k).alias("key"), F.col("p_type").alias("value"))
+    sizes = F.when(key % 5 == 0, F.array(entry(1), entry(2), entry(1))).otherwise(F.array(entry(1)))
+    words = F.struct(F.col("p_brand").alias("say"), F.when(key % 7 != 0, F.upper("p_type")).alias("code"), sizes.alias("sizes"))
+    again = F.struct(F.col("p_name").alias("say"), F.lit("X").alias("code"), F.array(entry(3)).alias("sizes"))
+    return df.select("p_partkey", F.struct(F.array(words, again).alias("words")).alias("about"))
+
+
+@query("p8_nested", """
+SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN lower(p_type) END AS a, 'x' AS b FROM part""")
+def p8_nested(spark, sf):
+    out = typed.normalise_lower(deep_parts(spark, sf), DEEP)
+    return out.select("p_partkey", F.col("about.words")[0]["code"].alias("a"), F.col("about.words")[1]["code"].alias("b"))
+
+
+@query("p9_nested", """
+SELECT 'MustFillButCellEmpty' AS err_type, CAST(p_partkey AS VARCHAR) AS record_id, 'about.words.0.code' AS field FROM part WHERE p_partkey % 7 = 0""")
+def p9_nested(spark, sf):
+    return checks.check_nested(deep_parts(spark, sf), DEEP).where("err_type = 'MustFillButCellEmpty'").select("err_type", "record_id", "field")
+
+
+@query("c4_nested", """
+SELECT CAST(p_partkey AS VARCHAR) AS record_id, 'about.words.0.sizes' AS field, '1' AS value FROM part WHERE p_partkey % 5 = 0""")
+def c4_nested(spark, sf):
+    return checks.check_nested(deep_parts(spark, sf), DEEP).where("err_type = 'MapKeyDuplicated'").select("record_id", "field", "value")
+
+
+@query("t6_nested", """
+SELECT p_partkey, 'T:' || p_brand AS a, p_name AS b FROM part""")
+def t6_nested(spark, sf):
+    words = star.read(spark, sf, "part").select(F.lit("part").alias("table"), F.col("p_brand").alias("original"),
+                                                F.concat(F.lit("T:"), "p_brand").alias("translated")).distinct()
+    out = texts.translate_by_value(deep_parts(spark, sf), DEEP, words)
+    return out.select("p_partkey", F.col("about.words")[0]["say"].alias("a"), F.col("about.words")[1]["say"].alias("b"))
+
+
+@query("t7_nested", """
+SELECT p_partkey, p_brand AS a, CASE WHEN p_partkey % 3 = 0 THEN 'T' || p_partkey ELSE p_name END AS b FROM part""")
+def t7_nested(spark, sf):
+    words = star.read(spark, sf, "part").where("p_partkey % 3 = 0").select(
+        F.lit("part").alias("table"), F.col("p_partkey").cast("string").alias("pk"), F.lit("about-words-1-say").alias("field_chain"),
+        F.col("p_name").alias("original"), F.concat(F.lit("T"), "p_partkey").alias("translated"))
+    out = texts.translate_by_id(deep_parts(spark, sf), DEEP, words)
+    return out.select("p_partkey", F.col("about.words")[0]["say"].alias("a"), F.col("about.words")[1]["say"].alias("b"))
+
+
+@query("t4_translated", """
+SELECT * FROM (SELECT 'documents' AS "table", CASE WHEN doc_id % 5 = 0 THEN '' ELSE
+    trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) END AS original,
+  CASE WHEN doc_id % 3 = 0 THEN 'T' || doc_id WHEN doc_id % 5 = 0 THEN 'none' ELSE '' END AS translated FROM documents)
+WHERE original <> '' OR translated <> ''""")
+def t4_translated(spark, sf):
+    df, key = star.read(spark, sf, "documents"), F.col("doc_id")
+    # No-break and ideographic spaces and a byte order mark around the originals; blank ones have a translation.
+    blank = F.lit("\u00a0\u3000\ufeff")
+    original = F.when(key % 5 == 0, blank).otherwise(F.concat(blank, "text", blank))
+    done = F.when(key % 3 == 0, F.concat(F.lit("T"), key)).when(key % 5 == 0, "none").otherwise(original)
+    df = df.withColumn("text_original", original).withColumn("text", done)
+    return texts.extract_texts_by_value(C.Dataset({"documents": star.DOCUMENTS}, {"documents": df}))

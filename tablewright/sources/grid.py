@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..cluster import cut
 from ..contract import TableContract, column_of, field_span, span, ListOf, MapOf
 from ..functions.packed import cast_text
+from ..functions.scalars import trim_space
 
 # Header layouts as (rows, comment row, name row, type row).
 LAYOUTS = {2: (2, 0, 1, None), 3: (3, 0, 1, None), 4: (4, 3, 0, 1)}
@@ -95,7 +96,8 @@ def _read_cells(spark, files, sep, encoding, multi_line, width):
     row = F.array(*names)
     used = F.array_max(F.transform(row, lambda c, i: F.when(c.isNotNull(), i + 1).otherwise(0)))
     given = F.transform(F.slice(row, 1, used), lambda c: F.coalesce(c, F.lit("")))
-    clean = F.transform(given, lambda c, i: F.trim(F.when((i == 0) & c.startswith("\ufeff"), c.substr(F.lit(2), F.length(c))).otherwise(c)))
+    # A byte order mark is white space too.
+    clean = F.transform(given, trim_space)
     return df.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
                      clean.alias("cells"), F.col("c_over").isNotNull().alias("_over"))
 
@@ -140,7 +142,7 @@ def with_table_name(grid: DataFrame, root: str, by_folder: bool = False) -> Data
     tail = F.regexp_extract(full, r"_\s*([+-]?\d+)[^_]*$", 1)
     head = F.regexp_extract(full, r"^(.*)_[^_]*$", 1)
     named = (files.where(~F.exists(names, lambda n: n.isNull()))
-             .select("_file", F.trim(F.when(tail != "", head).otherwise(full)).alias("_table"),
+             .select("_file", trim_space(F.when(tail != "", head).otherwise(full)).alias("_table"),
                      F.coalesce(tail.try_cast("int"), F.lit(0)).alias("_shard")))
     # Names are worked out once per file; rows pick them up from the small written list.
     return grid.join(cut(named, "names"), "_file")
@@ -175,9 +177,9 @@ def header_of(grid: DataFrame, layout: int = 2) -> DataFrame:
         (pick(type_row) if type_row is not None else F.lit(None).cast("array<string>")).alias("types"))
 
     def column(name, i):
-        clean = F.trim(F.regexp_extract(name, r"^([^.,@]*)", 1))
+        clean = trim_space(F.regexp_extract(name, r"^([^.,@]*)", 1))
         note = F.regexp_replace(F.coalesce(F.get("comments", i), F.lit("")), "\r\n|\r|\n", "--")
-        note = F.trim(F.when((i == 0) & note.startswith("#"), note.substr(F.lit(2), F.length(note))).otherwise(note))
+        note = trim_space(F.when((i == 0) & note.startswith("#"), note.substr(F.lit(2), F.length(note))).otherwise(note))
         note = F.when(F.lower(note) == F.lower(clean), "").otherwise(note)
         return F.struct(i.alias("index"), clean.alias("name"), note.alias("comment"),
                         F.coalesce(F.get("types", i), F.lit("")).alias("type"))

@@ -24,20 +24,21 @@ def _json_value(c: Column, kind, dtype: T.DataType, drop_defaults: bool) -> Colu
             _json_value(e["key"], kind.key, types[0], drop_defaults).alias("key"),
             _json_value(e["value"], kind.value, types[1], drop_defaults).alias("value")))
     if isinstance(kind, C.Union) and not kind.recursive:
-        # One struct type has to hold every choice: impl fields side by side, others NULL.
-        names, parts = [], [c["type"].alias("$type")]
-        for impl in kind.impls:
-            for f in impl.fields:
-                if f.name in names:
-                    continue
-                names.append(f.name)
-                pick = None
-                for other in kind.impls:
-                    if f.name in [g.name for g in other.fields] and other.field(f.name).type == f.type:
-                        part = c[other.name]
-                        v = _json_value(part[f.name], f.type, dtype[other.name].dataType[f.name].dataType, drop_defaults)
-                        pick = F.when(c["type"] == other.name, v) if pick is None else pick.when(c["type"] == other.name, v)
-                parts.append(pick.alias(f.name))
+        # One struct type has to hold every choice: impl fields side by side, others NULL.  Fields that share a
+        # name but not a type meet as VARIANT, which is written as what it holds.
+        parts = [c["type"].alias("$type")]
+        for name in dict.fromkeys(f.name for impl in kind.impls for f in impl.fields):
+            owners = [impl for impl in kind.impls if name in [f.name for f in impl.fields]]
+            mixed = len({C.spark_type(impl.field(name).type).simpleString() for impl in owners}) > 1
+            pick = F.lit(None)
+            for impl in owners:
+                inner = dtype[impl.name].dataType[name].dataType
+                value = _json_value(c[impl.name][name], impl.field(name).type, inner, drop_defaults)
+                if mixed:
+                    nested = isinstance(inner, (T.StructType, T.ArrayType, T.MapType))
+                    value = F.parse_json(F.to_json(value)) if nested else value.cast("variant")
+                pick = F.when(c["type"] == impl.name, value).otherwise(pick)
+            parts.append(pick.alias(name))
         return F.when(c["type"].isNotNull(), F.struct(*parts))
     if isinstance(kind, C.Struct):
         fields = [_json_field(c[f.name], f, dtype[f.name].dataType, drop_defaults) for f in kind.fields]
