@@ -39,7 +39,7 @@ from .base import forget, order_id, slices, starts
 #: Bytes of a letter; three letters fit one sorted row.
 LETTER = 8
 #: Bytes that are hashed together, and texts above which they are taken in pieces.
-PIECE = 1 << 18
+PIECE = 1 << 16
 #: One anchor in so many ends a block; no block has more strings than this.
 ENDS, BLOCK = 16, 1 << 13
 #: Bytes of blocks that share a row, and bits of a place in it.
@@ -131,11 +131,11 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _shared_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc, place) of anchors that are in two documents, and some more.
+    """(doc, place) of anchors that are in two documents.
 
-    What two documents of a thousand share is known at once, and one row of it goes on to tell other batches; so an anchor has
-    no more rows that meet than there are thousands of documents (and places in one).  Sorted by hash and document those are neighbours:
-    hashes with two documents stay, and the first and last one of a batch of sorted rows, which may go on elsewhere.
+    What two documents of a thousand share is known at once, and one row of it goes on to tell others; so an anchor has
+    no more rows that meet than there are thousands of documents (and places in one).  No anchor is hot then, and a shuffle partition is
+    sorted in memory: some 30 bytes per row.
     """
     schema = pa.schema([("known", pa.bool_()), ("hash", pa.int64()), ("doc", pa.int64()), ("place", pa.int32())])
 
@@ -155,20 +155,21 @@ def _shared_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(rows, schema=schema)
 
     def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            known = batch.column(0).to_numpy(zero_copy_only=False)
-            begin = starts(batch.column(1).to_numpy())
-            doc, at = batch.column(2).to_numpy(), np.flatnonzero(begin)
-            many = (doc[at] != doc[np.append(at[1:], len(doc)) - 1]) | np.logical_or.reduceat(known, at)
-            many[0] = many[-1] = True
-            pick = pa.array(many[np.cumsum(begin) - 1])
-            yield pa.RecordBatch.from_arrays([batch.column(2).filter(pick), batch.column(3).filter(pick)], names=["doc", "place"])
+        rows = pa.Table.from_batches(batches, schema=schema)
+        if not rows.num_rows:
+            return
+        known, hashes, doc, place = (c.to_numpy() for c in rows.columns)
+        order = np.argsort(hashes)
+        at = np.flatnonzero(starts(hashes[order]))
+        met = doc[order]
+        many = (np.minimum.reduceat(met, at) != np.maximum.reduceat(met, at)) | np.logical_or.reduceat(known[order], at)
+        pick = order[np.repeat(many, np.diff(np.append(at, len(order))))]
+        for k in range(0, len(pick), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(doc[pick[k:k + (1 << 16)]]), pa.array(place[pick[k:k + (1 << 16)]])], names=["doc", "place"])
 
     rows = docs.select("doc", "text").mapInArrow(found, "known boolean, hash long, doc long, place int")
     meet = rows.repartition(F.when(F.col("known"), F.xxhash64("doc", "place")).otherwise(F.col("hash")))
-    return meet.sortWithinPartitions("hash", "doc").mapInArrow(shared, "doc long, place int")
+    return meet.mapInArrow(shared, "doc long, place int")
 
 
 def cut_blocks(text: bytes, places: np.ndarray, length: int, gram: int) -> list[tuple[int, int]]:
@@ -360,10 +361,9 @@ def _row_batch(*columns: np.ndarray) -> pa.Table:
     return pa.Table.from_arrays([pa.array(np.ascontiguousarray(c, np.int64)) for c in columns], schema=_ARROW_ROW)
 
 
-#: Anchors with their triple, the strings around them (``most`` to ``least`` bytes before the anchor), and the bytes of all of them.
-_ANCHORED = "a long, b long, c long, doc long, pos long, most int, least int, data binary"
-_ARROW_ANCHORED = pa.schema([*((c, pa.int64()) for c in ("a", "b", "c", "doc", "pos")), ("most", pa.int32()), ("least", pa.int32()),
-                             ("data", pa.binary())])
+#: Anchors with their triple, the strings around them (the first begins ``most`` bytes before the anchor), and the bytes of all of them.
+_ANCHORED = "a long, b long, c long, doc long, pos long, most int, data binary"
+_ARROW_ANCHORED = pa.schema([*((c, pa.int64()) for c in ("a", "b", "c", "doc", "pos")), ("most", pa.int32()), ("data", pa.binary())])
 
 
 def _triples_of_names(chunks: DataFrame, named: DataFrame, cover: int, letter: int, length: int) -> DataFrame:
@@ -389,12 +389,12 @@ def _triples_of_names(chunks: DataFrame, named: DataFrame, cover: int, letter: i
 
         if last:
             place, most, least, doc = chunk.anchors()
-            span = chunk.wide - 1 + length
-            rows = np.lib.stride_tricks.sliding_window_view(chunk.data, span)[place - chunk.wide + 1]
-            data = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(np.arange(len(place) + 1, dtype=np.int32) * span),
-                                                                   pa.py_buffer(np.ascontiguousarray(rows))])
-            return pa.Table.from_arrays([*map(pa.array, (*triple(place, 0), doc, place + chunk.base)), pa.array(most.astype(np.int32)),
-                                         pa.array(least.astype(np.int32)), data], schema=_ARROW_ANCHORED)
+            sizes = most - least + length
+            edge = np.concatenate(([0], np.cumsum(sizes)))
+            rows = chunk.data[np.arange(edge[-1]) + np.repeat(place - most - edge[:-1], sizes)]
+            data = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(rows)])
+            return pa.Table.from_arrays([*map(pa.array, (*triple(place, 0), doc, place + chunk.base)), pa.array(most.astype(np.int32)), data],
+                                        schema=_ARROW_ANCHORED)
         anchor, _, _, _ = chunk.anchors()
         parts = [(anchor + offset, offset) for offset in _offsets(3 * cover, letter, length)]
         parts = [_row_batch(*triple(place, offset), place + chunk.base) for place, offset in parts]
@@ -413,34 +413,49 @@ def _judged(rows: DataFrame, length: int, wide: int) -> DataFrame:
     """Strings that a smaller document has: ``n`` from place ``pos`` on; with ``hash`` and ``doc``, strings yet to be settled.
 
     Anchors are sorted by what follows them.  A string is some bytes before its anchor and what follows up to its end, so equal
-    strings are in a stretch of anchors that agree that far.  Stretches inside an Arrow batch are settled there.
+    strings are in a stretch of anchors that agree that far.  An Arrow batch settles all but the strings of its smallest document in
+    stretches that touch its first or last row.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            doc, pos, most, least = (batch.column(i).to_numpy() for i in range(3, 7))
-            data = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(n, -1).T
-            hashes = sliding(_LETTERS[data], length, _mixed)[::-1]  # row t: the string that begins t bytes before its anchor
+            doc, pos, most = (batch.column(i).to_numpy() for i in range(3, 6))
+            texts = batch.column(6).to_pylist()
+            sizes = np.fromiter(map(len, texts), np.int64, n)
+            least = most - sizes + length
+            # One column per anchor, which stands in row ``wide`` - 1; zeros where its strings do not reach.
+            data, edge = np.zeros((n, wide - 1 + length), np.uint8), np.cumsum(sizes) - sizes
+            data.reshape(-1)[np.arange(sizes.sum()) + np.repeat(np.arange(n) * data.shape[1] + wide - 1 - most - edge, sizes)] = np.frombuffer(
+                b"".join(texts), np.uint8)
+            data = np.ascontiguousarray(data.T)
+            # Row t: the string that begins t bytes before its anchor.  A few hundred columns at a time stay in the processor's cache.
+            hashes = np.concatenate([sliding(_LETTERS[data[:, k:k + 256]], length, _mixed) for k in range(0, n, 256)], axis=1)[::-1]
             before = np.arange(wide)[:, None]
             here = (before <= most) & (before >= least)
-            after = data[wide - 1:]
-            agree = lambda k: np.logical_and.accumulate(after == after[:, k:k + 1]).sum(axis=0)
+            after, known = data[wide - 1:], length - least
+
+            def agree(k: int) -> np.ndarray:
+                """Bytes that follow anchors as they follow the k-th; all, if they agree as far as that one's are known."""
+                same = np.logical_and.accumulate(after == after[:, k:k + 1]).sum(axis=0)
+                return np.where(same >= known[k], length, same)
+
             far = np.maximum(agree(0), agree(n - 1))
-            edge = here & (length - before <= far)
-            t, k = np.nonzero(edge)
-            yield pa.RecordBatch.from_arrays([pa.array(pos[k] - t), pa.array(np.ones(len(t), np.int32)),
-                                              pa.array(hashes[t, k].view(np.int64)), pa.array(doc[k])], schema=_ARROW_HIT)
-            t, k = np.nonzero(here & ~edge)
-            value = hashes[t, k]
+            t, k = np.nonzero(here)
+            value, whose = hashes[t, k], doc[k]
             order = np.argsort(value)
             first = np.flatnonzero(starts(value[order]))
             if not len(first):
                 continue
-            smallest = np.repeat(np.minimum.reduceat(doc[k][order], first), np.diff(np.append(first, len(order))))
+            smallest = np.empty(len(t), np.int64)
+            smallest[order] = np.repeat(np.minimum.reduceat(whose[order], first), np.diff(np.append(first, len(order))))
             hit = np.zeros((wide + 1, n), bool)
-            hit[t[order], k[order]] = doc[k][order] > smallest
+            hit[t, k] = whose > smallest
+            # The smallest document of this batch may not be the smallest of a stretch that goes on beyond it.
+            ahead = (whose == smallest) & (length - t <= far[k])
+            yield pa.RecordBatch.from_arrays([pa.array(pos[k[ahead]] - t[ahead]), pa.array(np.ones(int(ahead.sum()), np.int32)),
+                                              pa.array(value[ahead].view(np.int64)), pa.array(whose[ahead])], schema=_ARROW_HIT)
             # Runs of hits before one anchor, from the far end to the near one.
             k, t = np.nonzero((hit & ~np.vstack((hit[1:], np.zeros((1, n), bool)))).T)
             _, near = np.nonzero((hit & ~np.vstack((np.zeros((1, n), bool), hit[:-1]))).T)
