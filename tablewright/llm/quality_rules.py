@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -55,9 +56,9 @@ def line_fails(line: bytes, rules: Rules) -> str | None:
         return "navigation"
     if n > 2 and line.count(b"!") + line.count(b"?") > rules.line_shouts * n:
         return "punctuation"
-    if n >= rules.repeat_words:
-        top = max(map(words.count, {words[0], words[n // 2], words[-1]}))
-        if top > rules.line_one_word * n:
+    # A word cannot come oftener than what the different ones leave.
+    if n >= rules.repeat_words and n - len(set(words)) + 1 > rules.line_one_word * n:
+        if max(Counter(words).values()) > rules.line_one_word * n:
             return "repetition"
     if n <= max(rules.nav_words, rules.boilerplate_words):
         text = line.decode("utf-8", "replace").strip()
