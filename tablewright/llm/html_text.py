@@ -2,13 +2,20 @@
 
 All visible text comes out in reading order.  Blocks start on lines of their own, paragraphs
 and headings are set off by an empty line, list items have markers, the cells of a table are
-aligned in columns.
+aligned in columns, over the columns and rows that they span.  Elements nest to any depth.
+
+Not shown are elements that HTML never shows, those that an attribute, a style or a rule of a ``style`` element for one
+tag, class or id hides, the body of a closed ``details`` and the options of a list that are not chosen.  What
+``visibility`` hides may hold something that is visible.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
+import textwrap
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,17 +49,22 @@ CLOSES = {
 ENDS_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "frameset"}
 P_SCOPE = frozenset("table td th button object caption".split())
 HEAD_ONLY = frozenset("meta link base title style script noscript template head html".split())
-#: Open elements beyond which a tag no longer nests.
-MAX_DEPTH = 200
-#: Widest column that shorter cells are padded to.
-MAX_COLUMN = 60
+#: Characters at which the lines of a cell are wrapped, between words.
+COLUMN = 60
+# The most columns and rows that HTML lets a cell span.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: Inputs whose value is their label, with the label that they have without one.
+BUTTONS = {"submit": "Submit", "reset": "Reset", "button": ""}
 
 # An attribute as HTML reads it: a quote opens a value only behind ``=``.
 _NAME, _VALUE = r"(?:=[^\s/>=]*|[^\s/>=]+)", r"\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?"
 _TOKEN = re.compile(r"<!---?>|<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
                     rf"<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|{_NAME}(?:{_VALUE})?)*+)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(=[^\s/>=]*|[^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*))?)?")
-_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+_GONE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+_VEIL = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.IGNORECASE)
+_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_SELECTOR = re.compile(r"([a-z][a-z0-9]*|\*)?([.#][\w-]+)?", re.IGNORECASE)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -61,16 +73,62 @@ class Node:
     tag: str
     attributes: dict[str, str] = field(default_factory=dict)
     children: list = field(default_factory=list)  # nodes and strings
+    rows: bool = False                            # holds rows of a table, whatever is between
 
     @property
     def hidden(self) -> bool:
         a = self.attributes
-        return (self.tag in HIDDEN or "hidden" in a or self.tag == "input"
-                or self.tag == "dialog" and "open" not in a or bool(_INVISIBLE.search(a.get("style", ""))))
+        return (self.tag in HIDDEN or "hidden" in a or self.tag == "dialog" and "open" not in a
+                or self.tag == "input" and a.get("type", "").lower() not in BUTTONS or bool(_GONE.search(a.get("style", ""))))
+
+    @property
+    def veil(self) -> bool | None:
+        """Whether the element's own text is invisible; None: as around it."""
+        m = _VEIL.search(self.attributes.get("style", ""))
+        return m and m[1].lower() != "visible"
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)} if text.strip(" /\n\t") else {}
+    out: dict[str, str] = {}
+    if text.strip(" /\n\t"):
+        for m in _ATTRIBUTE.finditer(text):  # the first of equal names counts
+            out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+def _styled(node: Node, rules: dict[tuple[str, str], str]) -> None:
+    """Puts what rules say of the element in front of its own style."""
+    names = [""] + ["." + c for c in node.attributes.get("class", "").split()]
+    if "id" in node.attributes:
+        names.append("#" + node.attributes["id"])
+    found = [rules[tag, name] for tag in ("*", node.tag) for name in names if (tag, name) in rules]
+    own = node.attributes.get("style", "")
+    if found and not _VEIL.search(own) and not re.search(r"display\s*:", own, re.IGNORECASE):
+        node.attributes["style"] = ";".join([*found, own])
+
+
+def _rules_of(sheet: str, rules: dict[tuple[str, str], str]) -> None:
+    """Rules that hide, for selectors of one tag, class or id.  Rules inside other rules (of printers, say) are passed over."""
+    sheet = re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.DOTALL)
+    flat, depth, at = [], 0, 0
+    for m in re.finditer(r"@[^;{}]*\{|[{}]", sheet):
+        if depth == 0 and m.group().startswith("@"):
+            flat.append(sheet[at:m.start()])
+            depth = 1
+        elif depth:
+            depth += 1 if m.group().endswith("{") else -1
+            at = m.end() if not depth else at
+    if not depth:
+        flat.append(sheet[at:])
+    for m in _RULE.finditer("".join(flat)):
+        for selector in m[1].split(","):
+            one = _SELECTOR.fullmatch(selector.strip())
+            if one and selector.strip():
+                key = ((one[1] or "*").lower(), one[2] or "")
+                if _GONE.search(m[2]) or _VEIL.search(m[2]):
+                    rules[key] = m[2]
+                elif re.search(r"display\s*:", m[2], re.IGNORECASE):
+                    rules.pop(key, None)  # a later rule shows it again
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -107,12 +165,27 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 def tree(page: str) -> Node:
     """The document's tree; end tags that are left out are implied, stray ones are ignored."""
     root = Node("html")
-    stack = [root]
+    stack, count = [root], Counter(("html",))  # open elements, and how many there are of each tag
+    rules: dict[tuple[str, str], str] = {}
+
+    def push(node: Node) -> None:
+        stack[-1].children.append(node)
+        stack.append(node)
+        count[node.tag] += 1
+        if node.tag == "tr":
+            for outer in reversed(stack[:-1]):
+                if outer.rows or outer.tag == "table":
+                    break
+                outer.rows = True
 
     def close_to(index: int) -> None:
+        for node in stack[index:]:
+            count[node.tag] -= 1
         del stack[index:]
 
     def close_in(names: set, scope: set) -> None:
+        if not any(count[n] for n in names):
+            return
         lowest = None
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in scope:
@@ -124,16 +197,19 @@ def tree(page: str) -> Node:
 
     for kind, name, rest in tokens(page):
         if kind == "text":
-            text = html.unescape(name)
-            if stack[-1].tag == "head" and text.strip():
-                stack.pop()
+            tag = stack[-1].tag
+            text = name if tag == "xmp" else html.unescape(name)
+            if tag == "style":
+                _rules_of(name, rules)
+            if tag == "head" and text.strip():
+                close_to(len(stack) - 1)
             stack[-1].children.append(text)
         elif kind == "close":
             if name == "br":
                 stack[-1].children.append(Node("br"))
-            elif name == "p" and all(n.tag != "p" for n in stack):
+            elif name == "p" and not count["p"]:
                 stack[-1].children.append(Node("p"))
-            elif name not in ("html", "body"):
+            elif name not in ("html", "body") and count[name]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == name:
                         close_to(i)
@@ -142,29 +218,52 @@ def tree(page: str) -> Node:
                         break
         else:
             if name == "html":
-                root.attributes = _attributes(rest) or root.attributes
+                root.attributes = root.attributes or _attributes(rest)
                 continue
             if stack[-1].tag == "head" and name not in HEAD_ONLY:
-                stack.pop()
+                close_to(len(stack) - 1)
             if name in ENDS_P:
                 close_in({"p"}, P_SCOPE)
             if name in CLOSES:
                 close_in(*CLOSES[name])
             if re.fullmatch("h[1-6]", name) and re.fullmatch("h[1-6]", stack[-1].tag):
-                stack.pop()
+                close_to(len(stack) - 1)
             if name in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-                row = Node("tr")
-                stack[-1].children.append(row)
-                stack.append(row)
+                push(Node("tr"))
             node = Node(name, _attributes(rest))
-            if name in _UNSEEN and any(name in UNSEEN.get(n.tag, ()) for n in stack):
+            if name in _UNSEEN and any(name in UNSEEN[outer] for outer in UNSEEN if count[outer]):
                 node.attributes["hidden"] = ""
-            stack[-1].children.append(node)
-            if name not in VOID and not (rest.rstrip().endswith("/") and name not in BLOCK | RAW) and len(stack) < MAX_DEPTH:
-                stack.append(node)
+            push(node)
+            if name in VOID or rest.rstrip().endswith("/") and name not in BLOCK | RAW:
+                close_to(len(stack) - 1)
+    # A style sheet also holds for what is before it.
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if rules:
+            _styled(node, rules)
+        if node.tag == "details" and "open" not in node.attributes:
+            _fold(node)
+        elif node.tag == "select" and "multiple" not in node.attributes and node.attributes.get("size", "1") in ("", "0", "1"):
+            _choose(node)
+        todo += [c for c in node.children if not isinstance(c, str)]
     return root
 
 
+def _fold(node: Node) -> None:
+    """Leaves the first summary of a closed element."""
+    first = next((c for c in node.children if not isinstance(c, str) and c.tag == "summary"), None)
+    node.children = [first] if first else ["Details"]
+
+
+def _choose(node: Node) -> None:
+    """Leaves the chosen option of a list: the last one that says so, else the first."""
+    options = [o for c in node.children if not isinstance(c, str)
+               for o in ([c] if c.tag == "option" else [o for o in c.children if not isinstance(o, str) and o.tag == "option"])]
+    chosen = [o for o in options if "selected" in o.attributes] or options[:1]
+    node.children = chosen[-1:]
+
+
 class _Flow:
     """Lines of text with pending line ends and blanks."""
 
@@ -176,8 +275,11 @@ class _Flow:
         self.prefixes: list[str] = []
         self.marker: str | None = None
         self.lists = 0               # open lists; inner ones are not set off
+        self.veiled = False          # text is there but not visible
 
     def text(self, value: str) -> None:
+        if self.veiled:
+            return
         value = _SPACE.sub(" ", value)
         if value.startswith(" "):
             self.space = True
@@ -218,6 +320,14 @@ def _block(node: Node, flow: _Flow) -> None:
 
 
 def _element(node: Node, flow: _Flow) -> None:
+    around, veil = flow.veiled, node.veil
+    if veil is not None:
+        flow.veiled = veil
+    _shown(node, flow)
+    flow.veiled = around
+
+
+def _shown(node: Node, flow: _Flow) -> None:
     tag = node.tag
     if tag == "br":
         if flow.parts:
@@ -228,6 +338,9 @@ def _element(node: Node, flow: _Flow) -> None:
     if tag == "img":
         flow.text(node.attributes.get("alt", ""))
         return
+    if tag == "input":
+        flow.text(node.attributes.get("value", BUTTONS[node.attributes["type"].lower()]))
+        return
     if tag not in BLOCK:
         if tag == "text":  # labels of a drawing stand apart
             flow.text(" ")
@@ -240,12 +353,14 @@ def _element(node: Node, flow: _Flow) -> None:
     if spaced and flow.marker is None:
         flow.gap = True
     if tag == "hr":
-        flow.line("-" * 8)
+        if not flow.veiled:
+            flow.line("-" * 8)
     elif tag == "pre":
-        for line in _plain(node).removeprefix("\n").split("\n"):
+        text = _plain(node, flow.veiled).removeprefix("\n")
+        for line in text.split("\n") if text or not flow.veiled else ():
             flow.line(line)
     elif tag == "table":
-        for line in _table(node):
+        for line in _table(node, flow.veiled):
             flow.line(line)
     elif tag in ("ul", "ol", "menu", "dir"):
         flow.lists += 1
@@ -280,7 +395,7 @@ def _list(node: Node, flow: _Flow) -> None:
             outer, flow.marker = flow.marker, None
             flow.prefixes.append(" " * len(mark))
             flow.marker = mark if outer is None else outer + mark
-            _block(child, flow)
+            _element(Node("span", child.attributes, child.children), flow)
             flow.end()
             if flow.marker is not None:  # an item without text leaves nothing
                 flow.marker = None
@@ -288,74 +403,138 @@ def _list(node: Node, flow: _Flow) -> None:
             flow.gap = False
 
 
-def _plain(node: Node) -> str:
+def _plain(node: Node, veiled: bool = False) -> str:
     """Text as it stands, for preformatted elements."""
-    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else "" if c.hidden else _plain(c) for c in node.children)
-
-
-def _holds_rows(node: Node) -> bool:
-    """Whether rows stand in an element (a form, say) between a table and them."""
-    return node.tag != "table" and not node.hidden and any(
-        not isinstance(c, str) and (c.tag == "tr" or _holds_rows(c)) for c in node.children)
-
-
-def _parts(node: Node) -> Iterator[str | Node]:
-    """Rows of a table, and the text and elements beside them, through row groups and whatever else holds rows."""
-    for child in node.children:
+    out, todo = [], [(node, veiled)]
+    while todo:
+        one, veiled = todo.pop()
+        if isinstance(one, str):
+            out.append("" if veiled else one)
+        elif one.tag == "br":
+            out.append("\n")
+        elif one is node or not one.hidden:
+            veil = one.veil if one.veil is not None else veiled
+            todo += [(c, veil) for c in reversed(one.children)]
+    return "".join(out)
+
+
+def _parts(node: Node, veiled: bool) -> list[tuple[str | Node, bool]]:
+    """Rows of a table, and the text and elements beside them, through row groups and whatever else holds rows; and whether they are veiled."""
+    out, todo = [], [(c, veiled) for c in reversed(node.children)]
+    while todo:
+        child, veiled = todo.pop()
         if isinstance(child, str):
-            yield child
-        elif child.hidden:
-            continue
-        elif child.tag in ROW_GROUPS or child.tag not in ("tr", "table") and _holds_rows(child):
-            yield from _parts(child)
-        else:
-            yield child
+            out.append((child, veiled))
+        elif not child.hidden:
+            if child.tag in ROW_GROUPS or child.tag not in ("tr", "table") and child.rows:
+                veiled = child.veil if child.veil is not None else veiled
+                todo += [(c, veiled) for c in reversed(child.children)]
+            else:
+                out.append((child, veiled))
+    return out
 
 
-def _lines_of(node: Node) -> list[str]:
+def _lines_of(node: Node, veiled: bool) -> list[str]:
     flow = _Flow()
+    flow.veiled = veiled if node.veil is None else node.veil
     _block(node, flow)
     flow.end()
     return flow.lines
 
 
-def _table(node: Node) -> list[str]:
-    """Caption, stray text, then rows with their cells in aligned columns, two blanks apart."""
+def _spans(cell: Node) -> tuple[int, int]:
+    """Columns and rows of a cell; a row span of 0 goes on to the end."""
+    def number(name: str) -> int:
+        text = cell.attributes.get(name, "1").strip()
+        return int(text) if re.fullmatch(r"\d{1,9}", text) else 1
+    return min(max(number("colspan"), 1), MOST_COLUMNS), min(number("rowspan") or MOST_ROWS, MOST_ROWS)
+
+
+def _table(node: Node, veiled: bool = False) -> list[str]:
+    """Caption, stray text, then rows with their cells in aligned columns, two blanks apart.
+
+    Lines of a cell are wrapped at ``COLUMN`` characters where the table has several columns.  A word that is longer has the
+    rest of the line: cells to its right go on one line further down.
+    """
     out: list[str] = []
-    grid: list[list[list[str]]] = []
-    parts = list(_parts(node))
-    for child in parts:
+    grid: list[dict[int, list[str]]] = []
+    parts = _parts(node, veiled)
+    for child, veil in parts:
         if isinstance(child, str):
-            out += [_SPACE.sub(" ", child).strip(" ")] if child.strip() else []
+            out += [_SPACE.sub(" ", child).strip(" ")] if child.strip() and not veil else []
         elif child.tag != "tr":
-            out += _lines_of(Node("div", {}, [child]))
-    for row in (c for c in parts if not isinstance(c, str) and c.tag == "tr"):
-        cells: list[list[str]] = []
+            out += _lines_of(Node("div", {}, [child]), veil)
+    taken: dict[int, int] = {}  # columns that cells of earlier rows reach into, and for how many rows
+    for row, veil in parts:
+        if isinstance(row, str) or row.tag != "tr":
+            continue
+        veil = row.veil if row.veil is not None else veil
+        cells, column, below = {}, 0, {c: n - 1 for c, n in taken.items() if n > 1}
         for cell in row.children:
             if isinstance(cell, str):
-                if cell.strip():
-                    cells.append([_SPACE.sub(" ", cell).strip(" ")])
-            elif not cell.hidden:
-                cells.append(_lines_of(cell if cell.tag in ("td", "th") else Node("td", {}, [cell])))
-                span = cell.attributes.get("colspan", "1")
-                cells += [[]] * (min(int(span), 50) - 1 if re.fullmatch(r"\d{1,4}", span) else 0)
-        if any(cells):
+                lines, columns, rows = [_SPACE.sub(" ", cell).strip(" ")] if cell.strip() and not veil else [], 1, 1
+                if not lines:
+                    continue
+            elif cell.hidden:
+                continue
+            else:
+                lines = _lines_of(cell if cell.tag in ("td", "th") else Node("td", {}, [cell]), veil)
+                columns, rows = _spans(cell)
+            while column in taken:
+                column += 1
+            cells[column] = lines
+            for c in range(column, column + columns):
+                if rows > 1:
+                    below[c] = max(below.get(c, 0), rows - 1)
+            column += columns
+        taken = below
+        if any(cells.values()):
             grid.append(cells)
-    columns = max(map(len, grid), default=0)
-    width = [0] * columns
+    # Columns without any text take no room.
+    used = sorted({c for cells in grid for c, lines in cells.items() if any(lines)})
+    if len(used) > 1:
+        for cells in grid:
+            for c, lines in cells.items():
+                cells[c] = [w for line in lines for w in ([line] if len(line) <= COLUMN else textwrap.wrap(
+                    line, COLUMN, break_long_words=False, break_on_hyphens=False, subsequent_indent=" " * (len(line) - len(line.lstrip(" ")))) or [line])]
+    width = {c: max((len(line) for cells in grid for line in cells.get(c, ()) if len(line) <= COLUMN or len(used) == 1), default=0) for c in used}
+    at, edge = {}, 0
+    for c in used:
+        at[c] = edge
+        edge += width[c] + 2
     for cells in grid:
-        for i, cell in enumerate(cells):
-            width[i] = max(width[i], min(MAX_COLUMN, max(map(len, cell), default=0)))
-    for cells in grid:
-        for k in range(max(map(len, cells))):
-            out.append("  ".join((c[k] if k < len(c) else "").ljust(width[i]) for i, c in enumerate(cells)).rstrip(" "))
+        for k in range(max(map(len, cells.values()))):
+            line = ""
+            for c in used:
+                piece = cells[c][k] if k < len(cells.get(c, ())) else ""
+                if not piece:
+                    continue
+                if line and len(line) + 2 > at[c]:  # a longer word is in the way
+                    out.append(line)
+                    line = ""
+                line = line.ljust(at[c]) + piece
+            out.append(line.rstrip(" "))
     return out
 
 
+def _depth(root: Node) -> int:
+    deepest, todo = 0, [(root, 1)]
+    while todo:
+        node, depth = todo.pop()
+        deepest = max(deepest, depth)
+        todo += [(c, depth + 1) for c in node.children if not isinstance(c, str)]
+    return deepest
+
+
 def render(page: str) -> str:
     """The visible text of a page; empty for an empty page."""
-    flow = _Flow()
-    _block(tree(page), flow)
+    flow, root = _Flow(), tree(page)
+    limit, needed = sys.getrecursionlimit(), 8 * _depth(root) + 1000
+    sys.setrecursionlimit(max(limit, needed))  # calls of Python functions are on the heap
+    try:
+        _block(root, flow)
+    finally:
+        sys.setrecursionlimit(limit)
     flow.end()
     return "\n".join(flow.lines)
 
@@ -363,8 +542,8 @@ def render(page: str) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, text, n_chars, n_lines) per row; null and empty pages give an empty text.
 
-    Nothing is cut: very long pages are rendered whole, elements nested deeper than MAX_DEPTH
-    become siblings, so their text stays.  Ids and repeated rows are passed through.
+    Nothing is cut: very long pages and deep ones are rendered whole.  Ids and repeated rows are passed through, other
+    columns are not read; no rows give no rows.
     """
     def one(data: bytes) -> tuple:
         text = render(data.decode("utf-8", "replace"))

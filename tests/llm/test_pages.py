@@ -118,6 +118,33 @@ def test_all_visible_text(page, text):
     assert html_text.render(page) == text
 
 
+_DEEP = 60_000
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<div>" * 205 + '<script>var secret=1;</script><p style="display:none">hidden text</p>after', "after"),
+    ("<div>" * _DEEP + "deep" + "</div>" * _DEEP + "<p>end", "deep\n\nend"),
+    ("<b>" * _DEEP + "x<p>y</p>" + "</b>" * _DEEP + "z", "x\n\ny\n\nz"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tr><td rowspan=0>a<td colspan=2>b<td>c<tr><td>d<td>e<td>f</table>", "a  b     c\n   d  e  f"),
+    ("<table><tr><td>" + "word " * 16 + "<td>n<tr><td>x<td>m</table>",
+     "word " * 11 + "word  n\nword word word word\nx" + " " * 60 + "m"),
+    ("<table><tr><td>" + "w" * 80 + "<td>n<tr><td>x<td>m</table>", "w" * 80 + "\n   n\nx  m"),
+    ('<div style="visibility:hidden">no<p style="visibility:visible">yes<span style="visibility:collapse">no</span></p>no</div>', "yes"),
+    ('<table style="visibility:hidden"><tr><td>no<td style="visibility: visible">yes</table>', "yes"),
+    ("<style>.a, #b{display:none} p.c {display:none} /* .d{display:none} */ @media print{.d{display:none}} .e>p{display:none}</style>"
+     "<p class='x a'>1</p><p id=b>2</p><div class=c>3</div><p class=c>4</p><p class=d>5</p><div class=e><p>6</div>", "3\n\n5\n\n6"),
+    ("<p class=a>1</p><style>.a{display:none}.a{display:block}</style><p class=b style='display:block'>2</p><style>.b{display:none}</style>", "1\n\n2"),
+    ("<details><summary>more</summary>body</details><details open><summary>s</summary>shown</details>", "more\ns\nshown"),
+    ("<select><option>a<option selected>b<option>c</select> <select multiple><option>d<option>e</select>", "b\nd\ne"),
+    ("<input type=submit value=Go><input type=reset> <input type=hidden value=h><input value=typed>", "GoReset"),
+    ("<p title=1 title=2 hidden=no>x</p><p id=a id=b>y</p><style>#b{display:none}</style>", "y"),
+    ("<xmp>a &amp; <b></xmp><textarea>c &amp; d</textarea>", "a &amp; <b>c & d"),
+])
+def test_layout_and_visibility(page, text):
+    assert html_text.render(page) == text
+
+
 def test_extraction(spark, sf):
     rows = [(i, None, h) for i, (h, _) in enumerate(HTML)] + [(98, None, None), (99, None, "<p>" + "long text " * 50_000)]
     got = {r["page_id"]: r for r in html_text.extract(frame(spark, rows)).collect()}
@@ -129,7 +156,7 @@ def test_extraction(spark, sf):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = con.execute(SQL[name])
     order = [c[0] for c in got.description]
