@@ -4,9 +4,9 @@ Texts become tokens.  Numbers, units behind numbers and capitalised names inside
 placeholders; other words are lower-cased without the marks around them.  Each window of
 tokens has a hash, once as a template and once with its names read as plain words (so a
 change of case hides nothing).  Windows of documents pass a bit table built from the
-benchmark's hashes, whose size is fixed, and what passes joins the benchmark's windows.  A pair of
-windows counts if slots that are equal on one side are equal on the other, so one question
-with other numbers is caught and an unlike use of the same template is not.  Items that these
+benchmark's hashes, as large as their number asks for, and what passes joins the benchmark's windows.  Windows of a
+passage count if slots that are equal on one side are equal on the other, in a window and from window to window, so one
+question with other numbers is caught and an unlike use of the same template is not.  Items that these
 readings do not hold (short, full of numbers, or written without spaces) are matched word by
 word, marks and numbers as they stand.
 """
@@ -169,21 +169,23 @@ def _windows(hashes: np.ndarray, kinds: np.ndarray, width: int, literal: int):
         yield reading, slot, window_hashes(codes, width), allowed
 
 
-_FIELDS = "owner long, sum long, position int, n_tokens int, reading short, hash long, shape array<short>"
+_FIELDS = "owner long, sum long, position int, n_tokens int, reading short, hash long, shape array<short>, slots array<long>, firsts array<int>"
 _ARROW = pa.schema([("owner", pa.int64()), ("sum", pa.int64()), ("position", pa.int32()), ("n_tokens", pa.int32()),
-                    ("reading", pa.int16()), ("hash", pa.int64()), ("shape", pa.list_(pa.int16()))])
+                    ("reading", pa.int16()), ("hash", pa.int64()), ("shape", pa.list_(pa.int16())), ("slots", pa.list_(pa.int64())),
+                    ("firsts", pa.list_(pa.int32()))])
 
 
 def template_windows(texts: DataFrame, width: int = 8, literal: int = 5, id_col: str = "doc_id", text_col: str = "text",
                      widths: list[int] | None = None, table: bytes | None = None, literal_widths: list[int] = (),
                      min_tokens: int = 1) -> DataFrame:
-    """(owner, sum, position, n_tokens, reading, hash, shape) of each window.
+    """(owner, sum, position, n_tokens, reading, hash, shape, slots, firsts) of each window.
 
     Without ``widths`` texts are items: one of fewer than ``width`` words is one window.  Items of fewer than
     ``min_tokens`` words, without an allowed window, or with a script without spaces have literal windows;
     the first two have no others.  With ``widths``,
     windows of each of these widths are made (literal ones of ``literal_widths``, each once), and only hashes marked in ``table`` pass.
-    ``shape`` says which of the window's slots are equal, ``sum`` is xxhash64 of the text.
+    ``slots`` are the hashes of what stands in the window's slots, ``shape`` says which of them are equal; ``firsts``, of items, where
+    in the text each stands first.  ``sum`` is xxhash64 of the text.
     """
     shared = texts.sparkSession.sparkContext.broadcast(table) if table is not None else None
 
@@ -191,11 +193,15 @@ def template_windows(texts: DataFrame, width: int = 8, literal: int = 5, id_col:
         tokens = known_tokens()
         bits = np.frombuffer(shared.value, np.uint8) if shared is not None else None
         for batch in batches:
-            owner, position, length, readings, found, shape = [], [], [], [], [], []
+            owner, position, length, readings, found, shape, slots, firsts = [], [], [], [], [], [], [], []
             for row, text in enumerate(batch.column(2)):
                 data = text.as_py() or b""
                 hashes, kinds = canonical(data, tokens)
                 n, before = len(hashes), len(owner)
+                first: dict = {}
+                if widths is None:
+                    for i, h in enumerate(hashes.tolist()):
+                        first.setdefault(h, i)
                 for w in widths if widths is not None else [min(width, n)]:
                     if not 0 < w <= n or widths is None and n < min_tokens:
                         continue
@@ -208,7 +214,10 @@ def template_windows(texts: DataFrame, width: int = 8, literal: int = 5, id_col:
                             length.append(n)
                             readings.append(reading)
                             found.append(made[p])
-                            shape.append(shapes(hashes[p:p + w][slot[p:p + w]]))
+                            values = hashes[p:p + w][slot[p:p + w]]
+                            shape.append(shapes(values))
+                            slots.append(values.view(np.int64))
+                            firsts.append([first[v] for v in values.tolist()] if first else [])
                 if widths is None:
                     codes, unspaced = literal_item(data, tokens)
                     wanted = [min(width, len(codes))] if unspaced or len(owner) == before else []
@@ -228,11 +237,13 @@ def template_windows(texts: DataFrame, width: int = 8, literal: int = 5, id_col:
                     readings += [LITERAL] * len(places)
                     found += made[places].tolist()
                     shape += [[]] * len(places)
+                    slots += [[]] * len(places)
+                    firsts += [[]] * len(places)
             who = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(who), batch.column(1).take(who), pa.array(position, pa.int32()), pa.array(length, pa.int32()),
                  pa.array(readings, pa.int16()), pa.array(np.array(found, np.uint64).view(np.int64)),
-                 pa.array(shape, pa.list_(pa.int16()))], schema=_ARROW)
+                 pa.array(shape, pa.list_(pa.int16())), pa.array(slots, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int32()))], schema=_ARROW)
 
     text = F.col(text_col).cast("string")
     rows = texts.select(order_id(F.col(id_col).cast("long")).alias("owner"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("sum"),
@@ -246,8 +257,14 @@ def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def bit_table(hashes: DataFrame, log_bits: int = 24) -> bytes:
-    """2^log_bits bits with those of ``hash`` set: at most 2^(log_bits - 6) rows come to the driver."""
+#: Bits of the table per window of the benchmark, and the logarithms of its least and its greatest size.  Where a benchmark
+#: has more windows than that, more windows of documents pass on to the join; what is found stays the same.
+BITS_PER_WINDOW, LEAST_LOG, MOST_LOG = 16, 16, 28
+
+
+def bit_table(hashes: DataFrame) -> bytes:
+    """A power of two of bits with those of ``hash`` set: a row per 64 bits comes to the driver, 2 ** 22 at most."""
+    log_bits = min(max((hashes.count() * BITS_PER_WINDOW).bit_length(), LEAST_LOG), MOST_LOG)
     words = (hashes.select(F.shiftrightunsigned("hash", 6).bitwiseAND((1 << (log_bits - 6)) - 1).alias("word"),
                            F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit"))
              .groupBy("word").agg(F.bit_or("bit").alias("bits")).collect())
@@ -257,13 +274,37 @@ def bit_table(hashes: DataFrame, log_bits: int = 24) -> bytes:
     return table.astype("<i8").tobytes()
 
 
+def _consistent(hits: DataFrame) -> DataFrame:
+    """Hits whose slots do not contradict each other.
+
+    Windows of one passage lie as far from each other in the document as in the item.  Among those, what stands in an item's
+    slot has to stand for one thing of the document, and the other way round; windows that hold something with
+    two counterparts do not count.
+    """
+    passage = ["owner", "sum", "item_id", "item_sum", "literal", "shift"]
+    hits = cut(hits.withColumn("shift", F.col("position") - F.col("item_position")), "window-hits")
+    pairs = cut(hits.select(*passage, F.explode(F.arrays_zip("item_slots", "slots")).alias("p"))
+                .select(*passage, F.col("p.item_slots").alias("theirs"), F.col("p.slots").alias("ours")).distinct(), "slot-pairs")
+
+    def twice(one: str, other: str) -> DataFrame:
+        """Per passage what has several counterparts: no more than the slots of an item's passage."""
+        found = pairs.groupBy(*passage, one).agg(F.min(other).alias("a"), F.max(other).alias("b")).where("a <> b")
+        return found.groupBy(*passage).agg(F.collect_set(one).alias(f"bad_{one}"))
+
+    bad = twice("theirs", "ours").join(twice("ours", "theirs"), passage, "full")
+    none = F.array().cast("array<long>")
+    marked_ = hits.join(cut(bad, "contradictions"), passage, "left")
+    return marked_.where(~F.arrays_overlap("item_slots", F.coalesce("bad_theirs", none))
+                         & ~F.arrays_overlap("slots", F.coalesce("bad_ours", none)))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal: int = 5, share: float = 0.3, enough: int = 40,
           min_tokens: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
           item_text_col: str = "text", members: bool = True) -> DataFrame:
     """(doc_id, sum, item_id, n_windows, n_item_windows, share) of each document and item it holds.
 
     A pair is reported if ``share`` of the item's windows, or ``enough`` of them, occur in the
-    document with consistent slots.  Items that are the same template in all their words are joined once, as one class,
+    document with slots that are consistent over a whole passage.  Items that are the same template in all their words are joined once, as one class,
     and reported each (without ``members`` only the smallest).  Items of fewer than ``width`` words are one window.  Items of fewer than
     ``min_tokens`` words, without an allowed window (``literal``), or in a script without spaces are matched word by word, by a
     count of their own; the greater share is given.  Null or empty texts match nothing.  A null id is
@@ -273,19 +314,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal: int =
     items = cut(items.withColumn("literal", F.col("reading") == LITERAL).distinct(), "benchmark-windows")
     kinds = (items.groupBy("owner", "sum", "literal").agg(
         F.count(F.when(F.col("reading") != TEMPLATE, 1)).alias("n_item_windows"),
-        F.sum(F.xxhash64("position", "reading", "hash", "shape").cast("decimal(38,0)")).alias("template")))
-    # Items with the same windows at the same places are one class.
+        F.sum(F.xxhash64("position", "reading", "hash", "shape", "firsts").cast("decimal(38,0)")).alias("template")))
+    # Items with the same windows at the same places, and slots that are equal in the same places, are one class.
     classes = (kinds.groupBy("literal", "template", "n_item_windows").agg(F.min(F.struct("owner", "sum")).alias("first")))
     same = kinds.join(classes, ["literal", "template", "n_item_windows"]).select(
         F.col("first.owner").alias("item_id"), F.col("first.sum").alias("item_sum"), "literal",
         F.col("owner").alias("member_id"), F.col("sum").alias("member_sum"))
     templates = items.join(classes.select("first.owner", "first.sum", "literal", "n_item_windows"), ["owner", "sum", "literal"])
     templates = cut(templates.select(F.col("owner").alias("item_id"), F.col("sum").alias("item_sum"), F.col("position").alias("item_position"),
-                           "reading", "hash", "shape", "literal", "n_item_windows", F.least("n_tokens", F.lit(width)).alias("width")), "templates")
+                           "reading", "hash", "shape", F.col("slots").alias("item_slots"), "literal", "n_item_windows", F.least("n_tokens", F.lit(width)).alias("width")), "templates")
     made = templates.select("literal", "width").distinct().collect()  # at most twice ``width`` of them
     widths, literal_widths = ([r["width"] for r in made if r["literal"] == kind] for kind in (False, True))
     found = template_windows(docs, width, literal, id_col, text_col, widths, bit_table(templates), literal_widths)
-    hits = found.join(templates.drop("width"), ["hash", "reading", "shape"])
+    hits = _consistent(found.join(templates.drop("width"), ["hash", "reading", "shape"]))
     # Partial counts per item place come before the shuffle; an item has few places.
     pairs = (hits.groupBy("owner", "sum", "item_id", "item_sum", "literal", "n_item_windows", "item_position").agg(F.lit(1))
              .groupBy("owner", "sum", "item_id", "item_sum", "literal", "n_item_windows").agg(F.count("*").alias("n_windows")))

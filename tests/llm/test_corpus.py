@@ -231,3 +231,29 @@ def test_pipeline_of_odd_documents(spark, sf):
         d = stage(spark, d, sf)
         d = spark.createDataFrame(d.collect(), d.schema)
     assert {r["doc_id"] for r in d.collect()} >= {4, None}
+
+
+LONG_ITEM = ("we heard that Anna went to Paris and later Anna met Bob near the old bridge where they had to wait for the long train "
+             "from there and wait for Carl and Anna to come back again with Bob to the town")
+
+
+def test_slots_agree_over_a_passage(spark):
+    """A name of the item stands for one name of the document, also where no window holds both places."""
+    rename = lambda text, **names: " ".join(names.get(w, w) for w in text.split())
+    other = LONG_ITEM.replace("and Anna to come", "and Dora to come")
+    benchmark = spark.createDataFrame([(1, LONG_ITEM), (2, other)], "item_id long, text string")
+    mixed = rename(LONG_ITEM, Anna="Mary", Bob="Tom", Carl="Ed").replace("Ed and Mary", "Ed and Zoe").replace("with Tom", "with Max")
+    cut_up = " ".join(LONG_ITEM.split()[:20]) + " something else entirely " + " ".join(rename(LONG_ITEM, Anna="Zoe", Bob="Max", Carl="Ed").split()[20:])
+    docs = [(1, LONG_ITEM), (2, "so " + rename(LONG_ITEM, Anna="Mary", Bob="Tom", Carl="Ed", Paris="Rome") + " so"), (3, mixed), (4, other), (5, cut_up)]
+    got = {(r["doc_id"], r["item_id"]): r["share"] for r in decontaminate.leaks(frame(spark, docs), benchmark, share=0.5).collect()}
+    assert {(1, 1), (2, 1), (4, 2)} <= set(got) and got[1, 1] == got[2, 1] == got[4, 2] == 1
+    assert (3, 1) not in got
+
+
+def test_bit_table_grows_with_the_benchmark(spark):
+    few, many = (spark.range(n).select(F.xxhash64("id").alias("hash")) for n in (10, 40_000))
+    assert len(decontaminate.bit_table(few)) * 8 == 1 << decontaminate.LEAST_LOG
+    table = np.frombuffer(decontaminate.bit_table(many), np.uint8)
+    assert len(table) * 8 >= 40_000 * decontaminate.BITS_PER_WINDOW
+    hashes = np.array([r["hash"] for r in many.collect()], np.int64).view(np.uint64)
+    assert decontaminate.marked(table, hashes).all()
