@@ -100,10 +100,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Longest key that is remembered.
+LONGEST_KEY = 64
+
+
 class Remembered(dict):
     """Values of ``make`` by key, in bounded memory.
 
-    When ``size`` keys are there they become the old generation, and what is still used moves over.
+    When ``size`` keys are there they become the old generation, and what is still used moves over.  Keys of over
+    ``LONGEST_KEY`` bytes or characters are made anew each time, so both generations have a bound in bytes too.
     """
 
     def __init__(self, make: Callable, size: int):
@@ -111,6 +116,8 @@ class Remembered(dict):
         self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key):
+        if len(key) > LONGEST_KEY:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 from bisect import insort
 from collections.abc import Iterable, Iterator
@@ -36,6 +37,13 @@ _PLAIN_WORD = re.compile("[!-~¡-ſ]+")
 _PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMERALS}]|[^{_LETTERS}{_NUMERALS}]+")
 
 
+_MARKS = frozenset(b".,:;!?")
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -63,9 +71,13 @@ class WordEncoder:
 
     def _part(self, part: str) -> bytes:
         letters = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-        return np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        return _packed([t.id for t in self.model.tokenize(letters)])
 
     def _word(self, raw: bytes) -> bytes:
+        if raw.isalpha():  # of bytes: ASCII letters only
+            return self.parts[raw.lower().decode()]
+        if raw[:-1].isalpha() and raw[-1] in _MARKS:
+            return self.parts[raw[:-1].lower().decode()] + self.parts[chr(raw[-1])]
         word = raw.decode("utf-8", "replace")
         if not word:
             return b""
@@ -76,7 +88,7 @@ class WordEncoder:
             if low[-1] in ".,:;!?" and low[:-1].isalpha():
                 return self.parts[low[:-1]] + self.parts[low[-1]]
             return b"".join(map(self.parts.__getitem__, _PART.findall(low)))
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.words.__getitem__, text.replace(b"\n", b" ").split(b" ")))

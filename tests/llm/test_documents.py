@@ -196,3 +196,22 @@ def test_isotonic_rises():
     x = np.arange(6.0)
     knots, values = quality_classifier.isotonic(x, np.array([0, 2, 1, 3, 2, 4.0]), np.full(6, 4.0))
     assert list(values) == sorted(values) and len(knots) == len(values) == 4
+
+
+def test_every_word_of_a_line_counts():
+    """One word eight times in thirteen, wherever it stands."""
+    rng = random.Random(2)
+    for _ in range(50):
+        words = ["same"] * 8 + ["one", "two", "three", "four", "five"]
+        rng.shuffle(words)
+        assert quality_rules.line_fails(" ".join(words).encode() + b".", quality_rules.Rules()) == "repetition"
+    fine = ["same"] * 6 + [f"w{i}" for i in range(7)]
+    assert quality_rules.line_fails(" ".join(fine).encode() + b".", quality_rules.Rules()) is None
+
+
+def test_long_words_are_not_remembered():
+    from tablewright.llm.base import Remembered
+    held = Remembered(len, 1000)
+    words = [("%06d" % i) * 34 for i in range(20_000)] + ["%d" % i for i in range(5_000)]
+    assert [held[w] for w in words] == list(map(len, words))
+    assert len(held) + len(held.old) <= 2000 and all(len(w) <= 64 for w in (*held, *held.old))
