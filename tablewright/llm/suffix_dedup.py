@@ -24,6 +24,7 @@ document that has them (in all others, such a block is repeated as a whole).
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -134,10 +135,10 @@ def _shared_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(doc, place) of anchors that are in two documents.
 
     What two documents of a thousand share is known at once, and one row of it goes on to tell others; so an anchor has
-    no more rows that meet than there are thousands of documents (and places in one).  No anchor is hot then, and a shuffle partition is
-    sorted in memory: some 30 bytes per row.
+    no more rows that meet than there are thousands of documents (and places in one).  No anchor is hot then.  Anchors travel
+    packed, eight buckets per shuffle partition, and a partition is sorted in memory: some 30 bytes per anchor.
     """
-    schema = pa.schema([("known", pa.bool_()), ("hash", pa.int64()), ("doc", pa.int64()), ("place", pa.int32())])
+    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -150,15 +151,27 @@ def _shared_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
             which = np.cumsum(starts(hashes)) - 1
             several = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at))[which] if len(at) else np.zeros(0, bool)
             told = at[several[at]]
-            rows = [pa.array(np.append(several, np.zeros(len(told), bool)))]
-            rows += [pa.array(np.append(x, x[told])) for x in (hashes.view(np.int64), doc, place.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(rows, schema=schema)
+            known = np.append(several, np.zeros(len(told), bool))
+            hashes, doc, place = (np.append(x, x[told]) for x in (hashes, doc, place.astype("<i4")))
+            # What is known goes anywhere; what has yet to meet, by its hash.
+            key = np.where(known, _mixed(hashes, place.astype(np.uint64)), hashes) >> np.uint64(32)
+            bucket = (key * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            edge = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+            packed = [b"".join(x[order[i:j]].tobytes() for x in (hashes, doc, place, known)) for i, j in zip(edge, edge[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order[edge[:-1]]]), pa.array(packed, pa.binary())], names=["bucket", "rows"])
 
     def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches, schema=schema)
-        if not rows.num_rows:
+        parts = []
+        for batch in batches:
+            for rows in batch.column(1).to_pylist():
+                n = len(rows) // 21
+                parts.append((np.frombuffer(rows, "<u8", n), np.frombuffer(rows, "<i8", n, 8 * n), np.frombuffer(rows, "<i4", n, 16 * n),
+                              np.frombuffer(rows, np.bool_, n, 20 * n)))
+        if not parts:
             return
-        known, hashes, doc, place = (c.to_numpy() for c in rows.columns)
+        hashes, doc, place, known = map(np.concatenate, zip(*parts))
+        parts.clear()
         order = np.argsort(hashes)
         at = np.flatnonzero(starts(hashes[order]))
         met = doc[order]
@@ -167,9 +180,8 @@ def _shared_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for k in range(0, len(pick), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(doc[pick[k:k + (1 << 16)]]), pa.array(place[pick[k:k + (1 << 16)]])], names=["doc", "place"])
 
-    rows = docs.select("doc", "text").mapInArrow(found, "known boolean, hash long, doc long, place int")
-    meet = rows.repartition(F.when(F.col("known"), F.xxhash64("doc", "place")).otherwise(F.col("hash")))
-    return meet.mapInArrow(shared, "doc long, place int")
+    rows = docs.select("doc", "text").mapInArrow(found, "bucket int, rows binary")
+    return rows.repartition("bucket").mapInArrow(shared, "doc long, place int")
 
 
 def cut_blocks(text: bytes, places: np.ndarray, length: int, gram: int) -> list[tuple[int, int]]:
@@ -295,14 +307,41 @@ class _Chunk:
         return ((x >> np.uint64(8 * (8 - self.letter))) ^ np.uint64(1 << 63)).view(np.int64)
 
 
-_ROW = "a long, b long, c long, pos long"
-_ARROW_ROW = pa.schema([(c, pa.int64()) for c in ("a", "b", "c", "pos")])
+_ROW = "a long, b long, c long, pos long, part int"
+_ARROW_ROW = pa.schema([*((c, pa.int64()) for c in ("a", "b", "c", "pos")), ("part", pa.int32())])
 _NAMED = "pos long, name long, a long, b long, c long"
 _ARROW_NAMED = pa.schema([(c, pa.int64()) for c in ("pos", "name", "a", "b", "c")])
+#: One chunk in so many is looked at for the ranges, and the rows of it that are kept per range.
+LOOKED_AT, PER_RANGE = 16, 100
+
+
+def _part(bounds: list[tuple], *columns: np.ndarray) -> np.ndarray:
+    """The range that each row (a, b, c, pos) belongs to."""
+    first = np.array([b[0] for b in bounds], np.int64)
+    low, high = np.searchsorted(first, columns[0], "left"), np.searchsorted(first, columns[0], "right")
+    for k in np.flatnonzero(low != high).tolist():
+        low[k] = bisect_left(bounds, tuple(int(c[k]) for c in columns), int(low[k]), int(high[k]))
+    return low.astype(np.int32)
+
+
+def _sorted(chunks: DataFrame, rows_of: Callable[[DataFrame, list[tuple]], DataFrame]) -> DataFrame:
+    """Rows of all chunks in ranges by (a, b, c, pos), sorted.
+
+    The ranges' bounds come from a sample of rows of a sample of chunks, so the rest is made once.  ``pos`` tells equal keys
+    apart, so many of them are several ranges.
+    """
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = chunks.count()
+    some = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(LOOKED_AT)) == 0) if count >= 8 * LOOKED_AT else chunks
+    every = max(min(count, max(count // LOOKED_AT, 1)) * CHUNK // 8 // (n * PER_RANGE), 1)
+    seen = rows_of(some, []).where(F.pmod(F.xxhash64("pos"), F.lit(every)) == 0).select("a", "b", "c", "pos")
+    seen = sorted(tuple(r) for r in seen.collect())
+    bounds = [seen[len(seen) * k // n] for k in range(1, n)] if seen else []
+    return rows_of(chunks, bounds).repartitionById(n, "part").drop("part").sortWithinPartitions("a", "b", "c", "pos")
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
-    """(pos, name): ``rows`` sorted by (a, b, c); names begin at 1, grow with the order, and are equal for equal triples.
+    """(pos, name) of sorted rows (a, b, c, pos); names begin at 1, grow with the order, and are equal for equal triples.
 
     Rows without ``pos`` tell the first and last triple of a task: a stretch of equal triples may go on in the next one.
     """
@@ -323,7 +362,7 @@ def _in_order(rows: DataFrame) -> DataFrame:
         if last is not None:
             yield _edge(task + count, *last)
 
-    return rows.repartitionByRange("a", "b", "c", "pos").sortWithinPartitions("a", "b", "c", "pos").mapInArrow(run, _NAMED)
+    return rows.mapInArrow(run, _NAMED)
 
 
 def _edge(name, *key) -> pa.RecordBatch:
@@ -345,32 +384,37 @@ def _offsets(cover: int, letter: int, length: int) -> list[int]:
     return [at for at in range(0, length, cover) if at == 0 or length - at > letter]
 
 
-def _triples_of_letters(chunks: DataFrame, letter: int, length: int) -> DataFrame:
+def _triples_of_letters(chunks: DataFrame, bounds: list[tuple], letter: int, length: int) -> DataFrame:
     """Triples of letters of the sampled suffixes."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = _Chunk(row, letter, length)
                 place, letters = chunk.sampled(3 * letter), chunk.letters()
-                yield from _row_batch(letters[place], letters[place + letter], letters[place + 2 * letter], place + chunk.base).to_batches()
+                yield from _row_batch(bounds, letters[place], letters[place + letter], letters[place + 2 * letter], place + chunk.base).to_batches()
 
     return chunks.mapInArrow(run, _ROW)
 
 
-def _row_batch(*columns: np.ndarray) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(np.ascontiguousarray(c, np.int64)) for c in columns], schema=_ARROW_ROW)
+def _row_batch(bounds: list[tuple], *columns: np.ndarray) -> pa.Table:
+    return pa.Table.from_arrays([*(pa.array(np.ascontiguousarray(c, np.int64)) for c in columns), pa.array(_part(bounds, *columns))],
+                                schema=_ARROW_ROW)
 
 
 #: Anchors with their triple, the strings around them (the first begins ``most`` bytes before the anchor), and the bytes of all of them.
-_ANCHORED = "a long, b long, c long, doc long, pos long, most int, data binary"
-_ARROW_ANCHORED = pa.schema([*((c, pa.int64()) for c in ("a", "b", "c", "doc", "pos")), ("most", pa.int32()), ("data", pa.binary())])
+_ANCHORED = "a long, b long, c long, doc long, pos long, most int, data binary, part int"
+_ARROW_ANCHORED = pa.schema([*((c, pa.int64()) for c in ("a", "b", "c", "doc", "pos")), ("most", pa.int32()), ("data", pa.binary()),
+                             ("part", pa.int32())])
 
 
-def _triples_of_names(chunks: DataFrame, named: DataFrame, cover: int, letter: int, length: int) -> DataFrame:
+def _triples_of_names(chunks: DataFrame, bounds: list[tuple], named: DataFrame, same: dict[int, int], cover: int, letter: int,
+                      length: int) -> DataFrame:
     """Triples of names that cover ``cover`` bytes: of the sampled suffixes of the next level, or, in the end, of the anchors."""
-    same, last = _same_names(named), 3 * cover >= length
+    last = 3 * cover >= length
 
     def run(left: pa.Table, names: pa.Table) -> pa.Table:
+        if not left.num_rows:  # not in the sample
+            return (_ARROW_ANCHORED if last else _ARROW_ROW).empty_table()
         chunk = _Chunk(left.to_pylist()[0], letter, length)
         name = names.column("name").to_numpy()
         if same:
@@ -393,15 +437,18 @@ def _triples_of_names(chunks: DataFrame, named: DataFrame, cover: int, letter: i
             edge = np.concatenate(([0], np.cumsum(sizes)))
             rows = chunk.data[np.arange(edge[-1]) + np.repeat(place - most - edge[:-1], sizes)]
             data = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(rows)])
-            return pa.Table.from_arrays([*map(pa.array, (*triple(place, 0), doc, place + chunk.base)), pa.array(most.astype(np.int32)), data],
+            key, pos = triple(place, 0), place + chunk.base
+            return pa.Table.from_arrays([*map(pa.array, (*key, doc, pos)), pa.array(most.astype(np.int32)), data, pa.array(_part(bounds, *key, pos))],
                                         schema=_ARROW_ANCHORED)
         anchor, _, _, _ = chunk.anchors()
         parts = [(anchor + offset, offset) for offset in _offsets(3 * cover, letter, length)]
-        parts = [_row_batch(*triple(place, offset), place + chunk.base) for place, offset in parts]
+        parts = [_row_batch(bounds, *triple(place, offset), place + chunk.base) for place, offset in parts]
         return _once(pa.concat_tables(parts))
 
     place = F.col("pos").bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
     names = named.where("pos is not null").select(F.shiftright("pos", PLACE_BITS).alias("chunk"), place.alias("place"), "name")
+    # Of the sample, only the names in it; its chunks are one in LOOKED_AT.
+    names = names if bounds else names.join(chunks.select("chunk"), "chunk", "left_semi")
     return chunks.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(run, _ANCHORED if last else _ROW)
 
 
@@ -462,17 +509,23 @@ def _judged(rows: DataFrame, length: int, wide: int) -> DataFrame:
             none = pa.nulls(len(t), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(pos[k] - t), pa.array((t - near + 1).astype(np.int32)), none, none], schema=_ARROW_HIT)
 
-    return (rows.repartitionByRange("a", "b", "c", "pos").sortWithinPartitions("a", "b", "c", "pos").mapInArrow(run, _HIT))
+    return rows.mapInArrow(run, _HIT)
 
 
 def _hit_strings(chunks: DataFrame, scratch: Scratch, letter: int, length: int) -> DataFrame:
     """(pos, n) of neighbouring strings that a smaller document has, from the order of all suffixes."""
-    names, cover = scratch.write(_in_order(_triples_of_letters(chunks, letter, length)), "names"), 3 * letter
+    letters = _sorted(chunks, lambda some, bounds: _triples_of_letters(some, bounds, letter, length))
+    names, cover = scratch.write(_in_order(letters), "names"), 3 * letter
+
+    def coarser() -> DataFrame:
+        same = _same_names(names)
+        return _sorted(chunks, lambda some, bounds: _triples_of_names(some, bounds, names, same, cover, letter, length))
+
     while 3 * cover < length:
-        longer = scratch.write(_in_order(_triples_of_names(chunks, names, cover, letter, length)), "names")
+        longer = scratch.write(_in_order(coarser()), "names")
         scratch.drop(names)
         names, cover = longer, 3 * cover
-    found = scratch.write(_judged(_triples_of_names(chunks, names, cover, letter, length), length, length - anchor_bytes(length) + 1), "hits")
+    found = scratch.write(_judged(coarser(), length, length - anchor_bytes(length) + 1), "hits")
     scratch.drop(names)
     unsettled = found.where("hash is not null")
     least = scratch.write(unsettled.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
