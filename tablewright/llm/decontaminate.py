@@ -259,7 +259,7 @@ def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 #: Bits of the table per window of the benchmark, and the logarithms of its least and its greatest size.  Where a benchmark
 #: has more windows than that, more windows of documents pass on to the join; what is found stays the same.
-BITS_PER_WINDOW, LEAST_LOG, MOST_LOG = 16, 16, 28
+BITS_PER_WINDOW, LEAST_LOG, MOST_LOG = 256, 24, 28
 
 
 def bit_table(hashes: DataFrame) -> bytes:
