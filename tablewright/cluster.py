@@ -100,7 +100,7 @@ class Scratch:
         self.spark.conf.set(self._CLEAN, "true")
         path = scratch_path(self.spark, label)
         try:
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         finally:
             if before is None:
                 self.spark.conf.unset(self._CLEAN)
