@@ -80,7 +80,7 @@ def test_changes_read_no_other_table(spark, sf, tmp_path):
     for name in ("region", "nation", "orders", "lineitem", "supplier", "part"):
         d = d.swap(name, poisoned(d.frames[name]))
     gone = d.frames["customer"].where("c_custkey % 5 = 0").select(F.col("c_custkey").cast("string").alias("id"))
-    _, _, errors = changes.delete_indexed(d, index, "customer", gone, 1)
+    d, _, errors = changes.delete_indexed(d, index, "customer", gone, 1)
     wanted = star.read(spark, sf, "orders").where("o_custkey % 5 = 0").count()
     assert errors.where("table = 'orders'").count() == wanted > 0
     back = star.read(spark, sf, "customer").select(F.col("c_custkey").alias("seq"), F.to_json(F.struct(
