@@ -3,15 +3,18 @@
 A recursive union is held as VARIANT, as its depth is the data's.  Its contract is a finite graph all the same: from a
 union by ``$type`` to an implementation's fields, from a struct to its fields, from a list or map to what it holds.  Every
 node carries its place in that graph down the levels, so leaves have their declared types, structs their foreign
-keys.  Going back up, a node's text is made of its children's, one shuffle per level, and only for records in which a leaf changed.
+keys.  Going back, a record's changed texts are put into its own text, and only for records in which a leaf changed.
 
 Opening runs jobs: each level is written, so that deep values do not pile up in one plan.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,8 +90,9 @@ def opened(frame: DataFrame, names: Sequence[str], shape: Shape, path: Column) -
                          F.lit(0).alias("_pos"), "_v", F.lit(shape.root).alias("_s")).where(F.col("_v").isNotNull())
     out = []
     while True:
-        kind = F.coalesce(F.schema_of_variant("_v"), F.lit("VOID"))
-        letter = F.when(kind.startswith("OBJECT"), "O").when(kind.startswith("ARRAY"), "A").otherwise("L")
+        # The first character tells; a schema of all that is below would be made for every node.
+        first = F.substring(F.to_json("_v"), 1, 1)
+        letter = F.when(first == "{", "O").when(first == "[", "A").otherwise("L")
         impl = F.try_variant_get("_v", '$["$type"]', "string")
         level = cut(level.withColumn("_k", letter).withColumn("_impl", F.when(F.col("_k") == "O", impl)), f"level{len(out)}")
         out.append(level)
@@ -124,11 +128,71 @@ def leaves_of(levels: Sequence[DataFrame], names: Sequence[str]) -> DataFrame:
         "type is not null")
 
 
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+')
+
+
+def _with_texts(text: str, new: dict[str, str], root: str) -> str:
+    """JSON with the texts at some paths replaced; all else, numbers included, stays as it is written."""
+    out, path, inside, key = [], [root], [], False
+    for token in _TOKEN.findall(text):
+        if token in "{[":
+            out.append(token)
+            inside.append(token)
+            path.append("0" if token == "[" else "")
+            key = token == "{"
+        elif token in "}]":
+            out.append(token)
+            inside.pop()
+            path.pop()
+            key = False
+        elif token == ",":
+            out.append(token)
+            key = inside[-1] == "{"
+            if not key:
+                path[-1] = str(int(path[-1]) + 1)
+        elif key:
+            out.append(token)
+            path[-1], key = json.loads(token) if "\\" in token else token[1:-1], False
+        elif token[0] == '"' and (said := new.get(STEP.join(path))) is not None:
+            out.append(json.dumps(said))
+        else:
+            out.append(token)
+    return "".join(out)
+
+
+def _float(text: str):
+    raise ValueError(text)
+
+
+def _put(text: str, new: dict[str, str], root: str) -> str:
+    """`_with_texts`, by the JSON module where the value has no fractions and is not too deep."""
+    try:
+        value = json.loads(text, parse_float=_float)
+        for path, said in new.items():
+            node, steps = value, path.split(STEP)[1:]
+            for step in steps[:-1]:
+                node = node[int(step)] if isinstance(node, list) else node[step]
+            last = int(steps[-1]) if isinstance(node, list) else steps[-1]
+            if not isinstance(node[last], str):
+                raise KeyError(path)
+            node[last] = said
+        return json.dumps(value, separators=(",", ":"))
+    except (ValueError, LookupError, TypeError, RecursionError):
+        return _with_texts(text, new, root)
+
+
+def _edited(root: str) -> Callable[[pd.Series, pd.Series, pd.Series], pd.Series]:
+    def edit(texts: pd.Series, at: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _put(t, dict(zip(a, n)), root) for t, a, n in zip(texts, at, new)], dtype=object)
+    return edit
+
+
 def rewritten(df: DataFrame, column: str, kind: C.Union, change: Callable[[DataFrame], DataFrame], keep: Sequence[str] = ()) -> DataFrame:
     """``df`` with the leaves of a VARIANT column replaced.
 
-    ``change`` gets (_rid, ``keep``, field_chain, type, lower, value) of all leaves, ``field_chain`` with the column's name in front, and
-    gives back (_rid, field_chain, new) of those texts that change.  Rows without a change, and null values, stay as they are.
+    ``change`` gets (_rid, _at, ``keep``, field_chain, type, lower, value) of all leaves, ``field_chain`` with the column's name in front, and
+    gives back (_rid, _at, new) of those texts that change.  Rows without a change, and null values, stay as they are.  A record's
+    new texts come back to it as one list, in one shuffle of what changes and one of the rows.
     """
     rows = cut(df.withColumn("_rid", F.monotonically_increasing_id()), "rows")
     names = ["_rid", *keep]
@@ -136,28 +200,14 @@ def rewritten(df: DataFrame, column: str, kind: C.Union, change: Callable[[DataF
     leaves = leaves_of(levels, names)
     chain = F.replace("_at", F.lit(STEP), F.lit("."))
     named = leaves.select(*names, "_at", chain.alias("field_chain"), "type", "lower", F.try_variant_get("_v", "$", "string").alias("value"))
-    new = change(named.where("value is not null")).select("_rid", "field_chain", "new")
-    # Paths that look alike as chains differ in their steps: what is asked for is looked up among the leaves.
-    new = cut(named.join(new, ["_rid", "field_chain"]).select("_rid", "_at", "new"), "new-leaves")
-    touched = cut(new.select("_rid").distinct(), "touched")
-    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
-    below: DataFrame | None = None
-    for level in reversed(levels):
-        nodes = level.join(touched, "_rid", "left_semi").join(new, ["_rid", "_at"], "left")
-        text = F.when(F.col("new").isNotNull(), quoted(F.col("new"))).otherwise(F.to_json("_v"))
-        if below is not None:
-            member = F.struct("_pos", F.when(F.col("_parent") == "O", F.concat(quoted(F.col("_step")), F.lit(":"), F.col("_text"))).otherwise(
-                F.col("_text")).alias("t"))
-            whole = (below.join(level.select("_rid", F.col("_at").alias("_up"), F.col("_k").alias("_parent")), ["_rid", "_up"])
-                     .groupBy("_rid", F.col("_up").alias("_at"), "_parent").agg(F.array_join(F.transform(
-                         F.array_sort(F.collect_list(member)), lambda m: m["t"]), ",").alias("_inner")))
-            nodes = nodes.join(whole, ["_rid", "_at"], "left")
-            inner = F.when(F.col("_parent") == "O", F.concat(F.lit("{"), "_inner", F.lit("}"))).otherwise(F.concat(F.lit("["), "_inner", F.lit("]")))
-            text = F.coalesce(inner, text)
-        below = cut(nodes.select("_rid", "_at", "_up", "_step", "_pos", text.alias("_text")), "texts")
-    made = below.select("_rid", F.parse_json("_text").alias("_made"))
-    return rows.join(made, "_rid", "left").select(*[
-        F.coalesce("_made", column).alias(column) if c == column else F.col(c) for c in df.columns])
+    new = change(named.where("value is not null"))
+    edits = new.groupBy("_rid").agg(F.collect_list(F.struct("_at", "new")).alias("_edits"))
+    # Files of a few repeated texts are tiny, what they hold is not: no such list goes through the driver.
+    both = rows.join(edits.hint("merge"), "_rid", "left")
+    edit = F.pandas_udf(_edited(column), "string")
+    made = both.withColumn("_made", edit(F.when(F.col("_edits").isNotNull(), F.to_json(column)), "_edits._at", "_edits.new"))
+    # Written, as whoever reads parts of the value would have it made again for each.
+    return cut(made.select(*[F.coalesce(F.parse_json("_made"), column).alias(c) if c == column else F.col(c) for c in df.columns]), "rewritten")
 
 
 def lowered(df: DataFrame, column: str, kind: C.Union) -> DataFrame:

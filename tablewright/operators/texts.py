@@ -20,6 +20,9 @@ try:
 except ImportError:
     ahocorasick = None
 
+#: Characters of words and their translations that are sent to every task.
+SENT_WORDS = 8_000_000
+
 
 def _texts(dataset: Dataset) -> DataFrame:
     """Text leaves of tables that have any text field."""
@@ -140,8 +143,8 @@ def _replaced(c: Column, kind, path: Column, table: Column) -> Column:
 def _translate_inside(df: DataFrame, contract: TableContract, look_up: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Replaces texts inside nested and recursive fields.
 
-    ``look_up`` gets (_rid, _pk, field_chain, value) of texts and gives (_rid, field_chain, new) of those that change.  A record's
-    new texts come back as one map, as long as its own texts; recursive values are opened and built again from below.
+    ``look_up`` gets (_rid, _at, _pk, field_chain, value) of texts and gives (_rid, _at, new) of those that change.  A record's
+    new texts come back as one map, as long as its own texts; recursive values are opened, and built again with them.
     """
     deep = [f for f in contract.fields if not isinstance(f.type, str) and _has_text_inside(f.type)]
     plain = [f for f in deep if not (isinstance(f.type, C.Union) and f.type.recursive)]
@@ -149,8 +152,8 @@ def _translate_inside(df: DataFrame, contract: TableContract, look_up: Callable[
     if plain:
         rows = cut(out.withColumn("_rid", F.monotonically_increasing_id()), "rows")
         parts = F.concat(*[text_leaves(F.col(f.name), f) for f in plain])
-        found = rows.select("_rid", "_pk", F.explode(parts).alias("l")).select("_rid", "_pk", "l.field_chain", "l.value")
-        new = look_up(found).groupBy("_rid").agg(F.map_from_entries(F.collect_list(F.struct("field_chain", "new"))).alias("_new"))
+        found = rows.select("_rid", "_pk", F.explode(parts).alias("l")).select("_rid", F.col("l.field_chain").alias("_at"), "_pk", "l.field_chain", "l.value")
+        new = look_up(found).groupBy("_rid").agg(F.map_from_entries(F.collect_list(F.struct("_at", "new"))).alias("_new"))
         named = {f.name: f for f in plain}
         out = rows.join(new, "_rid", "left").select(*[
             F.when(F.col("_new").isNull(), F.col(c)).otherwise(_replaced(F.col(c), named[c].type, F.lit(c), F.col("_new"))).alias(c)
@@ -161,6 +164,16 @@ def _translate_inside(df: DataFrame, contract: TableContract, look_up: Callable[
     return out.drop("_pk")
 
 
+def _sent(words: DataFrame) -> DataFrame:
+    """Written ``words`` that are sent to every task if they are short, and else met by key.
+
+    The texts they are joined with come from files of few repeated values, much smaller than what they hold: they are never sent.
+    """
+    words = cut(words, "words")
+    size = words.agg(F.sum(F.length(F.to_json(F.struct(*words.columns))))).first()[0] or 0
+    return words.hint("broadcast" if size <= SENT_WORDS else "merge")
+
+
 def translate_by_value(df: DataFrame, contract: TableContract, dictionary: DataFrame,
                        order: str | None = None) -> DataFrame:
     """Replace text fields, at any depth, by their translation; ``<field>_original`` keeps the source of a record's own fields.
@@ -173,8 +186,8 @@ def translate_by_value(df: DataFrame, contract: TableContract, dictionary: DataF
     words = best.select(F.col("_o").alias("_key"), F.nullif("translated", F.lit("")).alias("_t"))
 
     def look_up(texts: DataFrame) -> DataFrame:
-        return (texts.join(words.where("_t is not null"), normalise_newlines("value") == F.col("_key"))
-                .select("_rid", "field_chain", F.col("_t").alias("new")))
+        return (texts.join(_sent(words.where("_t is not null")), normalise_newlines("value") == F.col("_key"))
+                .select("_rid", "_at", F.col("_t").alias("new")))
 
     out = _translate_inside(df, contract, look_up)
     for name in contract.texts():
@@ -194,9 +207,9 @@ def translate_by_id(df: DataFrame, contract: TableContract, dictionary: DataFram
     def look_up(texts: DataFrame) -> DataFrame:
         words = (mine.groupBy(F.col("pk").alias("_key"), F.col("field_chain").alias("_chain"))
                  .agg(F.max_by(F.struct("original", "translated"), by).alias("_w")))
-        found = texts.join(words, (F.col("_pk") == F.col("_key")) & (F.replace("field_chain", F.lit("."), F.lit("-")) == F.col("_chain")))
+        found = texts.join(_sent(words), (F.col("_pk") == F.col("_key")) & (F.replace("field_chain", F.lit("."), F.lit("-")) == F.col("_chain")))
         same = normalise_newlines("_w.original") == normalise_newlines("value")
-        return found.where(same & (F.col("_w.translated") != "")).select("_rid", "field_chain", F.col("_w.translated").alias("new"))
+        return found.where(same & (F.col("_w.translated") != "")).select("_rid", "_at", F.col("_w.translated").alias("new"))
 
     out = _translate_inside(df, contract, look_up)
     out = out.withColumn("_pk", pack_id(df.schema, contract.key))
