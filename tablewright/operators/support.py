@@ -21,6 +21,10 @@ from ..contract import ERROR_COLUMNS, Dataset, TableContract, union_all
 from ..functions.scalars import pack_id, pack_value
 from .checks import key_value, nested_references, references
 
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+#: From so many bytes on, buckets are rewritten without bringing their rows together.
+_MANY = 256 << 20
+
 
 class BucketTable:
     """Parquet rows in ``buckets`` folders by ``key``; a new version holds only the buckets that changed.
@@ -57,25 +61,43 @@ class BucketTable:
                 out.setdefault(bucket, []).append(version)
         return {b: sorted(v, reverse=True) for b, v in out.items()}
 
-    def read(self, only: Iterable[int] | None = None, before: int | None = None) -> DataFrame:
-        """The rows of all buckets, or of some, as they are or as they were ``before`` a version."""
+    def _newest(self, only: Iterable[int] | None = None, before: int | None = None) -> list[str]:
         wanted = None if only is None else set(only)
         paths = []
         for bucket, versions in sorted(self._versions().items()):
             now = next((v for v in versions if before is None or v < before), None)
             if now is not None and (wanted is None or bucket in wanted):
                 paths.append(f"{self.path}/_v={now}/_b={bucket}")
+        return paths
+
+    def read(self, only: Iterable[int] | None = None, before: int | None = None) -> DataFrame:
+        """The rows of all buckets, or of some, as they are or as they were ``before`` a version."""
+        paths = self._newest(only, before)
         if not paths:
             return self.spark.createDataFrame([], self.schema)
         marked = T.StructType([*self.schema.fields, T.StructField("_mark", T.BooleanType())])
         return self.spark.read.schema(marked).parquet(*paths).where("_mark is null").drop("_mark")
 
-    def write(self, version: int, rows: DataFrame, touched: Sequence[int]) -> None:
-        """``rows`` are from now on all that the ``touched`` buckets hold."""
-        marks = self.spark.createDataFrame([(b,) for b in touched], "_b int").withColumn("_mark", F.lit(True))
+    def size(self, only: Iterable[int], before: int | None = None) -> int:
+        """Bytes of some buckets, as they are or as they were ``before`` a version."""
+        return sum(f.getLen() for path in self._newest(only, before) for f in self._fs.listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(path)))
+
+    def write(self, version: int, rows: DataFrame, touched: Sequence[int], many: bool = False) -> None:
+        """``rows`` are from now on all that the ``touched`` buckets hold.
+
+        ``many`` rows are written where they are, a file per task and bucket; else they are brought together first.  A task has the
+        files of all its buckets open, so that nothing is sorted.
+        """
+        marks = self.spark.createDataFrame([(b,) for b in touched], "_b int").withColumn("_mark", F.lit(True)).coalesce(1)
         whole = rows.select(*self.schema.names, self.bucket().alias("_b")).unionByName(marks, allowMissingColumns=True)
         # A bucket with a hot key may have several files, written by several tasks.
-        whole.hint("rebalance", "_b").write.mode("overwrite").partitionBy("_b").parquet(f"{self.path}/_v={version}")
+        whole = whole if many else whole.hint("rebalance", "_b")
+        before = self.spark.conf.get(_WRITERS, None)
+        self.spark.conf.set(_WRITERS, str(self.buckets + 1))
+        try:
+            whole.write.mode("overwrite").partitionBy("_b").parquet(f"{self.path}/_v={version}")
+        finally:
+            self.spark.conf.unset(_WRITERS) if before is None else self.spark.conf.set(_WRITERS, before)
 
     def forget(self, before: int) -> None:
         """Removes bucket versions that neither the newest state nor the one before version ``before`` needs."""
@@ -161,9 +183,13 @@ class ReferenceIndex:
 
     def _reopen(self, version: int, touched: Sequence[int]) -> None:
         refs, keys = self.refs.read(touched), self.keys.read(touched)
-        there = keys.select(F.col("_to").alias("_t"), F.col("_key").alias("_k"))
-        on = (F.col("_to") == F.col("_t")) & (F.col("_key") == F.col("_k")) & ~F.col("is_empty")
-        self.open.write(version, refs.join(there, on, "left_anti"), touched)
+        t, k = F.col("_to").alias("_t"), F.col("_key").alias("_k")
+        on = (F.col("_to") == F.col("_t")) & (F.col("_key") == F.col("_k"))
+        # Keys are compared once each; references move only to keys that are missing.
+        asked = refs.where("not is_empty").select("_to", "_key").distinct()
+        missing = cut(asked.join(keys.select(t, k), on, "left_anti").select(t, k), "missing")
+        lost = refs.where("not is_empty").join(missing, on, "left_semi")
+        self.open.write(version, lost.unionByName(refs.where("is_empty")), touched)
 
     def change(self, changes: Sequence[tuple[str, DataFrame, DataFrame]], version: int) -> list[int]:
         """Follows ``(table, removed rows, added rows)`` changes; an updated record is in both.  Returns the touched buckets.
@@ -179,10 +205,15 @@ class ReferenceIndex:
             return []
         owners = gone.select(F.col("table").alias("_t"), F.col("record_id").alias("_r")).distinct()
         on = (F.col("table") == F.col("_t")) & (F.col("record_id") == F.col("_r"))
-        before = self.refs.read(touched, version)
-        self.refs.write(version, before.join(owners, on, "left_anti").unionByName(new), touched)
-        keys = self.keys.read(touched, version).unionByName(delta)
-        self.keys.write(version, keys.groupBy("_to", "_key").agg(F.sum("n").alias("n")).where("n > 0"), touched)
+        before, many = self.refs.read(touched, version), self.refs.size(touched, version) > _MANY
+        # Of other tables' references and other targets' keys nothing changes.
+        mine = F.col("table").isin(*{t for t, _, _ in changes})
+        kept = before.where(~mine).unionByName(before.where(mine).join(owners, on, "left_anti"))
+        self.refs.write(version, kept.unionByName(new), touched, many)
+        targets = F.col("_to").isin(*{target_name(t, keys) for t, _, _ in changes for keys in self._asked_keys(t)})
+        keys = self.keys.read(touched, version)
+        added = keys.where(targets).unionByName(delta).groupBy("_to", "_key").agg(F.sum("n").alias("n")).where("n > 0")
+        self.keys.write(version, keys.where(~targets).unionByName(added), touched, many)
         self._reopen(version, touched)
         return touched
 
