@@ -5,6 +5,8 @@ Defects are planted by key arithmetic over the whole table, so SQL can plant the
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +44,19 @@ def write_grid(cells: DataFrame, table: str, headers: list[list[str]], order: st
     return path
 
 
-def write_documents(df: DataFrame, table: str, path: str | None = None, mode: str = "errorifexists") -> str:
-    """One JSON file per row of ``df(id, text)`` in the folder of its table."""
+def write_documents(df: DataFrame, table: str, path: str | None = None, mode: str = "errorifexists",
+                    files_per_task: int = 250) -> str:
+    """One JSON file per id of ``df(id, text)`` below the folder of its table; rows without a key, or with the same one, share a file.
+
+    Files are written by as many tasks as they need, however few bytes they hold.  Each task has a folder of its own, so the
+    commit moves a folder per task and a reader lists as many.
+    """
     path = path or scratch_path(df.sparkSession, "json")
-    (df.repartition("id").select("id", "text").write.mode(mode).partitionBy("id")
+    tasks = df.count() // files_per_task + 1
+    # A number of partitions that is given stays: small ones would else be put into one task.
+    lines = F.array_join(F.collect_list(F.coalesce("text", F.lit(""))), "\n").alias("text")
+    docs = df.repartition(tasks, "id").groupBy("id").agg(lines)
+    folder = F.concat(F.lit(uuid.uuid4().hex + "-"), F.spark_partition_id().cast("string"))
+    (docs.select(folder.alias("task"), "text").write.mode(mode).partitionBy("task").option("maxRecordsPerFile", 1)
      .text(f"{path}/_{table.replace('.', '_')}"))
     return path

@@ -27,10 +27,17 @@ from ..sources.records import documents_of
 VERSION = ("_modified", "_file")
 #: Buckets of a table and of the reference index.  Fixed for the life of an output folder.
 BUCKETS = 64
+#: A batch names its files one by one, and Spark looks them up in as many tasks as this allows: a task per file up to 10,000.
+LOOKUP = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
 def read_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Record files under ``path`` (folders ``_a_b`` name the table ``a.b``) as a stream."""
+    """Record files under ``path`` (folders ``_a_b`` name the table ``a.b``) as a stream.
+
+    The session looks files up in four tasks a core from here on, unless it was told another number.
+    """
+    if spark.conf.get(LOOKUP, None) is None:
+        spark.conf.set(LOOKUP, str(4 * spark.sparkContext.defaultParallelism))
     reader = spark.readStream.option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
