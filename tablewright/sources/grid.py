@@ -131,7 +131,8 @@ def with_table_name(grid: DataFrame, root: str, by_folder: bool = False) -> Data
     names tables after their folder, for shards that are folders of part files; a
     partition folder ``name=value`` goes by its value.
     """
-    files = grid.select("_file").distinct()
+    # Written first: a test of the names would else be made on every row, before they are told apart.
+    files = cut(grid.select("_file").distinct(), "files")
     rel = F.element_at(F.split(F.url_decode(F.replace(F.col("_file"), F.lit("+"), F.lit("%2B"))),
                                _quote(root.rstrip("/") + "/"), 2), -1)
     parts = F.filter(F.split(rel, r"[/\\]"), lambda p: p != "")
