@@ -117,8 +117,10 @@ def number_text(c) -> Column:
     large = F.when(rest == "", whole).otherwise(F.concat(whole, F.lit("."), rest))
     moved = F.concat(sign, F.when(power < 0, small).otherwise(large))
     usable = (F.abs(c) >= 1e-6) & (F.abs(c) < 1e21)
-    return (F.when(c == 0, "0").when(~usable, text).when(power.isNotNull(), moved)
-            .otherwise(F.regexp_replace(text, r"\.0$", "")))
+    # Numbers of this size are written without an exponent.
+    plain = (F.abs(c) >= 1e-3) & (F.abs(c) < 1e7)
+    short = F.when(text.endswith(".0"), F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)
+    return F.when(c == 0, "0").when(plain, short).when(~usable, text).when(power.isNotNull(), moved).otherwise(short)
 
 
 # White space as text readers know it, no-break and ideographic spaces and the byte order mark included.
