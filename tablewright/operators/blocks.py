@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,26 +47,23 @@ def fold_records(body: DataFrame, key_columns: Sequence[int], group: Sequence[st
 
 
 def fold_blocks(body: DataFrame, key_columns: Sequence[int], blocks: Sequence[int],
-                group: Sequence[str] = ("_file",), position: str = "_row") -> list[DataFrame]:
+                group: Sequence[str] = ("_file",), position: str = "_row", in_order: bool = False) -> list[DataFrame]:
     """Items of nested blocks, outermost first, one frame per level.
 
     ``blocks`` are the first columns of the nested block fields.  Level ``n`` has
     ``_record``, ``_item1`` … ``_itemN`` (the rows where the enclosing items start) and
     the cells of the item's own row.  The row where an outer item starts also starts
     an inner item; below it a filled first column starts the next item, an empty one
-    belongs to a deeper level.
+    belongs to a deeper level.  All levels come from one scan, as in `fold`.
     """
-    rows = fold_records(body, key_columns, group, position)
-    out, outer = [], "_record"
-    for level, column in enumerate(blocks, start=1):
-        name = f"_item{level}"
-        # The outer start is already known per row, so no inner item can reach past it.
-        begins = F.when(_filled([column]) | (F.col(position) == F.col(outer)), F.col(position))
-        rows = running_last(rows, begins, group, position, name)
-        rows = rows.withColumn(name, F.greatest(F.col(name), F.col(outer)))
-        out.append(rows.where(F.col(position) == F.col(name)))
-        outer = name
-    return out
+    begins, mask = _filled(key_columns), F.lit(0).cast("long")
+    names = ["_record", *[f"_item{level}" for level in range(1, len(blocks) + 1)]]
+    for k, column in enumerate([None, *blocks]):
+        begins = begins if column is None else begins | _filled([column])
+        mask = mask + F.when(begins, 1 << k).otherwise(0)
+    rows = _scanned(body, mask, names, group, [position], in_order, position)
+    return [rows.where(F.col(position) == F.col(name)).select(*body.columns, *names[:level + 1])
+            for level, name in enumerate(names) if level]
 
 
 # ------------------------------------------------------------ by contract
@@ -139,41 +137,62 @@ def fold(body: DataFrame, contract: TableContract, group: Sequence[str] = (), or
     if len(blocks) > 61:
         raise ValueError("more than 61 blocks")
     order = [c for c in order if c in body.columns]
+    return _scanned(body, _starts_mask(contract, blocks), ["_record", *[f"_b{b.index}" for b in blocks]], group, order, in_order)
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """For every value but the first, whether it differs from the one before."""
+    a, b = column[1:], column[:-1]
+    differs = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+    return differs | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
+
+
+def _scanned(body: DataFrame, mask: Column, names: Sequence[str], group: Sequence[str], order: Sequence[str], in_order: bool,
+             value: str = "_id") -> DataFrame:
+    """``body`` with ``_id`` and, for every bit of ``mask``, the ``value`` of the last row of the group that has it (none: the first row)."""
     place = [*group, *order]
-    rows = body.withColumn("_mask", _starts_mask(contract, blocks))
+    rows = body.withColumn("_mask", mask)
     if not in_order:
         rows = rows.repartitionByRange(*place).sortWithinPartitions(*place)
-    n, names = len(body.columns), ["_record", *[f"_b{b.index}" for b in blocks]]
-    follow, at = in_order, [body.columns.index(c) for c in order]
-    grouped = [body.columns.index(c) for c in group]
+    n, at = len(body.columns), [body.columns.index(c) for c in (place if in_order else group)]
+    valued = None if value == "_id" else body.columns.index(value)
+    none = np.iinfo(np.int64).min
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, count, stretch = TaskContext.get().partitionId() << 33, 0, 0
-        last, starts = None, np.full(len(names), -1, np.int64)
+        last, starts = None, np.full(len(names), none, np.int64)
         for batch in batches:
             size = batch.num_rows
             if not size:
                 continue
-            ids = task + count + np.arange(size)
-            places = list(zip(*(batch.column(i).to_pylist() for i in (*grouped, *at))))
-            g = len(grouped)
-            new = np.fromiter((a is None or a[:-1] != b[:-1] or a[-1] + 1 != b[-1] if follow else a is None or a[:g] != b[:g]
-                               for a, b in zip([last, *places], places)), bool, size)
-            part, mask = stretch + np.cumsum(new), batch.column(n).to_numpy()
+            ids, here = task + count + np.arange(size), np.arange(size)
+            first, new = [batch.column(i)[0].as_py() for i in at], np.zeros(size, bool)
+            if last is None:
+                new[0] = True
+            elif in_order:
+                new[0] = last[:-1] != first[:-1] or last[-1] + 1 != first[-1]
+            else:
+                new[0] = last != first
+            for i in at[:-1] if in_order else at:
+                new[1:] |= _changes(batch.column(i))
+            if in_order:
+                new[1:] |= np.diff(batch.column(at[-1]).to_numpy(zero_copy_only=False)) != 1
+            part, bits = stretch + np.cumsum(new), batch.column(n).to_numpy()
+            values = ids if valued is None else batch.column(valued).to_numpy().astype(np.int64)
             # Where the row's stretch began in this batch; -1: in an earlier one.
-            begin, columns = np.maximum.accumulate(np.where(new, ids, -1)), []
+            begin, columns = np.maximum.accumulate(np.where(new, here, -1)), []
             for k in range(len(names)):
-                seen = np.maximum.accumulate(np.where(mask >> k & 1, ids, -1))
-                seen = np.where((seen >= begin) & (seen >= 0), seen, np.where(begin < 0, starts[k], -1))
-                starts[k] = seen[-1]
-                columns.append(pa.array(seen, mask=seen < 0))
-            count, stretch, last = count + size, int(part[-1]), places[-1]
+                seen = np.maximum.accumulate(np.where(bits >> k & 1, here, -1))
+                found = np.where((seen >= begin) & (seen >= 0), values[seen], np.where(begin < 0, starts[k], none))
+                starts[k] = found[-1]
+                columns.append(pa.array(found, mask=found == none))
+            count, stretch, last = count + size, int(part[-1]), [batch.column(i)[size - 1].as_py() for i in at]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(ids), pa.array(task + part), *columns],
                                              names=[*batch.schema.names[:n], "_id", "_stretch", *names])
 
     schema = T.StructType([*body.schema.fields, *[T.StructField(c, T.LongType()) for c in ("_id", "_stretch", *names)]])
     stored = cut(rows.mapInArrow(scan, schema), "folded")
-    stretches = stored.groupBy(*group, "_stretch").agg(F.min(F.struct(*order)).alias("_first"), F.min("_id").alias("_top"),
+    stretches = stored.groupBy(*group, "_stretch").agg(F.min(F.struct(*order)).alias("_first"), F.min(value).cast("long").alias("_top"),
                                                        *[F.max(c).alias(c) for c in names])
     # A row per stretch: a task's or a file's part of a group.
     along = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_first")

@@ -249,22 +249,23 @@ def b1_fold_records(spark, sf):
 def three_level_grid(spark, sf):
     """Customers, their orders and the items of those as block rows."""
     d = star.dataset(spark, sf)
-    joined = (d.frames["customer"].select("c_custkey").join(d.frames["orders"].select("o_custkey", "o_orderkey"), F.col("o_custkey") == F.col("c_custkey"), "left")
-              .join(d.frames["lineitem"].select("l_orderkey", *_ITEM), F.col("l_orderkey") == F.col("o_orderkey"), "left"))
+    orders = d.frames["customer"].select("c_custkey").join(
+        d.frames["orders"].select("o_custkey", "o_orderkey"), F.col("o_custkey") == F.col("c_custkey"), "left")
     order = ["c_custkey", "o_orderkey", *_ITEM]
-    # The first row of each record and of each order shows their keys; later ones leave them empty.
-    firsts = joined.groupBy("c_custkey").agg(F.min(F.struct(*order[1:])).alias("_cf"))
-    seconds = joined.groupBy("c_custkey", "o_orderkey").agg(F.min(F.struct(*_ITEM)).alias("_of"))
-    here = joined.join(firsts, "c_custkey")
-    here = here.join(seconds.withColumnRenamed("c_custkey", "_c2").withColumnRenamed("o_orderkey", "_o2"),
-                     (F.col("c_custkey") == F.col("_c2")) & F.col("o_orderkey").eqNullSafe(F.col("_o2")))
-    lead_c = F.struct(*order[1:]).eqNullSafe(F.col("_cf"))
-    lead_o = F.struct(*_ITEM).eqNullSafe(F.col("_of"))
+    # The first row of each record and of each order shows their keys; later ones leave them empty.  A null key comes first.
+    first = F.when(F.count_if(F.col("o_orderkey").isNull()) == 0, F.min("o_orderkey")).alias("_co")
+    orders = orders.join(orders.groupBy("c_custkey").agg(first), "c_custkey").select(
+        "c_custkey", "o_orderkey", F.col("o_orderkey").eqNullSafe(F.col("_co")).alias("_lead"))
+    items = d.frames["lineitem"].select("l_orderkey", *_ITEM)
+    firsts = items.groupBy(F.col("l_orderkey").alias("_k")).agg(F.min(F.struct(*_ITEM)).alias("_of"))
+    joined = orders.join(firsts, F.col("_k") == F.col("o_orderkey"), "left").join(items, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    lead_o = F.col("_of").isNull() | F.struct(*_ITEM).eqNullSafe(F.col("_of"))
+    # Keys and two flags travel; their texts are made where the rows are read.
+    placed = with_position(joined.select(*order, (F.col("_lead") & lead_o).alias("_c"), lead_o.alias("_o")), order, "_row")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    cells = F.array(F.when(lead_c, text("c_custkey")).otherwise(""), F.when(lead_o, text("o_orderkey")).otherwise(""),
+    cells = F.array(F.when(F.col("_c"), text("c_custkey")).otherwise(""), F.when(F.col("_o"), text("o_orderkey")).otherwise(""),
                     F.when(F.col("l_linenumber").isNotNull(), F.concat_ws(":", "l_linenumber", "l_partkey")).otherwise(""))
-    return with_position(here.select(*order, cells.alias("cells")), order, "_row").select(
-        F.lit("customer.csv").alias("_file"), "_row", "cells")
+    return placed.select(F.lit("customer.csv").alias("_file"), "_row", cells.alias("cells"))
 
 
 @query("b2_fold_blocks", """
@@ -274,13 +275,12 @@ UNION ALL SELECT 2, CAST(c_custkey AS VARCHAR), coalesce(CAST(o_orderkey AS VARC
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey""")
 def b2_fold_blocks(spark, sf):
     grid = three_level_grid(spark, sf)
-    outer, inner = blocks.fold_blocks(grid, [0], [1, 2])
-    outer, inner = cut(outer, "outer"), cut(inner, "inner")
+    outer, inner = blocks.fold_blocks(grid, [0], [1, 2], in_order=True)
     heads = outer.where(F.col("_row") == F.col("_record")).select(F.col("_record").alias("_r"), G.cell(0).alias("c"))
-    mids = outer.select(F.col("_item1").alias("_m"), G.cell(1).alias("o"))
-    one = outer.join(heads, F.col("_record") == F.col("_r")).select(F.lit(1).alias("level"), "c", G.cell(1).alias("o"), F.lit("").alias("l"))
-    two = inner.join(heads, F.col("_record") == F.col("_r")).join(mids, F.col("_item1") == F.col("_m")).select(
-        F.lit(2).alias("level"), "c", "o", G.cell(2).alias("l"))
+    mids = outer.join(heads, F.col("_record") == F.col("_r")).select(F.col("_item1").alias("_m"), "c", G.cell(1).alias("o"))
+    one = mids.select(F.lit(1).alias("level"), "c", "o", F.lit("").alias("l"))
+    # The items move once: an order brings its customer along.
+    two = inner.select("_item1", G.cell(2).alias("l")).join(mids, F.col("_item1") == F.col("_m")).select(F.lit(2).alias("level"), "c", "o", "l")
     return one.unionByName(two)
 
 
