@@ -99,11 +99,13 @@ def _label(fk: ForeignKey, prefix: Column | None, schema: T.StructType, base: Co
 
 
 def _edges_of(rows: DataFrame, values: list[Column], label: Column, field: str, fk: ForeignKey,
-              name: str, target: DataFrame, target_contract: TableContract, trust: bool = False) -> DataFrame:
+              name: str, target: DataFrame, target_contract: TableContract, trust: bool = False,
+              ends: bool = False) -> DataFrame:
     """Edges of one foreign key; dangling keys fall out of the inner join.
 
     With ``trust`` the caller matches ``to_id`` with known records itself, so a primary
-    key needs no join here.
+    key needs no join here.  With ``ends`` only the records they lead to come back; each
+    key crosses the network once per task.
     """
     if trust and fk.ref_keys == target_contract.key:
         packed = rows.select("_id", label.alias("label"), *[v.alias(f"_v{i}") for i, v in enumerate(values)])
@@ -115,7 +117,11 @@ def _edges_of(rows: DataFrame, values: list[Column], label: Column, field: str,
     to_id = pack_id(target.schema, target_contract.key)
     refs = target.select(*[key_value(F.col(k), target.schema[k].dataType).alias(f"_r{i}")
                            for i, k in enumerate(fk.ref_keys)], to_id.alias("to_id")).distinct()
+    if ends:
+        own = own.drop("_id", "label").distinct()
     on = [own[f"_v{i}"] == refs[f"_r{i}"] for i in range(len(values))]
+    if ends:
+        return own.join(refs, on).select(F.lit(fk.ref_table).alias("to_table"), "to_id")
     return own.join(refs, on).select(
         F.lit(name).alias("from_table"), F.col("_id").alias("from_id"), F.lit(fk.name).alias("fk"),
         F.lit(field).alias("field"), "label", F.lit(fk.ref_table).alias("to_table"), "to_id")
@@ -139,8 +145,8 @@ def _fk_values(rows: DataFrame, at: Column | None, fk: ForeignKey, kind) -> tupl
 
 
 def ref_edges(dataset: Dataset, to_table: str | None = None, from_tables: Sequence[str] | None = None,
-              to_many: bool = False, trust: bool = False) -> DataFrame:
-    """Every outgoing edge of every record, nested structs included.
+              to_many: bool = False, trust: bool = False, ends: bool = False) -> DataFrame:
+    """Every outgoing edge of every record, nested structs included; with ``ends`` just their ``to_table`` and ``to_id``.
 
     Only foreign keys that can produce wanted edges are planned.  References to many
     rows give no edges unless ``to_many`` asks for those whose key identifies a record.
@@ -161,7 +167,7 @@ def ref_edges(dataset: Dataset, to_table: str | None = None, from_tables: Sequen
         for fk in filter(wanted, contract.fks):
             rows, values = _fk_values(base, None, fk, contract.field(fk.keys[0]).type)
             out.append(_edges_of(rows, values, _label(fk, None, df.schema), fk.keys[0], fk, name,
-                                 dataset.frames[fk.ref_table], dataset.contracts[fk.ref_table], trust))
+                                 dataset.frames[fk.ref_table], dataset.contracts[fk.ref_table], trust, ends))
         if all(isinstance(f.type, str) for f in contract.fields):
             continue
         for struct, frame in nested_structs(df, contract, [pack_id(df.schema, contract.key).alias("_id")]):
@@ -169,7 +175,7 @@ def ref_edges(dataset: Dataset, to_table: str | None = None, from_tables: Sequen
                 rows, values = _fk_values(frame, F.col("_node"), fk, struct.field(fk.keys[0]).type)
                 label = _label(fk, F.col("_path"), frame.schema["_node"].dataType, F.col("_node"))
                 out.append(_edges_of(rows, values, label, fk.keys[0], fk, name,
-                                     dataset.frames[fk.ref_table], dataset.contracts[fk.ref_table], trust))
+                                     dataset.frames[fk.ref_table], dataset.contracts[fk.ref_table], trust, ends))
     if out:
         return union_all(out)
     spark = next(iter(dataset.frames.values())).sparkSession
@@ -274,16 +280,17 @@ def entry_counts(dataset: Dataset) -> DataFrame:
 
 # ------------------------------------------------------------------ walks
 
-def _next_layer(edges: DataFrame, frontier: DataFrame, seen: DataFrame, backwards: bool) -> DataFrame:
+def _next_layer(edges: DataFrame, frontier: DataFrame, seen: DataFrame, backwards: bool, more: DataFrame | None = None) -> DataFrame:
     a, b = ("to", "from") if backwards else ("from", "to")
     hops = edges.join(frontier, (edges[f"{a}_table"] == frontier["table"]) & (edges[f"{a}_id"] == frontier["id"]),
                       "left_semi")
-    found = hops.select(F.col(f"{b}_table").alias("table"), F.col(f"{b}_id").alias("id")).distinct()
+    found = hops.select(F.col(f"{b}_table").alias("table"), F.col(f"{b}_id").alias("id"))
+    found = (found if more is None else found.unionByName(more)).distinct()
     return found.join(seen, ["table", "id"], "left_anti")
 
 
-def _walk(edges: DataFrame, frontier: DataFrame, backwards: bool, limit: int | None, label: str):
-    """Breadth-first layers from ``frontier`` (table, id); each id appears once.
+def _walk(edges: DataFrame, frontier: DataFrame, backwards: bool, limit: int | None, label: str, more: DataFrame | None = None):
+    """Breadth-first layers from ``frontier`` (table, id); each id appears once.  ``more`` goes into the first layer.
 
     Every layer is written out: the plan stays flat, cycles end because known ids are
     anti-joined away, and small layers are broadcast by their measured size.
@@ -294,7 +301,7 @@ def _walk(edges: DataFrame, frontier: DataFrame, backwards: bool, limit: int | N
         # At most one row per table; edges of other tables are not even read.
         tables = [r[0] for r in frontier.select("table").distinct().collect()]
         near = edges.where(F.col("to_table" if backwards else "from_table").isin(tables))
-        frontier = cut(_next_layer(near, frontier, seen, backwards), f"{label}{depth}")
+        frontier = cut(_next_layer(near, frontier, seen, backwards, more if depth == 1 else None), f"{label}{depth}")
         if frontier.isEmpty():
             return
         yield depth, frontier
@@ -303,14 +310,35 @@ def _walk(edges: DataFrame, frontier: DataFrame, backwards: bool, limit: int | N
 
 
 def reachable_from_entries(dataset: Dataset) -> DataFrame:
-    """``(table, id, depth)`` of everything reachable over outgoing edges from entry points."""
-    edges = cut(ref_edges(dataset).select("from_table", "from_id", "to_table", "to_id").distinct(), "edges", by="from_table")
+    """``(table, id, depth)`` of everything reachable over outgoing edges from entry points.
+
+    Root and enum tables are entry points with all their records: none of them is found later, and their edges all count for the
+    first layer, so neither these edges nor the records are compared by id.  Only the columns that link records are
+    written, once, as a table is read for every reference from and to it.
+    """
+    contracts = dataset.contracts
+    dataset = Dataset(contracts, {n: cut(_links(dataset, n), "links") for n in dataset.names()})
+    whole = [n for n in dataset.names() if contracts[n].is_root or contracts[n].is_enum]
+    others = [n for n in dataset.names() if n not in whole]
     start = cut(entry_records(dataset).select("table", "id").distinct(), "entries")
+    edges = cut(ref_edges(dataset, from_tables=others).select("from_table", "from_id", "to_table", "to_id"), "edges", by="from_table")
+    known = F.col("table").isin(whole)
+    ends = ref_edges(dataset, from_tables=whole, ends=True).select(F.col("to_table").alias("table"), F.col("to_id").alias("id"))
+    # The targets of whole tables among them have been there from the start; this holds for later layers, too.
+    edges, ends = edges.where(~F.col("to_table").isin(whole)), ends.where(~known)
     layers = [start.withColumn("depth", F.lit(0))]
-    layers += [layer.withColumn("depth", F.lit(d)) for d, layer in _walk(edges, start, False, None, "reach")]
+    layers += [layer.withColumn("depth", F.lit(d)) for d, layer in _walk(edges, start.where(~known), False, None, "reach", ends)]
     return union_all(layers)
 
 
+def _links(dataset: Dataset, name: str) -> DataFrame:
+    """The columns of a table that identify its records, make them entry points or refer to others."""
+    contract, df = dataset.contracts[name], dataset.frames[name]
+    wanted = {*_incoming_keys(dataset, name), contract.entry, *(k for fk in contract.fks for k in fk.keys),
+              *(f.name for f in contract.fields if not isinstance(f.type, str))}
+    return df.select(*[c for c in df.columns if c in wanted])
+
+
 def _titles(dataset: Dataset, nodes: DataFrame, tables: Sequence[str]) -> DataFrame:
     """Add the brief title of each (table, id)."""
     out = []
