@@ -222,9 +222,11 @@ def nested_records(body: DataFrame, contract: TableContract, group: Sequence[str
     at = F.concat(F.col("_file") if "_file" in body.columns else F.lit(""), F.lit("#!"), row)
     cell = lambda i: F.coalesce(F.get("cells", i), F.lit(""))
 
-    def placed(issues: Column) -> Column:
+    def placed(issues: Column, at: Column) -> Column:
         return F.transform(issues, lambda e: F.struct(e["kind"].alias("kind"), e["field"].alias("field"), e["value"].alias("value"),
-                                                      e["level"].alias("level"), F.col("_at").alias("at"))).cast(_ISSUES)
+                                                      e["level"].alias("level"), at.alias("at"))).cast(_ISSUES)
+
+    found_any = lambda issues: F.size(issues) > 0
 
     def value_of(f: Field, column: int, path: Column) -> tuple[Column, Column]:
         """(value, issues) of a field whose first cell is ``column``; a block's items have been gathered before."""
@@ -260,6 +262,9 @@ def nested_records(body: DataFrame, contract: TableContract, group: Sequence[str
             on = _any_filled([cell(first + i) for i in range(width)])
             items.append(F.struct(on.alias("on"), v.alias("v")))
             issues.append(F.when(on, e).otherwise(_none()))
+        if len(items) == 1:
+            # No lambda: these keep Spark from compiling the whole projection, cells and all.
+            return F.when(on, F.array(v)).otherwise(F.array()).cast(spark_type(kind)), issues[0]
         kept = F.transform(F.filter(F.array(*items), lambda x: x["on"]), lambda x: x["v"])
         return kept.cast(spark_type(kind)), _join(issues)
 
@@ -275,14 +280,20 @@ def nested_records(body: DataFrame, contract: TableContract, group: Sequence[str
         for child in inside[index]:
             rows = gathered(child.index)
             values, issues = items_of(child, F.lit(child.field.name))
-            item = F.struct(F.col("_id").alias("o"), values.alias("v"), F.concat("_x", placed(issues)).alias("e"))
+            # Issues get their place when they are gathered: most items have none, and typing stays one compiled projection.
+            rows = rows.select("_up", "_id", "_x", values.alias("_v"), issues.alias("_e"), "_at")
+            item = F.struct(F.col("_id").alias("o"), F.col("_v").alias("v"), F.col("_x").alias("x"), F.col("_e").alias("e"),
+                            F.when(found_any("_e"), F.col("_at")).alias("at"))
             frame = frame.unionByName(rows.select(F.col("_up").alias("_id"), item.alias(f"_c{child.index}")), allowMissingColumns=True)
         kept = [c for c in own.columns if c != "_id"]
         lists = [f"_c{c.index}" for c in inside[index]]
         one = frame.groupBy("_id").agg(*[F.any_value(c, True).alias(c) for c in kept], *[F.collect_list(c).alias(c) for c in lists])
         for c in lists:
-            one = one.withColumn(c, F.array_sort(c, lambda a, b: F.when(a["o"] < b["o"], -1).otherwise(1)))
-        found = F.flatten(F.array(*[F.flatten(F.transform(c, lambda x: x["e"])) for c in lists]))
+            kinds = one.schema[c].dataType.simpleString()
+            # Numbers differ, so that nothing behind them is ever compared; what has no order is sorted by them alone.
+            ordered = F.array_sort(c, lambda a, b: F.when(a["o"] < b["o"], -1).otherwise(1)) if "map<" in kinds or "variant" in kinds else F.sort_array(c)
+            one = one.withColumn(c, ordered)
+        found = F.flatten(F.array(*[F.flatten(F.transform(c, lambda x: F.concat(x["x"], placed(x["e"], x["at"])))) for c in lists]))
         flat = [F.flatten(F.transform(c, lambda x: x["v"])).alias("_l" + c[2:]) for c in lists]
         return one.select("_id", *kept, *flat, found.alias("_x"))
 
@@ -290,8 +301,9 @@ def nested_records(body: DataFrame, contract: TableContract, group: Sequence[str
     for f in contract.fields:
         values[f.name] = value_of(f, i, F.lit(f.name))
         i += field_span(f)
-    own = placed(_join([e for _, e in values.values()]))
-    typed = heads.select(*group, F.concat("_x", own).alias("_x"), *[v.alias(name) for name, (v, _) in values.items()])
+    typed = heads.select(*group, "_x", "_at", _join([e for _, e in values.values()]).alias("_e"), *[v.alias(name) for name, (v, _) in values.items()])
+    own = F.when(found_any("_e"), placed(F.col("_e"), F.col("_at"))).otherwise(F.array().cast(_ISSUES))
+    typed = typed.select(*group, F.concat("_x", own).alias("_x"), *values)
     typed = cut(typed, "records")
     bad = typed.select(pack_id(typed.schema, contract.key).alias("_id"), F.explode("_x").alias("x"))
     said = F.concat_ws(" ", "x.kind", F.lit(contract.name), "x.field")
