@@ -139,8 +139,33 @@ def string_dictionary(df: DataFrame, columns: Sequence[str], order_by: Sequence[
 
 
 def text_dictionaries(matrix: DataFrame, langs: Sequence[str], order_by: Sequence[str]) -> dict[str, DataFrame]:
-    """One dictionary per language column of a translations matrix."""
-    return {lang: string_dictionary(matrix, [lang], order_by)[0] for lang in langs}
+    """One dictionary ``(value, index)`` per language column of a translations matrix, in first-seen order.
+
+    Texts may be long: they are told apart and put in order by their SHA-256 and first place, and each text then moves once, from the row
+    that shows it first.
+    """
+    matrix = cut(matrix.select(*order_by, *langs), "matrix")
+    return {lang: _long_words(matrix.select(F.struct(*order_by).alias("_place"), F.col(lang).cast("string").alias("value"))) for lang in langs}
+
+
+def _long_words(places: DataFrame) -> DataFrame:
+    places = places.where(F.col("value").isNotNull()).withColumn("_h", F.unhex(F.sha2("value", 256)))
+    firsts = cut(places.groupBy("_h").agg(F.min("_place").alias("_first")), "firsts")
+    order = ["_first"]
+    tied = cut(firsts.groupBy("_first").agg(F.count("*").alias("_n")).where("_n > 1").select("_first"), "tied")
+
+    def first_rows(of: DataFrame) -> DataFrame:
+        """The row with its text at the first place of every digest; repeated rows once."""
+        of = of.withColumnRenamed("_h", "_k")
+        rows = places.join(of, (F.col("_h") == F.col("_k")) & (F.col("_place") == F.col("_first")))
+        rest = [c for c in rows.columns if c not in ("_h", "_place", "_k", "_first")]
+        return rows.groupBy("_h", "_place").agg(*[F.any_value(c).alias(c) for c in rest])
+
+    if not tied.isEmpty():
+        # Rows with the same place: their texts decide, as only there they have to.
+        texts = first_rows(firsts.join(tied, "_first", "left_semi")).select("_h", F.col("value").alias("_tie"))
+        firsts, order = firsts.join(texts, "_h", "left"), ["_first", "_tie"]
+    return first_rows(with_position(firsts, order, "index").select("_h", "_first", "index")).select("value", "index")
 
 
 def pack_bools(df: DataFrame, columns: Sequence[str], out: str = "flags") -> DataFrame:

@@ -223,21 +223,25 @@ def translate_by_id(df: DataFrame, contract: TableContract, dictionary: DataFram
     return out.drop("_pk")
 
 
+def _said(text: str) -> Column:
+    return F.unhex(F.sha2(normalise_newlines(text), 256))
+
+
 def translations_matrix(dataset: Dataset, dictionaries: dict[str, DataFrame], order: str | None = None) -> DataFrame:
     """``(table, pk, field_chain, original, <lang>…)``; a missing translation shows the
     original, an empty original leaves all columns empty.
 
-    All languages are folded into one wide dictionary first, so texts are joined once.  Of
-    repeated entries the last by ``order`` wins, or the greatest text without it.
+    All languages are folded into one wide dictionary first, so texts are joined once, by the
+    SHA-256 of what they say: of an entry only its translation travels.  Of repeated entries the last by ``order`` wins, or the greatest text without it.
     """
     found = _texts(dataset).select("table", "pk", "field_chain", F.col("value").alias("original"))
     place = F.col(order) if order else F.lit(0)
-    tagged = union_all(d.select("table", normalise_newlines("original").alias("_o"), "translated", place.alias("_place"), F.lit(lang).alias("_lang"))
+    tagged = union_all(d.select("table", _said("original").alias("_o"), "translated", place.alias("_place"), F.lit(lang).alias("_lang"))
                        for lang, d in dictionaries.items())
     wide = tagged.groupBy("table", "_o").agg(*[
         F.max(F.when(F.col("_lang") == lang, F.struct("_place", "translated")))["translated"].alias(lang) for lang in dictionaries])
     wide = wide.withColumnRenamed("table", "_table")
-    joined = found.join(wide, (F.col("table") == F.col("_table")) & (normalise_newlines("original") == F.col("_o")), "left")
+    joined = found.join(wide, (F.col("table") == F.col("_table")) & (_said("original") == F.col("_o")), "left")
     return joined.select("table", "pk", "field_chain", "original", *[
         F.when(F.col("original") == "", "").otherwise(F.coalesce(F.nullif(lang, F.lit("")), F.col("original"))).alias(lang)
         for lang in dictionaries])
