@@ -81,13 +81,13 @@ class Shape:
 
 
 def opened(frame: DataFrame, names: Sequence[str], shape: Shape, path: Column) -> list[DataFrame]:
-    """Levels of the values ``_v`` of a frame: ``names`` and (_at, _up, _step, _pos, _v, _s, _k, _impl).
+    """Levels of the values ``_v`` of a frame: ``names`` and (_at, _up, _step, _pos, _v, _s, _in, _k, _impl).
 
-    ``_at`` and ``_up`` are the paths of a node and its parent, ``_s`` its state, ``_k`` O, A or L for objects, arrays and leaves,
+    ``_at`` and ``_up`` are the paths of a node and its parent, ``_s`` its state, ``_in`` whether the node around it is an object that the contract knows, ``_k`` O, A or L for objects, arrays and leaves,
     ``_impl`` an object's ``$type``.  Null values have no node.
     """
     level = frame.select(*names, path.alias("_at"), F.lit(None).cast("string").alias("_up"), F.lit(None).cast("string").alias("_step"),
-                         F.lit(0).alias("_pos"), "_v", F.lit(shape.root).alias("_s")).where(F.col("_v").isNotNull())
+                         F.lit(0).alias("_pos"), "_v", F.lit(shape.root).alias("_s"), F.lit(False).alias("_in")).where(F.col("_v").isNotNull())
     out = []
     while True:
         # The first character tells; a schema of all that is below would be made for every node.
@@ -107,7 +107,8 @@ def opened(frame: DataFrame, names: Sequence[str], shape: Shape, path: Column) -
         impl = F.when(_is_union(shape, plain), F.col("_impl"))
         level = steps.select(*names, F.concat_ws(STEP, "_at", step).alias("_at"), F.col("_at").alias("_up"), step.alias("_step"),
                              F.col("_p").alias("_pos"), F.col("_value").alias("_v"),
-                             F.coalesce(F.when(F.col("_key") == "$type", "tag").otherwise(shape.next(plain, impl, F.col("_key"))), F.lit("")).alias("_s"))
+                             F.coalesce(F.when(F.col("_key") == "$type", "tag").otherwise(shape.next(plain, impl, F.col("_key"))), F.lit("")).alias("_s"),
+                             _is_known(shape).alias("_in"))
 
 
 def _is_union(shape: Shape, state: Column) -> Column:
@@ -115,6 +116,17 @@ def _is_union(shape: Shape, state: Column) -> Column:
     return state.isin(*unions) if unions else F.lit(False)
 
 
+def _is_known(shape: Shape) -> Column:
+    """Whether a node is an object of a struct, or of a union's implementation, that the contract has."""
+    known = F.lit(False)
+    for n, k in enumerate(shape.kinds):
+        if isinstance(k, C.Union):
+            known = known | ((F.col("_s") == f"s{n}") & F.col("_impl").isin(*[x for i in k.impls for x in (i.name, f"{k.name}.{i.name}")]))
+        elif isinstance(k, C.Struct):
+            known = known | (F.col("_s") == f"s{n}")
+    return F.coalesce((F.col("_k") == "O") & known, F.lit(False))
+
+
 def leaves_of(levels: Sequence[DataFrame], names: Sequence[str]) -> DataFrame:
     """``names`` and (_at, type, lower, _v) of every leaf; a leaf that the contract does not know is typed by its value."""
     found = union_all(level.where("_k = 'L'") for level in levels)
@@ -222,7 +234,8 @@ def issues_of(levels: Sequence[DataFrame], names: Sequence[str], shape: Shape) -
     """
     every = union_all(levels)
     path = F.replace("_at", F.lit(STEP), F.lit("."))
-    kind = F.coalesce(F.schema_of_variant("_v"), F.lit("VOID"))
+    # Of objects and arrays the letter says all that is asked; their schema would go through all that is below.
+    kind = F.when(F.col("_k") == "L", F.coalesce(F.schema_of_variant("_v"), F.lit("VOID"))).otherwise("OBJECT")
     number = kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
     whole = lambda to: F.try_variant_get("_v", "$", "double").try_cast(to).isNotNull()
     said = F.replace("_s", F.lit("^"), F.lit(""))
@@ -235,17 +248,12 @@ def issues_of(levels: Sequence[DataFrame], names: Sequence[str], shape: Shape) -
     here = every.where((F.col("_s") != "") & (F.col("_s") != "tag") & (kind != "VOID"))
     wrong = here.where(~fits).select(*names, F.lit(C.JSON_VALUE_MISMATCH).alias("kind"), path.alias("field"), F.to_json("_v").alias("value"),
                                      F.lit("error").alias("level"))
-    known = F.lit(False)
-    for n, k in enumerate(shape.kinds):
-        if isinstance(k, C.Union):
-            known = known | ((F.col("_s") == f"s{n}") & F.col("_impl").isin(*[x for i in k.impls for x in (i.name, f"{k.name}.{i.name}")]))
-    tagged = here.where(F.col("_s").isin(*unions) & (F.col("_k") == "O") & ~F.coalesce(known, F.lit(False)))
+    tagged = here.where(F.col("_s").isin(*unions) & (F.col("_k") == "O") & ~_is_known(shape))
     tags = tagged.select(*names, F.when(F.col("_impl").isNull(), C.JSON_TYPE_MISSING).otherwise(C.JSON_TYPE_MISMATCH).alias("kind"),
                          path.alias("field"), F.coalesce("_impl", F.lit("")).alias("value"), F.lit("error").alias("level"))
     # Below what is wrong already nothing is known, and nothing more is said.
-    parents = here.where(fits & (F.col("_k") == "O") & (~F.col("_s").isin(*unions) | F.coalesce(known, F.lit(False)))).select(*names, F.col("_at").alias("_up"))
-    extra = (every.where((F.col("_s") == "") & ~F.col("_step").isin("$note", "$fold", "$refs") & ~F.col("_step").startswith("$embed_"))
-             .join(parents, [*names, "_up"], "left_semi").groupBy(*names, "_up").agg(F.array_join(F.array_sort(F.collect_set("_step")), ",").alias("value")))
+    extra = (every.where(F.col("_in") & (F.col("_s") == "") & ~F.col("_step").isin("$note", "$fold", "$refs") & ~F.col("_step").startswith("$embed_"))
+             .groupBy(*names, "_up").agg(F.array_join(F.array_sort(F.collect_set("_step")), ",").alias("value")))
     rest = extra.select(*names, F.lit(C.JSON_EXTRA).alias("kind"), F.replace("_up", F.lit(STEP), F.lit(".")).alias("field"), "value",
                         F.lit("warning").alias("level"))
     return wrong.unionByName(tags).unionByName(rest)
