@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import scratch_path
 from ..functions.scalars import number_text
+from ..sources.records import pack_line
 
 
 def text_of(df: DataFrame) -> list[Column]:
@@ -45,18 +46,22 @@ def write_grid(cells: DataFrame, table: str, headers: list[list[str]], order: st
 
 
 def write_documents(df: DataFrame, table: str, path: str | None = None, mode: str = "errorifexists",
-                    files_per_task: int = 250) -> str:
-    """One JSON file per id of ``df(id, text)`` below the folder of its table; rows without a key, or with the same one, share a file.
+                    files_per_task: int = 250, pack: int = 0) -> str:
+    """One JSON document per id of ``df(id, text)`` below the folder of its table; rows without a key, or with the same one, share a document.
 
-    Files are written by as many tasks as they need, however few bytes they hold.  Each task has a folder of its own, so the
-    commit moves a folder per task and a reader lists as many.
+    A document has a file of its own; with ``pack``, so many share one (see `documents_of`), and what lists, opens or remembers
+    files has that many fewer.  Files are written by as many tasks as they need, however few bytes they hold.  Each task has a folder
+    of its own, so the commit moves a folder per task and a reader lists as many.
     """
     path = path or scratch_path(df.sparkSession, "json")
-    tasks = df.count() // files_per_task + 1
+    tasks = df.count() // (10 * pack or files_per_task) + 1
     # A number of partitions that is given stays: small ones would else be put into one task.
     lines = F.array_join(F.collect_list(F.coalesce("text", F.lit(""))), "\n").alias("text")
     docs = df.repartition(tasks, "id").groupBy("id").agg(lines)
     folder = F.concat(F.lit(uuid.uuid4().hex + "-"), F.spark_partition_id().cast("string"))
-    (docs.select(folder.alias("task"), "text").write.mode(mode).partitionBy("task").option("maxRecordsPerFile", 1)
+    name = "pack" if pack else "task"
+    # The line break that ends a file belongs to its text.
+    text = pack_line(F.concat("text", F.lit("\n"))) if pack else F.col("text")
+    (docs.select(folder.alias(name), text.alias("text")).write.mode(mode).partitionBy(name).option("maxRecordsPerFile", pack or 1)
      .text(f"{path}/_{table.replace('.', '_')}"))
     return path

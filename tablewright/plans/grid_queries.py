@@ -777,6 +777,10 @@ def w1_set_notes(spark, sf):
     return changes.set_notes(notes, edit)
 
 
+#: Records that share a file of the streams.
+PACK = 1000
+
+
 def stream_suppliers(spark, sf, on_batch=None):
     """Two waves of record files run through the stream."""
     path, out, state = (scratch_path(spark, n) for n in ("incoming", "table", "state"))
@@ -819,11 +823,11 @@ def late_nations(spark, sf):
         text = F.to_json(F.struct("s_suppkey", "s_name", nation.alias("s_nationkey"), "s_acctbal"))
         rows = {1: suppliers, 2: suppliers.where("s_suppkey % 5 = 0 or s_suppkey % 31 = 0"), 3: suppliers.limit(0)}[wave]
         fixtures.write_documents(rows.select(F.concat(F.lit(f"w{wave}_"), key.cast("string")).alias("id"), text.alias("text")),
-                                 "supplier", path, mode="append")
+                                 "supplier", path, mode="append", pack=PACK)
         rows = nations.where({1: "n_nationkey % 3 <> 0", 2: "false", 3: "n_nationkey % 3 = 0"}[wave])
         fixtures.write_documents(rows.select(F.concat(F.lit(f"w{wave}_"), F.col("n_nationkey").cast("string")).alias("id"),
                                              F.to_json(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("text")),
-                                 "nation", path, mode="append")
+                                 "nation", path, mode="append", pack=PACK)
         stream.stream_validate(spark, path, out, d, tables, state, buckets=8).awaitTermination()
     return out, d, tables
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import contract as C
 from ..contract import TableContract, error_rows
+from ..functions.scalars import trim_space
 from ..operators.typed import json_to_typed
 
 # File extensions and what they hold.
@@ -14,20 +15,46 @@ FORMATS = {"txt": "tsv", "csv": "csv", "xls": "excel", "xlsx": "excel", "cfg": "
            "parquet": "parquet"}
 
 
+# The table's folder in a path, and packs, which are files below a folder ``pack=...`` in it.
+_FOLDER = r"/_([A-Za-z][^/]*)/(?:[^/]+=[^/]*/)*[^/]*$"
+_PACK = r"/_[A-Za-z][^/]*/(?:[^/]+=[^/]*/)*pack=[^/]*/(?:[^/]+=[^/]*/)*[^/]*$"
+
+
+def pack_line(text: Column) -> Column:
+    """The line that holds a document in a pack, whatever the text is."""
+    return F.to_json(F.array(text))
+
+
 def documents_of(files: DataFrame) -> DataFrame:
     """``_table`` from the folder ``_a_b`` -> ``a.b``; ``name=value`` folders below it are
-    partitions of the same table.  Files outside such folders are dropped."""
+    partitions of the same table.  Files outside such folders are dropped.
+
+    A file holds one document; a pack (below a folder ``pack=...``) holds one per line, blank lines left out, and has to fit
+    a row.  A line is the document itself or, as line breaks need, its text in a JSON array (`pack_line`).  ``_file`` of
+    a document in a pack ends with ``#`` and its line number, later ones sorting behind earlier ones.
+    """
     df = files.select(F.col("_metadata.file_path").alias("_file"),
                       F.col("_metadata.file_modification_time").alias("_modified"), F.col("value").alias("text"))
-    folder = F.regexp_extract("_file", r"/_([A-Za-z][^/]*)/(?:[^/]+=[^/]*/)*[^/]*$", 1)
-    return df.where(folder != "").withColumn("_table", F.replace(folder, F.lit("_"), F.lit(".")))
+    folder = F.regexp_extract("_file", _FOLDER, 1)
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct((i + 1).alias("n"), line.alias("text")))
+    entries = F.when(F.col("_file").rlike(_PACK), F.filter(lines, lambda x: trim_space(x["text"]) != "")).otherwise(
+        F.array(F.struct(F.lit(0).alias("n"), F.col("text").alias("text"))))
+    df = df.where(folder != "").select("_file", "_modified", F.replace(folder, F.lit("_"), F.lit(".")).alias("_table"), F.explode(entries).alias("_d"))
+    packed, text = F.col("_d.n") > 0, F.col("_d.text")
+    name = F.when(packed, F.concat("_file", F.lit("#"), F.lpad(F.col("_d.n").cast("string"), 9, "0"))).otherwise(F.col("_file"))
+    plain = F.coalesce(F.get(F.from_json(F.when(packed, text), "array<string>"), 0), text)
+    return df.select(name.alias("_file"), "_modified", plain.alias("text"), "_table")
+
+
+def _record_files(spark: SparkSession, path: str) -> DataFrame:
+    """The folders are named by a pattern because Spark skips names with a leading underscore when it lists on its own."""
+    return spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option(
+        "ignoreMissingFiles", "true").text(f"{path}/_*", wholetext=True)
 
 
 def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per JSON file below ``path``.  The folders are named by a pattern because
-    Spark skips names with a leading underscore when it lists on its own."""
-    return documents_of(spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option(
-        "ignoreMissingFiles", "true").text(f"{path}/_*", wholetext=True))
+    """One row per JSON document below ``path``, see `documents_of`."""
+    return documents_of(_record_files(spark, path))
 
 
 def read_json_records(spark: SparkSession, path: str, contract: TableContract) -> tuple[DataFrame, DataFrame]:
@@ -36,11 +63,12 @@ def read_json_records(spark: SparkSession, path: str, contract: TableContract) -
     A file that is not JSON gives one error and the table's default record; a file that
     is listed but cannot be read gives an error only.
     """
-    docs = read_json_documents(spark, path).where(F.col("_table") == contract.name)
+    files = _record_files(spark, path)
+    docs = documents_of(files).where(F.col("_table") == contract.name)
     typed, errors = json_to_typed(docs, "text", contract, keep=["_file", "_modified"])
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
         f"{path}/_{contract.name.replace('.', '_')}").select(_plain_path("path").alias("_path"))
-    lost = listed.join(docs.select(_plain_path("_file").alias("_read")), F.col("_path") == F.col("_read"), "left_anti")
+    lost = listed.join(files.select(_plain_path("_metadata.file_path").alias("_read")), F.col("_path") == F.col("_read"), "left_anti")
     return typed, errors.unionByName(error_rows(lost, C.JSON_FILE_READ, contract.name, None, None, None, F.col("_path")))
 
 
