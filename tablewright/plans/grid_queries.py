@@ -793,7 +793,7 @@ def stream_suppliers(spark, sf, on_batch=None):
         nation = F.when(key % 31 == 0, F.lit(99)).otherwise(F.col("s_nationkey"))
         text = F.to_json(F.struct("s_suppkey", "s_name", nation.alias("s_nationkey"), (F.col("s_acctbal") + wave).alias("s_acctbal")))
         docs = rows.select(F.concat(F.lit(f"w{wave}_"), key.cast("string")).alias("id"), text.alias("text"))
-        fixtures.write_documents(docs, "supplier", path, mode="append")
+        fixtures.write_documents(docs, "supplier", path, mode="append", pack=PACK)
         stream.stream_validate(spark, path, out, d, tables, state, on_batch).awaitTermination()
     return out
 
