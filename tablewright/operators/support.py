@@ -2,8 +2,9 @@
 
 A full check reads every table.  Here each reference is one row filed under the key it needs, and each key that can be
 pointed at is one row with the number of records that have it.  Both are dealt into buckets by that key, so a change
-reads and rewrites the buckets of the keys it touches and no table at all: references of old and new versions of the
-changed records, and keys that came or went.  A bucket's open references are its references without a key; a record
+reads the buckets of the keys it touches and no table at all: references of old and new versions of the
+changed records, and keys that came or went.  References are kept apart by the table they stand in, so a change rewrites those of
+its own tables only.  A bucket's open references are its references without a key; a record
 that arrives late closes exactly those filed under its key.
 """
 
@@ -95,7 +96,7 @@ class BucketTable:
         before = self.spark.conf.get(_WRITERS, None)
         self.spark.conf.set(_WRITERS, str(self.buckets + 1))
         try:
-            whole.write.mode("overwrite").partitionBy("_b").parquet(f"{self.path}/_v={version}")
+            whole.write.mode("overwrite").partitionBy("_b").option("compression", "zstd").parquet(f"{self.path}/_v={version}")
         finally:
             self.spark.conf.unset(_WRITERS) if before is None else self.spark.conf.set(_WRITERS, before)
 
@@ -119,6 +120,11 @@ def _packed(values: Sequence[Column], dtypes: Sequence[T.DataType]) -> Column:
     return F.concat_ws(";", *[F.coalesce(pack_value(v, t), F.lit("")) for v, t in zip(values, dtypes)])
 
 
+def _bytes(df: DataFrame) -> int:
+    """Bytes of a frame as the planner sees them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 class ReferenceIndex:
     """References and keys of a dataset under ``root``, kept up by what changes.
 
@@ -129,12 +135,19 @@ class ReferenceIndex:
     def __init__(self, spark: SparkSession, root: str, contracts: dict[str, TableContract], buckets: int = 64):
         self.spark, self.contracts, key = spark, contracts, ("_to", "_key")
         self.refs = BucketTable(spark, f"{root}/refs", _REFS, key, buckets)
+        if self.refs._versions():
+            raise ValueError(f"{root}: references are not kept by table, build the index again")
+        self.by_table = {t: BucketTable(spark, f"{root}/refs/{t}", _REFS, key, buckets) for t in contracts}
         self.keys = BucketTable(spark, f"{root}/keys", "_to string, _key string, n long", key, buckets)
         self.open = BucketTable(spark, f"{root}/open", _REFS, key, buckets)
 
     def exists(self) -> bool:
         return bool(self.open._versions())
 
+    def references(self, only: Iterable[int] | None = None) -> DataFrame:
+        """The references of all tables, of all buckets or some."""
+        return union_all([self.spark.createDataFrame([], self.refs.schema), *(t.read(only) for t in self.by_table.values() if t._versions())])
+
     def outgoing(self, table: str, rows: DataFrame) -> DataFrame:
         """A row per reference that has to exist, of the given rows of a table."""
         contract = self.contracts[table]
@@ -173,8 +186,10 @@ class ReferenceIndex:
 
     def build(self, dataset: Dataset, version: int = 0) -> "ReferenceIndex":
         """Files all references and keys of a dataset."""
-        every, none = range(self.refs.buckets), self.spark.createDataFrame([], self.refs.schema)
-        self.refs.write(version, union_all([none, *(self.outgoing(n, dataset.frames[n]) for n in dataset.names())]), every)
+        every = range(self.refs.buckets)
+        for name in dataset.names():
+            refs = self.outgoing(name, dataset.frames[name])
+            self.by_table[name].write(version, refs, every, _bytes(refs) > _MANY)
         none = self.spark.createDataFrame([], self.keys.schema)
         keys = union_all([none, *(self.incoming(n, dataset.frames[n]) for n in dataset.names())])
         self.keys.write(version, keys.groupBy("_to", "_key").agg(F.sum("n").alias("n")), every)
@@ -182,13 +197,15 @@ class ReferenceIndex:
         return self
 
     def _reopen(self, version: int, touched: Sequence[int]) -> None:
-        refs, keys = self.refs.read(touched), self.keys.read(touched)
+        refs, keys = self.references(touched), self.keys.read(touched)
         t, k = F.col("_to").alias("_t"), F.col("_key").alias("_k")
         on = (F.col("_to") == F.col("_t")) & (F.col("_key") == F.col("_k"))
         # Keys are compared once each; references move only to keys that are missing.
         asked = refs.where("not is_empty").select("_to", "_key").distinct()
         missing = cut(asked.join(keys.select(t, k), on, "left_anti").select(t, k), "missing")
-        lost = refs.where("not is_empty").join(missing, on, "left_semi")
+        # As many targets as foreign keys name; references to others do not move at all.
+        targets = [r[0] for r in missing.select("_t").distinct().collect()]
+        lost = refs.where(~F.col("is_empty") & F.col("_to").isin(targets)).join(missing, on, "left_semi")
         self.open.write(version, lost.unionByName(refs.where("is_empty")), touched)
 
     def change(self, changes: Sequence[tuple[str, DataFrame, DataFrame]], version: int) -> list[int]:
@@ -205,11 +222,14 @@ class ReferenceIndex:
             return []
         owners = gone.select(F.col("table").alias("_t"), F.col("record_id").alias("_r")).distinct()
         on = (F.col("table") == F.col("_t")) & (F.col("record_id") == F.col("_r"))
-        before, many = self.refs.read(touched, version), self.refs.size(touched, version) > _MANY
-        # Of other tables' references and other targets' keys nothing changes.
-        mine = F.col("table").isin(*{t for t, _, _ in changes})
-        kept = before.where(~mine).unionByName(before.where(mine).join(owners, on, "left_anti"))
-        self.refs.write(version, kept.unionByName(new), touched, many)
+        for name in {t: None for t, _, _ in changes}:
+            # Of other tables' references and other targets' keys nothing changes.
+            store, mine = self.by_table[name], new.where(F.col("table") == name)
+            where = store.buckets_of(gone.where(F.col("table") == name), mine)
+            if where:
+                kept = store.read(where, version).join(owners.where(F.col("_t") == name), on, "left_anti")
+                store.write(version, kept.unionByName(mine), where, store.size(where, version) > _MANY)
+        many = self.keys.size(touched, version) > _MANY
         targets = F.col("_to").isin(*{target_name(t, keys) for t, _, _ in changes for keys in self._asked_keys(t)})
         keys = self.keys.read(touched, version)
         added = keys.where(targets).unionByName(delta).groupBy("_to", "_key").agg(F.sum("n").alias("n")).where("n > 0")
@@ -219,7 +239,7 @@ class ReferenceIndex:
 
     def support(self) -> DataFrame:
         """(target, key, referrers, there): per key that is pointed at, how often, and whether it exists."""
-        refs = self.refs.read().where("not is_empty").groupBy("_to", "_key").agg(F.count("*").alias("referrers"))
+        refs = self.references().where("not is_empty").groupBy("_to", "_key").agg(F.count("*").alias("referrers"))
         return refs.join(self.keys.read(), ["_to", "_key"], "left").select(
             F.col("_to").alias("target"), F.col("_key").alias("key"), "referrers", F.col("n").isNotNull().alias("there"))
 
@@ -231,5 +251,5 @@ class ReferenceIndex:
         return self.open.read(only).select(*[parts[c].cast("string").alias(c) for c in ERROR_COLUMNS])
 
     def forget(self, before: int) -> None:
-        for table in (self.refs, self.keys, self.open):
+        for table in (*self.by_table.values(), self.keys, self.open):
             table.forget(before)
