@@ -165,7 +165,7 @@ def test_a_change_rewrites_its_own_references(spark, tmp_path):
     gone = spark.createDataFrame([(str(i),) for i in range(0, 20, 3)], "id string")
     now, _, errors = changes.delete_indexed(d, index, "order", gone, 1)
     assert columns(errors) == full(now) and errors.where("field = 'order'").count() == 35
-    versions = lambda name: sorted(os.path.basename(p) for p in glob.glob(str(tmp_path / "index" / "refs" / name / "_v=*")))
+    versions = lambda name: sorted(os.path.basename(p) for p in glob.glob(str(tmp_path / "index" / "refs" / f"of={name}" / "_v=*")))
     assert versions("line") == ["_v=0"] and versions("order") == ["_v=0", "_v=1"]
     # An index that was kept otherwise is not taken for an empty one.
     BucketTable(spark, str(tmp_path / "other" / "refs"), index.refs.schema, ("_to", "_key"), 4).write(0, index.references(), range(4))
